@@ -40,6 +40,10 @@ def source_targets(
     return t.drop("cap", "rho", "budget", "capped", "w")
 
 
+def _weight(weight):
+    return F.lit(1.0) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-9))
+
+
 def _rank(h, pi):
     """Pareto rank in (0, 1): random odds over inclusion odds, as odds / (1 + odds)."""
     u = (F.shiftrightunsigned(h, 11) + F.lit(0.5)) * F.lit(2.0**-53)
@@ -71,10 +75,9 @@ def plan_mix(
     documents however large the source. A decision is a function of (source, id): the
     cell of the cut and the hashes taken inside it.
     """
-    one = F.lit(1.0) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-9))
     n = checkpoint(docs.select(
         F.col(id_col).alias("i"), F.col(source_col).alias("source"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"),
-        size.cast("long").alias("size"), one.alias("weight"),
+        size.cast("long").alias("size"), _weight(weight).alias("weight"),
     ))
     sources = n.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"),
@@ -160,9 +163,20 @@ def _decide(n: DataFrame, plan: DataFrame, most: float) -> DataFrame:
     return d.withColumn("copies", F.col("whole") + F.coalesce(hit, F.lit(False)).cast("long"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
-    """The mix itself: the rows of ``docs`` with their own columns, as often as they are taken."""
-    decided = mix_sources(docs, id_col, text_col, source_col, **kw)
-    d = decided.groupBy(F.col(id_col).alias("__id"), F.col(source_col).alias("__source")).agg(F.max("copies").alias("__copies"))
-    both = docs.join(d, docs[id_col].eqNullSafe(d["__id"]) & docs[source_col].eqNullSafe(d["__source"])).filter("__copies > 0")
-    return both.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[both[c] for c in docs.columns])
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17,
+    weight=None, most: float = 2.0, **kw,
+) -> DataFrame:
+    """The mix itself: the rows of ``docs`` with their own columns, as often as they are taken.
+
+    Decisions are functions of (source, id), so the rows meet only the plan, a row per
+    source, and texts aren't shuffled where Spark finds the plan small enough to broadcast.
+    """
+    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD))
+    _, plan = plan_mix(docs, size, id_col, source_col, seed, weight, most=most, **kw)
+    d = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(source_col).alias("source"),
+        F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), _weight(weight).alias("weight"),
+    )
+    taken = _decide(d, plan, most).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

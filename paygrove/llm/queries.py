@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paygrove.llm import dedup, mixing, rules, sharding
+from paygrove.llm import bpe, dedup, mixing, rules, sharding, simhash
 
 #: Bytes of text in a shard of op4.
 SHARD_BYTES = 1 << 20
@@ -29,6 +29,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = rules.ledger(table(spark, sf_dir, "documents"))
     base_kept = F.col("failed_bits").bitwiseAND(F.lit(rules.BASE.mask)) == 0
@@ -42,6 +50,8 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
     "op4_sharding": op4_sharding,
+    "op6_bpe": op6_bpe,
+    "op7_simhash": op7_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
 

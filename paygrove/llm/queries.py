@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paygrove.llm import bpe, dedup, mixing, rules, sharding, simhash
+from paygrove.llm import bpe, chat, dedup, langid, lm, mixing, rules, sharding, simhash, toxicity
 
 #: Bytes of text in a shard of op4.
 SHARD_BYTES = 1 << 20
@@ -25,10 +25,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
@@ -37,6 +45,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = rules.ledger(table(spark, sf_dir, "documents"))
     base_kept = F.col("failed_bits").bitwiseAND(F.lit(rules.BASE.mask)) == 0
@@ -49,9 +65,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_sharding": op4_sharding,
+    "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
+    "op9_chat": op9_chat,
     "op10_quality_rules": op10_quality_rules,
 }
 

@@ -1,4 +1,7 @@
 """All registered queries of the library and their SQL."""
 
-QUERIES = {}
-ORACLE = {}
+from paygrove.plans import q_features
+
+_PARTS = (q_features,)
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLE = {k: v for p in _PARTS for k, v in p.ORACLE.items()}

@@ -1 +1 @@
-
+"""Column functions: money, keys and time."""

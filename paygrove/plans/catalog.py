@@ -1,7 +1,7 @@
 """All registered queries of the library and their SQL."""
 
-from paygrove.plans import q_features, q_graph, q_rules
+from paygrove.plans import q_canonical, q_features, q_graph, q_rules
 
-_PARTS = (q_features, q_graph, q_rules)
+_PARTS = (q_canonical, q_features, q_graph, q_rules)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE = {k: v for p in _PARTS for k, v in p.ORACLE.items()}

@@ -1,7 +1,7 @@
 """All registered queries of the library and their SQL."""
 
-from paygrove.plans import q_canonical, q_evaluate, q_features, q_graph, q_rules
+from paygrove.plans import q_canonical, q_evaluate, q_features, q_graph, q_models, q_rules
 
-_PARTS = (q_canonical, q_features, q_graph, q_rules, q_evaluate)
+_PARTS = (q_canonical, q_features, q_graph, q_rules, q_evaluate, q_models)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE = {k: v for p in _PARTS for k, v in p.ORACLE.items()}

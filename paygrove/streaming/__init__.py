@@ -1 +1 @@
-
+"""Structured Streaming jobs over the same operators."""

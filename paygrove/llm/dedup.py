@@ -46,8 +46,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .otherwise(F.raise_error(F.lit("two texts share a digest")).cast("long")).alias("group_size"),
     )
     out = rows.select("i", "g", "x").join(winners, ["g", "x"])
-    # one row of those that repeat the id too; partitioned by id, so a large group stays spread
-    first = F.row_number().over(Window.partitionBy("g", "x", "i").orderBy(F.lit(1))) == 1
+    # one row of those that repeat the id too; the key holds the id, so a large group is dealt anew and the join may split it
+    out = out.withColumn("k", F.xxhash64("g", "x", "i"))
+    first = F.row_number().over(Window.partitionBy("k", "i", "g").orderBy(F.lit(1))) == 1
     return out.select(
         F.col("i").alias(id_col), "keep_id", "group_size",
         (F.col("i").eqNullSafe(F.col("keep_id")) & first).alias("kept"), F.col("g").alias("text_sha256"),
@@ -56,10 +57,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; rows that repeat id and text come once."""
-    kept = exact_groups(docs, id_col, text_col, salts).filter("kept").select(
-        F.col(id_col).alias("__keep_id"), F.col("text_sha256").alias("__digest")
-    )
-    tagged = docs.withColumn("__digest", F.sha2(normalised(F.col(text_col)), 256))
-    both = tagged.join(kept, tagged["__digest"].eqNullSafe(kept["__digest"]) & tagged[id_col].eqNullSafe(kept["__keep_id"]), "left_semi")
-    once = Window.partitionBy(id_col, "__digest").orderBy(F.lit(1))
-    return both.withColumn("__nth", F.row_number().over(once)).filter("__nth = 1").drop("__digest", "__nth")
+    row = lambda i, g: F.sha2(F.concat_ws("|", g, i.cast("string")), 256)
+    kept = exact_groups(docs, id_col, text_col, salts).filter("kept")
+    kept = kept.select(row(F.col(id_col), F.col("text_sha256")).alias("__row"))
+    tagged = docs.withColumn("__row", row(docs[id_col], F.sha2(normalised(F.col(text_col)), 256)))
+    # the join's own partitioning serves the window, so texts are shuffled once
+    nth = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(1)))
+    return tagged.join(kept, "__row", "left_semi").withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)

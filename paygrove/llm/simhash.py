@@ -179,7 +179,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = prints.groupBy("f").agg(F.min("i").alias("low"))
     label = checkpoint(own.join(comps, "f", "left").select("f", "low", F.coalesce("component", "f").alias("c")))
     low = label.groupBy("c").agg(F.min("low").alias("component_id"))
-    found = prints.join(label.select("f", "c"), "f").join(low, "c")
+    found = prints.join(label.join(low, "c").select("f", "component_id"), "f")
     return found.select(F.col("i").alias(id_col), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -11,6 +11,8 @@ from paygrove.session import checkpoint
 WORD = r"[^\x20\x09-\x0D]+"
 #: A bucket of ranks holds about so many documents; a level has at most so many buckets.
 BUCKET, FAN = 1024, 4096
+#: Tasks that the rows of one source are dealt over where they meet the row of the source.
+SALTS = 16
 
 
 def source_targets(
@@ -59,6 +61,13 @@ def _cross(cells: DataFrame, keys: list[str], by: str) -> DataFrame:
     return c.withColumn("rem", F.col("rem") - (F.col("upto") - F.col("words"))).drop("upto", "nth")
 
 
+def _with_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    """``rows`` (source, h, ...) with the row of their source; a large source is dealt over ``SALTS`` tasks."""
+    few = per_source.withColumnRenamed("source", "s").withColumn("salt_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    d = rows.withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)).cast("int"))
+    return d.join(few, F.col("source").eqNullSafe(F.col("s")) & (F.col("salt") == F.col("salt_s"))).drop("s", "salt", "salt_s")
+
+
 def plan_mix(
     docs: DataFrame, size, id_col: str = "doc_id", source_col: str = "source", seed: int = 17, weight=None,
     weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0,
@@ -85,8 +94,7 @@ def plan_mix(
     )
     t = source_targets(sources, weights, share, most)
     t = t.withColumn("rate", F.coalesce(F.try_divide("target", "mass"), F.lit(0.0)))
-    d = n.join(t.select(F.col("source").alias("s"), "rate", "target", "docs"), F.col("source").eqNullSafe(F.col("s")))
-    d = _copies(d, most)
+    d = _copies(_with_source(n, t.select("source", "rate", "target", "docs")), most)
     d = d.withColumn("k1", F.least(F.lit(FAN), F.ceil(F.col("docs") / BUCKET)).cast("long"))
     d = d.withColumn("b1", F.floor(F.col("p") * F.col("k1")))
     cells = d.groupBy("source", "b1").agg(
@@ -148,8 +156,7 @@ def mix_sources(
 
 
 def _decide(n: DataFrame, plan: DataFrame, most: float) -> DataFrame:
-    p = plan.withColumnRenamed("source", "s")
-    d = _copies(n.join(p, F.col("source").eqNullSafe(F.col("s"))), most)
+    d = _copies(_with_source(n, plan), most)
     x = F.col("p") * F.least(F.lit(FAN), F.ceil(F.col("docs") / BUCKET)).cast("long")
     b1 = F.floor(x)
     b2 = F.floor((x - b1) * F.col("k2"))

@@ -104,7 +104,7 @@ def _query(group: str):
     def run(spark, sf_dir):
         d = features.build(pay_events(spark, sf_dir), fs)
         doubles = [c for c, t in d.dtypes if t == "double"]
-        return d.withColumns({c: F.round(c, 6) for c in doubles})
+        return d.withColumns({c: F.round(c, 9) for c in doubles})
 
     return run
 

@@ -103,7 +103,7 @@ def _query(group: str):
 
     def run(spark, sf_dir):
         d = features.build(pay_events(spark, sf_dir), fs)
-        doubles = [c for c, t in d.dtypes if t == "double"]
+        doubles = [c for c, t in d.dtypes if t == "double" and not c.startswith("benford")]
         return d.withColumns({c: F.round(c, 9) for c in doubles})
 
     return run
@@ -124,7 +124,7 @@ def _sql(group: str) -> str:
         placed |= {f.name for f in ready}
         left = [f for f in left if f.name not in placed]
     kinds = {f.name: f.kind for f in fs}
-    out = [f'round("{f.name}", 9) AS "{f.name}"' if kinds[f.name] in ("benford", "burstiness", "robust_z") else f'"{f.name}"' for f in fs]
+    out = [f'round("{f.name}", 9) AS "{f.name}"' if kinds[f.name] in ("burstiness", "robust_z") else f'"{f.name}"' for f in fs]
     return f"{sql} SELECT txn_id, ts_us, entity, counterparty, direction, sign, currency, {', '.join(out)} FROM {at}"
 
 

@@ -7,27 +7,31 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paygrove.llm.words import split_by_count
 from paygrove.session import scratch_table
 
-#: Fixed values of the tokenizer's file: its special tokens, and the pattern of a word.
+#: Fixed values of the tokenizer's file: its special tokens.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
-_SPECIAL = regex.compile("(" + "|".join(map(regex.escape, SPECIAL)) + ")")
+_SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
+
+#: The pattern on the settled blocks: letters, numbers and white space below U+0180 as plain sets.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+WORDS = re.compile(f"[{_L}]+|[{_N}]|'(?:s|t|re|ve|m|ll|d)|[^{_S}{_L}{_N}]+")
 
 #: Words of the broadcast part of the word table. The rest are joined by a shuffle.
-HEAD = 1 << 18
+HEAD = 450_000
 #: Distinct words that one task counts before it hands them on.
 COUNTED = 400_000
 
@@ -39,7 +43,7 @@ def default_path() -> str:
 
 
 #: Characters on which the library's Unicode tables and this module's surely agree.
-_ELSEWHERE = re.compile("[^\\x00-\u024f\u2010-\u2027]")
+_ELSEWHERE = re.compile("[^\\x00-\u017f\u2010-\u2027]")
 
 
 class Splitter:
@@ -144,14 +148,21 @@ def _key(raw: bytes) -> tuple[int, int]:
 
 
 def _pack(ranks: np.ndarray) -> bytes:
-    """Ranks as byte planes, compressed."""
-    planes = ranks.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3].tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(planes)
+    """Ranks as two byte planes, those from 65,535 on as three more, compressed."""
+    large = ranks >= 0xFFFF
+    low = np.where(large, 0xFFFF, ranks).astype("<u2").view(np.uint8).reshape(-1, 2).T
+    high = ranks[large].astype("<u4").view(np.uint8).reshape(-1, 4).T[:3]
+    return zstandard.ZstdCompressor(level=1).compress(len(ranks).to_bytes(4, "little") + low.tobytes() + high.tobytes())
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(3, -1)
-    return planes[0].astype(np.uint32) | planes[1].astype(np.uint32) << 8 | planes[2].astype(np.uint32) << 16
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:4], "little")
+    planes = np.frombuffer(raw, np.uint8)
+    ranks = planes[4 : 4 + n].astype(np.uint32) | planes[4 + n : 4 + 2 * n].astype(np.uint32) << 8
+    high = planes[4 + 2 * n :].reshape(3, -1).astype(np.uint32)
+    ranks[ranks == 0xFFFF] = high[0] | high[1] << 8 | high[2] << 16
+    return ranks
 
 
 def _rare(head, path: str):
@@ -159,17 +170,19 @@ def _rare(head, path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, split = set(head.value[0]), splitter(path)
+        has = known.__contains__
         h = xxhash.xxh64_intdigest
         for b in batches:
             k1, k2, pos, wh = [], [], [], []
             for t in b.column("t").to_pylist():
-                rare = [(p, w) for p, w in enumerate(split(t)) if w not in known]
-                if rare:
+                words = split(t)
+                at = [p for p, ok in enumerate(map(has, words)) if not ok]
+                if at:
                     a, z = _key(t.encode("utf-8", "surrogatepass"))
-                    k1 += [a] * len(rare)
-                    k2 += [z] * len(rare)
-                    pos += [p for p, _ in rare]
-                    wh += [h(w.encode("utf-8", "surrogatepass"), 42) for _, w in rare]
+                    k1 += [a] * len(at)
+                    k2 += [z] * len(at)
+                    pos += at
+                    wh += [h(words[p].encode("utf-8", "surrogatepass"), 42) for p in at]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(pos, pa.int32()), pa.array(np.array(wh, np.uint64).view(np.int64))],
                 ["k1", "k2", "pos", "wh"],
@@ -178,12 +191,20 @@ def _rare(head, path: str):
     return run
 
 
+class _Ranks(dict):
+    """Rank of each word of the head; ``none`` for any other."""
+
+    def __missing__(self, word: str) -> int:
+        return self.none
+
+
 def _ranked(head, path: str):
     """Each document as ranks of its words in the head, ``HEAD`` where a word is not in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = {w: r for r, w in enumerate(head.value[0])}
-        none, split = len(rank), splitter(path)
+        rank = _Ranks((w, r) for r, w in enumerate(head.value[0]))
+        rank.none = len(rank)
+        split = splitter(path)
         for b in batches:
             k1, k2, blob = [], [], []
             for t in b.column("t").to_pylist():
@@ -191,7 +212,7 @@ def _ranked(head, path: str):
                 words = split(t)
                 k1.append(a)
                 k2.append(z)
-                blob.append(_pack(np.fromiter((rank.get(w, none) for w in words), np.uint32, len(words))))
+                blob.append(_pack(np.array(array("I", map(rank.__getitem__, words)), np.uint32)))
             yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(blob, pa.binary())], ["i", "k1", "k2", "blob"])
 
     return run
@@ -206,17 +227,22 @@ def _finished(head, path: str, with_ids: bool):
         none = len(ids_of)
         for b in batches:
             n, ids, dec, full, text = [], [], [], [], []
-            blobs, rares = b.column("blob").to_pylist(), b.column("rare").to_pylist()
-            for blob, rare in zip(blobs, rares, strict=True):
-                ranks = _unpack(blob)
-                holes = np.flatnonzero(ranks == none)
-                if len(holes):
-                    found = {r["pos"]: r["ids"] for r in rare}
-                    order = ranks.tolist()
-                    word_ids = [found[p] if r == none else ids_of[r] for p, r in enumerate(order)]
-                    words = [b" ".join(pieces[np.frombuffer(found[p], "<u4")]) if r == none else text_of[r] for p, r in enumerate(order)]
+            rare = b.column("rare")
+            offsets = rare.offsets.to_numpy()
+            at, word = rare.values.field("pos").to_numpy(zero_copy_only=False), rare.values.field("ids").to_pylist()
+            for k, blob in enumerate(b.column("blob").to_pylist()):
+                order = _unpack(blob).tolist()
+                lo, hi = offsets[k], offsets[k + 1]
+                if hi > lo:  # the rare words of this text become ranks after the head's
+                    own, said_of = ids_of, text_of
+                    for j in range(lo, hi):
+                        order[at[j]] = none + 1 + j - lo
+                    extra = word[lo:hi]
+                    extra_text = [b" ".join(pieces[np.frombuffer(x, "<u4")]) for x in extra]
+                    base = none + 1
+                    word_ids = [own[r] if r < none else extra[r - base] for r in order]
+                    words = [said_of[r] if r < none else extra_text[r - base] for r in order]
                 else:
-                    order = ranks.tolist()
                     word_ids, words = [ids_of[r] for r in order], [text_of[r] for r in order]
                 raw, said = b"".join(word_ids), b" ".join(words)
                 n.append(len(raw) // 4)
@@ -254,13 +280,14 @@ def encode_decode(
     path = path or default_path()
     spark = docs.sparkSession
     words = word_table(docs, text_col, path)
-    top = words.orderBy(F.desc("n"), "w").limit(head).select("w", "ids").toArrow()
+    frequent, others = split_by_count(words, head)
+    top = frequent.select("w", "ids").toArrow()
     shared = spark.sparkContext.broadcast((top.column("w").to_pylist(), top.column("ids").to_pylist()))
     narrow = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     kind = dict(narrow.dtypes)["i"]
     ranked = narrow.mapInArrow(_ranked(shared, path), f"i {kind}, k1 bigint, k2 bigint, blob binary")
     rare = narrow.select("t").mapInArrow(_rare(shared, path), "k1 bigint, k2 bigint, pos int, wh bigint")
-    by_hash = words.groupBy(F.xxhash64("w").alias("wh")).agg(F.min("ids").alias("ids"), F.max("ids").alias("other"))
+    by_hash = others.groupBy(F.xxhash64("w").alias("wh")).agg(F.min("ids").alias("ids"), F.max("ids").alias("other"))
     by_hash = by_hash.select("wh", F.when(F.col("ids") == F.col("other"), F.col("ids")).otherwise(
         F.raise_error(F.lit("two words share a hash")).cast("binary")).alias("ids"))
     placed = rare.join(by_hash, "wh").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "ids")).alias("rare"))

@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from paygrove.llm.words import split_by_count
 from paygrove.session import scratch_table
 
-#: Words each side of the predicted one, hidden units, and the share of positions masked in a round (1 / MASKED).
-SIDE, HIDDEN, MASKED = 2, 48, 8
+#: Words each side of the predicted one, and hidden units.
+SIDE, HIDDEN = 2, 48
 #: Classes of one frequent word each, classes by a word's ending, and words with an own count (bound of the broadcast).
 OWN, ENDINGS, VOCAB = 64, 64, 20_000
 CLASSES = OWN + ENDINGS
-#: Rounds of training over all documents, positions of a gradient step, step size.
+#: Rounds of training over all documents (each masks its share, together every position), positions of a gradient step, step size.
 ROUNDS, STEP, RATE = 2, 1024, 0.08
 #: Distinct words that one task counts before it hands them on.
 COUNTED = 150_000
@@ -186,7 +186,13 @@ def _batches(texts: list[str | None], most: int = 200_000) -> Iterator[tuple[lis
         yield held, n
 
 
-def _trained(shared, turn: int):
+def _masked(sizes: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Which positions round ``turn`` trains on, by place in the document: each is in one of the ``rounds``."""
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return (place.astype(np.uint64) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(rounds) == turn
+
+
+def _trained(shared, turn: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, flat = shared.value
         net, seen = Net(flat.copy()), 0
@@ -197,8 +203,8 @@ def _trained(shared, turn: int):
                     continue
                 c, _ = lexicon.look_up([w for ws in held for w in ws])
                 ends = np.cumsum([len(ws) for ws in held])[:-1]
-                ctx, own, _ = _windows(np.split(c, ends))
-                spot = (np.arange(len(own), dtype=np.uint64) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(MASKED) == turn % MASKED
+                ctx, own, sizes = _windows(np.split(c, ends))
+                spot = _masked(sizes, turn, rounds)
                 ctx, own = ctx[spot], own[spot]
                 for at in range(0, len(own), STEP):
                     net.learn(ctx[at : at + STEP], own[at : at + STEP], g2)
@@ -216,8 +222,8 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, vocab:
 
     In each round every task starts from the shared parameters and takes gradient steps
     over the masked positions of its documents; the parameters are then averaged, weighted
-    by positions, in a Spark aggregate. Another part of the positions is masked each
-    round. What comes to the driver is one set of parameters, ``vocab`` words and a row
+    by positions, in a Spark aggregate. Each round masks another ``rounds``-th of the
+    positions, so all rounds together train on every position once. What comes to the driver is one set of parameters, ``vocab`` words and a row
     per class.
     """
     spark = docs.sparkSession
@@ -228,7 +234,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, vocab:
     lexicon, net = Lexicon(top, stats), Net()
     for turn in range(rounds if top else 0):
         shared = spark.sparkContext.broadcast((lexicon, net.flat))
-        sums = t.mapInArrow(_trained(shared, turn), "k int, v bigint").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+        sums = t.mapInArrow(_trained(shared, turn, rounds), "k int, v bigint").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
         flat = np.zeros(len(net.flat) + 1)
         flat[sums.column("k").to_numpy()] = sums.column("v").to_numpy()
         net = Net(flat[:-1] * UNIT * 1024 / max(1.0, flat[-1]))

@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from paygrove.llm import chat, langid, lm, toxicity
@@ -112,6 +113,20 @@ def test_lm_prefers_the_corpus_order(spark):
     assert lm.pseudo_likelihood(df.limit(0)).count() == 0
 
 
+def test_lm_trains_on_every_position(monkeypatch):
+    texts = [" ".join(f"w{(i * j) % 7}" for j in range(n)) for i, n in enumerate((1, 2, 3, 40, 777))] + ["", None]
+    lexicon = lm.Lexicon([(b"w0", 5)], {lm.ending(b"w0"): (5, 1)})
+    for rounds in (1, lm.ROUNDS, 5):
+        seen = []
+        monkeypatch.setattr(lm.Net, "learn", lambda self, ctx, c, g2: seen.append(len(c)))
+        for turn in range(rounds):
+            shared = type("Shared", (), {"value": (lexicon, lm.Net().flat)})
+            list(lm._trained(shared, turn, rounds)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])])))
+        assert sum(seen) == 823
+        sizes = np.array([1, 0, 9, 300])
+        assert sum(lm._masked(sizes, t, rounds).astype(int) for t in range(rounds)).tolist() == [1] * 310
+
+
 def test_lm_gradient():
     rng = np.random.default_rng(1)
     net = lm.Net()

@@ -18,7 +18,7 @@ from paygrove.session import scratch_table
 
 #: Words each side of the predicted one, and hidden units.
 SIDE, HIDDEN = 2, 48
-#: Classes of one frequent word each, classes by a word's ending, and words with an own count (bound of the broadcast).
+#: Classes of one frequent word each, classes by a word's ending, and words of the broadcast (others are joined to the word table).
 OWN, ENDINGS, VOCAB = 64, 64, 20_000
 CLASSES = OWN + ENDINGS
 #: Rounds of training over all documents (each masks its share, together every position), positions of a gradient step, step size.
@@ -27,6 +27,8 @@ ROUNDS, STEP, RATE = 2, 1024, 0.08
 COUNTED = 150_000
 #: Parameters travel as integers of this unit, so their sums don't depend on order.
 UNIT = 2.0**-24
+#: Logarithms of counts are summed as integers of this unit, for the same reason.
+LOG_UNIT = 2.0**-32
 
 AROUND = [k for k in range(-SIDE, SIDE + 1) if k]
 
@@ -61,25 +63,19 @@ def _pairs(seen: Counter) -> pa.RecordBatch:
 class Lexicon(dict):
     """Index of every word, known or not; class and log probability within the class by index."""
 
-    def __init__(self, top: list[tuple[bytes, int]], stats: dict[int, tuple[int, int]]):
-        """top: the most frequent words and counts; stats: tokens and distinct words of each ending."""
-        tokens, types = np.zeros(CLASSES), np.zeros(CLASSES)
-        for c, (n, t) in stats.items():
-            tokens[c], types[c] = n, t
+    def __init__(self, top: list[tuple[bytes, int]], stats: dict[int, int]):
+        """top: the most frequent words and counts; stats: tokens of each ending."""
+        tokens = np.zeros(CLASSES)
+        for c, n in stats.items():
+            tokens[c] = n
         top = sorted(top, key=lambda x: (-x[1], x[0]))
         own = [k if k < OWN else ending(w) for k, (w, _) in enumerate(top)]
         for k, (w, n) in enumerate(top[:OWN]):
-            e = ending(w)
             tokens[k] += n
-            tokens[e] -= n
-            types[e] -= 1
-        rest, left = tokens.copy(), types.copy()
-        for (_, n), c in list(zip(top, own, strict=True))[OWN:]:
-            rest[c] -= n
-            left[c] -= 1
+            tokens[ending(w)] -= n
         known = [math.log(n / tokens[c]) for (_, n), c in zip(top, own, strict=True)]
-        # an unknown word shares what known ones leave, one word more than were seen
-        other = np.log((np.maximum(rest, 0) + 1) / (tokens + 1) / (np.maximum(left, 0) + 1))
+        # of any other word as if seen once: the logarithm of its count is added by the join
+        other = -np.log(np.maximum(tokens, 1))
         super().__init__((w, k) for k, (w, _) in enumerate(top))
         self.size = len(top)
         self.classes = np.concatenate([np.array(own, np.int64), np.arange(CLASSES)])
@@ -91,8 +87,12 @@ class Lexicon(dict):
     def __reduce__(self):
         return _lexicon, (dict(self), self.size, self.classes, self.log_p)
 
+    def places(self, ws: list[bytes]) -> np.ndarray:
+        """Index of each word; from ``size`` on where the word is not in the lexicon."""
+        return np.array(array("I", map(self.__getitem__, ws)), np.int64)
+
     def look_up(self, ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        k = np.array(array("I", map(self.__getitem__, ws)), np.int64)
+        k = self.places(ws)
         return self.classes[k], self.log_p[k]
 
 
@@ -217,20 +217,29 @@ def _trained(shared, turn: int, rounds: int):
     return run
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, vocab: int = VOCAB) -> tuple[Lexicon, Net]:
+def word_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(w, c, n): every distinct word of the whole corpus, the class of its ending, and its count."""
+    t = docs.select(F.col(text_col).alias("t"))
+    return scratch_table(t.mapInArrow(_counted, "w binary, c int, n bigint").groupBy("w", "c").agg(F.sum("n").alias("n")), "lm-words")
+
+
+def train(
+    docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, vocab: int = VOCAB, table: DataFrame | None = None,
+) -> tuple[Lexicon, Net]:
     """A lexicon counted over all documents, and a network trained on all of them.
 
     In each round every task starts from the shared parameters and takes gradient steps
     over the masked positions of its documents; the parameters are then averaged, weighted
     by positions, in a Spark aggregate. Each round masks another ``rounds``-th of the
-    positions, so all rounds together train on every position once. What comes to the driver is one set of parameters, ``vocab`` words and a row
-    per class.
+    positions, so all rounds together train on every position once. What comes to the
+    driver is one set of parameters, ``vocab`` words and a row per class. ``table`` is the
+    word table, where it has been made already.
     """
     spark = docs.sparkSession
     t = docs.select(F.col(text_col).alias("t"))
-    table = scratch_table(t.mapInArrow(_counted, "w binary, c int, n bigint").groupBy("w", "c").agg(F.sum("n").alias("n")), "lm-words")
+    table = word_table(docs, text_col) if table is None else table
     top = [(bytes(r.w), r.n) for r in split_by_count(table, vocab)[0].collect()]
-    stats = {r.c: (r.n, r.t) for r in table.groupBy("c").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("t")).collect()}
+    stats = {r.c: r.n for r in table.groupBy("c").agg(F.sum("n").alias("n")).collect()}
     lexicon, net = Lexicon(top, stats), Net()
     for turn in range(rounds if top else 0):
         shared = spark.sparkContext.broadcast((lexicon, net.flat))
@@ -242,37 +251,59 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, vocab:
 
 
 def _scored(shared):
+    """Scores that lack the counts of words outside the lexicon, and these words, one for each time they occur."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, flat = shared.value
         net = Net(flat)
         for b in batches:
-            n, total = [], []
+            n, total, others, rare = [], [], [], []
             for held, _ in _batches(b.column("t").to_pylist()):
-                c, lp = lexicon.look_up([w for ws in held for w in ws])
-                ctx, own, sizes = _windows(np.split(c, np.cumsum([len(ws) for ws in held])[:-1]))
+                ws = [w for x in held for w in x]
+                k = lexicon.places(ws)
+                c, lp = lexicon.classes[k], lexicon.log_p[k]
+                ctx, own, sizes = _windows(np.split(c, np.cumsum([len(x) for x in held])[:-1]))
                 for at in range(0, len(own), STEP):
                     lp[at : at + STEP] += net.log_probs(ctx[at : at + STEP], own[at : at + STEP])
-                run_ = np.concatenate([[0.0], np.cumsum(lp)])
                 ends = np.cumsum(sizes)
                 n.append(sizes)
-                total.append(run_[ends] - run_[ends - sizes])
-            n_, s = (np.concatenate(n), np.concatenate(total)) if n else (np.zeros(0, np.int64), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(n_.astype(np.int64)), pa.array(s)], ["i", "n_tokens", "pll"])
+                total.append(_between(lp, ends, sizes))
+                others.append(_between(k >= lexicon.size, ends, sizes))
+                rare += [ws[p] for p in np.flatnonzero(k >= lexicon.size).tolist()]
+            n_, s, m = (np.concatenate(n), np.concatenate(total), np.concatenate(others)) if n else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+            offsets = np.concatenate([[0], np.cumsum(m)]).astype(np.int32)
+            rare_ = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare, pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(n_.astype(np.int64)), pa.array(s), rare_], ["i", "n_tokens", "pll", "rare"])
 
     return run
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def _between(x: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sum of each document's values."""
+    run = np.concatenate([[0], np.cumsum(x)])
+    return run[ends] - run[ends - sizes]
+
+
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, vocab: int = VOCAB) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, pll, mean_pll.
 
     pll sums, over every word of the whole text, the log probability of the word given
     the words on both sides: that of its class under the network, plus that of the word
-    within its class by corpus counts. mean_pll is pll per word, null without words (then
-    pll is 0), as for null and empty texts. Repeated rows give repeated rows; other
-    columns are ignored. An empty table gives an empty result.
+    within its class by its own corpus count. The ``vocab`` most frequent words (a fixed
+    bound) are broadcast; every other one is joined to the word table of the whole corpus.
+    mean_pll is pll per word, null without words (then pll is 0), as for null and empty
+    texts. Repeated rows give repeated rows; other columns are ignored. An empty table
+    gives an empty result.
     """
-    lexicon, net = train(docs, text_col, rounds)
+    table = word_table(docs, text_col)
+    lexicon, net = train(docs, text_col, rounds, vocab, table)
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, net.flat))
     narrow = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    out = narrow.mapInArrow(_scored(shared), f"i {dict(narrow.dtypes)['i']}, n_tokens bigint, pll double")
-    return out.select(F.col("i").alias(id_col), "n_tokens", "pll", F.expr("try_divide(pll, n_tokens)").alias("mean_pll"))
+    out = narrow.mapInArrow(_scored(shared), f"i {dict(narrow.dtypes)['i']}, n_tokens bigint, pll double, rare array<binary>")
+    out = scratch_table(out.withColumn("r", F.monotonically_increasing_id()), "lm-scored")
+    # a word seen once adds log(1) = 0, so it needs no partner
+    log_n = table.filter("n > 1").select("w", F.rint(F.log("n") / F.lit(LOG_UNIT)).cast("long").alias("v"))
+    counts = out.select("r", F.explode("rare").alias("w")).join(log_n, "w").groupBy("r").agg(F.sum("v").alias("v"))
+    both = out.select("r", "i", "n_tokens", "pll").join(counts, "r", "left")
+    both = both.select("i", "n_tokens", (F.col("pll") + F.coalesce("v", F.lit(0)) * F.lit(LOG_UNIT)).alias("pll"))
+    return both.select(F.col("i").alias(id_col), "n_tokens", "pll", F.expr("try_divide(pll, n_tokens)").alias("mean_pll"))

@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -115,7 +116,7 @@ def test_lm_prefers_the_corpus_order(spark):
 
 def test_lm_trains_on_every_position(monkeypatch):
     texts = [" ".join(f"w{(i * j) % 7}" for j in range(n)) for i, n in enumerate((1, 2, 3, 40, 777))] + ["", None]
-    lexicon = lm.Lexicon([(b"w0", 5)], {lm.ending(b"w0"): (5, 1)})
+    lexicon = lm.Lexicon([(b"w0", 5)], {lm.ending(b"w0"): 5})
     for rounds in (1, lm.ROUNDS, 5):
         seen = []
         monkeypatch.setattr(lm.Net, "learn", lambda self, ctx, c, g2: seen.append(len(c)))
@@ -127,6 +128,28 @@ def test_lm_trains_on_every_position(monkeypatch):
         assert sum(lm._masked(sizes, t, rounds).astype(int) for t in range(rounds)).tolist() == [1] * 310
 
 
+def test_lm_counts_every_word(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in np.minimum(rng.geometric(0.03, n), 200)) for n in rng.integers(1, 60, 50)]
+    texts += ["seen-once alone", "Twice-ab twice-ab", "", None, texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lexicon, net = lm.train(df, vocab=70)
+    n = Counter(w for t in texts for w in lm.words(t))
+    assert lm.OWN < lexicon.size <= 70 < len(n)
+    of = {w: int(lexicon.classes[lexicon[w]]) for w in n}
+    tokens = Counter()
+    for w, c in of.items():
+        tokens[c] += n[w]
+    got = lm.pseudo_likelihood(df, vocab=70).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(texts)))
+    for r in got:
+        ws, want = lm.words(texts[r.doc_id]), 0.0
+        if ws:
+            ctx, own, _ = lm._windows([np.array([of[w] for w in ws])])
+            want = net.log_probs(ctx, own).sum() + sum(np.log(n[w] / tokens[of[w]]) for w in ws)
+        assert r.n_tokens == len(ws) and r.pll == pytest.approx(want, abs=1e-4)
+
+
 def test_lm_gradient():
     rng = np.random.default_rng(1)
     net = lm.Net()

@@ -215,7 +215,7 @@ def communities(events: DataFrame, rounds: int = 8) -> DataFrame:
     return lab.join(ids, "label").select("account", "community_id", "community_size")
 
 
-def betweenness(events: DataFrame, pivots: int = 500, seed: int = 7, max_depth: int = 64) -> DataFrame:
+def betweenness(events: DataFrame, pivots: int = 500, seed: int = 7) -> DataFrame:
     """(account, betweenness_approx): Brandes' dependencies from sampled pivots over directed links.
 
     Pivots are the accounts with the smallest seeded hashes. The forward pass keeps, per
@@ -228,7 +228,7 @@ def betweenness(events: DataFrame, pivots: int = 500, seed: int = 7, max_depth:
     p = v.orderBy(F.xxhash64(F.lit(seed), "account"), "account").limit(pivots)
     seen = checkpoint(p.select(F.col("account").alias("p"), "account", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
     depth = 0
-    while depth < max_depth:
+    while True:  # until no frontier is left
         front = seen.filter(F.col("d") == depth)
         nxt = front.join(e, front["account"] == e["s"]).groupBy("p", F.col("t").alias("account")).agg(F.sum("sigma").alias("sigma"))
         nxt = checkpoint(nxt.join(seen.select("p", "account"), ["p", "account"], "left_anti").select("p", "account", F.lit(depth + 1).alias("d"), "sigma"))

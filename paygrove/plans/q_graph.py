@@ -140,7 +140,7 @@ def comm(spark, sf_dir):
 
 
 def between(spark, sf_dir):
-    return graph.betweenness(pay_events(spark, sf_dir), pivots=20).withColumn("betweenness_approx", F.round("betweenness_approx", 9))
+    return graph.betweenness(pay_events(spark, sf_dir)).withColumn("betweenness_approx", F.round("betweenness_approx", 9))
 
 
 def downstream(spark, sf_dir):
@@ -169,7 +169,7 @@ SELECT seed, account, min(hop) AS hop FROM (SELECT *, 0 AS hop FROM h0 UNION ALL
 def ego(spark, sf_dir):
     e = pay_events(spark, sf_dir)
     n = graph.typed(graph.nodes(e))
-    return graph.ego_network(e, "A7", 2, n.filter("is_rail"), graph.communities(e), cap=60)[0]
+    return graph.ego_network(e, "A7", 2, n.filter("is_rail"), graph.communities(e))[0]
 
 
 def excluded(spark, sf_dir):

@@ -150,3 +150,16 @@ def test_hits_are_merged(spark):
     h = spark.createDataFrame([("R1", "a", 0.2, 1.0, 0, 1, ["t1"], "s"), ("R1", "a", 0.6, 2.0, 5, 6, ["t2"], "s")], "rule_id string, account_key string, severity double, observation double, window_start_us long, window_end_us long, txn_ids array<string>, hit_signature string")
     r = rules.dedupe(h).first()
     assert (r.severity, r.txn_ids, r.windows_observed) == (0.6, ["t1", "t2"], 2)
+
+
+def test_betweenness_is_registered_whole(spark, monkeypatch):
+    from paygrove.plans import q_graph
+
+    seen = {}
+    monkeypatch.setattr(q_graph, "pay_events", lambda *a: events(spark, some()))
+    monkeypatch.setattr(graph, "betweenness", lambda e, pivots=500, **k: seen.update(pivots=pivots) or spark.createDataFrame([("a", 0.0)], "account string, betweenness_approx double"))
+    monkeypatch.setattr(graph, "communities", lambda e: None)
+    monkeypatch.setattr(graph, "ego_network", lambda *a, cap=1500, **k: seen.update(cap=cap) or (None, None))
+    q_graph.QUERIES["graph_betweenness"](spark, "")
+    q_graph.QUERIES["graph_ego"](spark, "")
+    assert seen == {"pivots": 500, "cap": 1500}

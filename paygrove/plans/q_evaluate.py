@@ -150,12 +150,12 @@ SELECT round(corr(a, b), 9) AS rho FROM r"""
 
 
 def bootstrap(spark, sf_dir):
-    return evaluate.bootstrap_ap(scored(spark, sf_dir), reps=200)
+    return evaluate.bootstrap_ap(scored(spark, sf_dir))
 
 
 def tail(spark, sf_dir):
     d = scored(spark, sf_dir).withColumn("loss_minor", F.col("total"))
-    return evaluate.residual_tail(d, draws=200)
+    return evaluate.residual_tail(d)
 
 
 def score_percentiles(spark, sf_dir):

@@ -71,3 +71,17 @@ def test_pushdown(spark):
 
     plan = pay_events(spark, SF).select("amount_minor").filter("amount_minor > 5")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<value:double>" in plan
+
+
+def test_draws_are_registered_whole(spark, monkeypatch):
+    from paygrove.operators import evaluate
+    from paygrove.plans import q_evaluate
+
+    seen = {}
+    d = spark.createDataFrame([("a", 1)], "account_key string, total long")
+    monkeypatch.setattr(q_evaluate, "scored", lambda *a: d)
+    monkeypatch.setattr(evaluate, "bootstrap_ap", lambda df, reps=1000: seen.update(reps=reps))
+    monkeypatch.setattr(evaluate, "residual_tail", lambda df, draws=10_000: seen.update(draws=draws))
+    q_evaluate.QUERIES["bootstrap_interval"](spark, "")
+    q_evaluate.QUERIES["residual_tail"](spark, "")
+    assert seen == {"reps": 1000, "draws": 10_000}

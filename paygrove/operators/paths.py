@@ -47,8 +47,12 @@ def _start(legs: DataFrame) -> DataFrame:
     )
 
 
-def _extend(paths: DataFrame, legs: DataFrame, hop_us: int, ok: Column, strict: bool) -> DataFrame:
-    x = interval_join(paths, legs, [("last", "account_from"), ("ccy", "currency")], "now", "ts_us", -1 if strict else 0, hop_us)
+def _extend(paths: DataFrame, legs: DataFrame, hop_us: int | None, ok: Column, strict: bool) -> DataFrame:
+    if hop_us is None:
+        later = F.col("ts_us") > F.col("now") if strict else F.col("ts_us") >= F.col("now")
+        x = paths.join(legs, (F.col("last") == F.col("account_from")) & (F.col("ccy") == F.col("currency")) & later)
+    else:
+        x = interval_join(paths, legs, [("last", "account_from"), ("ccy", "currency")], "now", "ts_us", -1 if strict else 0, hop_us)
     x = x.filter(ok & ~F.array_contains("txns", F.col("txn_id")))
     return x.select(
         F.concat("path", F.array("account_to")).alias("path"), F.concat("txns", F.array("txn_id")).alias("txns"), F.concat("at", F.array("ts_us")).alias("at"),
@@ -57,14 +61,14 @@ def _extend(paths: DataFrame, legs: DataFrame, hop_us: int, ok: Column, strict:
 
 
 def cycles(
-    legs: DataFrame, min_length: int = 3, max_length: int = 6, retention_micro: int = 600_000, hop_us: int = 86_400_000_000,
+    legs: DataFrame, min_length: int = 3, max_length: int = 6, retention_micro: int = 600_000, hop_us: int | None = None,
     non_increasing: bool = False, strict: bool = True, round_cap: int | None = None,
 ) -> DataFrame:
     """Simple time-respecting cycles: nodes, txns, at, amounts, currency, length, retention, truncated.
 
     A path grows while no account repeats and its smallest amount is at least the
-    retention share of its largest, and closes at its first account. Each hop comes within
-    ``hop_us`` of the last (strictly later, or at the same instant too). With
+    retention share of its largest, and closes at its first account. Each hop comes after
+    the last (strictly later, or at the same instant too), with ``hop_us`` within so long. With
     ``round_cap``, a round keeps so many paths and marks the search ``truncated``.
     """
     held = F.least(F.array_min("amounts"), F.col("amount_minor")) * 1_000_000 >= F.greatest(F.array_max("amounts"), F.col("amount_minor")) * F.lit(retention_micro)

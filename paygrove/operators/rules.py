@@ -42,8 +42,8 @@ class Settings:
     r4_period_us: int = 168 * HOUR
     r4_tolerance: float = 0.05
     r4_down_weight: float = 0.3
-    r4_hop_us: int = 30 * DAY
-    r4_cap: int | None = 2_000_000
+    r4_hop_us: int | None = None
+    r4_cap: int | None = None
     r5_n: int = 3
     r5_us: int = 7 * DAY
     r5_band: int = 800_000

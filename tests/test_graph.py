@@ -163,3 +163,9 @@ def test_betweenness_is_registered_whole(spark, monkeypatch):
     q_graph.QUERIES["graph_betweenness"](spark, "")
     q_graph.QUERIES["graph_ego"](spark, "")
     assert seen == {"pivots": 500, "cap": 1500}
+
+
+def test_rings_may_pause(spark):
+    e = events(spark, [("a", "b", 0, 1000), ("b", "c", 40, 900), ("c", "a", 24 * 45, 810)])
+    assert [x.nodes for x in paths.cycles(paths.adjacency(e)).collect()] == [["a", "b", "c"]]
+    assert {h.account_key for h in rules.run_rules(e, only=("R4",)).collect()} == {"a", "b", "c"}

@@ -30,7 +30,7 @@ def get_spark(app: str = "paygrove", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (a local test session) a temporary folder is used.
+    Only in a local session may the setting be absent: then a temporary folder is used.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if d:
@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     d = tempfile.mkdtemp(prefix="paygrove-ckpt-")
     atexit.register(shutil.rmtree, d, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(d)
@@ -66,6 +68,20 @@ def scratch_table(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed_table(df: DataFrame, key: str, name: str = "t") -> DataFrame:
+    """Write ``df`` under the shared folder in buckets of ``key``, and read it back.
+
+    There are as many buckets as shuffle partitions, so a later join or grouping by
+    ``key`` shuffles only the other side.
+    """
+    spark = df.sparkSession
+    table = f"paygrove_{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
+    path = f"{shared_dir(spark)}/paygrove-{spark.sparkContext.applicationId}/{table}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).format("parquet").option("path", path).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove this application's scratch tables."""
     jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}/paygrove-{spark.sparkContext.applicationId}"

@@ -8,19 +8,18 @@ import os
 import re
 import unicodedata
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paygrove.llm.words import split_by_count
-from paygrove.session import scratch_table
+from paygrove.session import bucketed_table
 
 #: Fixed values of the tokenizer's file: its special tokens.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
@@ -30,10 +29,10 @@ _SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 WORDS = re.compile(f"[{_L}]+|[{_N}]|'(?:s|t|re|ve|m|ll|d)|[^{_S}{_L}{_N}]+")
 
-#: Words of the broadcast part of the word table. The rest are joined by a shuffle.
-HEAD = 450_000
-#: Distinct words that one task counts before it hands them on.
-COUNTED = 400_000
+#: A chunk of documents ends at so many distinct words, or so many words.
+DISTINCT, LENGTH = 400_000, 4_000_000
+#: Places of words that one task packs at a time.
+PACKED = 500_000
 
 
 def default_path() -> str:
@@ -76,7 +75,7 @@ class Splitter:
     def section(self, text: str) -> list[str]:
         if _ELSEWHERE.search(text):
             return [w for w, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(text))]
-        return WORDS.findall(unicodedata.normalize("NFC", text).lower())
+        return WORDS.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
 
 
 @lru_cache
@@ -106,45 +105,12 @@ class Encoder:
         return [[self.special[w]] if w in self.special else e.ids for w, e in zip(words, got, strict=True)]
 
 
-def _counted(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = splitter(path), Counter()
-        for b in batches:
-            for t in b.column("t").to_pylist():
-                seen.update(split(t))
-                if len(seen) > COUNTED:
-                    yield _pairs(seen)
-                    seen = Counter()
-        yield _pairs(seen)
-
-    return run
-
-
-def _pairs(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
-
-
-def _encoded(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
-        for b in batches:
-            words = b.column("w").to_pylist()
-            ids = pa.array([np.array(x, "<u4").tobytes() for x in enc(words)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("w"), b.column("n"), ids], ["w", "n", "ids"])
-
-    return run
-
-
-def word_table(docs: DataFrame, text_col: str, path: str) -> DataFrame:
-    """(w, n, ids): every distinct word of the whole corpus, its count, and its ids, encoded once."""
-    counts = docs.select(F.col(text_col).alias("t")).mapInArrow(_counted(path), "w string, n bigint")
-    words = counts.groupBy("w").agg(F.sum("n").alias("n"))
-    return scratch_table(words.mapInArrow(_encoded(path), "w string, n bigint, ids binary"), "words")
+class _Codes(dict):
+    """Number of each word of a chunk, by first appearance."""
 
-
-def _key(raw: bytes) -> tuple[int, int]:
-    k = np.frombuffer(xxhash.xxh3_128_digest(raw), "<i8")
-    return int(k[0]), int(k[1])
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 def _pack(ranks: np.ndarray) -> bytes:
@@ -165,132 +131,186 @@ def _unpack(blob: bytes) -> np.ndarray:
     return ranks
 
 
-def _rare(head, path: str):
-    """The positions whose word is not in the head: (k1, k2, pos, wh)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, split = set(head.value[0]), splitter(path)
-        has = known.__contains__
-        h = xxhash.xxh64_intdigest
-        for b in batches:
-            k1, k2, pos, wh = [], [], [], []
-            for t in b.column("t").to_pylist():
-                words = split(t)
-                at = [p for p, ok in enumerate(map(has, words)) if not ok]
-                if at:
-                    a, z = _key(t.encode("utf-8", "surrogatepass"))
-                    k1 += [a] * len(at)
-                    k2 += [z] * len(at)
-                    pos += at
-                    wh += [h(words[p].encode("utf-8", "surrogatepass"), 42) for p in at]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(pos, pa.int32()), pa.array(np.array(wh, np.uint64).view(np.int64))],
-                ["k1", "k2", "pos", "wh"],
-            )
+def _one_list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
-    return run
 
+def _chunked(path: str, distinct: int):
+    """Chunks of documents: (chunk, i, sizes, codes, words), words by falling count."""
 
-class _Ranks(dict):
-    """Rank of each word of the head; ``none`` for any other."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, first, made = splitter(path), TaskContext.get().partitionId() << 32, 0
+        ids, codes, seen, total = [], [], _Codes(), 0
+
+        def chunk() -> pa.RecordBatch:
+            own = np.concatenate(codes)
+            order = np.argsort(-np.bincount(own, minlength=len(seen)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            words = pa.array(list(seen), pa.string()).take(pa.array(order))
+            sizes = pa.array([len(c) for c in codes], pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([first + made]), _one_list(pa.concat_arrays(ids)), _one_list(sizes), pa.array([_pack(rank[own])], pa.binary()), _one_list(words)],
+                ["chunk", "i", "sizes", "codes", "words"],
+            )
 
-    def __missing__(self, word: str) -> int:
-        return self.none
+        for b in batches:
+            i, lo = b.column("i"), 0
+            for k, t in enumerate(b.column("t").to_pylist(), 1):
+                codes.append(np.frombuffer(array("I", map(seen.__getitem__, split(t))), np.uint32))
+                total += len(codes[-1])
+                if len(seen) > distinct or total > LENGTH:
+                    ids.append(i.slice(lo, k - lo))
+                    yield chunk()
+                    made, lo = made + 1, k
+                    ids, codes, seen, total = [], [], _Codes(), 0
+            ids.append(i.slice(lo))
+        if codes:
+            yield chunk()
 
+    return run
 
-def _ranked(head, path: str):
-    """Each document as ranks of its words in the head, ``HEAD`` where a word is not in it."""
 
+def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = _Ranks((w, r) for r, w in enumerate(head.value[0]))
-        rank.none = len(rank)
-        split = splitter(path)
+        enc = Encoder(path)
         for b in batches:
-            k1, k2, blob = [], [], []
-            for t in b.column("t").to_pylist():
-                a, z = _key((t or "").encode("utf-8", "surrogatepass"))
-                words = split(t)
-                k1.append(a)
-                k2.append(z)
-                blob.append(_pack(np.array(array("I", map(rank.__getitem__, words)), np.uint32)))
-            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(blob, pa.binary())], ["i", "k1", "k2", "blob"])
+            ids = pa.array(enc(b.column("w").to_pylist()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("w"), ids], ["w", "ids"])
 
     return run
 
 
-def _finished(head, path: str, with_ids: bool):
+def word_table(places: DataFrame, path: str) -> DataFrame:
+    """(w, ids, said): every distinct word of ``places`` (chunk, pos, w), encoded once; its ids joined to their pieces."""
+    spark = places.sparkSession
+    pieces = spark.createDataFrame(list(enumerate(Encoder(path).pieces)), "id int, piece string")  # a row per id of the vocabulary
+    # all columns of the places go in, so the words come from the same shuffle that the join of the places reads
+    words = places.groupBy("w").agg(F.min("chunk").alias("chunk"), F.min("pos").alias("pos"))
+    tokens = words.mapInArrow(_encoded(path), "w string, ids array<int>").select("w", F.posexplode("ids").alias("k", "id"))
+    tokens = tokens.join(F.broadcast(pieces), "id")
+    whole = tokens.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("k", "id", "piece"))).alias("x"))
+    return whole.select("w", F.col("x.id").alias("ids"), F.array_join("x.piece", " ").alias("said"))
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, found): ids and pieces of a task's places, packed for each chunk that has them."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= PACKED:
+            yield _packed(held)
+            held, n = [], 0
+    if n:
+        yield _packed(held)
+
+
+def _packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    t = pa.Table.from_batches(held).combine_chunks()
+    order = np.lexsort([t.column("pos").to_numpy(), t.column("chunk").to_numpy()])
+    t = t.take(pa.array(order)).combine_chunks()
+    chunk, pos = t.column("chunk").to_numpy(), t.column("pos").to_numpy().astype("<u4")
+    ids, said = t.column("ids").chunk(0), t.column("said").chunk(0).cast(pa.binary())
+    id_at, said_at = ids.offsets.to_numpy(), _offsets(said)
+    values, letters = ids.values.to_numpy().astype("<u4"), np.frombuffer(said.buffers()[2] or b"", np.uint8)
+    begin = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+    found = []
+    for a, z in zip(begin, [*begin[1:], len(chunk)], strict=True):
+        parts = [np.array([z - a], "<u4"), np.diff(pos[a:z], prepend=np.uint32(0)), np.diff(id_at[a : z + 1]).astype("<u4"),
+                 np.diff(said_at[a : z + 1]).astype("<u4"), values[id_at[a] : id_at[z]], letters[said_at[a] : said_at[z]]]
+        found.append(zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in parts)))
+    return pa.RecordBatch.from_arrays([pa.array(chunk[begin]), pa.array(found, pa.binary())], ["chunk", "found"])
+
+
+def _offsets(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+
+
+def _table(found: list[bytes]) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Row of each word of the chunk, and by row its ids and its pieces with a space after, as bytes."""
+    pos, n_ids, n_said, ids, said = [], [], [], [], []
+    for blob in found:
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        n = int.from_bytes(raw[:4], "little")
+        p, a, b = np.frombuffer(raw, "<u4", 3 * n, 4).reshape(3, n)
+        pos.append(np.cumsum(p))
+        n_ids.append(a)
+        n_said.append(b)
+        cut = 4 + 12 * n + 4 * int(a.sum())
+        ids.append(raw[4 + 12 * n : cut])
+        said.append(raw[cut:])
+    at = np.concatenate(pos)
+    row = np.empty(len(at), np.int64)
+    row[at] = np.arange(len(at))
+    binary = pa.binary()
+    end = lambda n: np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    id_col = pa.Array.from_buffers(binary, len(at), [None, pa.py_buffer(end(4 * np.concatenate(n_ids))), pa.py_buffer(b"".join(ids))])
+    said_col = pa.Array.from_buffers(binary, len(at), [None, pa.py_buffer(end(np.concatenate(n_said))), pa.py_buffer(b"".join(said))])
+    return row, id_col, pc.binary_join_element_wise(said_col, b"", b" ")
+
+
+def _finished(with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = head.value[1]
-        pieces = np.array([p.encode() for p in Encoder(path).pieces], object)
-        # the id-to-piece join of a whole word, once per word of the head
-        text_of = [b" ".join(pieces[np.frombuffer(x, "<u4")]) for x in ids_of]
-        none = len(ids_of)
         for b in batches:
-            n, ids, dec, full, text = [], [], [], [], []
-            rare = b.column("rare")
-            offsets = rare.offsets.to_numpy()
-            at, word = rare.values.field("pos").to_numpy(zero_copy_only=False), rare.values.field("ids").to_pylist()
-            for k, blob in enumerate(b.column("blob").to_pylist()):
-                order = _unpack(blob).tolist()
-                lo, hi = offsets[k], offsets[k + 1]
-                if hi > lo:  # the rare words of this text become ranks after the head's
-                    own, said_of = ids_of, text_of
-                    for j in range(lo, hi):
-                        order[at[j]] = none + 1 + j - lo
-                    extra = word[lo:hi]
-                    extra_text = [b" ".join(pieces[np.frombuffer(x, "<u4")]) for x in extra]
-                    base = none + 1
-                    word_ids = [own[r] if r < none else extra[r - base] for r in order]
-                    words = [said_of[r] if r < none else extra_text[r - base] for r in order]
-                else:
-                    word_ids, words = [ids_of[r] for r in order], [text_of[r] for r in order]
-                raw, said = b"".join(word_ids), b" ".join(words)
-                n.append(len(raw) // 4)
-                ids.append(hashlib.sha256(raw).hexdigest())
-                dec.append(hashlib.sha256(said).hexdigest())
-                if with_ids:
-                    full.append(np.frombuffer(raw, "<u4").astype(np.int32))
-                    text.append(said.decode("utf-8"))
-            cols = [b.column("i"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string())]
-            names = ["i", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                cols += [pa.array(full, pa.list_(pa.int32())), pa.array(text, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+            for k in range(b.num_rows):
+                yield _chunk(b.column("i").slice(k, 1).flatten(), b.column("sizes")[k].values.to_numpy(), b.column("codes")[k].as_py(), b.column("found")[k].as_py(), with_ids)
 
     return run
 
 
+def _chunk(i: pa.Array, sizes: np.ndarray, codes: bytes, found: list[bytes] | None, with_ids: bool) -> pa.RecordBatch:
+    """Rows of the documents of one chunk: their words' ids and pieces laid end to end."""
+    end = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    raw = said = b""
+    id_end = said_end = np.zeros(len(end), np.int64)
+    if end[-1]:
+        row, ids, pieces = _table(found)
+        rows = pa.array(row[_unpack(codes)])
+        laid, text = ids.cast(pa.large_binary()).take(rows), pieces.cast(pa.large_binary()).take(rows)
+        raw, said = memoryview(laid.buffers()[2]), memoryview(text.buffers()[2])
+        id_end = np.frombuffer(laid.buffers()[1], np.int64)[end]
+        said_end = np.frombuffer(text.buffers()[1], np.int64)[end]
+    cut = [(a, z, c, max(c, d - 1)) for a, z, c, d in zip(id_end[:-1].tolist(), id_end[1:].tolist(), said_end[:-1].tolist(), said_end[1:].tolist(), strict=True)]
+    cols = [i, pa.array((id_end[1:] - id_end[:-1]) // 4), pa.array([hashlib.sha256(raw[a:z]).hexdigest() for a, z, _, _ in cut], pa.string()),
+            pa.array([hashlib.sha256(said[c:d]).hexdigest() for _, _, c, d in cut], pa.string())]
+    names = ["i", "n_tokens", "ids_sha256", "decoded_sha256"]
+    if with_ids:
+        cols += [pa.array([np.frombuffer(raw[a:z], "<u4").astype(np.int32) for a, z, _, _ in cut], pa.list_(pa.int32())),
+                 pa.array([bytes(said[c:d]).decode() for _, _, c, d in cut], pa.string())]
+        names += ["ids", "decoded"]
+    return pa.RecordBatch.from_arrays(cols, names)
+
+
 def encode_decode(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, head: int = HEAD,
-    with_ids: bool = False,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False,
+    distinct: int = DISTINCT,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, ids_sha256, decoded_sha256; ``with_ids`` adds ids and decoded.
 
-    Words are split in Spark tasks and counted; each distinct word of the corpus is
-    encoded once, in the word table. The ``head`` most frequent words (a fixed bound) are
-    broadcast, so their ids are joined in place. For every other word a row (text key,
-    position, word hash) is joined to the word table, and its ids go back to their
-    position by the text key, a 128-bit hash; equal texts share it and its rows. Decoding
-    joins ids to pieces, a table as large as the vocabulary, and puts a space between.
+    1. One pass splits every text, once. Documents are written in chunks of about
+       ``distinct`` different words: the words of the chunk, each once, and the documents
+       as positions in that list. The table of chunks is bucketed by chunk.
+    2. The lists' places (chunk, position, word) are shuffled by word. The distinct-word
+       table is made from them: every word of the corpus is encoded once, and its ids are
+       joined to the pieces, a broadcast table as large as the vocabulary.
+    3. The places join the word table by the word itself, and what they find goes back to
+       its chunk by (chunk, position); the buckets of chunks aren't shuffled again.
+    A word has at most one place in a chunk, whatever its frequency, and a text's copies
+    are spread like other texts, so no key is hot. A chunk is the largest thing a task
+    holds; one document is never cut, so a chunk may exceed its bounds by one document.
 
     Null text is empty: no tokens. Repeated rows give repeated rows. Other columns are
-    ignored. Two words with one 64-bit hash but different ids raise an error.
+    ignored. An empty table gives an empty result.
     """
     path = path or default_path()
-    spark = docs.sparkSession
-    words = word_table(docs, text_col, path)
-    frequent, others = split_by_count(words, head)
-    top = frequent.select("w", "ids").toArrow()
-    shared = spark.sparkContext.broadcast((top.column("w").to_pylist(), top.column("ids").to_pylist()))
     narrow = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     kind = dict(narrow.dtypes)["i"]
-    ranked = narrow.mapInArrow(_ranked(shared, path), f"i {kind}, k1 bigint, k2 bigint, blob binary")
-    rare = narrow.select("t").mapInArrow(_rare(shared, path), "k1 bigint, k2 bigint, pos int, wh bigint")
-    by_hash = others.groupBy(F.xxhash64("w").alias("wh")).agg(F.min("ids").alias("ids"), F.max("ids").alias("other"))
-    by_hash = by_hash.select("wh", F.when(F.col("ids") == F.col("other"), F.col("ids")).otherwise(
-        F.raise_error(F.lit("two words share a hash")).cast("binary")).alias("ids"))
-    placed = rare.join(by_hash, "wh").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "ids")).alias("rare"))
-    both = ranked.join(placed, ["k1", "k2"], "left").select("i", "blob", "rare")
+    made = narrow.mapInArrow(_chunked(path, distinct), f"chunk bigint, i array<{kind}>, sizes array<int>, codes binary, words array<string>")
+    chunks = bucketed_table(made, "chunk", "bpe-chunks")
+    places = chunks.select("chunk", F.posexplode("words").alias("pos", "w")).repartition("w")
+    found = places.join(word_table(places, path), "w").select("chunk", "pos", "ids", "said")
+    found = found.mapInArrow(_placed, "chunk bigint, found binary").groupBy("chunk").agg(F.collect_list("found").alias("found"))
+    both = chunks.select("chunk", "i", "sizes", "codes").join(found, "chunk", "left").select("i", "sizes", "codes", "found")
     out = f"i {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return both.mapInArrow(_finished(shared, path, with_ids), out).withColumnRenamed("i", id_col)
+    return both.mapInArrow(_finished(with_ids), out).withColumnRenamed("i", id_col)

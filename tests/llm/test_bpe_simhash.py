@@ -20,13 +20,14 @@ def test_bpe_equals_library(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas()
     texts = [*docs.text, *ODD]
     df = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(texts)], "doc_id long, text string, n_tokens string")
-    for head in (50, bpe.HEAD):
-        got = {r.doc_id: r for r in bpe.encode_decode(df, head=head).collect()}
+    for distinct in (50, bpe.DISTINCT):
+        got = {r.doc_id: r for r in bpe.encode_decode(df, distinct=distinct, with_ids=True).collect()}
         assert len(got) == len(texts)
         for i, x in enumerate(texts):
             ids = t.encode(x or "", add_special_tokens=False).ids
             assert got[i].n_tokens == len(ids), (i, x)
             assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+            assert got[i].ids == ids and got[i].decoded == t.decode(ids, skip_special_tokens=False)
             assert got[i].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
@@ -36,7 +37,7 @@ def test_bpe_words_of_every_code_point():
 
     t = Tokenizer.from_file(bpe.default_path())
     enc = bpe.Encoder(bpe.default_path())
-    texts = ["".join(f"a{chr(c)}b{chr(c)} " for c in range(a, a + 64) if not 0xD800 <= c < 0xE000) for a in range(0, 0x20000, 64)]
+    texts = ["".join(f"a{chr(c)}b{chr(c)} " for c in range(a, a + 64) if not 0xD800 <= c < 0xE000) for a in range(0, 0x110000, 64)]
     split = bpe.splitter(bpe.default_path())
     want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
     bad = [texts[k] for k, w in enumerate(want) if [i for ids in enc(split(texts[k])) for i in ids] != w]

@@ -187,8 +187,8 @@ def word_table(places: DataFrame, path: str) -> DataFrame:
     pieces = spark.createDataFrame(list(enumerate(Encoder(path).pieces)), "id int, piece string")  # a row per id of the vocabulary
     # all columns of the places go in, so the words come from the same shuffle that the join of the places reads
     words = places.groupBy("w").agg(F.min("chunk").alias("chunk"), F.min("pos").alias("pos"))
-    tokens = words.mapInArrow(_encoded(path), "w string, ids array<int>").select("w", F.posexplode("ids").alias("k", "id"))
-    tokens = tokens.join(F.broadcast(pieces), "id")
+    encoded = words.mapInArrow(_encoded(path), "w string, ids array<int>").filter("w is not null").repartition("w")
+    tokens = encoded.select("w", F.posexplode("ids").alias("k", "id")).join(F.broadcast(pieces), "id")
     whole = tokens.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("k", "id", "piece"))).alias("x"))
     return whole.select("w", F.col("x.id").alias("ids"), F.array_join("x.piece", " ").alias("said"))
 
@@ -208,21 +208,30 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     t = pa.Table.from_batches(held).combine_chunks()
-    order = np.lexsort([t.column("pos").to_numpy(), t.column("chunk").to_numpy()])
-    t = t.take(pa.array(order)).combine_chunks()
-    chunk, pos = t.column("chunk").to_numpy(), t.column("pos").to_numpy().astype("<u4")
+    # within a chunk the words stay in their own order, so neighbours share pieces
+    t = t.take(pa.array(np.argsort(t.column("chunk").to_numpy(), kind="stable"))).combine_chunks()
+    chunk, pos = t.column("chunk").to_numpy(), t.column("pos").to_numpy()
     ids, said = t.column("ids").chunk(0), t.column("said").chunk(0).cast(pa.binary())
     id_at, said_at = ids.offsets.to_numpy(), _offsets(said)
-    values, letters = ids.values.to_numpy().astype("<u4"), np.frombuffer(said.buffers()[2] or b"", np.uint8)
+    values, letters = ids.values.to_numpy(), np.frombuffer(said.buffers()[2] or b"", np.uint8)
     begin = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
     found = []
     for a, z in zip(begin, [*begin[1:], len(chunk)], strict=True):
-        parts = [np.array([z - a], "<u4"), np.diff(pos[a:z], prepend=np.uint32(0)), np.diff(id_at[a : z + 1]).astype("<u4"),
-                 np.diff(said_at[a : z + 1]).astype("<u4"), values[id_at[a] : id_at[z]], letters[said_at[a] : said_at[z]]]
-        found.append(zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in parts)))
+        heads = [_planes(x) for x in (pos[a:z], np.diff(id_at[a : z + 1]), np.diff(said_at[a : z + 1]), values[id_at[a] : id_at[z]])]
+        raw = b"".join([int(z - a).to_bytes(4, "little"), *heads, letters[said_at[a] : said_at[z]].tobytes()])
+        found.append(zstandard.ZstdCompressor(level=6).compress(raw))
     return pa.RecordBatch.from_arrays([pa.array(chunk[begin]), pa.array(found, pa.binary())], ["chunk", "found"])
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Four byte planes, which compress better than the numbers."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(raw: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel()
+
+
 def _offsets(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
 
@@ -233,12 +242,12 @@ def _table(found: list[bytes]) -> tuple[np.ndarray, pa.Array, pa.Array]:
     for blob in found:
         raw = zstandard.ZstdDecompressor().decompress(blob)
         n = int.from_bytes(raw[:4], "little")
-        p, a, b = np.frombuffer(raw, "<u4", 3 * n, 4).reshape(3, n)
-        pos.append(np.cumsum(p))
+        p, a, b = (_numbers(raw, n, 4 + k * 4 * n) for k in range(3))
+        pos.append(p)
         n_ids.append(a)
         n_said.append(b)
         cut = 4 + 12 * n + 4 * int(a.sum())
-        ids.append(raw[4 + 12 * n : cut])
+        ids.append(_numbers(raw, int(a.sum()), 4 + 12 * n).tobytes())
         said.append(raw[cut:])
     at = np.concatenate(pos)
     row = np.empty(len(at), np.int64)
@@ -308,7 +317,9 @@ def encode_decode(
     kind = dict(narrow.dtypes)["i"]
     made = narrow.mapInArrow(_chunked(path, distinct), f"chunk bigint, i array<{kind}>, sizes array<int>, codes binary, words array<string>")
     chunks = bucketed_table(made, "chunk", "bpe-chunks")
-    places = chunks.select("chunk", F.posexplode("words").alias("pos", "w")).repartition("w")
+    # in the words' order, which compresses better
+    listed = F.sort_array(F.transform("words", lambda w, k: F.struct(w.alias("w"), k.alias("pos"))))
+    places = chunks.select("chunk", F.inline(listed)).filter("w is not null").repartition("w")
     found = places.join(word_table(places, path), "w").select("chunk", "pos", "ids", "said")
     found = found.mapInArrow(_placed, "chunk bigint, found binary").groupBy("chunk").agg(F.collect_list("found").alias("found"))
     both = chunks.select("chunk", "i", "sizes", "codes").join(found, "chunk", "left").select("i", "sizes", "codes", "found")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paygrove.llm.skew import meet
+from paygrove.session import scratch_table
+
 #: ASCII white space, as a Java and RE2 pattern.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -23,7 +26,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     3. Globally: at most ``salts`` winners per text meet by digest.
     The whole normalised text is a grouping key at each stage, so equality is by content;
     a digest shared by two texts raises an error instead of merging them. Only then do
-    the narrow (id, digest) rows look up their winner; copies are never gathered.
+    the narrow (id, digest) rows look up their winner: those of the few large groups by a
+    broadcast, the others by digest. Copies are never gathered.
 
     Null text equals empty text. Null ids sort last: they are kept only in a group with
     no other id. Rows that repeat both id and text count in group_size; one of them has
@@ -40,27 +44,34 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     winners = merged.groupBy("g", "x").agg(
         F.min("i").alias("keep_id"), F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("texts")
     )
-    winners = winners.select(
+    winners = scratch_table(winners.select(
         "g", "x", "keep_id",
         F.when(F.col("texts") == 1, F.col("group_size"))
         .otherwise(F.raise_error(F.lit("two texts share a digest")).cast("long")).alias("group_size"),
-    )
-    out = rows.select("i", "g", "x").join(winners, ["g", "x"])
-    # one row of those that repeat the id too; the key holds the id, so a large group is dealt anew and the join may split it
-    out = out.withColumn("k", F.xxhash64("g", "x", "i"))
+    ), "winners")
+    out = meet(rows.select("i", "g", "x"), winners, ["g", "x"], "group_size", ["i"])
+    # one row of those that repeat the id too; the key holds the id, so a large group is dealt over many tasks
     first = F.row_number().over(Window.partitionBy("k", "i", "g").orderBy(F.lit(1))) == 1
-    return out.select(
+    return out.withColumn("k", F.xxhash64("g", "x", "i")).select(
         F.col("i").alias(id_col), "keep_id", "group_size",
         (F.col("i").eqNullSafe(F.col("keep_id")) & first).alias("kept"), F.col("g").alias("text_sha256"),
     )
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows that repeat id and text come once."""
-    row = lambda i, g: F.sha2(F.concat_ws("|", g, i.cast("string")), 256)
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
+
+    Rows that repeat id and text come once: the least of them by all columns in turn
+    (maps, which have no order, left out), so a rerun keeps the same one.
+    """
+    key = lambda i, g: F.sha2(F.concat_ws("|", g, i.cast("string")), 256)
     kept = exact_groups(docs, id_col, text_col, salts).filter("kept")
-    kept = kept.select(row(F.col(id_col), F.col("text_sha256")).alias("__row"))
-    tagged = docs.withColumn("__row", row(docs[id_col], F.sha2(normalised(F.col(text_col)), 256)))
+    kept = kept.select(key(F.col(id_col), F.col("text_sha256")).alias("k"))
+    rows = docs.select(
+        key(docs[id_col], F.sha2(normalised(docs[text_col]), 256)).alias("k"), F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+    )
+    maps = any("map<" in kind for _, kind in docs.dtypes)
+    order = [F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind] if maps else ["row"]
     # the join's own partitioning serves the window, so texts are shuffled once
-    nth = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(1)))
-    return tagged.join(kept, "__row", "left_semi").withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy("k").orderBy(*order))
+    return rows.join(kept, "k", "left_semi").withColumn("nth", nth).filter("nth = 1").select("row.*")

@@ -25,9 +25,9 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @lru_cache
 def _letters() -> np.ndarray:
-    """Lower-case letter of each code point of the first planes, 0 for what is no letter."""
-    out = np.zeros(0x30000, np.uint32)
-    for c in range(0x30000):
+    """Lower-case letter of each code point, 0 for what is no letter."""
+    out = np.zeros(0x110000, np.uint32)
+    for c in range(0x110000):
         s = chr(c)
         if s.isalpha():
             low = s.lower()
@@ -38,7 +38,7 @@ def _letters() -> np.ndarray:
 def _codes(text: str) -> np.ndarray:
     """Letters of the text with one 32 between words and at both ends; empty without a letter."""
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    c = _letters()[np.minimum(cp, 0x2FFFF)]
+    c = _letters()[cp]
     c = np.concatenate([[0], c, [0]]).astype(np.uint32)
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
@@ -164,16 +164,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Spark; only the cells, a fixed number, come to the driver.
     """
     spark = docs.sparkSession
-    usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
+    usable = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang"))
+    usable = usable.filter(F.col("lang").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i")))
+    sizes = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return Filter([], np.zeros((1, CELLS), np.uint64))
     share = spark.createDataFrame([(k, float(min(1.0, sample / sizes[k])), i) for i, k in enumerate(langs)], "l string, share double, idx int")
     share = F.broadcast(share)  # a row per language
-    u = F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    picked = usable.join(share, usable[lang_col] == share["l"]).filter(u < F.col("share"))
-    grams = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).mapInArrow(_sampled, "lang string, g bigint, n bigint")
+    u = F.pmod(F.xxhash64(F.lit(5), F.col("i")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    picked = usable.join(share, F.col("lang") == F.col("l")).filter(u < F.col("share"))
+    grams = picked.select("lang", "t").mapInArrow(_sampled, "lang string, g bigint, n bigint")
     df = grams.groupBy("lang", "g").agg(F.sum("n").alias("n"))
     seen = {k: max(1.0, min(sizes[k], sample)) for k in langs}
     by = F.create_map(*[x for i, k in enumerate(langs) for x in (F.lit(k), F.struct(F.lit(i).alias("i"), F.lit(float(seen[k])).alias("n")))])

@@ -11,8 +11,10 @@ from paygrove.session import checkpoint
 WORD = r"[^\x20\x09-\x0D]+"
 #: A bucket of ranks holds about so many documents; a level has at most so many buckets.
 BUCKET, FAN = 1024, 4096
-#: Tasks that the rows of one source are dealt over where they meet the row of the source.
-SALTS = 16
+#: Up to so many sources, their rows are broadcast; of more, each is dealt over ``SALTS`` tasks.
+SOURCES, SALTS = 4096, 16
+#: Weights are rounded to so many steps per doubling, so a source has few different ones.
+STEPS = 4
 
 
 def source_targets(
@@ -42,8 +44,31 @@ def source_targets(
     return t.drop("cap", "rho", "budget", "capped", "w")
 
 
-def _weight(weight):
-    return F.lit(1.0) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-9))
+def _weight(weight, size):
+    """The weight of a document, rounded; log2(words + 2) if none is given, so longer documents are likelier."""
+    w = F.log2(size + F.lit(2)) if weight is None else F.coalesce(weight.cast("double"), F.lit(0.0))
+    return F.pow(F.lit(2.0), F.round(F.log2(F.least(F.greatest(w, F.lit(1e-9)), F.lit(1e9))) * F.lit(STEPS)) / F.lit(STEPS))
+
+
+def _rates(levels: DataFrame, t: DataFrame, most: float) -> DataFrame:
+    """``t`` with ``rate``: the sum of size * min(most, rate * weight) over a source's documents is its target.
+
+    Solved on the sums per weight (``levels``): from the heaviest on, a weight is at
+    ``most`` if the target holds out at the rate that just brings it there.
+    """
+    x = levels.select(F.col("source").alias("s"), "weight", "words").join(t.select("source", "target"), F.col("s").eqNullSafe(F.col("source")))
+    down = Window.partitionBy("s").orderBy(F.desc("weight"))
+    lighter = F.sum(F.col("words") * F.col("weight")).over(Window.partitionBy("s")) - F.sum(F.col("words") * F.col("weight")).over(down)
+    used = F.lit(float(most)) * F.sum("words").over(down) + F.lit(float(most)) / F.col("weight") * lighter
+    x = x.withColumn("full", used <= F.col("target") * F.lit(1 + 1e-12))
+    per = x.groupBy("s").agg(
+        F.first("target").alias("goal"), F.coalesce(F.sum(F.when(F.col("full"), F.col("words"))), F.lit(0)).alias("sure"),
+        F.sum(F.when(~F.col("full"), F.col("words") * F.col("weight"))).alias("mass"), F.min("weight").alias("least"),
+    )
+    # with every weight at most, or no words at all, the rate that brings the lightest there
+    rate = F.coalesce(F.try_divide(F.col("goal") - F.lit(float(most)) * F.col("sure"), "mass"), F.lit(float(most)) / F.col("least"))
+    rate = F.when(F.col("goal") <= 0, 0.0).otherwise(F.greatest(rate, F.lit(0.0)))
+    return t.join(per.select("s", rate.alias("rate")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
 
 def _rank(h, pi):
@@ -62,8 +87,11 @@ def _cross(cells: DataFrame, keys: list[str], by: str) -> DataFrame:
 
 
 def _with_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
-    """``rows`` (source, h, ...) with the row of their source; a large source is dealt over ``SALTS`` tasks."""
-    few = per_source.withColumnRenamed("source", "s").withColumn("salt_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """``rows`` (source, h, ...) with the row of their source, from a checkpointed table of sources."""
+    few = per_source.withColumnRenamed("source", "s")
+    if per_source.limit(SOURCES + 1).count() <= SOURCES:
+        return rows.join(F.broadcast(few), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    few = few.withColumn("salt_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     d = rows.withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)).cast("int"))
     return d.join(few, F.col("source").eqNullSafe(F.col("s")) & (F.col("salt") == F.col("salt_s"))).drop("s", "salt", "salt_s")
 
@@ -74,9 +102,9 @@ def plan_mix(
 ) -> tuple[DataFrame, DataFrame]:
     """(narrow, plan): the narrow table (id, source, h, size, weight) and a row of decisions per source.
 
-    A document's expected copies are r = target / source_size, times ``weight`` over its
-    mean if one is given, at most ``most``. Whole copies are certain: floor(r). The rest
-    is a sample of fixed size in words: documents are ordered by random odds over
+    A document's expected copies r are proportional to its weight, at most ``most``, at
+    the rate that makes the source's expected words its target. Whole copies are certain:
+    floor(r). The rest is a sample of fixed size in words: documents are ordered by random odds over
     inclusion odds, where the inclusion probability is the fraction of r, and taken until
     the source's remaining words are used; past the first that doesn't fit, later ones of
     the same cell that do fit follow (first fit). The cut is found over cells of ranks,
@@ -86,14 +114,11 @@ def plan_mix(
     """
     n = checkpoint(docs.select(
         F.col(id_col).alias("i"), F.col(source_col).alias("source"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"),
-        size.cast("long").alias("size"), _weight(weight).alias("weight"),
+        size.cast("long").alias("size"), _weight(weight, size).alias("weight"),
     ))
-    sources = n.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"),
-        F.sum(F.col("size") * F.col("weight")).alias("mass"),
-    )
-    t = source_targets(sources, weights, share, most)
-    t = t.withColumn("rate", F.coalesce(F.try_divide("target", "mass"), F.lit(0.0)))
+    levels = checkpoint(n.groupBy("source", "weight").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")))
+    sources = levels.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("docs").alias("docs"))
+    t = checkpoint(_rates(levels, source_targets(sources, weights, share, most), most))
     d = _copies(_with_source(n, t.select("source", "rate", "target", "docs")), most)
     d = d.withColumn("k1", F.least(F.lit(FAN), F.ceil(F.col("docs") / BUCKET)).cast("long"))
     d = d.withColumn("b1", F.floor(F.col("p") * F.col("k1")))
@@ -125,7 +150,7 @@ def plan_mix(
     ).otherwise(a))
     cut = last.select(F.col("source").alias("s3"), "c1", "k2", "c2", fit["taken"].alias("fits"))
     plan = t.join(cut, F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3")
-    return n, plan
+    return n, checkpoint(plan)
 
 
 def _copies(d: DataFrame, most: float) -> DataFrame:
@@ -142,7 +167,7 @@ def mix_sources(
 ) -> DataFrame:
     """One row per row of ``docs``: id, source, size, source_size, target, copies, taken.
 
-    A null text has size 0. A null source is a source of its own, last in order. Rows
+    ``weight`` is a column of weights; without one a document weighs log2(words + 2). A null text has size 0. A null source is a source of its own, last in order. Rows
     with the same id share their decision. The draw depends on ids and ``seed`` alone,
     so reruns agree. An empty table gives an empty result; an empty source a target of 0.
     """
@@ -176,14 +201,14 @@ def mixed(
 ) -> DataFrame:
     """The mix itself: the rows of ``docs`` with their own columns, as often as they are taken.
 
-    Decisions are functions of (source, id), so the rows meet only the plan, a row per
-    source, and texts aren't shuffled where Spark finds the plan small enough to broadcast.
+    Decisions are functions of (source, id, weight), so the rows meet only the plan, a row
+    per source: texts aren't shuffled unless there are more than ``SOURCES`` sources.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD))
     _, plan = plan_mix(docs, size, id_col, source_col, seed, weight, most=most, **kw)
     d = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(source_col).alias("source"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), _weight(weight).alias("weight"),
+        F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), _weight(weight, size).alias("weight"),
     )
     taken = _decide(d, plan, most).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -50,7 +50,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link_quotes(table(spark, sf_dir, "conversations"))
+    return chat.conversations(table(spark, sf_dir, "conversations"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

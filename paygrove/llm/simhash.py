@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paygrove.llm.skew import meet
 from paygrove.operators.components import connected_components
 from paygrove.session import checkpoint
 
@@ -153,7 +154,7 @@ def fingerprint_components(prints: DataFrame, radius: int = RADIUS, bucket: int
     """
     if radius % 2:
         raise ValueError("radius must be even")
-    f = prints.select("f").distinct()
+    f = checkpoint(prints.select("f").distinct()).repartition("f")  # few bytes, but much work follows: no coalescing
     keys = F.array(*[F.xxhash64(F.lit(v), F.col("f").bitwiseAND(F.lit(_signed(m)))) for v, m in enumerate(covering_masks(radius))])
     spread = f.select("f", F.explode(keys).alias("k"))
     shared = checkpoint(spread.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
@@ -176,10 +177,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = checkpoint(fingerprints(docs, id_col, text_col))
     comps = fingerprint_components(prints, radius)
-    own = prints.groupBy("f").agg(F.min("i").alias("low"))
-    label = checkpoint(own.join(comps, "f", "left").select("f", "low", F.coalesce("component", "f").alias("c")))
-    low = label.groupBy("c").agg(F.min("low").alias("component_id"))
-    found = prints.join(label.join(low, "c").select("f", "component_id"), "f")
+    own = prints.groupBy("f").agg(F.min("i").alias("low"), F.count(F.lit(1)).alias("n"))
+    label = checkpoint(own.join(comps, "f", "left").select("f", "low", "n", F.coalesce("component", "f").alias("c")))
+    low = checkpoint(label.groupBy("c").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("prints")))
+    # one fingerprint may have a third of the rows, and one component a third of the fingerprints
+    named = checkpoint(meet(label, low, ["c"], "prints", ["f"]).select("f", "n", "component_id"))
+    found = meet(prints, named, ["f"], "n", ["i"])
     return found.select(F.col("i").alias(id_col), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -189,5 +192,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     Rows that share both id and component all stay; exact dedup is what removes them.
     """
     drop = near_components(docs, id_col, text_col, radius).filter(~F.col(id_col).eqNullSafe(F.col("component_id")))
-    drop = drop.select(F.col(id_col).alias("__drop")).distinct()
-    return docs.join(drop, docs[id_col].eqNullSafe(drop["__drop"]), "left_anti")
+    drop = drop.select(F.col(id_col).alias("gone")).distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("i"))
+    return rows.join(drop, F.col("i").eqNullSafe(F.col("gone")), "left_anti").select("row.*")

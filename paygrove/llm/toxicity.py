@@ -61,7 +61,12 @@ class Model:
 
 
 def marginals(e: np.ndarray, sizes: np.ndarray, model: Model) -> np.ndarray:
-    """P(label 1) of each word, given log emissions of documents one after another.
+    """P(label 1) of each word, given log emissions of documents one after another."""
+    return posteriors(e, sizes, model)[0]
+
+
+def posteriors(e: np.ndarray, sizes: np.ndarray, model: Model, pairs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(P(label 1), P(0 before 1), P(1 before 1)) of each word; the last two only with ``pairs``, and 0 for first words.
 
     Forward and backward in blocks: the products of each block's transfer matrices come
     from one pass over all blocks at once, they are chained per document, and a second
@@ -69,7 +74,7 @@ def marginals(e: np.ndarray, sizes: np.ndarray, model: Model) -> np.ndarray:
     """
     sizes = np.asarray(sizes)
     if not len(e):
-        return np.zeros(0)
+        return np.zeros(0), np.zeros(0), np.zeros(0)
     nb = -(-sizes // BLOCK)
     first = np.concatenate([[0], np.cumsum(nb)])
     begin = np.concatenate([[0], np.cumsum(sizes)])
@@ -111,19 +116,26 @@ def marginals(e: np.ndarray, sizes: np.ndarray, model: Model) -> np.ndarray:
         b = np.stack([p[0, r] * z[0, d] + p[1, r] * z[1, d], p[2, r] * z[0, d] + p[3, r] * z[1, d]])
         z[:, d] = b / b.sum(0)
     fwd = np.zeros((2, n, BLOCK))
+    entry = left
     for k in range(BLOCK):
         t00, t01, t10, t11 = _transfer(t, x[:, k], head & (k == 0), s0, s1)
         q = np.stack([left[0] * t00 + left[1] * t10, left[0] * t01 + left[1] * t11])
         left = np.where(on[:, k], q / q.sum(0), left)
         fwd[:, :, k] = left
     out = np.zeros((n, BLOCK))
+    both = np.zeros((2, n, BLOCK)) if pairs else None
     for k in range(BLOCK - 1, -1, -1):
         up = fwd[1, :, k] * right[1]
         out[:, k] = up / (up + fwd[0, :, k] * right[0])
         t00, t01, t10, t11 = _transfer(t, x[:, k], head & (k == 0), s0, s1)
+        if pairs:
+            a0, a1 = fwd[:, :, k - 1] if k else entry
+            z = a0 * (t00 * right[0] + t01 * right[1]) + a1 * (t10 * right[0] + t11 * right[1])
+            no = head & (k == 0)
+            both[0, :, k], both[1, :, k] = np.where(no, 0, a0 * t01 * right[1] / z), np.where(no, 0, a1 * t11 * right[1] / z)
         q = np.stack([t00 * right[0] + t01 * right[1], t10 * right[0] + t11 * right[1]])
         right = np.where(on[:, k], q / q.sum(0), right)
-    return out[row, col]
+    return out[row, col], both[0][row, col] if pairs else out[row, col], both[1][row, col] if pairs else out[row, col]
 
 
 def _transfer(t, v, starts, s0, s1):
@@ -148,13 +160,14 @@ def _dfs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
     """(t, y): about ``most`` labelled documents of each label, none of them held out."""
-    usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    usable = usable.select(F.col(id_col).alias("__i"), F.col(label_col).cast("int").alias("y"))
+    usable = labels.select(F.col(id_col).alias("__i"), F.col(label_col).cast("int").alias("y"))
+    usable = usable.filter(F.col("y").isin(0, 1) & F.col("__i").isNotNull() & ~held_out(F.col("__i")))
     n = {r.y: r["count"] for r in usable.groupBy("y").count().collect()}
     u = F.pmod(F.xxhash64(F.lit(8), F.col("__i")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.when(F.col("y") == 1, F.lit(most / max(1, n.get(1, 1)))).otherwise(F.lit(most / max(1, n.get(0, 1))))
     picked = F.broadcast(usable.filter(u < share).limit(4 * most))  # at most 4 * most ids
-    return docs.join(picked, docs[id_col] == picked["__i"]).select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), "y")
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    return texts.join(picked, F.col("__id") == F.col("__i")).select("t", "y")
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int = SAMPLE) -> Model:
@@ -210,16 +223,14 @@ def _fit(seqs, tags, y, known, rounds: int = 25, rate: float = 0.5, decay: float
     prev = np.concatenate([[0.0], tag[:-1]])
     for _ in range(rounds):
         e = np.clip(theta[f].sum(1), -30, 30)
-        p = marginals(e, sizes, m)
+        p, p01, p11 = posteriors(e, sizes, m, pairs=True)
         d = tag - p
         grad = np.bincount(f.ravel(), np.repeat(d, width), WEIGHTS + 1) - decay * len(tag) * theta / 100
         grad[WEIGHTS] = 0
         g2 += grad**2
         theta += rate * 4 * grad / np.sqrt(g2)
-        # transitions, by the pair marginals with the neighbour's marginal as its state
-        pp = np.concatenate([[0.0], p[:-1]])
         inner = ~starts
-        gt = np.array([d[starts].sum(), ((1 - prev) * tag - (1 - pp) * p)[inner].sum(), (prev * tag - pp * p)[inner].sum()])
+        gt = np.array([d[starts].sum(), ((1 - prev) * tag - p01)[inner].sum(), (prev * tag - p11)[inner].sum()])
         gs[:3] += gt**2
         up = rate * gt / np.sqrt(gs[:3])
         m = Model(theta, m.start + up[0], m.step + np.array([[0.0, up[1]], [0.0, up[2]]]))

@@ -86,6 +86,46 @@ def test_mixing_cells(spark, monkeypatch):
     assert ((g.target - g.taken).abs() <= 41).all()
 
 
+def plain_mix(rows, target, most=2.0):
+    """Pareto sample of one source: (id, h, size, weight) rows in order of their ranks, first fit."""
+    lo, hi = 0.0, 1e12
+    for _ in range(300):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(s * min(most, mid * w) for _, _, s, w in rows) < target else (lo, mid)
+    copies, queue = {}, []
+    for i, h, s, w in rows:
+        r = min(most, hi * w)
+        whole = int(r + 1e-9)
+        pi = min(1.0, max(0.0, r - whole))
+        copies[i] = whole
+        if pi >= 1e-9:
+            u = (((h & (1 << 64) - 1) >> 11) + 0.5) * 2.0**-53
+            queue.append((u / (1 - u) * (1 - pi) / pi, i, s))
+    left = target - sum(copies[i] * s for i, _, s, _ in rows)
+    for _, i, s in sorted(queue):
+        if s <= left + 1e-6:
+            copies[i] += 1
+            left -= s
+    return copies
+
+
+def test_mixing_equals_the_plain_sample(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORD))
+    for weight in (None, F.lit(1.0), F.col("doc_id") % 7 + 1):
+        n, plan = mixing.plan_mix(docs, size, weight=weight)
+        by = defaultdict(list)
+        for r in n.collect():
+            by[r.source].append((r.i, r.h, r.size, r.weight))
+        assert weight is not None or len({w for rows in by.values() for _, _, _, w in rows}) > 5
+        want = {}
+        for r in plan.collect():
+            want |= plain_mix(by[r.source], r.target)
+        assert {r.doc_id: r.copies for r in mixing.mix_sources(docs, weight=weight).collect()} == want
+
+
 def test_unequal_odds(spark):
     df = spark.range(6000).selectExpr("id as doc_id", "'w w w w' as text", "'one' as source", "if(id % 2 = 0, 3.0, 1.0) as w")
     from pyspark.sql import functions as F

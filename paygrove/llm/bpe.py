@@ -30,7 +30,7 @@ _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9
 WORDS = re.compile(f"[{_L}]+|[{_N}]|'(?:s|t|re|ve|m|ll|d)|[^{_S}{_L}{_N}]+")
 
 #: A chunk of documents ends at so many distinct words, or so many words.
-DISTINCT, LENGTH = 400_000, 4_000_000
+DISTINCT, LENGTH = 800_000, 8_000_000
 #: Places of words that one task packs at a time.
 PACKED = 500_000
 

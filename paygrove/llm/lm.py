@@ -7,9 +7,11 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,18 +19,25 @@ from paygrove.llm.words import split_by_count
 from paygrove.session import scratch_table
 
 #: Words each side of the predicted one, and hidden units.
-SIDE, HIDDEN = 2, 48
-#: Classes of one frequent word each, classes by a word's ending, and words of the broadcast (others are joined to the word table).
-OWN, ENDINGS, VOCAB = 64, 64, 20_000
-CLASSES = OWN + ENDINGS
+SIDE, HIDDEN = 2, 32
+#: What the network sees of a word around: one of the most frequent words, or else its ending.
+OWN, ENDINGS = 64, 64
+SEEN = OWN + ENDINGS
+#: What it predicts: a class, then the word within it. Frequent words come in blocks, by rank; other words by ending.
+BLOCKS, BLOCK = 64, 64
+CLASSES = BLOCKS + ENDINGS
+#: Words of the broadcast (others are joined to the word table).
+VOCAB = 200_000
 #: Rounds of training over all documents (each masks its share, together every position), positions of a gradient step, step size.
-ROUNDS, STEP, RATE = 2, 1024, 0.08
+ROUNDS, STEP, RATE = 2, 8192, 0.15
 #: Distinct words that one task counts before it hands them on.
-COUNTED = 150_000
+COUNTED = 800_000
 #: Parameters travel as integers of this unit, so their sums don't depend on order.
 UNIT = 2.0**-24
 #: Logarithms of counts are summed as integers of this unit, for the same reason.
 LOG_UNIT = 2.0**-32
+#: A word counts as so much more than its other occurrences.
+OTHERS = 0.1
 
 AROUND = [k for k in range(-SIDE, SIDE + 1) if k]
 
@@ -38,8 +47,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 def ending(word: bytes) -> int:
-    """The class of a word that has no class of its own."""
-    return OWN + zlib.crc32(word[-2:]) % ENDINGS
+    return zlib.crc32(word[-2:]) % ENDINGS
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,134 +64,201 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pairs(seen: Counter) -> pa.RecordBatch:
     w = list(seen)
     return pa.RecordBatch.from_arrays(
-        [pa.array(w, pa.binary()), pa.array([ending(x) for x in w], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["w", "c", "n"]
+        [pa.array(w, pa.binary()), pa.array([ending(x) for x in w], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["w", "e", "n"]
     )
 
 
+class Tables(NamedTuple):
+    """By a word's place in the lexicon: what the network sees, and what it predicts.
+
+    ``seen``: the input of the word. ``classes`` and ``within``: its class and, in a block
+    of frequent words, its place there (else -1). ``log_p``: of a word outside the blocks,
+    the logarithm of its count, this occurrence left out, over that of its ending.
+    """
+
+    seen: np.ndarray
+    classes: np.ndarray
+    within: np.ndarray
+    log_p: np.ndarray
+
+
 class Lexicon(dict):
-    """Index of every word, known or not; class and log probability within the class by index."""
+    """Place of every word, known or not, in ``tables``."""
 
     def __init__(self, top: list[tuple[bytes, int]], stats: dict[int, int]):
         """top: the most frequent words and counts; stats: tokens of each ending."""
-        tokens = np.zeros(CLASSES)
-        for c, n in stats.items():
-            tokens[c] = n
+        tokens = np.zeros(ENDINGS)
+        for e, n in stats.items():
+            tokens[e] = n
         top = sorted(top, key=lambda x: (-x[1], x[0]))
-        own = [k if k < OWN else ending(w) for k, (w, _) in enumerate(top)]
-        for k, (w, n) in enumerate(top[:OWN]):
-            tokens[k] += n
-            tokens[ending(w)] -= n
-        known = [math.log(n / tokens[c]) for (_, n), c in zip(top, own, strict=True)]
-        # of any other word as if seen once: the logarithm of its count is added by the join
-        other = -np.log(np.maximum(tokens, 1))
-        super().__init__((w, k) for k, (w, _) in enumerate(top))
+        e = np.array([ending(w) for w, _ in top] + list(range(ENDINGS)), np.int64)
+        n = np.array([n for _, n in top] + [1] * ENDINGS, float)
+        k = np.arange(len(n))
+        known = k < len(top)
+        block = known & (k < BLOCKS * BLOCK)
+        np.subtract.at(tokens, e[block], n[block])
+        super().__init__(zip([w for w, _ in top], range(len(top)), strict=True))
         self.size = len(top)
-        self.classes = np.concatenate([np.array(own, np.int64), np.arange(CLASSES)])
-        self.log_p = np.concatenate([np.array(known), other])
+        self.tables = Tables(
+            np.where(known & (k < OWN), k, OWN + e).astype(np.int16), np.where(block, k // BLOCK, BLOCKS + e).astype(np.int16),
+            np.where(block, k % BLOCK, -1).astype(np.int16), np.where(block, 0.0, np.log((n - 1 + OTHERS) / np.maximum(tokens[e], 1))),
+        )
 
     def __missing__(self, word: bytes) -> int:
         return self.size + ending(word)
 
     def __reduce__(self):
-        return _lexicon, (dict(self), self.size, self.classes, self.log_p)
+        return _lexicon, (dict(self), self.tables)
 
     def places(self, ws: list[bytes]) -> np.ndarray:
         """Index of each word; from ``size`` on where the word is not in the lexicon."""
-        return np.array(array("I", map(self.__getitem__, ws)), np.int64)
-
-    def look_up(self, ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        k = self.places(ws)
-        return self.classes[k], self.log_p[k]
+        return np.frombuffer(array("I", map(self.__getitem__, ws)), np.uint32)
 
 
-def _lexicon(index: dict, size: int, classes: np.ndarray, log_p: np.ndarray) -> Lexicon:
+def _lexicon(index: dict, tables: Tables) -> Lexicon:
     x = Lexicon.__new__(Lexicon)
     x.update(index)
-    x.size, x.classes, x.log_p = size, classes, log_p
+    x.size, x.tables = len(index), tables
     return x
 
 
 class Net:
-    """Scores of the classes of a word, from the classes of the words around it."""
+    """Log probabilities of a word given what is seen of the words around it: of its class, and of the word in its block."""
+
+    SHAPES = ((len(AROUND), SEEN + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (BLOCKS, HIDDEN, BLOCK), (BLOCKS, BLOCK))
 
     def __init__(self, flat: np.ndarray | None = None):
-        sizes = [(len(AROUND), CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
-        n = sum(math.prod(s) for s in sizes)
         if flat is None:
-            rng = np.random.default_rng(7)
-            flat = (rng.standard_normal(n) * 0.1).astype(np.float32)
-        self.flat = flat.astype(np.float32)
-        parts, at = [], 0
-        for s in sizes:
-            parts.append(self.flat[at : at + math.prod(s)].reshape(s))
-            at += math.prod(s)
-        self.near, self.bias, self.out, self.prior = parts
+            flat = np.random.default_rng(7).standard_normal(sum(map(math.prod, self.SHAPES))) * 0.1
+        self.flat = flat.astype(np.float32, copy=False)
+        self.near, self.bias, self.out, self.prior, self.inner, self.inner_prior = self.views(self.flat)
+
+    @classmethod
+    def views(cls, flat: np.ndarray) -> list[np.ndarray]:
+        ends = np.cumsum([math.prod(s) for s in cls.SHAPES])
+        return [flat[z - math.prod(s) : z].reshape(s) for s, z in zip(cls.SHAPES, ends, strict=True)]
 
     def hidden(self, ctx: np.ndarray) -> np.ndarray:
-        h = self.bias + self.near[0][ctx[:, 0]]
+        h = self.near[0].take(ctx[0], 0)
         for k in range(1, len(AROUND)):
-            h += self.near[k][ctx[:, k]]
+            h += self.near[k].take(ctx[k], 0)
+        h += self.bias
         return np.tanh(h, out=h)
 
-    def log_probs(self, ctx: np.ndarray, c: np.ndarray) -> np.ndarray:
-        z = self.hidden(ctx) @ self.out
-        z += self.prior
-        np.minimum(z, 60, out=z)  # hidden units are within 1, so scores are far below; no shift by the maximum is needed
-        own = z[np.arange(len(c)), c]
-        return own - np.log(np.exp(z, out=z).sum(1))
+    def blocks(self, c: np.ndarray):
+        """(block, positions of it) of the frequent words."""
+        order = np.argsort(c, kind="stable")
+        ends = np.searchsorted(c[order], np.arange(BLOCKS + 1))
+        for k in range(BLOCKS):
+            if ends[k + 1] > ends[k]:
+                yield k, order[ends[k] : ends[k + 1]]
 
-    def learn(self, ctx: np.ndarray, c: np.ndarray, g2: np.ndarray) -> None:
-        """One adaptive gradient step on the log probability of ``c``."""
+    def log_probs(self, ctx: np.ndarray, c: np.ndarray, m: np.ndarray) -> np.ndarray:
         h = self.hidden(ctx)
-        z = h @ self.out + self.prior
-        np.exp(np.minimum(z, 60, out=z), out=z)
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(len(c)), c] -= 1
-        z /= len(c)
-        dh = (z @ self.out.T) * (1 - h * h)
+        out = _log_soft(h @ self.out + self.prior, c)
+        for k, at in self.blocks(c):
+            out[at] += _log_soft(h[at] @ self.inner[k] + self.inner_prior[k], m[at])
+        return out
+
+    def gradient(self, ctx: np.ndarray, c: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Of the mean negative log probability."""
+        n = len(c)
         grad = np.zeros_like(self.flat)
-        near, bias, out, prior = Net.views(grad)
+        near, bias, out, prior, inner, inner_prior = self.views(grad)
+        h = self.hidden(ctx)
+        z = _soft_less(h @ self.out + self.prior, c, n)
+        dh = z @ self.out.T
+        np.matmul(h.T, z, out=out)
+        prior[:] = z.sum(0)
+        for k, at in self.blocks(c):
+            part = h[at]
+            z = _soft_less(part @ self.inner[k] + self.inner_prior[k], m[at], n)
+            dh[at] += z @ self.inner[k].T
+            np.matmul(part.T, z, out=inner[k])
+            inner_prior[k] = z.sum(0)
+        dh *= 1 - h * h
+        bias[:] = dh.sum(0)
         for k in range(len(AROUND)):
-            order = np.argsort(ctx[:, k], kind="stable")
-            key = ctx[order, k]
+            order = np.argsort(ctx[k], kind="stable")
+            key = ctx[k][order]
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             near[k][key[at]] = np.add.reduceat(dh[order], at)
-        bias += dh.sum(0)
-        out += h.T @ z
-        prior += z.sum(0)
+        return grad
+
+    def learn(self, ctx: np.ndarray, c: np.ndarray, m: np.ndarray, g2: np.ndarray) -> None:
+        """One adaptive gradient step."""
+        grad = self.gradient(ctx, c, m)
         g2 += grad * grad
-        self.flat -= RATE * grad / np.sqrt(g2)
-
-    @staticmethod
-    def views(flat: np.ndarray):
-        n = Net.__new__(Net)
-        Net.__init__(n, flat)
-        n.flat = flat
-        a, h = len(AROUND) * (CLASSES + 1) * HIDDEN, HIDDEN
-        return (flat[:a].reshape(len(AROUND), CLASSES + 1, HIDDEN), flat[a : a + h], flat[a + h : a + h + HIDDEN * CLASSES].reshape(HIDDEN, CLASSES), flat[a + h + HIDDEN * CLASSES :])
-
-
-def _windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes around each word, its class, and the number of words of each document; CLASSES beyond the ends."""
-    gap = np.full(SIDE, CLASSES, np.int64)
-    sizes = np.array([len(d) for d in docs])
-    flat = np.concatenate([gap, *[x for d in docs for x in (d, gap)]])
-    begin = SIDE + np.cumsum(sizes + SIDE) - sizes - SIDE
-    at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    return np.stack([flat[at + k] for k in AROUND], 1), flat[at], sizes
-
-
-def _batches(texts: list[str | None], most: int = 200_000) -> Iterator[tuple[list[list[bytes]], int]]:
-    held, n = [], 0
-    for t in texts:
+        grad /= np.sqrt(g2)
+        grad *= RATE
+        self.flat -= grad
+
+
+def _log_soft(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    np.minimum(z, 60, out=z)  # hidden units are within 1, so scores are far below; no shift by the maximum is needed
+    own = z[np.arange(len(at)), at]
+    return own - np.log(np.exp(z, out=z).sum(1))
+
+
+def _soft_less(z: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    np.exp(np.minimum(z, 60, out=z), out=z)
+    z /= z.sum(1, keepdims=True)
+    z[np.arange(len(at)), at] -= 1
+    z /= n
+    return z
+
+
+def _windows(seen: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What is seen around each word, a row per offset; SEEN beyond the ends of a document."""
+    ends = np.cumsum(sizes)
+    at = np.arange(len(seen)) + np.repeat(SIDE * np.arange(1, len(sizes) + 1), sizes)
+    flat = np.full(len(seen) + SIDE * (len(sizes) + 1), SEEN, np.int16)
+    flat[at] = seen
+    return np.stack([flat[at + k] for k in AROUND]) if len(ends) else np.zeros((len(AROUND), 0), np.int16)
+
+
+def _batches(texts: list[str | None], most: int = 200_000) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    """(number of the last document and 1, words of documents one after another, how many each has); a document is cut nowhere."""
+    held, sizes = [], []
+    for k, t in enumerate(texts, 1):
         w = words(t)
-        held.append(w)
-        n += len(w)
-        if n >= most:
-            yield held, n
-            held, n = [], 0
-    if held:
-        yield held, n
+        held += w
+        sizes.append(len(w))
+        if len(held) >= most or k == len(texts):
+            yield k, held, np.array(sizes, np.int32)
+            held, sizes = [], []
+
+
+def _one_list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _coded(shared):
+    """Documents in batches as places of the lexicon, and each word outside it with its document's number in the batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = shared.value
+        for b in batches:
+            lo = 0
+            for hi, ws, sizes in _batches(b.column("t").to_pylist()):
+                k = lexicon.places(ws)
+                other = np.flatnonzero(k >= lexicon.size)
+                of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[other]
+                rare = pa.StructArray.from_arrays([pa.array(of), pa.array([ws[p] for p in other.tolist()], pa.binary())], ["d", "w"])
+                planes = k.view(np.uint8).reshape(-1, 4).T[:3].tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [_one_list(b.column("i").slice(lo, hi - lo)), _one_list(pa.array(sizes)), pa.array([planes], pa.binary()), _one_list(rare)], ["i", "sizes", "codes", "rare"]
+                )
+                lo = hi
+
+    return run
+
+
+def _coded_rows(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, places, sizes) of each batch of documents."""
+    for row in range(b.num_rows):
+        planes = np.frombuffer(b.column("codes")[row].as_py(), np.uint8).reshape(3, -1).astype(np.uint32)
+        yield row, planes[0] | planes[1] << 8 | planes[2] << 16, b.column("sizes")[row].values.to_numpy()
 
 
 def _masked(sizes: np.ndarray, turn: int, rounds: int) -> np.ndarray:
@@ -193,87 +268,105 @@ def _masked(sizes: np.ndarray, turn: int, rounds: int) -> np.ndarray:
 
 
 def _trained(shared, turn: int, rounds: int):
+    """(salt, block, v): a task's parameters times its positions, and last the positions, in blocks of numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, flat = shared.value
-        net, seen = Net(flat.copy()), 0
-        g2 = np.full(len(net.flat), 1e-4, np.float32)
+        tables, flat = shared.value
+        net, n = Net(flat.copy()), 0
+        g2 = np.full(len(net.flat), 1e-6, np.float32)
+        left = [np.zeros((len(AROUND), 0), np.int16), np.zeros(0, np.int16), np.zeros(0, np.int16)]
         for b in batches:
-            for held, n in _batches(b.column("t").to_pylist()):
-                if not n:
-                    continue
-                c, _ = lexicon.look_up([w for ws in held for w in ws])
-                ends = np.cumsum([len(ws) for ws in held])[:-1]
-                ctx, own, sizes = _windows(np.split(c, ends))
+            for _, k, sizes in _coded_rows(b):
                 spot = _masked(sizes, turn, rounds)
-                ctx, own = ctx[spot], own[spot]
-                for at in range(0, len(own), STEP):
-                    net.learn(ctx[at : at + STEP], own[at : at + STEP], g2)
-                seen += len(own)
-        if seen:
-            value = np.rint(net.flat.astype(np.float64) / UNIT * seen / 1024).astype(np.int64)
-            k = np.arange(len(value) + 1, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.append(value, seen))], ["k", "v"])
+                ctx = np.concatenate([left[0], _windows(tables.seen[k], sizes)[:, spot]], 1)
+                k = k[spot]
+                c, m = np.concatenate([left[1], tables.classes[k]]), np.concatenate([left[2], tables.within[k]])
+                n += len(k)
+                whole = len(c) // STEP * STEP
+                for at in range(0, whole, STEP):
+                    net.learn(ctx[:, at : at + STEP], c[at : at + STEP], m[at : at + STEP], g2)
+                left = [ctx[:, whole:], c[whole:], m[whole:]]
+        if len(left[1]):
+            net.learn(*left, g2)
+        if n:
+            value = np.append(np.rint(net.flat.astype(np.float64) / UNIT * n / 1024), n).astype("<i8")
+            parts = [value[a : a + 4096].tobytes() for a in range(0, len(value), 4096)]
+            salt = TaskContext.get().partitionId() % 64
+            yield pa.RecordBatch.from_arrays([pa.array([salt] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array(parts)], ["salt", "block", "v"])
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of blocks of integers, by salt and block."""
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for b in batches:
+        for *key, v in zip(*(b.column(c).to_pylist() for c in ("salt", "block", "v")), strict=True):
+            x = np.frombuffer(v, "<i8")
+            sums[tuple(key)] = sums[tuple(key)] + x if tuple(key) in sums else x
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([s for s, _ in sums], pa.int32()), pa.array([k for _, k in sums], pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["salt", "block", "v"]
+    )
+
+
 def word_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(w, c, n): every distinct word of the whole corpus, the class of its ending, and its count."""
+    """(w, e, n): every distinct word of the whole corpus, its ending and its count."""
     t = docs.select(F.col(text_col).alias("t"))
-    return scratch_table(t.mapInArrow(_counted, "w binary, c int, n bigint").groupBy("w", "c").agg(F.sum("n").alias("n")), "lm-words")
+    return scratch_table(t.mapInArrow(_counted, "w binary, e int, n bigint").groupBy("w", "e").agg(F.sum("n").alias("n")), "lm-words")
+
+
+def coded(docs: DataFrame, id_col: str, text_col: str, vocab: int, table: DataFrame) -> tuple[Lexicon, DataFrame]:
+    """A lexicon counted over all documents, and the corpus written as places in it."""
+    spark = docs.sparkSession
+    found = split_by_count(table.filter("n > 1"), vocab)[0].select("w", "n").toArrow()
+    top = list(zip(found.column("w").to_pylist(), found.column("n").to_pylist(), strict=True))
+    lexicon = Lexicon(top, {r.e: r.n for r in table.groupBy("e").agg(F.sum("n").alias("n")).collect()})
+    narrow = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    kind = f"i array<{dict(narrow.dtypes)['i']}>, sizes array<int>, codes binary, rare array<struct<d: int, w: binary>>"
+    made = narrow.mapInArrow(_coded(spark.sparkContext.broadcast(lexicon)), kind)
+    return lexicon, scratch_table(made.withColumn("b", F.monotonically_increasing_id()), "lm-coded")
 
 
-def train(
-    docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, vocab: int = VOCAB, table: DataFrame | None = None,
-) -> tuple[Lexicon, Net]:
-    """A lexicon counted over all documents, and a network trained on all of them.
+def train(corpus: DataFrame, tables: Tables, rounds: int = ROUNDS) -> Net:
+    """A network trained on the whole coded corpus.
 
     In each round every task starts from the shared parameters and takes gradient steps
     over the masked positions of its documents; the parameters are then averaged, weighted
-    by positions, in a Spark aggregate. Each round masks another ``rounds``-th of the
-    positions, so all rounds together train on every position once. What comes to the
-    driver is one set of parameters, ``vocab`` words and a row per class. ``table`` is the
-    word table, where it has been made already.
+    by positions, in Spark: first by block and salt, then by block. Each round masks
+    another ``rounds``-th of the positions, so all rounds together train on every position
+    once. What comes to the driver is one set of parameters.
+
+    Counts and masks don't depend on how rows are dealt to tasks; the averaged parameters
+    do, since each task learns from its own rows in turn.
     """
-    spark = docs.sparkSession
-    t = docs.select(F.col(text_col).alias("t"))
-    table = word_table(docs, text_col) if table is None else table
-    top = [(bytes(r.w), r.n) for r in split_by_count(table, vocab)[0].collect()]
-    stats = {r.c: r.n for r in table.groupBy("c").agg(F.sum("n").alias("n")).collect()}
-    lexicon, net = Lexicon(top, stats), Net()
-    for turn in range(rounds if top else 0):
-        shared = spark.sparkContext.broadcast((lexicon, net.flat))
-        sums = t.mapInArrow(_trained(shared, turn, rounds), "k int, v bigint").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
-        flat = np.zeros(len(net.flat) + 1)
-        flat[sums.column("k").to_numpy()] = sums.column("v").to_numpy()
-        net = Net(flat[:-1] * UNIT * 1024 / max(1.0, flat[-1]))
-    return lexicon, net
+    net, kind = Net(), "salt int, block int, v binary"
+    for turn in range(rounds):
+        shared = corpus.sparkSession.sparkContext.broadcast((tables, net.flat))
+        parts = corpus.select("sizes", "codes").mapInArrow(_trained(shared, turn, rounds), kind).repartition("salt", "block").mapInArrow(_added, kind)
+        sums = parts.withColumn("salt", F.lit(0)).repartition("block").mapInArrow(_added, kind).toArrow().sort_by("block")
+        flat = np.frombuffer(b"".join(sums.column("v").to_pylist()), "<i8").astype(float)
+        net = Net(flat[:-1] * UNIT * 1024 / flat[-1]) if len(flat) else net
+    return net
 
 
 def _scored(shared):
-    """Scores that lack the counts of words outside the lexicon, and these words, one for each time they occur."""
+    """(b, d, i, n_tokens, pll): scores that lack the counts of words outside the lexicon."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, flat = shared.value
+        tables, flat = shared.value
         net = Net(flat)
         for b in batches:
-            n, total, others, rare = [], [], [], []
-            for held, _ in _batches(b.column("t").to_pylist()):
-                ws = [w for x in held for w in x]
-                k = lexicon.places(ws)
-                c, lp = lexicon.classes[k], lexicon.log_p[k]
-                ctx, own, sizes = _windows(np.split(c, np.cumsum([len(x) for x in held])[:-1]))
-                for at in range(0, len(own), STEP):
-                    lp[at : at + STEP] += net.log_probs(ctx[at : at + STEP], own[at : at + STEP])
-                ends = np.cumsum(sizes)
-                n.append(sizes)
-                total.append(_between(lp, ends, sizes))
-                others.append(_between(k >= lexicon.size, ends, sizes))
-                rare += [ws[p] for p in np.flatnonzero(k >= lexicon.size).tolist()]
-            n_, s, m = (np.concatenate(n), np.concatenate(total), np.concatenate(others)) if n else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-            offsets = np.concatenate([[0], np.cumsum(m)]).astype(np.int32)
-            rare_ = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare, pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(n_.astype(np.int64)), pa.array(s), rare_], ["i", "n_tokens", "pll", "rare"])
+            for row, k, sizes in _coded_rows(b):
+                lp, c, m = tables.log_p[k], tables.classes[k], tables.within[k]
+                ctx = _windows(tables.seen[k], sizes)
+                for at in range(0, len(k), STEP):
+                    lp[at : at + STEP] += net.log_probs(ctx[:, at : at + STEP], c[at : at + STEP], m[at : at + STEP])
+                n = len(sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, b.column("b")[row].as_py())), pa.array(np.arange(n, dtype=np.int32)), b.column("i").slice(row, 1).flatten(),
+                     pa.array(sizes.astype(np.int64)), pa.array(_between(lp, np.cumsum(sizes), sizes))],
+                    ["b", "d", "i", "n_tokens", "pll"],
+                )
 
     return run
 
@@ -285,25 +378,32 @@ def _between(x: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, vocab: int = VOCAB) -> DataFrame:
-    """One row per row of ``docs``: id, n_tokens, pll, mean_pll.
-
-    pll sums, over every word of the whole text, the log probability of the word given
-    the words on both sides: that of its class under the network, plus that of the word
-    within its class by its own corpus count. The ``vocab`` most frequent words (a fixed
-    bound) are broadcast; every other one is joined to the word table of the whole corpus.
-    mean_pll is pll per word, null without words (then pll is 0), as for null and empty
-    texts. Repeated rows give repeated rows; other columns are ignored. An empty table
-    gives an empty result.
+    """One row per row of ``docs``: id, n_tokens, pll, mean_pll, n_alone.
+
+    pll sums, over every word of the whole text, its log probability given the words on
+    both sides. One of the 4,096 most frequent words gets it from the network alone: that
+    of its block of words, and that within the block, both from what is around. Any other
+    word gets that of its ending from the network, and within the ending its share of the
+    corpus by its own count, with this occurrence left out (plus ``OTHERS``). The ``vocab``
+    most frequent words (a fixed bound) are broadcast; every other one is joined to the
+    word table of the whole corpus. mean_pll is pll per word, null without words (then pll
+    is 0), as for null and empty texts. n_alone is how many words occur once in all of the
+    corpus. Repeated rows give repeated rows; other columns are ignored. An empty table
+    gives an empty result. The network's part depends on how rows are dealt to tasks
+    (see ``train``).
     """
     table = word_table(docs, text_col)
-    lexicon, net = train(docs, text_col, rounds, vocab, table)
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, net.flat))
-    narrow = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    out = narrow.mapInArrow(_scored(shared), f"i {dict(narrow.dtypes)['i']}, n_tokens bigint, pll double, rare array<binary>")
-    out = scratch_table(out.withColumn("r", F.monotonically_increasing_id()), "lm-scored")
-    # a word seen once adds log(1) = 0, so it needs no partner
-    log_n = table.filter("n > 1").select("w", F.rint(F.log("n") / F.lit(LOG_UNIT)).cast("long").alias("v"))
-    counts = out.select("r", F.explode("rare").alias("w")).join(log_n, "w").groupBy("r").agg(F.sum("v").alias("v"))
-    both = out.select("r", "i", "n_tokens", "pll").join(counts, "r", "left")
-    both = both.select("i", "n_tokens", (F.col("pll") + F.coalesce("v", F.lit(0)) * F.lit(LOG_UNIT)).alias("pll"))
-    return both.select(F.col("i").alias(id_col), "n_tokens", "pll", F.expr("try_divide(pll, n_tokens)").alias("mean_pll"))
+    lexicon, corpus = coded(docs, id_col, text_col, vocab, table)
+    net = train(corpus, lexicon.tables, rounds)
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon.tables, net.flat))
+    out = corpus.select("b", "i", "sizes", "codes").mapInArrow(_scored(shared), f"b bigint, d int, i {dict(docs.select(F.col(id_col)).dtypes)[id_col]}, n_tokens bigint, pll double")
+    # so far each counts as seen once, so a word that is needs no partner
+    more = F.rint((F.log(F.col("n") - 1 + OTHERS) - math.log(OTHERS)) / F.lit(LOG_UNIT)).cast("long")
+    rare = corpus.select("b", F.inline("rare")).join(table.select("w", "n", more.alias("v")), "w")
+    counts = rare.groupBy("b", "d").agg(F.sum("v").alias("v"), F.count_if(F.col("n") == 1).alias("alone"))
+    both = out.join(counts, ["b", "d"], "left")
+    pll = F.col("pll") + F.coalesce("v", F.lit(0)) * F.lit(LOG_UNIT)
+    return both.select(
+        F.col("i").alias(id_col), "n_tokens", pll.alias("pll"), F.try_divide(pll, F.col("n_tokens")).alias("mean_pll"),
+        F.coalesce("alone", F.lit(0)).alias("n_alone"),
+    )

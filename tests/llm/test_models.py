@@ -101,63 +101,90 @@ def test_lm_prefers_the_corpus_order(spark):
     got = {r.doc_id: r for r in lm.pseudo_likelihood(df).collect()}
     assert got[100].pll == 0 and got[100].mean_pll is None and got[101].n_tokens == 0
     assert got[102].mean_pll < got[0].mean_pll < 0
-    lexicon, net = lm.train(df)
+    lexicon, corpus = lm.coded(df, "doc_id", "text", 1000, lm.word_table(df))
+    net = lm.train(corpus, lexicon.tables, rounds=8)
     ws = ("the cat sat on a mat while the dog ran in a park " * 5).encode().split()
     mixed = list(np.random.default_rng(0).permutation(np.array(ws, object)))
 
     def score(x):
-        c, lp = lexicon.look_up(x)
-        ctx, own, _ = lm._windows([c])
-        return (lp + net.log_probs(ctx, own)).sum()
+        k, t = lexicon.places(x), lexicon.tables
+        return (t.log_p[k] + net.log_probs(lm._windows(t.seen[k], np.array([len(x)])), t.classes[k], t.within[k])).sum()
 
     assert score(ws) > score(mixed) + 10
     assert lm.pseudo_likelihood(df.limit(0)).count() == 0
 
 
-def test_lm_trains_on_every_position(monkeypatch):
-    texts = [" ".join(f"w{(i * j) % 7}" for j in range(n)) for i, n in enumerate((1, 2, 3, 40, 777))] + ["", None]
-    lexicon = lm.Lexicon([(b"w0", 5)], {lm.ending(b"w0"): 5})
-    for rounds in (1, lm.ROUNDS, 5):
-        seen = []
-        monkeypatch.setattr(lm.Net, "learn", lambda self, ctx, c, g2: seen.append(len(c)))
-        for turn in range(rounds):
-            shared = type("Shared", (), {"value": (lexicon, lm.Net().flat)})
-            list(lm._trained(shared, turn, rounds)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])])))
-        assert sum(seen) == 823
-        sizes = np.array([1, 0, 9, 300])
-        assert sum(lm._masked(sizes, t, rounds).astype(int) for t in range(rounds)).tolist() == [1] * 310
-
-
-def test_lm_counts_every_word(spark):
+def test_lm_trains_on_every_position():
+    for sizes in ([1, 0, 9, 300], [0], [20_000]):
+        sizes = np.array(sizes)
+        for rounds in (1, lm.ROUNDS, 5):
+            assert sum(lm._masked(sizes, t, rounds).astype(int) for t in range(rounds)).tolist() == [1] * sizes.sum()
+
+
+def plain_score(ws, n, top, net):
+    """Word by word, with plain softmaxes over all classes and over a block."""
+    block = {w: k for k, w in enumerate(top[: lm.BLOCKS * lm.BLOCK])}
+    own = {w: k for k, w in enumerate(top[: lm.OWN])}
+    rest = Counter()
+    for w, c in n.items():
+        if w not in block:
+            rest[lm.ending(w)] += c
+    total = 0.0
+    for at, w in enumerate(ws):
+        h = net.bias.astype(float)
+        for k, off in enumerate(lm.AROUND):
+            x = ws[at + off] if 0 <= at + off < len(ws) else None
+            h = h + net.near[k][lm.SEEN if x is None else own.get(x, lm.OWN + lm.ending(x))]
+        h = np.tanh(h)
+        soft = lambda z: z - np.log(np.exp(z).sum())
+        z = soft(h @ net.out + net.prior)
+        if w in block:
+            b, m = divmod(block[w], lm.BLOCK)
+            total += z[b] + soft(h @ net.inner[b] + net.inner_prior[b])[m]
+        else:
+            total += z[lm.BLOCKS + lm.ending(w)] + np.log((n[w] - 1 + lm.OTHERS) / rest[lm.ending(w)])
+    return total
+
+
+def test_lm_equals_plain_scores(spark, monkeypatch):
+    """Also repeated rows, nulls, very long texts and clashing columns; all words have their own count, in the broadcast or not."""
     rng = np.random.default_rng(2)
     texts = [" ".join(f"w{k}" for k in np.minimum(rng.geometric(0.03, n), 200)) for n in rng.integers(1, 60, 50)]
-    texts += ["seen-once alone", "Twice-ab twice-ab", "", None, texts[0]]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    lexicon, net = lm.train(df, vocab=70)
+    texts += ["seen-once alone", "Twice-ab twice-ab", "", None, "w1 w2 " * 3000]
+    texts += [" ".join(f"many{k * 7}" for k in range(4500))] * 2 + texts[:3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as b", "'x' as w", "2 as n", "3 as pll").repartition(3)
     n = Counter(w for t in texts for w in lm.words(t))
-    assert lm.OWN < lexicon.size <= 70 < len(n)
-    of = {w: int(lexicon.classes[lexicon[w]]) for w in n}
-    tokens = Counter()
-    for w, c in of.items():
-        tokens[c] += n[w]
-    got = lm.pseudo_likelihood(df, vocab=70).collect()
-    assert sorted(r.doc_id for r in got) == list(range(len(texts)))
-    for r in got:
-        ws, want = lm.words(texts[r.doc_id]), 0.0
-        if ws:
-            ctx, own, _ = lm._windows([np.array([of[w] for w in ws])])
-            want = net.log_probs(ctx, own).sum() + sum(np.log(n[w] / tokens[of[w]]) for w in ws)
-        assert r.n_tokens == len(ws) and r.pll == pytest.approx(want, abs=1e-4)
+    nets = []
+    plain = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: nets.append(plain(*a)) or nets[-1])
+    for vocab in (150, lm.VOCAB):
+        got = lm.pseudo_likelihood(df, vocab=vocab).collect()
+        assert sorted(r.doc_id for r in got) == list(range(len(texts)))
+        top = sorted((w for w in n if n[w] > 1), key=lambda w: (-n[w], w))
+        cut = [w for w in top if sum(n[x] >= n[w] for x in top) <= vocab]
+        for r in got:
+            ws = lm.words(texts[r.doc_id])
+            assert r.n_tokens == len(ws) and r.n_alone == sum(n[w] == 1 for w in ws)
+            assert r.pll == pytest.approx(plain_score(ws, n, cut, nets[-1]), rel=1e-4, abs=1e-3), r.doc_id
+            assert r.mean_pll == (r.pll / len(ws) if ws else None)
 
 
 def test_lm_gradient():
+    """Against differences of the log probability."""
     rng = np.random.default_rng(1)
     net = lm.Net()
-    ctx, c = rng.integers(0, lm.CLASSES, (32, 4)), rng.integers(0, lm.CLASSES, 32)
-    before = net.flat.copy()
-    base = net.log_probs(ctx, c).mean()
-    net.learn(ctx, c, np.full(len(net.flat), 1e-4, np.float32))
-    assert net.log_probs(ctx, c).mean() > base and not np.array_equal(before, net.flat)
+    ctx = rng.integers(0, lm.SEEN + 1, (4, 40)).astype(np.int16)
+    c = rng.integers(0, lm.CLASSES, 40).astype(np.int16)
+    m = np.where(c < lm.BLOCKS, rng.integers(0, lm.BLOCK, 40), -1).astype(np.int16)
+    grad = net.gradient(ctx, c, m)
+    some = np.concatenate([rng.choice(np.flatnonzero(np.abs(grad) > 1e-4), 60), rng.integers(0, len(grad), 10)])
+    for k in some:
+        sides = []
+        for d in (0.01, -0.01):
+            flat = net.flat.copy()
+            flat[k] += d
+            sides.append(-lm.Net(flat).log_probs(ctx, c, m).astype(float).mean())
+        assert grad[k] == pytest.approx((sides[0] - sides[1]) / 0.02, abs=2e-4)
 
 
 def test_quotes(spark):

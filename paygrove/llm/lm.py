@@ -19,17 +19,19 @@ from paygrove.llm.words import split_by_count
 from paygrove.session import scratch_table
 
 #: Words each side of the predicted one, and hidden units.
-SIDE, HIDDEN = 2, 32
+SIDE, HIDDEN = 2, 24
 #: What the network sees of a word around: one of the most frequent words, or else its ending.
-OWN, ENDINGS = 64, 64
+OWN, ENDINGS = 64, 32
 SEEN = OWN + ENDINGS
 #: What it predicts: a class, then the word within it. Frequent words come in blocks, by rank; other words by ending.
-BLOCKS, BLOCK = 64, 64
+BLOCKS, BLOCK = 32, 64
 CLASSES = BLOCKS + ENDINGS
 #: Words of the broadcast (others are joined to the word table).
 VOCAB = 200_000
-#: Rounds of training over all documents (each masks its share, together every position), positions of a gradient step, step size.
+#: Rounds of training (each over its share of the documents, together over all), positions of a gradient step, step size.
 ROUNDS, STEP, RATE = 2, 8192, 0.15
+#: No weight of the outputs goes beyond, so scores stay where exponentials are finite.
+MOST = 1.5
 #: Distinct words that one task counts before it hands them on.
 COUNTED = 800_000
 #: Parameters travel as integers of this unit, so their sums don't depend on order.
@@ -125,13 +127,13 @@ def _lexicon(index: dict, tables: Tables) -> Lexicon:
 class Net:
     """Log probabilities of a word given what is seen of the words around it: of its class, and of the word in its block."""
 
-    SHAPES = ((len(AROUND), SEEN + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (BLOCKS, HIDDEN, BLOCK), (BLOCKS, BLOCK))
+    SHAPES = ((len(AROUND), SEEN + 1, HIDDEN), (HIDDEN,), (HIDDEN + 1, CLASSES), (BLOCKS, HIDDEN + 1, BLOCK))
 
     def __init__(self, flat: np.ndarray | None = None):
         if flat is None:
             flat = np.random.default_rng(7).standard_normal(sum(map(math.prod, self.SHAPES))) * 0.1
         self.flat = flat.astype(np.float32, copy=False)
-        self.near, self.bias, self.out, self.prior, self.inner, self.inner_prior = self.views(self.flat)
+        self.near, self.bias, self.out, self.inner = self.views(self.flat)
 
     @classmethod
     def views(cls, flat: np.ndarray) -> list[np.ndarray]:
@@ -139,11 +141,14 @@ class Net:
         return [flat[z - math.prod(s) : z].reshape(s) for s, z in zip(cls.SHAPES, ends, strict=True)]
 
     def hidden(self, ctx: np.ndarray) -> np.ndarray:
+        """Hidden units, the last of which is always 1."""
         h = self.near[0].take(ctx[0], 0)
         for k in range(1, len(AROUND)):
             h += self.near[k].take(ctx[k], 0)
         h += self.bias
-        return np.tanh(h, out=h)
+        out = np.ones((len(h), HIDDEN + 1), np.float32)
+        np.tanh(h, out=out[:, :HIDDEN])
+        return out
 
     def blocks(self, c: np.ndarray):
         """(block, positions of it) of the frequent words."""
@@ -155,27 +160,26 @@ class Net:
 
     def log_probs(self, ctx: np.ndarray, c: np.ndarray, m: np.ndarray) -> np.ndarray:
         h = self.hidden(ctx)
-        out = _log_soft(h @ self.out + self.prior, c)
+        out = _log_soft(h @ self.out, c)
         for k, at in self.blocks(c):
-            out[at] += _log_soft(h[at] @ self.inner[k] + self.inner_prior[k], m[at])
+            out[at] += _log_soft(h[at] @ self.inner[k], m[at])
         return out
 
     def gradient(self, ctx: np.ndarray, c: np.ndarray, m: np.ndarray) -> np.ndarray:
         """Of the mean negative log probability."""
         n = len(c)
         grad = np.zeros_like(self.flat)
-        near, bias, out, prior, inner, inner_prior = self.views(grad)
+        near, bias, out, inner = self.views(grad)
         h = self.hidden(ctx)
-        z = _soft_less(h @ self.out + self.prior, c, n)
-        dh = z @ self.out.T
+        z = _soft_less(h @ self.out, c, n)
+        dh = z @ self.out[:HIDDEN].T
         np.matmul(h.T, z, out=out)
-        prior[:] = z.sum(0)
         for k, at in self.blocks(c):
             part = h[at]
-            z = _soft_less(part @ self.inner[k] + self.inner_prior[k], m[at], n)
-            dh[at] += z @ self.inner[k].T
+            z = _soft_less(part @ self.inner[k], m[at], n)
+            dh[at] += z @ self.inner[k, :HIDDEN].T
             np.matmul(part.T, z, out=inner[k])
-            inner_prior[k] = z.sum(0)
+        h = h[:, :HIDDEN]
         dh *= 1 - h * h
         bias[:] = dh.sum(0)
         for k in range(len(AROUND)):
@@ -192,19 +196,19 @@ class Net:
         grad /= np.sqrt(g2)
         grad *= RATE
         self.flat -= grad
+        for x in (self.out, self.inner):
+            np.clip(x, -MOST, MOST, out=x)
 
 
 def _log_soft(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    np.minimum(z, 60, out=z)  # hidden units are within 1, so scores are far below; no shift by the maximum is needed
     own = z[np.arange(len(at)), at]
-    return own - np.log(np.exp(z, out=z).sum(1))
+    return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))
 
 
 def _soft_less(z: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    np.exp(np.minimum(z, 60, out=z), out=z)
-    z /= z.sum(1, keepdims=True)
-    z[np.arange(len(at)), at] -= 1
-    z /= n
+    np.exp(z, out=z)
+    z *= (1 / (n * (z @ np.ones(z.shape[1], np.float32))))[:, None]
+    z[np.arange(len(at)), at] -= np.float32(1 / n)
     return z
 
 
@@ -261,33 +265,20 @@ def _coded_rows(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield row, planes[0] | planes[1] << 8 | planes[2] << 16, b.column("sizes")[row].values.to_numpy()
 
 
-def _masked(sizes: np.ndarray, turn: int, rounds: int) -> np.ndarray:
-    """Which positions round ``turn`` trains on, by place in the document: each is in one of the ``rounds``."""
-    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return (place.astype(np.uint64) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(rounds) == turn
-
-
-def _trained(shared, turn: int, rounds: int):
+def _trained(shared):
     """(salt, block, v): a task's parameters times its positions, and last the positions, in blocks of numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, flat = shared.value
         net, n = Net(flat.copy()), 0
         g2 = np.full(len(net.flat), 1e-6, np.float32)
-        left = [np.zeros((len(AROUND), 0), np.int16), np.zeros(0, np.int16), np.zeros(0, np.int16)]
         for b in batches:
             for _, k, sizes in _coded_rows(b):
-                spot = _masked(sizes, turn, rounds)
-                ctx = np.concatenate([left[0], _windows(tables.seen[k], sizes)[:, spot]], 1)
-                k = k[spot]
-                c, m = np.concatenate([left[1], tables.classes[k]]), np.concatenate([left[2], tables.within[k]])
+                ctx, c, m = _windows(tables.seen[k], sizes), tables.classes[k], tables.within[k]
                 n += len(k)
-                whole = len(c) // STEP * STEP
-                for at in range(0, whole, STEP):
-                    net.learn(ctx[:, at : at + STEP], c[at : at + STEP], m[at : at + STEP], g2)
-                left = [ctx[:, whole:], c[whole:], m[whole:]]
-        if len(left[1]):
-            net.learn(*left, g2)
+                step = min(STEP, max(256, len(k) // 32))  # a small table still gets some steps
+                for at in range(0, len(k), step):
+                    net.learn(ctx[:, at : at + step], c[at : at + step], m[at : at + step], g2)
         if n:
             value = np.append(np.rint(net.flat.astype(np.float64) / UNIT * n / 1024), n).astype("<i8")
             parts = [value[a : a + 4096].tobytes() for a in range(0, len(value), 4096)]
@@ -331,18 +322,19 @@ def train(corpus: DataFrame, tables: Tables, rounds: int = ROUNDS) -> Net:
     """A network trained on the whole coded corpus.
 
     In each round every task starts from the shared parameters and takes gradient steps
-    over the masked positions of its documents; the parameters are then averaged, weighted
-    by positions, in Spark: first by block and salt, then by block. Each round masks
-    another ``rounds``-th of the positions, so all rounds together train on every position
-    once. What comes to the driver is one set of parameters.
+    over its documents, each word masked in turn; the parameters are then averaged,
+    weighted by positions, in Spark: first by block and salt, then by block. Each round
+    takes another ``rounds``-th of the batches of documents, so all rounds together train
+    on every position once. What comes to the driver is one set of parameters.
 
-    Counts and masks don't depend on how rows are dealt to tasks; the averaged parameters
-    do, since each task learns from its own rows in turn.
+    Counts don't depend on how rows are dealt to tasks; the averaged parameters do, since
+    each task learns from its own rows in turn.
     """
     net, kind = Net(), "salt int, block int, v binary"
     for turn in range(rounds):
         shared = corpus.sparkSession.sparkContext.broadcast((tables, net.flat))
-        parts = corpus.select("sizes", "codes").mapInArrow(_trained(shared, turn, rounds), kind).repartition("salt", "block").mapInArrow(_added, kind)
+        own = corpus.filter(F.pmod(F.xxhash64("b"), F.lit(rounds)) == turn).select("sizes", "codes")
+        parts = own.mapInArrow(_trained(shared), kind).repartition("salt", "block").mapInArrow(_added, kind)
         sums = parts.withColumn("salt", F.lit(0)).repartition("block").mapInArrow(_added, kind).toArrow().sort_by("block")
         flat = np.frombuffer(b"".join(sums.column("v").to_pylist()), "<i8").astype(float)
         net = Net(flat[:-1] * UNIT * 1024 / flat[-1]) if len(flat) else net
@@ -381,7 +373,7 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per row of ``docs``: id, n_tokens, pll, mean_pll, n_alone.
 
     pll sums, over every word of the whole text, its log probability given the words on
-    both sides. One of the 4,096 most frequent words gets it from the network alone: that
+    both sides. One of the 2,048 most frequent words gets it from the network alone: that
     of its block of words, and that within the block, both from what is around. Any other
     word gets that of its ending from the network, and within the ending its share of the
     corpus by its own count, with this occurrence left out (plus ``OTHERS``). The ``vocab``

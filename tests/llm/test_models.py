@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from paygrove.llm import chat, langid, lm, toxicity
 
@@ -102,7 +103,7 @@ def test_lm_prefers_the_corpus_order(spark):
     assert got[100].pll == 0 and got[100].mean_pll is None and got[101].n_tokens == 0
     assert got[102].mean_pll < got[0].mean_pll < 0
     lexicon, corpus = lm.coded(df, "doc_id", "text", 1000, lm.word_table(df))
-    net = lm.train(corpus, lexicon.tables, rounds=8)
+    net = lm.train(corpus, lexicon.tables)
     ws = ("the cat sat on a mat while the dog ran in a park " * 5).encode().split()
     mixed = list(np.random.default_rng(0).permutation(np.array(ws, object)))
 
@@ -114,11 +115,18 @@ def test_lm_prefers_the_corpus_order(spark):
     assert lm.pseudo_likelihood(df.limit(0)).count() == 0
 
 
-def test_lm_trains_on_every_position():
-    for sizes in ([1, 0, 9, 300], [0], [20_000]):
-        sizes = np.array(sizes)
-        for rounds in (1, lm.ROUNDS, 5):
-            assert sum(lm._masked(sizes, t, rounds).astype(int) for t in range(rounds)).tolist() == [1] * sizes.sum()
+def test_lm_trains_on_every_position(spark):
+    """The positions that tasks say they learned from add up to all words, once over the rounds."""
+    df = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 7}" for j in range(k % 50))) for k in range(300)] + [(900, None)], "doc_id long, text string").repartition(9)
+    lexicon, corpus = lm.coded(df, "doc_id", "text", 1000, lm.word_table(df))
+    assert corpus.selectExpr("sum(aggregate(sizes, 0, (a, x) -> a + x))").first()[0] == sum(k % 50 for k in range(300))
+    shared = spark.sparkContext.broadcast((lexicon.tables, lm.Net().flat))
+    n = 0
+    for turn in range(lm.ROUNDS):
+        own = corpus.filter(F.pmod(F.xxhash64("b"), F.lit(lm.ROUNDS)) == turn).select("sizes", "codes")
+        last = own.mapInArrow(lm._trained(shared), "salt int, block int, v binary").collect()
+        n += sum(int(np.frombuffer(r.v, "<i8")[-1]) for r in last if r.block == max(x.block for x in last))
+    assert n == sum(k % 50 for k in range(300))
 
 
 def plain_score(ws, n, top, net):
@@ -137,10 +145,11 @@ def plain_score(ws, n, top, net):
             h = h + net.near[k][lm.SEEN if x is None else own.get(x, lm.OWN + lm.ending(x))]
         h = np.tanh(h)
         soft = lambda z: z - np.log(np.exp(z).sum())
-        z = soft(h @ net.out + net.prior)
+        h = np.append(h, 1.0)
+        z = soft(h @ net.out)
         if w in block:
             b, m = divmod(block[w], lm.BLOCK)
-            total += z[b] + soft(h @ net.inner[b] + net.inner_prior[b])[m]
+            total += z[b] + soft(h @ net.inner[b])[m]
         else:
             total += z[lm.BLOCKS + lm.ending(w)] + np.log((n[w] - 1 + lm.OTHERS) / rest[lm.ending(w)])
     return total

@@ -21,14 +21,6 @@ def account_key(secret: bytes, name: Column) -> Column:
     return F.substring(hmac_sha256(secret, name), 1, 12)
 
 
-def keyed_once(df: DataFrame, cols: list[str], secret: bytes) -> DataFrame:
-    """``df`` with each name column replaced by its key, hashed once per distinct name."""
-    names = df.select(F.explode(F.array(*cols)).alias("name")).distinct().withColumn("key", account_key(secret, F.col("name")))
-    for c in cols:
-        df = df.join(names.select(F.col("name").alias(c), F.col("key").alias(f"__{c}")), c, "left").withColumn(c, F.col(f"__{c}")).drop(f"__{c}")
-    return df
-
-
 def node_key(dataset: Column, key: Column) -> Column:
     return F.concat_ws("#", dataset, key)
 

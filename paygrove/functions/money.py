@@ -6,8 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MICRO = 1_000_000
-# Decimal places of each currency.
-EXPONENTS = {"USD": 2, "EUR": 2, "GBP": 2, "UGX": 2, "JPY": 0, "BTC": 8}
+# Currencies as the sources name them, and decimal places where they aren't two. The sources write
+# every amount but bitcoin with up to two places, yen too.
+CURRENCY_NAMES = {
+    "US Dollar": "USD", "Euro": "EUR", "Swiss Franc": "CHF", "Yuan": "CNY", "Shekel": "ILS", "Mexican Peso": "MXN", "Indian Rupee": "INR",
+    "Canadian Dollar": "CAD", "Congo Franc": "CDF", "Malaysian": "MYR", "Brazilian Real": "BRL", "British Pound": "GBP", "Romanian Leu": "RON",
+    "Turkish Lira": "TRY", "Vietnamese Dong": "VND", "Australian Dollar": "AUD", "Brazil Real": "BRL", "Ruble": "RUB", "Rupee": "INR",
+    "Saudi Riyal": "SAR", "UK Pound": "GBP", "Yen": "JPY", "Bitcoin": "BTC",
+}
+PLACES, OTHER_PLACES = 2, {"BTC": 8}
+EXPONENTS = {c: OTHER_PLACES.get(c, PLACES) for c in sorted({*CURRENCY_NAMES.values(), "UGX"})}
 
 
 def two_places(text: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paygrove.functions import keys, money, times
+from paygrove.operators.ranks import running
+from paygrove.session import checkpoint
 
 # The canonical event, its types, and the raw sources' columns.
 CANONICAL = T.StructType([
@@ -16,12 +18,13 @@ CANONICAL = T.StructType([
     T.StructField("account_to", T.StringType(), False), T.StructField("src_balance_before_minor", T.LongType()), T.StructField("src_balance_after_minor", T.LongType()),
     T.StructField("dst_balance_before_minor", T.LongType()), T.StructField("dst_balance_after_minor", T.LongType()), T.StructField("label_is_fraud", T.IntegerType(), False),
     T.StructField("label_is_flagged", T.IntegerType(), False), T.StructField("label_typology", T.StringType()), T.StructField("source_dataset", T.StringType(), False),
-    T.StructField("batch_id", T.StringType(), False),
+    T.StructField("batch_id", T.StringType(), False), T.StructField("event_ts_utc", T.TimestampType(), False), T.StructField("run_id", T.StringType(), False),
+    T.StructField("ingested_at", T.TimestampType(), False),
 ])
 RAW_A = ["step", "type", "amount", "nameOrig", "oldbalanceOrg", "newbalanceOrig", "nameDest", "oldbalanceDest", "newbalanceDest", "isFraud", "isFlaggedFraud"]
 RAW_B = ["ts", "from_bank", "from_account", "to_bank", "to_account", "amount_received", "receiving_ccy", "amount_paid", "payment_ccy", "payment_format", "is_laundering"]
 TYPES_A = ("CASH_IN", "CASH_OUT", "DEBIT", "PAYMENT", "TRANSFER")
-CURRENCY_NAMES = {"US Dollar": "USD", "Euro": "EUR", "UK Pound": "GBP", "Yen": "JPY", "Bitcoin": "BTC", "Shilling": "UGX"}
+CURRENCY_NAMES = money.CURRENCY_NAMES
 FORMATS_B = ("ACH", "Bitcoin", "Cash", "Cheque", "Credit Card", "Reinvestment", "Wire")
 
 
@@ -87,20 +90,29 @@ def quarantine(bad: DataFrame, dataset: str, columns: list[str]) -> DataFrame:
         F.to_json(F.struct(*columns)).alias("payload_json"))
 
 
+def first_of(rows: DataFrame, key: list[str], payload: list[str], order: str) -> DataFrame:
+    """Per key: (n, same, first): its rows, whether their payloads agree, and the first row whole.
+
+    Payloads are compared by digest in one aggregate, so a key with many copies is never
+    gathered and the first row needs no join.
+    """
+    digest = keys.row_digest(*[F.col(c) for c in payload])
+    whole = F.struct(F.col(order).alias("__o"), F.struct(*rows.columns).alias("row"))
+    return rows.groupBy(*[F.col(c).alias(f"__k_{c}") for c in key]).agg(
+        F.count(F.lit(1)).alias("n"), (F.min(digest) == F.max(digest)).alias("same"), F.min(whole)["row"].alias("first"))
+
+
 def split_duplicates(rows: DataFrame, key: list[str], payload: list[str], order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(kept, conflicts, counts): equal rows of a key once, keys with differing payloads not at all.
 
-    ``counts`` is one row: dropped and conflicting rows. Payloads are compared by digest
-    in an aggregate over keys, so a key with many copies is never gathered.
+    ``counts`` is one row: dropped and conflicting rows. Only the few keys whose payloads
+    differ look up their rows again.
     """
-    d = rows.withColumn("__p", keys.row_digest(*[F.col(c) for c in payload]))
-    per = d.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.min("__p").alias("__a"), F.max("__p").alias("__z"), F.min(order).alias("__first"))
-    j = d.join(per.select(*[F.col(c).alias(f"__k_{c}") for c in key], "__n", "__a", "__z", "__first"), _null_safe(key)).drop(*[f"__k_{c}" for c in key])
-    same = F.col("__a") == F.col("__z")
-    kept = j.filter(same & (F.col(order) == F.col("__first"))).select(*rows.columns)
-    conflicts = j.filter(~same).select(*rows.columns)
-    counts = per.agg(F.coalesce(F.sum(F.when(same, F.col("__n") - 1)), F.lit(0)).alias("dropped"), F.coalesce(F.sum(F.when(~same, F.col("__n"))), F.lit(0)).alias("conflicting"))
-    return kept, conflicts, counts
+    per = first_of(rows, key, payload, order)
+    differ = per.filter("not same").select(*[f"__k_{c}" for c in key])
+    conflicts = rows.join(differ, _null_safe(key), "left_semi")
+    counts = per.agg(F.coalesce(F.sum(F.when(F.col("same"), F.col("n") - 1)), F.lit(0)).alias("dropped"), F.coalesce(F.sum(F.when(~F.col("same"), F.col("n"))), F.lit(0)).alias("conflicting"))
+    return per.filter("same").select("first.*"), conflicts, counts
 
 
 def _null_safe(key: list[str]) -> Column:
@@ -110,6 +122,11 @@ def _null_safe(key: list[str]) -> Column:
     return cond
 
 
+def landed(events: DataFrame, run_id: str, ingested_us: int) -> DataFrame:
+    """Events with the columns of their landing: the instant as a timestamp, the run, and when it came in."""
+    return events.withColumns({"event_ts_utc": F.timestamp_micros("ts_us"), "run_id": F.lit(run_id), "ingested_at": F.timestamp_micros(F.lit(ingested_us))})
+
+
 def canonical_a(
     raw: DataFrame, batch_id: str, secret: bytes, epoch_us: int, dataset: str = "source_a", zone: str = "Africa/Kampala", now_us: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +139,7 @@ def canonical_a(
     minor = lambda c: money.any_decimal(F.col(c).cast("string"))[0]
     k = kept.withColumn("digest", digest)
     k = k.withColumn("ts_us", times.step_instant(F.col("step").cast("long"), epoch_us, keys.digest_offset(F.col("digest"), times.HOUR_US, 9)))
-    k = keys.keyed_once(k, ["nameOrig", "nameDest"], secret)
+    k = k.withColumns({c: keys.account_key(secret, F.col(c)) for c in ("nameOrig", "nameDest")})
     future = F.lit(False) if now_us is None else F.col("ts_us") > F.lit(now_us)
     events = k.filter(~future).select(
         F.concat(F.lit(dataset + ":"), F.substring("digest", 1, 24)).alias("txn_id"), "ts_us", times.local_date(F.col("ts_us"), zone).alias("event_date_local"),
@@ -140,7 +157,7 @@ def canonical_a(
 
 
 def canonical_b(
-    raw: DataFrame, batch_id: str, secret: bytes, typologies: DataFrame | None = None, dataset: str = "source_b", zone: str = "UTC",
+    raw: DataFrame, batch_id: str, secret: bytes, typologies: DataFrame | None = None, dataset: str = "source_b", zone: str = "UTC", now_us: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(events, quarantine) of a source B batch with ``ordinal``; typologies join by ordinal."""
     d = raw.withColumns({"batch_id": F.lit(batch_id), "row_index": F.col("ordinal"), "reason": reason_b(zone=zone)})
@@ -149,7 +166,9 @@ def canonical_b(
         "ts_us": times.from_local(F.col("ts"), zone), "iso": ccy, "digest": keys.row_digest(*[F.col(c) for c in RAW_B]),
         "account_from": F.concat_ws("/", "from_bank", "from_account"), "account_to": F.concat_ws("/", "to_bank", "to_account")})
     k = k.withColumn("amount_minor", money.by_currency(F.col("amount_paid"), F.col("iso")))
-    k = keys.keyed_once(k, ["account_from", "account_to"], secret)
+    k = k.withColumns({c: keys.account_key(secret, F.col(c)) for c in ("account_from", "account_to")})
+    future = F.lit(False) if now_us is None else F.col("ts_us") > F.lit(now_us)
+    late, k = k.filter(future).withColumn("reason", F.lit("future_timestamp")), k.filter(~future)
     if typologies is not None:
         k = k.join(typologies.select(F.col("txn_ordinal").alias("ordinal"), "typology"), "ordinal", "left")
     else:
@@ -160,7 +179,8 @@ def canonical_b(
         times.local_hour(F.col("ts_us"), zone).alias("local_hour"), F.lower("payment_format").alias("txn_type"), F.lit("bank").alias("channel"), F.col("iso").alias("currency"),
         "amount_minor", "account_from", "account_to", *[none.alias(c) for c in ("src_balance_before_minor", "src_balance_after_minor", "dst_balance_before_minor", "dst_balance_after_minor")],
         F.col("is_laundering").cast("int").alias("label_is_fraud"), F.lit(0).alias("label_is_flagged"), F.col("typology").alias("label_typology"), F.lit(dataset).alias("source_dataset"), "batch_id")
-    return events, quarantine(d.filter("reason is not null"), dataset, RAW_B)
+    q = quarantine(d.filter("reason is not null"), dataset, RAW_B)
+    return events, q if now_us is None else q.unionByName(quarantine(late, dataset, RAW_B))
 
 
 def checks(events: DataFrame) -> DataFrame:
@@ -207,12 +227,11 @@ def reconcile(events: DataFrame) -> DataFrame:
 def connected_slice(events: DataFrame, n: int, pool: int = 64) -> DataFrame:
     """About ``n`` events among the busiest accounts: the pool doubles until its own events cover n, then a stride over time.
 
-    The account ranking is one table; each round is two semi-joins against it.
+    The account ranking is one table, ordered by ranges; each round is two semi-joins
+    against it. ``n`` is the size asked for.
     """
-    from paygrove.session import checkpoint
-
     busy = events.select(F.explode(F.array("account_from", "account_to")).alias("account")).groupBy("account").agg(F.count(F.lit(1)).alias("d"))
-    rank = checkpoint(busy.withColumn("r", F.row_number().over(Window.orderBy(F.desc("d"), "account"))))
+    rank = checkpoint(running(busy, [F.desc("d"), F.col("account")], name="r"))
     total = rank.count()
     while True:
         top = rank.filter(F.col("r") <= pool).select("account")
@@ -221,9 +240,9 @@ def connected_slice(events: DataFrame, n: int, pool: int = 64) -> DataFrame:
         if have >= n or pool >= total:
             break
         pool *= 2
-    w = Window.orderBy("ts_us", "txn_id")
-    i = F.row_number().over(w) - 1
-    return inside.withColumn("i", i).filter(F.floor(F.col("i") * n / max(have, n)) != F.floor((F.col("i") - 1) * n / max(have, n))).drop("i").limit(n)
+    at = running(inside, [F.col("ts_us"), F.col("txn_id")], name="i").withColumn("i", F.col("i") - 1)
+    step = lambda i: F.floor(i * F.lit(n) / F.lit(max(have, n)))
+    return at.filter(step(F.col("i")) != step(F.col("i") - 1)).drop("i")
 
 
 def corpus_shape(events: DataFrame) -> DataFrame:
@@ -246,9 +265,10 @@ def annotations(lines: DataFrame) -> DataFrame:
     The running number of BEGIN lines names the block, and its head is carried down.
     """
     begin = F.col("line").rlike("^BEGIN ")
-    w = Window.orderBy("n")
-    d = lines.withColumn("attempt", F.sum(begin.cast("long")).over(w)).withColumn("ended", F.sum(F.col("line").rlike("^END ").cast("long")).over(w))
-    d = d.withColumn("head", F.last(F.when(begin, F.col("line")), ignorenulls=True).over(w))
+    d = running(lines, [F.col("n")], value=begin.cast("long"), name="attempt")
+    d = running(d, [F.col("n")], value=F.col("line").rlike("^END ").cast("long"), name="ended")
+    heads = d.filter(begin).select(F.col("attempt").alias("of"), F.col("line").alias("head"))
+    d = d.join(heads, F.col("attempt") == F.col("of"))
     rows = d.filter(~begin & ~F.col("line").rlike("^END ") & (F.col("attempt") > F.col("ended")) & (F.trim("line") != ""))
     return rows.select(
         "n", F.format_string("attempt-%06d", "attempt").alias("attempt_id"), F.lower(F.regexp_extract("head", r"^BEGIN [A-Z ]+ - ([A-Z-]+)", 1)).alias("typology"),

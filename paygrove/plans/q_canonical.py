@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from paygrove.functions import keys, money, times
 from paygrove.operators import canonical as c
+from paygrove.session import checkpoint
 from paygrove.plans.tables import EV, HOUR, LI, pay_events, pay_lineitem, table
 
 SECRET = b"a salt for tests"
 EPOCH = 1_704_067_200_000_000  # 2024-01-01
+NOW = 1_767_225_600_000_000  # 2026-01-01
 
 
 def raw_a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ kp AS (SELECT *, sha256(concat_ws('|', step, type, amount, nameOrig, nameDest))
 
 def canonical_a(spark, sf_dir):
     e, _ = c.canonical_a(raw_a(spark, sf_dir), "b1", SECRET, EPOCH, zone="UTC")
-    return c.check_schema(_as_contract(e)).select("txn_id", "ts_us", "event_date_local", "local_hour", "txn_type", "amount_minor", "label_is_fraud", "src_balance_after_minor")
+    return c.check_schema(_as_contract(c.landed(e, "run1", NOW))).select("txn_id", "ts_us", "event_date_local", "local_hour", "txn_type", "amount_minor", "label_is_fraud", "src_balance_after_minor")
 
 
 def _as_contract(e: DataFrame) -> DataFrame:
@@ -81,10 +83,10 @@ def raw_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.conv(F.substring("txn_id", 4, 8), 16, 10).cast("long")
     m = h % 60
     amount = money.to_text(F.col("amount_minor"))
-    cur = F.element_at(F.array(*[F.lit(x) for x in ("US Dollar", "Euro", "Yen", "Bitcoin")]), (h % 4 + 1).cast("int"))
+    cur = F.element_at(F.array(*[F.lit(x) for x in money.CURRENCY_NAMES]), (h % len(money.CURRENCY_NAMES) + 1).cast("int"))
     d = li.select(
         h.alias("h"), "txn_id",
-        F.when(m == 1, "2024/13/01 10:00").when(m == 2, "yesterday").otherwise(F.date_format(F.timestamp_micros("ts_us"), "yyyy/MM/dd HH:mm")).alias("ts"),
+        F.when(m == 1, "2024/13/01 10:00").when(m == 2, "yesterday").when(m == 8, "2031/01/01 00:00").otherwise(F.date_format(F.timestamp_micros("ts_us"), "yyyy/MM/dd HH:mm")).alias("ts"),
         F.lit("001").alias("from_bank"), F.col("account_from").alias("from_account"), F.when(m == 3, " ").otherwise("002").alias("to_bank"), F.col("account_to").alias("to_account"),
         amount.alias("amount_received"), cur.alias("receiving_ccy"), F.when(m == 4, "1e5").when(cur == "Yen", F.split_part(amount, F.lit("."), F.lit(1))).otherwise(amount).alias("amount_paid"),
         F.when(m == 5, "Florin").otherwise(cur).alias("payment_ccy"), F.when(m == 6, "Barter").otherwise("Wire").alias("payment_format"), F.when(m == 7, F.lit(None)).otherwise(F.col("label_is_fraud").cast("string")).alias("is_laundering"),
@@ -95,18 +97,28 @@ def raw_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 def canonical_b(spark, sf_dir):
     raw = raw_b(spark, sf_dir)
     typ = raw.filter("h % 100 = 0").select(F.col("ordinal").alias("txn_ordinal"), F.lit("fan-out").alias("typology")).distinct()
-    e, q = c.canonical_b(raw, "b2", SECRET, typ)
-    a = e.groupBy("currency", "label_typology").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_minor").alias("total_minor"), F.min("ts_us").alias("first_ts_us")).withColumn("reason", F.lit(None).cast("string"))
-    b = q.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-    return a.unionByName(b, allowMissingColumns=True).fillna(0, ["total_minor", "first_ts_us"]).fillna("", ["currency", "label_typology", "reason"])
+    e, _ = c.canonical_b(raw, "b2", SECRET, typ, now_us=NOW)
+    a = e.groupBy("currency", "label_typology", "label_is_fraud").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount_minor").alias("total_minor"), F.min("ts_us").alias("first_ts_us"), F.countDistinct("account_from").alias("senders"))
+    return a.fillna("", ["label_typology"])
 
 
-_CAN_B = f"""WITH {LI}, b0 AS (SELECT *, ('0x' || substr(txn_id, 4, 8))::BIGINT AS h, (amount_minor // 100) || '.' || lpad((amount_minor % 100)::VARCHAR, 2, '0') AS amt FROM li),
-b1 AS (SELECT *, h % 60 AS m, ['USD', 'EUR', 'JPY', 'BTC'][h % 4 + 1] AS iso FROM b0),
-b2 AS (SELECT *, CASE WHEN m = 7 THEN 'null_field' WHEN m = 2 THEN 'timestamp_shape' WHEN m = 1 THEN 'timestamp_range' WHEN m = 4 THEN 'amount_shape' WHEN m = 5 THEN 'unknown_currency' WHEN m = 6 THEN 'unknown_format' WHEN m = 3 THEN 'blank_bank' END AS reason,
-  CASE iso WHEN 'JPY' THEN amount_minor // 100 WHEN 'BTC' THEN amount_minor * 1000000 ELSE amount_minor END AS v FROM b1)
-SELECT iso AS currency, CASE WHEN h % 100 = 0 THEN 'fan-out' ELSE '' END AS label_typology, count(*) AS n, CAST(sum(v) AS BIGINT) AS total_minor, min(ts_us // 60000000 * 60000000) AS first_ts_us, '' AS reason FROM b2 WHERE reason IS NULL GROUP BY 1, 2
-UNION ALL SELECT '', '', count(*), 0, 0, reason FROM b2 WHERE reason IS NOT NULL GROUP BY reason"""
+def quarantine_b(spark, sf_dir):
+    _, q = c.canonical_b(raw_b(spark, sf_dir), "b2", SECRET, now_us=NOW)
+    return q.select("batch_id", "source_dataset", "row_index", "reason", F.get_json_object("payload_json", "$.amount_paid").alias("amount"), F.get_json_object("payload_json", "$.payment_ccy").alias("ccy"))
+
+
+_NAMES = ", ".join(f"'{x}'" for x in money.CURRENCY_NAMES)
+_ISO = ", ".join(f"'{x}'" for x in money.CURRENCY_NAMES.values())
+_RAW_B = f"""{LI}, b0 AS (SELECT *, ('0x' || substr(txn_id, 4, 8))::BIGINT AS h, (amount_minor // 100) || '.' || lpad((amount_minor % 100)::VARCHAR, 2, '0') AS amt FROM li),
+b1 AS (SELECT *, h % 60 AS m, [{_NAMES}][h % {len(money.CURRENCY_NAMES)} + 1] AS name, [{_ISO}][h % {len(money.CURRENCY_NAMES)} + 1] AS iso FROM b0),
+b2 AS (SELECT *, CASE m WHEN 7 THEN 'null_field' WHEN 2 THEN 'timestamp_shape' WHEN 1 THEN 'timestamp_range' WHEN 4 THEN 'amount_shape' WHEN 5 THEN 'unknown_currency' WHEN 6 THEN 'unknown_format' WHEN 3 THEN 'blank_bank'
+  WHEN 8 THEN 'future_timestamp' END AS reason,
+  CASE WHEN m = 4 THEN '1e5' WHEN iso = 'JPY' THEN (amount_minor // 100)::VARCHAR ELSE amt END AS paid,
+  CASE iso WHEN 'JPY' THEN amount_minor // 100 * 100 WHEN 'BTC' THEN amount_minor * 1000000 ELSE amount_minor END AS v FROM b1)"""
+_CAN_B = f"""WITH {_RAW_B} SELECT iso AS currency, CASE WHEN h % 100 = 0 THEN 'fan-out' ELSE '' END AS label_typology, label_is_fraud, count(*) AS n, CAST(sum(v) AS BIGINT) AS total_minor,
+  min(ts_us // 60000000 * 60000000) AS first_ts_us, count(DISTINCT account_from) AS senders FROM b2 WHERE reason IS NULL GROUP BY 1, 2, 3"""
+_QUAR_B = f"WITH {_RAW_B} SELECT 'b2' AS batch_id, 'source_b' AS source_dataset, h AS row_index, reason, paid AS amount, CASE WHEN m = 5 THEN 'Florin' ELSE name END AS ccy FROM b2 WHERE reason IS NOT NULL"
 
 
 def amounts(spark, sf_dir):
@@ -120,23 +132,43 @@ def amounts(spark, sf_dir):
 _AMT = f"""WITH {_RAW}, x AS (SELECT row_index, amount, TRY_CAST(CASE WHEN amount = '1.0E3' THEN '1000.0' ELSE amount END AS DECIMAL(38, 8)) AS d FROM ra),
 y AS (SELECT *, CAST(round_even(CAST(d * 100 AS DOUBLE), 0) AS BIGINT) AS v FROM x)
 SELECT row_index, CASE WHEN regexp_matches(amount, '^[0-9]+(\\.[0-9]{{1,2}})?$') THEN CAST(d * 100 AS BIGINT) END AS two_places, v AS any_minor, regexp_matches(amount, '[eE]') AS expanded,
-  d IS NOT NULL AND d * 100 <> v AS rounded, CAST(d * 100000000 AS BIGINT) AS btc, CASE WHEN d = floor(d) THEN CAST(d AS BIGINT) END AS jpy,
+  d IS NOT NULL AND d * 100 <> v AS rounded, CAST(d * 100000000 AS BIGINT) AS btc, CASE WHEN d * 100 = floor(d * 100) THEN CAST(d * 100 AS BIGINT) END AS jpy,
   CASE WHEN v < 0 THEN '-' ELSE '' END || (abs(v) // 100) || '.' || lpad((abs(v) % 100)::VARCHAR, 2, '0') AS text FROM y"""
 
 
 def event_checks(spark, sf_dir):
-    e, _ = c.canonical_a(raw_a(spark, sf_dir), "b1", SECRET, EPOCH)
-    return c.checks(e)
+    """The checks over events some of which are spoilt, each in one way."""
+    e = pay_events(spark, sf_dir)
+    on = lambda k: F.col("event_id") % k == 0
+    key = lambda col: F.substring(F.md5(F.col(col).cast("binary")), 1, 12)
+    d = e.select(
+        F.when(on(101), F.col("txn_id")).otherwise(F.concat(F.lit("events:"), "event_id")).alias("txn_id"), "source_dataset", "ts_us",
+        F.when(on(103), -1).otherwise(F.col("amount_minor")).alias("amount_minor"), F.when(on(107), 2).otherwise(F.col("label_is_fraud")).alias("label_is_fraud"), "label_is_flagged",
+        F.when(on(109), 24).otherwise(F.col("local_hour")).alias("local_hour"), F.when(on(113), F.date_add("event_date_local", 4)).otherwise(F.col("event_date_local")).alias("event_date_local"),
+        F.when(on(127), F.upper(F.concat(F.lit("z"), key("account_from")))).otherwise(key("account_from")).alias("account_from"), key("account_to").alias("account_to"),
+        F.when(on(131), None).otherwise(F.col("src_balance_before_minor")).alias("src_balance_before_minor"), "src_balance_after_minor", "dst_balance_before_minor", "dst_balance_after_minor", "event_id")
+    return c.checks(d.unionByName(d.filter(on(137))))
 
 
-_CHECKS = """SELECT 0::BIGINT AS id_not_namespaced, 0::BIGINT AS negative_amount, 0::BIGINT AS label_not_binary, 0::BIGINT AS hour_range, 0::BIGINT AS date_drift, 0::BIGINT AS key_shape,
-0::BIGINT AS partial_balances, 0::BIGINT AS order_not_unique"""
+_CHECKS = f"""WITH {EV}, d AS (SELECT event_id AS i FROM ev UNION ALL SELECT event_id FROM ev WHERE event_id % 137 = 0)
+SELECT count(*) FILTER (WHERE i % 101 = 0) AS id_not_namespaced, count(*) FILTER (WHERE i % 103 = 0) AS negative_amount, count(*) FILTER (WHERE i % 107 = 0) AS label_not_binary,
+  count(*) FILTER (WHERE i % 109 = 0) AS hour_range, count(*) FILTER (WHERE i % 113 = 0) AS date_drift, count(*) FILTER (WHERE i % 127 = 0) AS key_shape,
+  count(*) FILTER (WHERE i % 131 = 0) AS partial_balances, count(DISTINCT i) FILTER (WHERE i % 137 = 0) AS order_not_unique FROM d"""
 
 
 def sources(spark, sf_dir):
+    """Both sources per batch: rows, balances, labels, window, base rate."""
     a, _ = c.canonical_a(raw_a(spark, sf_dir), "b1", SECRET, EPOCH)
-    b, _ = c.canonical_b(raw_b(spark, sf_dir), "b2", SECRET)
-    return c.balances_per_source(a.unionByName(b)).join(c.batch_manifest(a.unionByName(b)).select("source_dataset", "batch_id", "first_ts_us", "last_ts_us", F.round("fraud_rate", 9).alias("fraud_rate")), "source_dataset")
+    b, _ = c.canonical_b(raw_b(spark, sf_dir), "b2", SECRET, now_us=NOW)
+    both = checkpoint(a.unionByName(b))
+    man = c.batch_manifest(both).select("source_dataset", "batch_id", "first_ts_us", "last_ts_us", F.round("fraud_rate", 9).alias("fraud_rate"))
+    return c.balances_per_source(both).join(man, "source_dataset")
+
+
+_SOURCES = f"""WITH {_RAW}, {_RAW_B}, x AS (SELECT 'source_a' AS s, 'b1' AS b, {EPOCH} + step::BIGINT * {HOUR} + ('0x' || substr(digest, 9, 8))::BIGINT % {HOUR} AS t, isFraud AS f, 1 AS bal FROM kp
+  UNION ALL SELECT 'source_b', 'b2', ts_us // 60000000 * 60000000, label_is_fraud, NULL FROM b2 WHERE reason IS NULL)
+SELECT s AS source_dataset, count(*) AS n, count(bal) AS with_balance, 0::BIGINT AS with_typology, CAST(sum(f) AS BIGINT) AS fraud, 0::BIGINT AS typology_without_label, b AS batch_id, min(t) AS first_ts_us, max(t) AS last_ts_us,
+  round(avg(f), 9) AS fraud_rate FROM x GROUP BY s, b"""
 
 
 def reconcile(spark, sf_dir):
@@ -160,6 +192,14 @@ def slice_(spark, sf_dir):
     return c.connected_slice(pay_events(spark, sf_dir), 500).select("txn_id", "account_from", "account_to")
 
 
+_SLICE = f"""WITH {EV}, d AS (SELECT account, row_number() OVER (ORDER BY count(*) DESC, account) AS r FROM (SELECT account_from AS account FROM ev UNION ALL SELECT account_to FROM ev) GROUP BY 1),
+x AS (SELECT e.*, greatest(a.r, b.r) AS r FROM ev e JOIN d a ON a.account = e.account_from JOIN d b ON b.account = e.account_to),
+p AS (SELECT 64 * CAST(pow(2, k) AS BIGINT) AS pool FROM range(0, 40) t(k)), c AS (SELECT pool, (SELECT count(*) FROM x WHERE x.r <= pool) AS have FROM p),
+w AS (SELECT pool, have FROM c WHERE have >= 500 OR pool >= (SELECT count(*) FROM d) ORDER BY pool LIMIT 1),
+i AS (SELECT x.*, row_number() OVER (ORDER BY ts_us, txn_id) - 1 AS i, have FROM x, w WHERE r <= pool)
+SELECT txn_id, account_from, account_to FROM i WHERE floor(i * 500 / greatest(have, 500)) <> floor((i - 1) * 500 / greatest(have, 500))"""
+
+
 def lineitem_hash(spark, sf_dir):
     return keys.content_hash(pay_lineitem(spark, sf_dir).select("txn_id", "ts_us", "amount_minor", "channel"), ["channel"])
 
@@ -202,11 +242,11 @@ t AS (SELECT *, row_number() OVER (PARTITION BY account_from, account_to ORDER B
 SELECT a.txn_id AS a_id, t.txn_id AS t_id FROM a LEFT JOIN t ON a.account_from = t.account_from AND a.account_to = t.account_to AND a.k = t.k"""
 
 QUERIES = {
-    "canonical_a": canonical_a, "canonical_a_quarantine": quarantine_a, "canonical_a_duplicates": duplicates, "canonical_b": canonical_b, "money_text": amounts,
+    "canonical_a": canonical_a, "canonical_a_quarantine": quarantine_a, "canonical_a_duplicates": duplicates, "canonical_b": canonical_b, "canonical_b_quarantine": quarantine_b, "money_text": amounts,
     "canonical_checks": event_checks, "canonical_sources": sources, "money_reconciled": reconcile, "corpus_shape": shape, "connected_slice": slice_, "content_hash": lineitem_hash,
     "table_diff": diff, "clocks": clocks, "fifo_match": fifo,
 }
 ORACLE = {
-    "canonical_a": _CAN_A, "canonical_a_quarantine": _QUAR, "canonical_a_duplicates": _DUPS, "canonical_b": _CAN_B, "money_text": _AMT, "canonical_checks": _CHECKS,
+    "canonical_a": _CAN_A, "canonical_a_quarantine": _QUAR, "canonical_a_duplicates": _DUPS, "canonical_b": _CAN_B, "canonical_b_quarantine": _QUAR_B, "canonical_sources": _SOURCES, "connected_slice": _SLICE, "money_text": _AMT, "canonical_checks": _CHECKS,
     "money_reconciled": _RECON, "corpus_shape": _SHAPE, "content_hash": _HASH, "table_diff": _DIFF, "clocks": _CLOCKS, "fifo_match": _FIFO,
 }

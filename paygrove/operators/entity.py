@@ -70,13 +70,3 @@ def link_reversals(events: DataFrame) -> DataFrame:
     best = F.max(F.when(~rev, F.struct("ts_us", "txn_id"))).over(w)
     return d.withColumn("reversal_of", F.when(rev, best["txn_id"])).drop("a", "b")
 
-
-def one_currency(events: DataFrame) -> DataFrame:
-    """Accounts that appear in more than one currency; a feature frame needs this to be empty."""
-    sides = events.select(F.col("account_from").alias("account"), "currency").union(events.select("account_to", "currency"))
-    return sides.groupBy("account").agg(F.count_distinct("currency").alias("currencies")).filter("currencies > 1")
-
-
-def horizon(events: DataFrame, as_of_us: int) -> DataFrame:
-    """Events up to the instant, for a fold."""
-    return events.filter(F.col("ts_us") <= as_of_us)

@@ -138,30 +138,6 @@ def _swept(d: DataFrame, keys: list[str], fs: list[tuple[Feature, Column]], wher
     return (d.withColumns(out) if out else d).drop(*drop)
 
 
-def attach_graph(matrix: DataFrame, nodes: DataFrame, features: list[Feature] | None = None) -> DataFrame:
-    """Node attributes of a fold, by entity; null for an account the graph didn't see."""
-    fs = [f for f in (features or FEATURES) if f.kind == "graph" and f.source in nodes.columns]
-    n = nodes.select(F.col("account").alias("entity"), *[F.col(f.source).alias(f.name) for f in fs])
-    return matrix.join(n, "entity", "left")
-
-
-def attach_rules(matrix: DataFrame, hits: DataFrame, features: list[Feature] | None = None) -> DataFrame:
-    """Highest severity per rule, hits and highest of all, by entity; null without a hit."""
-    fs = [f for f in (features or FEATURES) if f.kind == "rule"]
-    per = hits.groupBy(F.col("account_key").alias("entity")).agg(*[
-        F.count(F.lit(1)).alias(f.name) if f.source == "COUNT" else F.max("severity").alias(f.name) if f.source == "MAX"
-        else F.max(F.when(F.col("rule_id") == f.source, F.col("severity"))).alias(f.name) for f in fs
-    ])
-    return matrix.join(per, "entity", "left")
-
-
-def sealed(table: DataFrame, cutoff_us: int, seen_col: str = "last_ts_us") -> DataFrame:
-    """A fold's table, refused if anything in it was seen after the cutoff."""
-    late = F.max(seen_col) > F.lit(cutoff_us)
-    worst = table.agg(F.when(late, F.raise_error(F.lit("the fold's table saw rows after its cutoff"))).alias("x"))
-    return table.join(worst.select(F.coalesce(F.col("x").cast("string"), F.lit("")).alias("__ok"))).drop("__ok")
-
-
 def check_hash(stored: str, features: list[Feature]) -> None:
     if stored != spec_hash(features):
         raise ValueError("the stored table was built from other declarations")
@@ -191,8 +167,3 @@ def winsorise(df: DataFrame, bounds: DataFrame, cols: list[str]) -> DataFrame:
     clip = {c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c).cast("double"), F.col(f"__hi_{c}")), F.col(f"__lo_{c}"))) for c in cols}
     return d.withColumns(clip).select(*df.columns)
 
-
-def not_finite(matrix: DataFrame, cols: list[str]) -> DataFrame:
-    """Count of NaN and infinite values per column; all must be 0."""
-    bad = [F.count_if(F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))).alias(c) for c in cols]
-    return matrix.agg(*bad)

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paygrove.operators.ranks import running
+from paygrove.session import checkpoint
+
+POLICIES = ("threshold", "rules_only", "highest_amount", "random", "ev_greedy")
+
 
 def by_score(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """Per distinct score: rows, positives, and both counted from the top.
@@ -13,42 +18,43 @@ def by_score(df: DataFrame, keys: list[str], score: str = "score", label: str =
     aggregated once, before any ordering.
     """
     g = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("p"))
-    w = Window.partitionBy(*keys).orderBy(F.desc(score))
-    all_ = Window.partitionBy(*keys)
-    return g.withColumns({"n_top": F.sum("n").over(w), "p_top": F.sum("p").over(w), "n_all": F.sum("n").over(all_), "p_all": F.sum("p").over(all_)})
+    g = running(g, [F.desc(score)], tuple(keys), F.col("n"), "n_top", also={"p_top": F.col("p")})
+    every = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("n_all"), F.sum(label).alias("p_all"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return g.join(every, same).drop(*[f"__{k}" for k in keys])
 
 
 def average_precision(df: DataFrame, keys: list[str], key: str = "account_key", score: str = "score", label: str = "label") -> DataFrame:
     """Average precision with ties broken by key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), key)
-    d = df.withColumn("r", F.row_number().over(w)).withColumn("c", F.sum(label).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = running(df.select(*keys, score, key, label), [F.desc(score), F.col(key)], tuple(keys), name="r", also={"c": F.col(label)})
     return d.groupBy(*keys).agg((F.sum(F.when(F.col(label) == 1, F.col("c") / F.col("r"))) / F.sum(label)).alias("average_precision"))
 
 
-def average_precision_ties(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """Average precision in which equal scores are one step."""
-    g = by_score(df, keys, score, label)
+def average_precision_ties(df: DataFrame, keys: list[str], score: str = "score", label: str = "label", by: DataFrame | None = None) -> DataFrame:
+    """Average precision in which equal scores are one step. ``by`` is the table of ``by_score``, where it is there already."""
+    g = by_score(df, keys, score, label) if by is None else by
     return g.groupBy(*keys).agg((F.sum(F.col("p") * F.col("p_top") / F.col("n_top")) / F.max("p_all")).alias("average_precision"))
 
 
-def auroc(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
+def auroc(df: DataFrame, keys: list[str], score: str = "score", label: str = "label", by: DataFrame | None = None) -> DataFrame:
     """Mann-Whitney with average ranks, from exact integer counts."""
-    g = by_score(df, keys, score, label)
+    g = by_score(df, keys, score, label) if by is None else by
     below = (F.col("n_all") - F.col("p_all")) - (F.col("n_top") - F.col("p_top"))
     wins = F.sum(F.col("p") * (2 * below + (F.col("n") - F.col("p"))))
     pairs = F.max("p_all") * (F.max("n_all") - F.max("p_all"))
     return g.groupBy(*keys).agg(F.when(pairs > 0, wins / (2 * pairs)).alias("auroc"))
 
 
-def ks(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    g = by_score(df, keys, score, label)
+def ks(df: DataFrame, keys: list[str], score: str = "score", label: str = "label", by: DataFrame | None = None) -> DataFrame:
+    g = by_score(df, keys, score, label) if by is None else by
     return g.groupBy(*keys).agg(F.max(F.abs(F.col("p_top") / F.col("p_all") - (F.col("n_top") - F.col("p_top")) / (F.col("n_all") - F.col("p_all")))).alias("ks"))
 
 
 def at_budget(df: DataFrame, keys: list[str], budget: int, key: str = "account_key", score: str = "score", label: str = "label") -> DataFrame:
     """Precision and recall of the first ``budget`` rows; null where undefined."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), key)
-    d = df.withColumn("r", F.row_number().over(w))
+    d = running(df.select(*keys, score, key, label), [F.desc(score), F.col(key)], tuple(keys), name="r")
     hit, n, p = F.sum(F.when(F.col("r") <= budget, F.col(label))), F.least(F.count(F.lit(1)), F.lit(budget)), F.sum(label)
     return d.groupBy(*keys).agg(F.when(n > 0, hit / n).alias("precision"), F.when(p > 0, hit / p).alias("recall"))
 
@@ -133,7 +139,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks."""
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     for c in (x, y):
-        g = d.groupBy(c).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy(c)))
+        g = running(d.groupBy(c).agg(F.count(F.lit(1)).alias("n")), [F.col(c)], value=F.col("n"), name="upto")
         d = d.join(g.select(F.col(c).alias(f"__{c}"), (F.col("upto") - (F.col("n") - 1) / 2.0).alias(f"__r_{c}")), F.col(c) == F.col(f"__{c}"))
     return d.agg(F.corr(f"__r_{x}", f"__r_{y}").alias("rho"))
 
@@ -142,7 +148,7 @@ def policy_order(policy: str, seed: int = 5) -> list[Column]:
     """What each policy reviews first; ties by account."""
     return {
         "threshold": [F.desc("score"), F.col("account_key")], "rules_only": [F.desc("rule_severity"), F.col("account_key")],
-        "highest_amount": [F.desc("exposure_minor"), F.col("account_key")], "random": [F.xxhash64(F.lit(seed), F.col("account_key")), F.col("account_key")],
+        "highest_amount": [F.desc("exposure_minor"), F.col("account_key")], "random": [F.sha2(F.concat_ws("|", F.lit(seed), F.col("account_key")), 256), F.col("account_key")],
         "ev_greedy": [F.desc("density"), F.col("account_key")],
     }[policy]
 
@@ -175,6 +181,7 @@ def seeded_drop(df: DataFrame, share: float, seed: int, key: str = "account_key"
 def measure(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per slice: rows, positives, base rate, average precision, AUROC, Brier and KS."""
     base = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"), F.avg("label").alias("base_rate"))
-    for m in (average_precision_ties, auroc, brier, ks):
-        base = base.join(m(df, keys), keys)
+    by = checkpoint(by_score(df, keys))
+    for t in (average_precision_ties(df, keys, by=by), auroc(df, keys, by=by), brier(df, keys), ks(df, keys, by=by)):
+        base = base.join(t, keys) if keys else base.join(t)  # without keys one row each
     return base

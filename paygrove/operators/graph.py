@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paygrove.operators.components import connected_components
+from paygrove.operators.ranks import running
 from paygrove.session import checkpoint
 
 
@@ -70,7 +71,12 @@ def nearest_rank(df: DataFrame, value: str, q: float, keys: list[str] | None = N
     """
     keys = keys or []
     c = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    c = c.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy(value))).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
+    c = running(c, [F.col(value)], tuple(keys), F.col("n"), "upto")
+    every = c.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.sum("n").alias("all"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    c = c.join(every, same)
     at = F.least(F.floor(F.lit(q) * F.col("all")), F.col("all") - 1)
     return c.filter(F.col("upto") > at).groupBy(*keys).agg(F.min(value).alias(value))
 
@@ -211,7 +217,7 @@ def communities(events: DataFrame, rounds: int = 8) -> DataFrame:
         if not moved:
             break
     size = lab.groupBy("label").agg(F.count(F.lit(1)).alias("community_size"), F.min("account").alias("low"))
-    ids = size.withColumn("community_id", (F.row_number().over(Window.orderBy(F.desc("community_size"), "low")) - 1).cast("long"))
+    ids = running(size, [F.desc("community_size"), F.col("low")], name="community_id").withColumn("community_id", F.col("community_id") - 1)
     return lab.join(ids, "label").select("account", "community_id", "community_size")
 
 

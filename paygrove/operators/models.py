@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paygrove.operators.ranks import running
+
 
 def matrix(df: DataFrame, numeric: list[str], codes: list[str] = (), out: str = "x"):
     """(frame with a vector column, names): numbers with missing far below any value, strings as hash codes."""
@@ -72,8 +74,8 @@ def percentile_rank(reference: DataFrame, rows: DataFrame, col: str, out: str =
     ref = reference.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     both = rows.withColumns({"__v": F.col(col), "__o": F.lit(1), "__n": F.lit(0).cast("long")}).unionByName(ref.select(F.col("v").alias("__v"), F.lit(0).alias("__o"), F.col("n").alias("__n")), allowMissingColumns=True)
     total = reference.count()
-    w = Window.orderBy("__v", "__o").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(out, F.sum("__n").over(w) / F.lit(float(max(total, 1)))).filter("__o = 1").drop("__v", "__o", "__n")
+    both = running(both, [F.col("__v"), F.col("__o")], value=F.col("__n"), name="__upto").filter("__o = 1")
+    return both.withColumn(out, F.col("__upto") / F.lit(float(max(total, 1)))).drop("__v", "__o", "__n", "__upto")
 
 
 def fuse(valid: DataFrame, channels: list[str], label: str = "label"):
@@ -115,7 +117,7 @@ def rules_only(frame: DataFrame, severities: list[str]) -> DataFrame:
 
 def queue(scored: DataFrame, keys: list[str] = (), score: str = "score") -> DataFrame:
     """Rows with their rank by (score descending, account)."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), "account_key")))
+    return running(scored, [F.desc(score), F.col("account_key")], tuple(keys), name="rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def agreement(a: DataFrame, b: DataFrame, key: str = "account_key", band: str = "band") -> DataFrame:

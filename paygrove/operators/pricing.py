@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from paygrove.functions import money
 from paygrove.operators.paths import interval_join
+from paygrove.operators.ranks import running
 from paygrove.session import checkpoint
 
 DAY = 86_400_000_000
@@ -56,38 +57,31 @@ def totals(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
         F.sum("friction_minor").alias("friction_minor"), F.sum("exposure_minor").alias("exposure_minor"), F.sum("minutes").alias("minutes"), F.sum(1 - F.col("score")).alias("expected_wrong_touches"))
 
 
-def first_fit(rows: DataFrame, order: list, capacities: list[int], low: int = 5, high: int = 120, fan: int = 1024) -> DataFrame:
-    """(capacity, rows...): what a first-fit pass in ``order`` takes within each capacity of minutes.
+def first_fit(rows: DataFrame, order: list, capacities: list[int]) -> DataFrame:
+    """(capacity, rows..., rank): what a first-fit pass in ``order`` takes within each capacity of minutes.
 
-    Exact in two steps. Ranks are cut into blocks whose minutes are summed first, so the
-    prefix that fits is found over a small table. Past it less than ``high`` minutes are
-    left, and only the first floor(left / m) later rows of each minute class m can still
-    matter: a few hundred rows, which one grouped step goes through in order.
+    Exact in two steps. Running minutes in the order give the longest prefix that fits
+    each capacity. Past it less is left than the next review takes, and only the first
+    floor(left / m) later rows of each minute class m can still matter: their places in
+    their class are known, so a few hundred rows are picked, and one grouped step goes
+    through them in order. Minutes are within declared bounds, so classes are few.
     """
-    ranked = checkpoint(_ranked(rows, order, fan))
-    blocks = ranked.groupBy("block").agg(F.sum("minutes").alias("m"))
-    before = blocks.withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m")
-    inside = Window.partitionBy("block").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    d = ranked.join(F.broadcast(before), "block").withColumn("upto", F.col("before") + F.sum("minutes").over(inside))
-    d = checkpoint(d.drop("before", "block"))
-    caps = F.array(*[F.lit(c).cast("long") for c in capacities])
-    # minutes of the longest prefix that fits each capacity
-    cut = d.select("upto", "minutes", F.explode(caps).alias("capacity")).groupBy("capacity").agg(
-        F.coalesce(F.max(F.when(F.col("upto") <= F.col("capacity"), F.col("upto"))), F.lit(0)).alias("used"))
-    x = d.withColumn("capacity", F.explode(caps)).join(F.broadcast(cut), "capacity")
-    prefix = x.filter(F.col("upto") <= F.col("used")).drop("used", "upto")
+    d = running(rows, order, name="rank", also={"upto": F.col("minutes").cast("long")})
+    d = checkpoint(running(d, [F.col("rank")], ("minutes",), name="in_class"))
+    used = d.agg(*[F.coalesce(F.max(F.when(F.col("upto") <= c, F.col("upto"))), F.lit(0)).alias(f"c{k}") for k, c in enumerate(capacities)]).first()
+    caps = [(c, used[k]) for k, c in enumerate(capacities)]
+    fits = F.array(*[F.struct(F.lit(c).cast("long").alias("capacity"), F.lit(u).cast("long").alias("used")) for c, u in caps])
+    prefix = d.select("*", F.inline(F.filter(fits, lambda x: F.col("upto") <= x["used"]))).drop("used")
+    after = [F.struct(F.lit(c).cast("long").alias("capacity"), F.lit(u).cast("long").alias("used"), F.coalesce(F.max(F.when(F.col("upto") <= u, F.col("in_class"))), F.lit(0)).alias("after")) for c, u in caps]
+    classes = d.groupBy("minutes").agg(F.array(*after).alias("a")).select(F.col("minutes").alias("m"), F.inline("a"))
     left = F.col("capacity") - F.col("used")
-    late = x.filter((F.col("upto") > F.col("used")) & (F.col("minutes") <= left)).withColumn("left", left)
-    nth = F.row_number().over(Window.partitionBy("capacity", "minutes").orderBy("rank"))
-    late = late.withColumn("nth", nth).filter(F.col("nth") <= F.call_function("div", F.col("left"), F.col("minutes").cast("long"))).select("capacity", "rank", "minutes", "left")
-    taken = late.groupBy("capacity").applyInPandas(_fill, "capacity long, rank long")
-    rest = d.join(taken, "rank").drop("upto")
-    return prefix.unionByName(rest.select(*prefix.columns))
-
-
-def _ranked(rows: DataFrame, order: list, fan: int) -> DataFrame:
-    d = rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    return d.withColumn("block", F.floor((F.col("rank") - 1) / fan))
+    classes = classes.withColumn("left", left).filter(F.col("m") <= F.col("left"))  # at most a row per capacity and class
+    late = d.join(F.broadcast(classes), F.col("minutes") == F.col("m"))
+    nth = F.col("in_class") - F.col("after")
+    late = late.filter((nth > 0) & (nth <= F.call_function("div", F.col("left"), F.col("minutes").cast("long"))))
+    taken = late.select("capacity", "rank", "minutes", "left").groupBy("capacity").applyInPandas(_fill, "capacity long, rank long")
+    rest = d.join(taken, "rank")
+    return prefix.unionByName(rest.select(*prefix.columns)).drop("upto", "in_class")
 
 
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -102,13 +96,31 @@ def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def frontier(rows: DataFrame, orders: dict[str, list], capacities: list[int]) -> DataFrame:
-    """(policy, capacity, totals, gain): the value each policy reaches at each capacity, and its step from the last."""
+    """(policy, capacity, totals, gain, best, dominated, operating): the value each policy reaches at each capacity.
+
+    ``gain_minor`` is the step from the next smaller capacity, ``best`` whether no policy
+    reaches more there, ``dominated`` whether another reaches more for no more minutes,
+    and ``operating`` marks the smallest capacity at which a policy has its highest value.
+    """
     out = None
     for name, order in orders.items():
         t = totals(first_fit(rows, order, capacities), ["capacity"]).withColumn("policy", F.lit(name))
         out = t if out is None else out.unionByName(t)
-    w = Window.partitionBy("policy").orderBy("capacity")
-    return out.withColumn("gain_minor", F.col("ev_minor") - F.coalesce(F.lag("ev_minor").over(w), F.lit(0)))
+    grid = F.array(*[F.lit(c).cast("long") for c in capacities])
+    points = rows.sparkSession.createDataFrame([(p,) for p in orders], "policy string").withColumn("capacity", F.explode(grid))  # a row per point
+    out = points.join(out, ["policy", "capacity"], "left").fillna(0)
+    own, at = Window.partitionBy("policy").orderBy("capacity"), Window.partitionBy("capacity")
+    out = out.withColumn("gain_minor", F.col("ev_minor") - F.coalesce(F.lag("ev_minor").over(own), F.lit(0)))
+    out = out.withColumn("best", F.col("ev_minor") == F.max("ev_minor").over(at))
+    better = F.max(F.struct("ev_minor", (-F.col("minutes")).alias("m"))).over(at)
+    out = out.withColumn("dominated", (better["ev_minor"] > F.col("ev_minor")) & (-better["m"] <= F.col("minutes")))
+    peak = F.min_by("capacity", F.struct((-F.col("ev_minor")).alias("e"), "capacity")).over(Window.partitionBy("policy"))
+    return out.withColumn("operating", F.col("capacity") == peak)
+
+
+def monotone(curve: DataFrame) -> DataFrame:
+    """Points of a frontier where more capacity gives less value; first fit may have such, and they are reported."""
+    return curve.filter("gain_minor < 0").select("policy", "capacity", "gain_minor")
 
 
 def gap(a: DataFrame, b: DataFrame) -> DataFrame:

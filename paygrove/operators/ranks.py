@@ -10,11 +10,12 @@ from paygrove.session import scratch_table
 
 def running(
     df: DataFrame, order: list[Column], keys: tuple[str, ...] = (), value: Column | None = None, name: str = "position",
-    agg=F.sum,
+    agg=F.sum, also: dict[str, Column] | None = None,
 ) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` (1, so the position, by default) over rows up to this one.
 
-    ``agg`` may be ``F.max`` or ``F.min`` instead: then the largest or smallest value so far.
+    ``agg`` may be ``F.max`` or ``F.min`` instead: then the largest or smallest value so
+    far. ``also`` names more values that are run alike.
 
     The order is by ``keys``, then ``order``, which should be total: rows that tie in all
     of it are numbered in any order. Rows are dealt by ranges of the order and written
@@ -22,49 +23,22 @@ def running(
     ranges of the key hold is added; those sums, a row per range and key, are all that is
     looked at beyond one range. So one key may hold any share of the rows.
     """
-    what = F.lit(1) if value is None else value
-    tie = F.xxhash64(*[F.col(c) for c in df.columns if "map<" not in dict(df.dtypes)[c]])
+    values = {name: F.lit(1) if value is None else value, **(also or {})}
+    kinds = dict(df.dtypes)
+    tie = F.xxhash64(*[F.col(c) for c in df.columns if "map<" not in kinds[c]])
     key = [F.col(k).asc_nulls_first() for k in keys]
-    x = df.withColumn("__v", what)
+    x = df.withColumns({f"__v_{n}": v for n, v in values.items()})
     x = x.repartitionByRange(*key, *order, tie).withColumn("__range", F.spark_partition_id())
     x = scratch_table(x, "ranges")
-    sums = x.groupBy(*keys, "__range").agg(agg("__v").alias("__v"))
+    sums = x.groupBy(*keys, "__range").agg(*[agg(f"__v_{n}").alias(f"__v_{n}") for n in values])
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)], F.col("__range").alias("__r"), agg("__v").over(before).alias("__before"))
+    sums = sums.select(
+        *[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)], F.col("__range").alias("__r"), *[agg(f"__v_{n}").over(before).alias(f"__b_{n}") for n in values])
     inside = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    own = x.withColumn("__own", agg("__v").over(inside))
+    own = x.withColumns({f"__o_{n}": agg(f"__v_{n}").over(inside) for n in values})
     same = F.col("__range") == F.col("__r")
     for n, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"__k{n}"))
     both = own.join(sums, same)
     total = {F.max: F.greatest, F.min: F.least}.get(agg, lambda a, b: F.coalesce(a + b, a, b))
-    return both.withColumn(name, total(F.col("__own"), F.col("__before"))).select(*df.columns, name)
-
-
-def ranked(df: DataFrame, by: list[Column], keys: tuple[str, ...] = (), name: str = "rank") -> DataFrame:
-    """``df`` with ``name``: 1 plus the rows of the same keys that come strictly before in ``by``, as SQL's rank().
-
-    Rows that tie are counted first, so only distinct values are ordered, by ranges.
-    """
-    cols = [f"__b{n}" for n in range(len(by))]
-    return _by_value(df, by, keys, cols, lambda t: (F.col("__upto") - F.col("__n") + 1).cast("long"), name)
-
-
-def _by_value(df: DataFrame, by: list[Column], keys: tuple[str, ...], cols: list[str], make, name: str) -> DataFrame:
-    order = []
-    x = df
-    for c, b in zip(cols, by, strict=True):
-        x = x.withColumn(c, b)
-        order.append(F.col(c).asc_nulls_last())
-    t = x.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("__n"))
-    t = running(t, order, keys, F.col("__n"), "__upto")
-    t = t.withColumn(name, make(t)).select(*[F.col(c).alias("t" + c) for c in (*keys, *cols)], name)
-    same = F.lit(True)
-    for c in (*keys, *cols):
-        same &= F.col(c).eqNullSafe(F.col("t" + c))
-    return x.join(t, same).select(*df.columns, name)
-
-
-def at_most(df: DataFrame, by: Column, keys: tuple[str, ...] = (), name: str = "upto") -> DataFrame:
-    """``df`` with ``name``: the rows of the same keys whose ``by`` is at most this row's."""
-    return _by_value(df, [by], keys, ["__b0"], lambda t: F.col("__upto").cast("long"), name)
+    return both.withColumns({n: total(F.col(f"__o_{n}"), F.col(f"__b_{n}")) for n in values}).select(*df.columns, *values)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from paygrove.operators import paths
 from paygrove.operators.graph import legs, nearest_rank
 from paygrove.operators.kernels import sweep
+from paygrove.operators.ranks import running
 
 MINUTE, HOUR, DAY = 60_000_000, 3_600_000_000, 86_400_000_000
 
@@ -131,13 +132,14 @@ def structuring_threshold(events: DataFrame, band_micro: int = 800_000, pinned:
     if pinned is not None:
         return events.sparkSession.createDataFrame([(pinned,)], "threshold_minor long")
     c = events.filter("amount_minor > 0").groupBy(F.col("amount_minor").alias("a")).agg(F.count(F.lit(1)).alias("n"))
-    run = c.withColumn("upto", F.sum("n").over(Window.orderBy("a")))
+    run = running(c, [F.col("a")], value=F.col("n"), name="upto")
     # events below the band's lower edge, by an as-of lookup among the distinct amounts
     edge = F.ceil(F.col("a") * F.lit(band_micro) / F.lit(1_000_000)).cast("long")
     both = run.select(F.col("a").alias("x"), F.lit(1).alias("o"), F.col("upto").alias("u"), F.lit(None).cast("long").alias("t"), F.lit(None).cast("long").alias("v")).unionByName(
         run.select(edge.alias("x"), F.lit(0).alias("o"), F.lit(None).cast("long").alias("u"), F.col("a").alias("t"), F.col("upto").alias("v"))
     )
-    below = both.withColumn("below", F.coalesce(F.last("u", ignorenulls=True).over(Window.orderBy("x", "o")), F.lit(0))).filter("o = 0")
+    # counts grow with the amount, so the latest is the largest; an edge doesn't see the amount equal to it
+    below = running(both, [F.col("x"), F.col("o")], value=F.col("u"), name="below", agg=F.max).filter("o = 0").withColumn("below", F.coalesce("below", F.lit(0)))
     best = below.withColumn("k", F.col("v") - F.col("below")).filter(F.col("k") >= support)
     return best.agg(F.max_by("t", F.struct("k", (-F.col("t")).alias("m"))).alias("threshold_minor"))
 
@@ -388,8 +390,7 @@ def hit_rates(hits: DataFrame, accounts: int, s: Settings | None = None) -> Data
     s = s or Settings()
     per = hits.groupBy("rule_id", "account_key").agg(F.max("observation").alias("o"))
     allowed = max(1, int(s.ceiling * accounts))
-    w = Window.partitionBy("rule_id").orderBy(F.desc("o"), "account_key")
-    a = per.withColumn("rank", F.row_number().over(w)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("accounts_hit"), F.max(F.when(F.col("rank") == allowed, F.col("o"))).alias("at_ceiling"))
+    a = running(per, [F.desc("o"), F.col("account_key")], ("rule_id",), name="rank").groupBy("rule_id").agg(F.count(F.lit(1)).alias("accounts_hit"), F.max(F.when(F.col("rank") == allowed, F.col("o"))).alias("at_ceiling"))
     every = hits.sparkSession.createDataFrame([(r,) for r in NAMES], "rule_id string")
     d = every.join(a, "rule_id", "left").withColumn("accounts_hit", F.coalesce("accounts_hit", F.lit(0)))
     rate = F.col("accounts_hit") / F.lit(float(max(accounts, 1)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paygrove.operators.ranks import running
+
 
 def accounts(events: DataFrame) -> DataFrame:
     """Per account: counts, counterparties, funding, first and last instant, age in days, modal currency."""
@@ -83,7 +85,7 @@ def facets(scores: DataFrame) -> DataFrame:
 
 def stored_ranking(priced: DataFrame, taken: DataFrame) -> DataFrame:
     """Rank by (density, account) of every priced account, whether first fit took it, and whether it lies beyond the last taken rank."""
-    d = priced.filter("ev_minor is not null").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("density"), "account_key")))
+    d = running(priced.filter("ev_minor is not null"), [F.desc("density"), F.col("account_key")], name="rank")
     d = d.join(taken.select("account_key").distinct().withColumn("selected", F.lit(True)), "account_key", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
     cut = d.agg(F.coalesce(F.max(F.when(F.col("selected"), F.col("rank"))), F.lit(0)).alias("cutoff_rank"))
     return d.join(F.broadcast(cut)).withColumn("beyond_capacity", F.col("rank") > F.col("cutoff_rank"))  # one row

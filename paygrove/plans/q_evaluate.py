@@ -67,10 +67,15 @@ SELECT count(*) AS n, count(*) FILTER (WHERE h) AS held_out, abs(count(*) FILTER
 
 
 def leak_guard(spark, sf_dir):
-    """Events that train and test of a fold share: none."""
+    """Events that train and test of a fold share, some planted: every event of the training rows whose amount ends in 77."""
     li, folds = _folds(spark, sf_dir)
     d = splits.assign(li, folds)
-    return splits.shared_keys(d.filter("role = 'train'").select("fold", "txn_id"), d.filter("role = 'test'").select("fold", "txn_id"), ["fold", "txn_id"]).agg(F.count(F.lit(1)).alias("shared"))
+    train = d.filter("role = 'train'")
+    test = d.filter("role = 'test'").select("fold", "txn_id").unionByName(train.filter("amount_minor % 100 = 77").select("fold", "txn_id"))
+    return splits.shared_keys(train.select("fold", "txn_id"), test, ["fold", "txn_id"]).groupBy("fold").agg(F.count(F.lit(1)).alias("shared"))
+
+
+_LEAK = f"WITH {_FOLDS} SELECT fold, count(*) AS shared FROM ro WHERE role = 'train' AND amount_minor % 100 = 77 GROUP BY 1"
 
 
 def feasibility(spark, sf_dir):
@@ -183,22 +188,52 @@ def _cands(spark, sf_dir):
 
 
 CAPS = [60, 600, 3000]
+GRID = list(range(0, 12_001, 400))
 
 
 def greedy(spark, sf_dir):
     return pricing.first_fit(_cands(spark, sf_dir), evaluate.policy_order("ev_greedy"), CAPS).select("capacity", "account_key", "minutes")
 
 
-_GREEDY = f"""WITH RECURSIVE {PR}, q AS (SELECT account_key, minutes, row_number() OVER (ORDER BY ev_minor / minutes DESC, account_key) AS r FROM pr WHERE ev_minor > 0),
-f AS (SELECT c::BIGINT AS capacity, 0::BIGINT AS r, c::BIGINT AS left_, false AS took FROM (SELECT unnest([60, 600, 3000]) AS c)
-  UNION ALL SELECT f.capacity, q.r, CASE WHEN q.minutes <= left_ THEN left_ - q.minutes ELSE left_ END, q.minutes <= left_ FROM f JOIN q ON q.r = f.r + 1)
-SELECT capacity, account_key, minutes FROM f JOIN q USING (r) WHERE took"""
+_ORDERS = {
+    "threshold": "score DESC", "rules_only": "rule_severity DESC", "highest_amount": "exposure_minor DESC", "random": "sha256('5|' || account_key)", "ev_greedy": "ev_minor / minutes DESC",
+}
+
+
+def fitted(caps: list[int], policies=tuple(_ORDERS)) -> str:
+    """CTEs of first fit: what each policy takes within each capacity (fit), one candidate after the other."""
+    q = " UNION ALL ".join(f"SELECT '{n}' AS policy, pr.*, row_number() OVER (ORDER BY {_ORDERS[n]}, account_key) AS r FROM pr WHERE ev_minor > 0" for n in policies)
+    return f"""{PR}, q AS ({q}), cp AS (SELECT unnest({caps}) AS c), po AS (SELECT unnest({list(policies)}) AS policy),
+f AS (SELECT policy, c::BIGINT AS capacity, 0::BIGINT AS r, c::BIGINT AS left_, false AS took FROM cp, po
+  UNION ALL SELECT f.policy, f.capacity, q.r, CASE WHEN q.minutes <= left_ THEN left_ - q.minutes ELSE left_ END, q.minutes <= left_ FROM f JOIN q ON q.r = f.r + 1 AND q.policy = f.policy),
+fit AS (SELECT capacity, q.* FROM f JOIN q ON q.policy = f.policy AND q.r = f.r WHERE took)"""
+
+
+_GREEDY = f"WITH RECURSIVE {fitted(CAPS, ('ev_greedy',))} SELECT capacity, account_key, minutes FROM fit"
 
 
 def frontier(spark, sf_dir):
+    """All five policies over 31 capacities."""
+    c = _cands(spark, sf_dir)
+    return pricing.frontier(c, {n: evaluate.policy_order(n) for n in evaluate.POLICIES}, GRID).drop("expected_wrong_touches")
+
+
+_FRONT = f"""WITH RECURSIVE {fitted(GRID)}, t AS (SELECT policy, capacity, count(*) AS accounts, sum(ev_minor) AS ev, sum(intercept_minor) AS la, sum(review_cost_minor) AS rc, sum(friction_minor) AS fr, sum(exposure_minor) AS ex, sum(minutes) AS mi FROM fit GROUP BY 1, 2),
+p AS (SELECT po.policy, c::BIGINT AS capacity, coalesce(accounts, 0) AS accounts, CAST(coalesce(ev, 0) AS BIGINT) AS ev_minor, CAST(coalesce(la, 0) AS BIGINT) AS loss_avoided_minor, CAST(coalesce(rc, 0) AS BIGINT) AS review_cost_minor,
+  CAST(coalesce(fr, 0) AS BIGINT) AS friction_minor, CAST(coalesce(ex, 0) AS BIGINT) AS exposure_minor, CAST(coalesce(mi, 0) AS BIGINT) AS minutes FROM cp CROSS JOIN po LEFT JOIN t ON t.policy = po.policy AND t.capacity = c)
+SELECT *, ev_minor - coalesce(lag(ev_minor) OVER (PARTITION BY policy ORDER BY capacity), 0) AS gain_minor, ev_minor = max(ev_minor) OVER (PARTITION BY capacity) AS best,
+  max(ev_minor) OVER (PARTITION BY capacity) > ev_minor AND arg_max(minutes, (ev_minor, -minutes)) OVER (PARTITION BY capacity) <= minutes AS dominated,
+  capacity = arg_min(capacity, (-ev_minor, capacity)) OVER (PARTITION BY policy) AS operating FROM p"""
+
+
+def policy_gap(spark, sf_dir):
+    """What the greedy policy gains on the threshold at one capacity."""
     c = _cands(spark, sf_dir)
-    names = ("threshold", "highest_amount", "ev_greedy")
-    return pricing.frontier(c, {n: evaluate.policy_order(n) for n in names}, CAPS).drop("expected_wrong_touches")
+    a, b = (pricing.first_fit(c, evaluate.policy_order(n), [3000]) for n in ("ev_greedy", "threshold"))
+    return pricing.gap(a, b)
+
+
+_GAP = f"WITH RECURSIVE {fitted([3000])} SELECT CAST(sum(CASE policy WHEN 'ev_greedy' THEN ev_minor WHEN 'threshold' THEN -ev_minor ELSE 0 END) AS BIGINT) AS gap_minor FROM fit"
 
 
 def recovery(spark, sf_dir):
@@ -214,48 +249,54 @@ SELECT rm AS recovery_micro, count(*) AS accounts, CAST(sum(ev) AS BIGINT) AS ev
 def exposure(spark, sf_dir):
     e = pay_events(spark, sf_dir)
     t = e.filter("txn_type = 'purchase' and amount_minor > 15000").select(F.col("account_from").alias("account"), F.col("ts_us").alias("t_us"))
-    return pricing.exposures(t, e, hops=1)
+    return pricing.exposures(t, e)
 
 
 _EXPO = f"""WITH {EV}, t AS (SELECT DISTINCT account_from AS account, ts_us AS t_us FROM ev WHERE txn_type = 'purchase' AND amount_minor > 15000), e AS (SELECT * FROM ev WHERE account_from <> account_to),
-c AS (SELECT account, t_us, account AS m FROM t UNION SELECT t.account, t_us, e.account_to FROM t JOIN e ON e.account_from = t.account AND ts_us BETWEEN t_us AND t_us + {DAY - 1}),
+c1 AS (SELECT account, t_us, account AS m FROM t UNION SELECT t.account, t_us, e.account_to FROM t JOIN e ON e.account_from = t.account AND ts_us BETWEEN t_us AND t_us + {DAY - 1}),
+c AS (SELECT * FROM c1 UNION SELECT c1.account, t_us, e.account_to FROM c1 JOIN e ON e.account_from = c1.m AND ts_us BETWEEN t_us AND t_us + {DAY - 1}),
 o AS (SELECT account, t_us, sum(amount_minor) AS o FROM c JOIN e ON e.account_from = m AND ts_us BETWEEN t_us AND t_us + {DAY - 1} GROUP BY 1, 2), i AS (SELECT account, t_us, sum(amount_minor) AS i FROM c JOIN e ON e.account_to = m AND ts_us BETWEEN t_us AND t_us + {DAY - 1} GROUP BY 1, 2)
 SELECT account, t_us, CAST(coalesce(o, 0) AS BIGINT) AS outflow_minor, CAST(coalesce(i, 0) AS BIGINT) AS inflow_minor, CAST(least(coalesce(o, 0), coalesce(i, 0)) AS BIGINT) AS exposure_minor FROM t LEFT JOIN o USING (account, t_us) LEFT JOIN i USING (account, t_us)"""
 
 
 def propagation(spark, sf_dir):
     e = pay_events(spark, sf_dir)
-    s = e.filter("event_id < 10").groupBy(F.col("account_from").alias("account")).agg(F.sum("amount_minor").alias("amount_minor"))
-    return pricing.propagate(e, s, 3).withColumn("amount_minor", F.round("amount_minor", 4))
+    s = e.filter("label_is_fraud = 1").groupBy(F.col("account_from").alias("account")).agg(F.sum("amount_minor").alias("amount_minor"))
+    return pricing.propagate(e, s).withColumn("amount_minor", F.round("amount_minor", 3))
 
 
 _PROP = f"""WITH {EV}, e0 AS (SELECT account_from AS s, account_to AS t, sum(amount_minor) AS m FROM ev WHERE account_from <> account_to GROUP BY 1, 2), e AS (SELECT s, t, m / sum(m) OVER (PARTITION BY s) AS w FROM e0),
-a0 AS (SELECT account_from AS account, CAST(sum(amount_minor) AS DOUBLE) AS x FROM ev WHERE event_id < 10 GROUP BY 1), a1 AS (SELECT t AS account, sum(x * w) AS x FROM a0 JOIN e ON s = account GROUP BY 1),
-a2 AS (SELECT t AS account, sum(x * w) AS x FROM a1 JOIN e ON s = account GROUP BY 1), a3 AS (SELECT t AS account, sum(x * w) AS x FROM a2 JOIN e ON s = account GROUP BY 1)
-SELECT account, round(x, 4) AS amount_minor, step FROM (SELECT *, 0 AS step FROM a0 UNION ALL SELECT *, 1 FROM a1 UNION ALL SELECT *, 2 FROM a2 UNION ALL SELECT *, 3 FROM a3)"""
+a0 AS (SELECT account_from AS account, CAST(sum(amount_minor) AS DOUBLE) AS x FROM ev WHERE label_is_fraud = 1 GROUP BY 1), a1 AS (SELECT t AS account, sum(x * w) AS x FROM a0 JOIN e ON s = account GROUP BY 1),
+a2 AS (SELECT t AS account, sum(x * w) AS x FROM a1 JOIN e ON s = account GROUP BY 1), a3 AS (SELECT t AS account, sum(x * w) AS x FROM a2 JOIN e ON s = account GROUP BY 1), a4 AS (SELECT t AS account, sum(x * w) AS x FROM a3 JOIN e ON s = account GROUP BY 1)
+SELECT account, round(x, 3) AS amount_minor, step FROM (SELECT *, 0 AS step FROM a0 UNION ALL SELECT *, 1 FROM a1 UNION ALL SELECT *, 2 FROM a2 UNION ALL SELECT *, 3 FROM a3 UNION ALL SELECT *, 4 FROM a4)"""
 
 
 def ledger(spark, sf_dir):
-    """Realised ledger of three policies at one capacity, per typology."""
+    """Realised ledger of all five policies at one capacity, per typology."""
     c = _cands(spark, sf_dir).withColumn("recoverable_minor", F.col("intercept_minor"))
     out = None
-    for n in ("threshold", "highest_amount", "ev_greedy"):
+    for n in evaluate.POLICIES:
         x = evaluate.fold_ledger(pricing.first_fit(c, evaluate.policy_order(n), [3000]), ["typology"]).withColumn("policy", F.lit(n))
         out = x if out is None else out.unionByName(x)
     return out
 
 
+_LEDGER = f"""WITH RECURSIVE {fitted([3000])}, led AS (SELECT policy, typology, count(*) AS reviewed, CAST(sum(minutes) AS BIGINT) AS minutes, CAST(sum(CASE WHEN label = 1 THEN intercept_minor ELSE 0 END) AS BIGINT) AS captured_minor,
+  CAST(sum(review_cost_minor) AS BIGINT) AS review_cost_minor, CAST(sum(CASE WHEN label = 0 THEN friction_minor ELSE 0 END) AS BIGINT) AS friction_minor FROM fit GROUP BY 1, 2)
+SELECT *, captured_minor - review_cost_minor - friction_minor AS net_minor FROM led"""
+
+
 QUERIES = {
     "fold_plan": fold_plan, "fold_audit": fold_audit, "fold_decisions": fold_decisions, "fold_ids": fold_ids, "entity_holdout": holdout, "leak_guard": leak_guard, "feasibility": feasibility,
     "metrics_by_slice": metrics, "metrics_by_key": ap_by_key, "reliability": reliability, "reliability_counts": reliability_counts, "typology_recall": typology_recall, "fairness": fairness,
     "rank_correlation": rank_correlation, "bootstrap_interval": bootstrap, "residual_tail": tail, "score_percentiles": score_percentiles, "priced_accounts": priced, "first_fit": greedy,
-    "frontier": frontier, "recovery_band": recovery, "exposure": exposure, "propagation": propagation, "policy_ledger": ledger,
+    "frontier": frontier, "recovery_band": recovery, "exposure": exposure, "propagation": propagation, "policy_ledger": ledger, "policy_gap": policy_gap,
 }
 ORACLE = {
     "fold_plan": f"WITH {_FOLDS} SELECT * FROM fo", "fold_audit": f"WITH {_FOLDS} SELECT fold, role, count(*) AS n, CAST(sum(label_is_fraud) AS BIGINT) AS positives FROM ro WHERE role IS NOT NULL GROUP BY 1, 2",
     "fold_decisions": f"WITH {_FOLDS} SELECT account_from AS account_key, fold, arg_max(amount_minor, (ts_us, txn_id)) AS amount_minor, max(ts_us) AS ts_us, max(label_is_fraud) AS label_is_fraud, count(*) AS rows FROM ro WHERE role = 'test' GROUP BY 1, 2",
     "fold_ids": f"WITH {_FOLDS} SELECT coalesce(fold, -1) AS fold, count(*) AS n FROM li LEFT JOIN fo ON ts_us >= test_start AND ts_us < test_end GROUP BY 1",
-    "entity_holdout": _HOLD, "leak_guard": "SELECT 0::BIGINT AS shared", "feasibility": _FEAS, "metrics_by_slice": _METRICS, "metrics_by_key": _AP, "reliability": _REL, "reliability_counts": _RELC,
+    "entity_holdout": _HOLD, "leak_guard": _LEAK, "feasibility": _FEAS, "metrics_by_slice": _METRICS, "metrics_by_key": _AP, "reliability": _REL, "reliability_counts": _RELC,
     "typology_recall": _RECALL, "fairness": _FAIR, "rank_correlation": _RHO, "score_percentiles": _PCT, "priced_accounts": _PRICED, "first_fit": _GREEDY, "recovery_band": _RECOV, "exposure": _EXPO,
-    "propagation": _PROP,
+    "propagation": _PROP, "frontier": _FRONT, "policy_ledger": _LEDGER, "policy_gap": _GAP,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paygrove.operators import audit, evaluate, graph, pricing, rules, screening, splits, warehouse
-from paygrove.plans.q_evaluate import _FOLDS, A, PR, SC, _cands, scored
+from paygrove.plans.q_evaluate import _FOLDS, A, SC, _cands, fitted, scored
 from paygrove.plans.q_rules import S
 from paygrove.plans.tables import DAY, EV, pay_events, pay_lineitem, table
 
@@ -58,13 +58,16 @@ def _queue_parts(spark, sf_dir):
 
 def queue(spark, sf_dir):
     p, scores, econ = _queue_parts(spark, sf_dir)
-    alloc = p.filter("ev_minor > 0").select("account_key", F.row_number().over(Window.orderBy(F.desc("density"), "account_key")).alias("rank"), F.lit(True).alias("selected"))
+    alloc = warehouse.stored_ranking(p, _taken(spark, sf_dir, 3000)).select("account_key", "rank", "selected", "beyond_capacity")
     cases = p.filter("total % 7 = 0").select("account_key", F.lit("open").alias("status"))
-    return warehouse.queue_page(scores, econ, alloc, cases, rule="R1", least_score=0.2, sort="ev_minor", descending=True, limit=50, offset=5)[0].select("account_key", "band", "typology", "rank", "ev_minor", "status")
+    return warehouse.queue_page(scores, econ, alloc, cases, rule="R1", least_score=0.2, sort="ev_minor", descending=True, limit=50, offset=5)[0].select("account_key", "band", "typology", "rank", "selected", "beyond_capacity", "ev_minor", "status")
 
 
-_QUEUE = f"""WITH {PR}, q AS (SELECT *, ['A','B','C','D','E'][CAST(least(4, floor(score * 5)) AS INT) + 1] AS band, CASE WHEN ev_minor > 0 THEN CAST(row_number() OVER (PARTITION BY ev_minor > 0 ORDER BY ev_minor / minutes DESC, account_key) AS INT) END AS rank, CASE WHEN total % 7 = 0 THEN 'open' END AS status FROM pr)
-SELECT account_key, band, typology, rank, ev_minor, status FROM q WHERE total % 2 = 0 AND score >= 0.2 ORDER BY ev_minor DESC NULLS LAST, account_key LIMIT 50 OFFSET 5"""
+_RANKING = f"""WITH RECURSIVE {fitted([600, 3000], ('ev_greedy',))}, rk AS (SELECT pr.*, row_number() OVER (ORDER BY ev_minor / minutes DESC, account_key) AS rank,
+  account_key IN (SELECT account_key FROM fit WHERE capacity = 3000) AS selected FROM pr WHERE ev_minor IS NOT NULL),
+sr AS (SELECT *, coalesce(max(CASE WHEN selected THEN rank END) OVER (), 0) AS cutoff_rank FROM rk)"""
+_QUEUE = f"""{_RANKING}, qu AS (SELECT pr.*, ['A','B','C','D','E'][CAST(least(4, floor(pr.score * 5)) AS INT) + 1] AS band, rank, selected, rank > cutoff_rank AS beyond_capacity, CASE WHEN pr.total % 7 = 0 THEN 'open' END AS status FROM pr LEFT JOIN sr USING (account_key))
+SELECT account_key, band, typology, rank, selected, beyond_capacity, ev_minor, status FROM qu WHERE total % 2 = 0 AND score >= 0.2 ORDER BY ev_minor DESC NULLS LAST, account_key LIMIT 50 OFFSET 5"""
 
 
 def facets(spark, sf_dir):
@@ -88,6 +91,10 @@ def what_if(spark, sf_dir):
     return warehouse.what_if(_taken(spark, sf_dir, 600), _taken(spark, sf_dir, 3000))
 
 
+_WHAT = f"""{_RANKING}, a AS (SELECT account_key FROM fit WHERE capacity = 600), b AS (SELECT account_key FROM fit WHERE capacity = 3000)
+SELECT coalesce(a.account_key, b.account_key) AS account_key, CASE WHEN a.account_key IS NULL THEN 'entered' WHEN b.account_key IS NULL THEN 'left' ELSE 'kept' END AS change FROM a FULL JOIN b USING (account_key)"""
+
+
 def risky(spark, sf_dir):
     e = pay_events(spark, sf_dir)
     s = e.groupBy(F.col("account_from").alias("account_key")).agg(F.sum("amount_minor").alias("m")).withColumn("band", F.when(F.col("m") % 5 == 0, "E").otherwise("B"))
@@ -166,6 +173,6 @@ QUERIES = {
 ORACLE = {
     "account_table": _ACC, "current_scores": _CUR, "hits_long": _LONG, "append_only": f"WITH {EV} SELECT txn_id, event_id FROM ev WHERE event_id % 3 = 0",
     "generic_select": f"WITH {SC} SELECT account_key, typology, currency, total FROM sc WHERE typology = 'cycle' AND total > 100 ORDER BY total DESC, account_key LIMIT 25 OFFSET 10",
-    "alert_queue": _QUEUE, "queue_facets": _FACETS, "case_transactions": _TIME,
+    "alert_queue": _QUEUE, "stored_ranking": f"{_RANKING} SELECT account_key, rank, selected, cutoff_rank, rank > cutoff_rank AS beyond_capacity FROM sr", "policy_what_if": _WHAT, "queue_facets": _FACETS, "case_transactions": _TIME,
     "audit_erase": "SELECT c_custkey AS subject, 'P' || c_custkey AS pseudonym FROM customer WHERE c_custkey % 10 <> 3", "stage_states": _STATES, "run_list": _RUNS,
 }

@@ -120,11 +120,43 @@ def residual_tail(df: DataFrame, draws: int = 10_000, seed: int = 3, key: str =
     return r.agg(F.max(F.when(F.col("k") == v, F.col("total"))).alias("var95"), F.avg(F.when(F.col("k") >= e, F.col("total"))).alias("es975"))
 
 
-def cumulative(folds: DataFrame, value: str = "net_minor", minutes: str = "minutes") -> DataFrame:
-    """One row over folds: total, largest fall from a peak, mean over deviation, benefit per hour."""
-    w = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
+def cumulative(folds: DataFrame, keys: tuple[str, ...] = (), value: str = "net_minor", minutes: str = "minutes") -> DataFrame:
+    """Per key over its folds: total, largest fall from a peak, mean, deviation, their ratio, worst fold, benefit per hour."""
+    w = Window.partitionBy(*keys).orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)  # a row per fold
     d = folds.withColumn("c", F.sum(value).over(w)).withColumn("peak", F.greatest(F.lit(0), F.max("c").over(w)))
-    return d.agg(F.sum(value).alias("total_minor"), F.max(F.col("peak") - F.col("c")).alias("max_drawdown_minor"), F.try_divide(F.avg(value), F.stddev_samp(value)).alias("mean_over_std"), F.try_divide(F.sum(value) * 60.0, F.sum(minutes)).alias("per_hour_minor"))
+    return d.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("folds"), F.sum(value).alias("total_minor"), F.max(F.col("peak") - F.col("c")).alias("max_drawdown_minor"), F.avg(value).alias("mean_minor"),
+        F.stddev_samp(value).alias("std_minor"), F.try_divide(F.avg(value), F.stddev_samp(value)).alias("mean_over_std"), F.min(value).alias("worst_minor"),
+        F.sum(minutes).alias("minutes"), F.try_divide(F.sum(value) * 60.0, F.sum(minutes)).alias("per_hour_minor"))
+
+
+def ablation(df: DataFrame, configurations: dict[str, Column], control: Column, label: str = "label") -> DataFrame:
+    """(configuration, n, positives, average_precision, auroc, beaten): each score over the same rows, and a leaking control.
+
+    The control sees the label, so it must come first in every column; ``beaten`` says
+    that it does. A table in which it doesn't measures something else.
+    """
+    each = F.array(*[F.struct(F.lit(n).alias("configuration"), c.cast("double").alias("score")) for n, c in {**configurations, "lookahead": control}.items()])
+    d = df.select(F.col(label).alias("label"), F.inline(each))
+    by = checkpoint(by_score(d, ["configuration"]))
+    base = d.groupBy("configuration").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"))
+    out = base.join(average_precision_ties(d, ["configuration"], by=by), "configuration").join(auroc(d, ["configuration"], by=by), "configuration")
+    top = Window.partitionBy()  # a row per configuration
+    best = F.max(F.when(F.col("configuration") == "lookahead", F.col("average_precision"))).over(top)
+    return out.withColumn("beaten", F.col("average_precision") <= best)
+
+
+def over_seeds(runs: DataFrame, keys: tuple[str, ...] = ("metric",), value: str = "value") -> DataFrame:
+    """Mean, deviation and range of a metric over its seeds."""
+    return runs.groupBy(*keys).agg(F.count(value).alias("seeds"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def money_shift(before: DataFrame, after: DataFrame, taken_before: DataFrame, taken_after: DataFrame) -> DataFrame:
+    """One row: rank correlation of two pricings of the same accounts by density, and accounts that enter or leave the reviewed set."""
+    both = before.select("account_key", F.col("density").alias("x")).join(after.select("account_key", F.col("density").alias("y")), "account_key")
+    a, b = taken_before.select("account_key"), taken_after.select("account_key")
+    moved = a.join(b, "account_key", "left_anti").agg(F.count(F.lit(1)).alias("left")).join(b.join(a, "account_key", "left_anti").agg(F.count(F.lit(1)).alias("entered")))
+    return spearman(both, "x", "y").join(moved).withColumn("cutoff_changed", F.col("left") + F.col("entered") > 0)  # one row each
 
 
 def false_positive_rates(df: DataFrame, axis: str, selected: str, label: str = "label", buckets: int = 4) -> DataFrame:
@@ -144,15 +176,25 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return d.agg(F.corr(f"__r_{x}", f"__r_{y}").alias("rho"))
 
 
-def policy_order(policy: str, seed: int = 5) -> list[Column]:
-    """What each policy reviews first; ties by account."""
+def policy_place(policy: str, seed: int = 5) -> Column:
+    """Where a policy puts a row: the smaller the earlier it is reviewed."""
     return {
-        "threshold": [F.desc("score"), F.col("account_key")], "rules_only": [F.desc("rule_severity"), F.col("account_key")],
-        "highest_amount": [F.desc("exposure_minor"), F.col("account_key")], "random": [F.sha2(F.concat_ws("|", F.lit(seed), F.col("account_key")), 256), F.col("account_key")],
-        "ev_greedy": [F.desc("density"), F.col("account_key")],
+        "threshold": -F.col("score"), "rules_only": -F.col("rule_severity"), "highest_amount": -F.col("exposure_minor").cast("double"),
+        "random": F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.col("account_key")), 256), 1, 13), 16, 10).cast("double"),
+        "ev_greedy": -F.col("density"),
     }[policy]
 
 
+def policy_order(policy: str, seed: int = 5) -> list[Column]:
+    """What each policy reviews first; ties by account."""
+    return [policy_place(policy, seed), F.col("account_key")]
+
+
+def by_policy(rows: DataFrame, policies: tuple[str, ...] = POLICIES) -> DataFrame:
+    """Rows once per policy, with ``policy`` and ``place``."""
+    return rows.select("*", F.inline(F.array(*[F.struct(F.lit(p).alias("policy"), policy_place(p).alias("place")) for p in policies])))
+
+
 def fold_ledger(selected: DataFrame, keys: list[str]) -> DataFrame:
     """Realised sums of the reviewed set: captured, review cost, friction, net."""
     a = selected.groupBy(*keys).agg(

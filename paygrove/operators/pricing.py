@@ -57,31 +57,38 @@ def totals(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
         F.sum("friction_minor").alias("friction_minor"), F.sum("exposure_minor").alias("exposure_minor"), F.sum("minutes").alias("minutes"), F.sum(1 - F.col("score")).alias("expected_wrong_touches"))
 
 
-def first_fit(rows: DataFrame, order: list, capacities: list[int]) -> DataFrame:
-    """(capacity, rows..., rank): what a first-fit pass in ``order`` takes within each capacity of minutes.
+def first_fit(rows: DataFrame, order: list, capacities: list[int], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(capacity, rows..., rank): what a first-fit pass in ``order`` takes within each capacity of minutes, for each of ``keys``.
 
     Exact in two steps. Running minutes in the order give the longest prefix that fits
     each capacity. Past it less is left than the next review takes, and only the first
     floor(left / m) later rows of each minute class m can still matter: their places in
     their class are known, so a few hundred rows are picked, and one grouped step goes
-    through them in order. Minutes are within declared bounds, so classes are few.
+    through them in order. Minutes are within declared bounds, so classes are few; keys
+    are declared things such as policies and folds.
     """
-    d = running(rows, order, name="rank", also={"upto": F.col("minutes").cast("long")})
-    d = checkpoint(running(d, [F.col("rank")], ("minutes",), name="in_class"))
-    used = d.agg(*[F.coalesce(F.max(F.when(F.col("upto") <= c, F.col("upto"))), F.lit(0)).alias(f"c{k}") for k, c in enumerate(capacities)]).first()
-    caps = [(c, used[k]) for k, c in enumerate(capacities)]
-    fits = F.array(*[F.struct(F.lit(c).cast("long").alias("capacity"), F.lit(u).cast("long").alias("used")) for c, u in caps])
-    prefix = d.select("*", F.inline(F.filter(fits, lambda x: F.col("upto") <= x["used"]))).drop("used")
-    after = [F.struct(F.lit(c).cast("long").alias("capacity"), F.lit(u).cast("long").alias("used"), F.coalesce(F.max(F.when(F.col("upto") <= u, F.col("in_class"))), F.lit(0)).alias("after")) for c, u in caps]
-    classes = d.groupBy("minutes").agg(F.array(*after).alias("a")).select(F.col("minutes").alias("m"), F.inline("a"))
-    left = F.col("capacity") - F.col("used")
-    classes = classes.withColumn("left", left).filter(F.col("m") <= F.col("left"))  # at most a row per capacity and class
-    late = d.join(F.broadcast(classes), F.col("minutes") == F.col("m"))
+    d = running(rows, order, keys, name="rank", also={"upto": F.col("minutes").cast("long")})
+    d = checkpoint(running(d, [F.col("rank")], (*keys, "minutes"), name="in_class"))
+    used = [F.coalesce(F.max(F.when(F.col("upto") <= c, F.col("upto"))), F.lit(0)) for c in capacities]
+    cut = checkpoint(d.groupBy(*keys).agg(F.array(*[F.struct(F.lit(c).cast("long").alias("capacity"), u.alias("used")) for c, u in zip(capacities, used, strict=True)]).alias("cuts")))
+    d = d.join(F.broadcast(cut), list(keys)) if keys else d.join(F.broadcast(cut))  # a row per key
+    prefix = d.select("*", F.inline(F.filter("cuts", lambda x: F.col("upto") <= x["used"]))).drop("used", "cuts")
+    after = [F.coalesce(F.max(F.when(F.col("upto") <= F.col("cuts")[k]["used"], F.col("in_class"))), F.lit(0)) for k in range(len(capacities))]
+    classes = d.groupBy(*keys, "minutes").agg(F.first("cuts").alias("cuts"), F.array(*after).alias("after"))
+    classes = classes.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("minutes").alias("m"), F.inline(F.arrays_zip("cuts", "after")))
+    classes = classes.select("*", F.col("cuts.capacity").alias("capacity"), (F.col("cuts.capacity") - F.col("cuts.used")).alias("left")).drop("cuts").filter("m <= left")
+    same = F.col("minutes") == F.col("m")
+    for k in keys:
+        same &= F.col(k) == F.col(f"__{k}")
+    late = d.drop("cuts").join(F.broadcast(classes), same)  # at most a row per key, capacity and class
     nth = F.col("in_class") - F.col("after")
     late = late.filter((nth > 0) & (nth <= F.call_function("div", F.col("left"), F.col("minutes").cast("long"))))
-    taken = late.select("capacity", "rank", "minutes", "left").groupBy("capacity").applyInPandas(_fill, "capacity long, rank long")
-    rest = d.join(taken, "rank")
-    return prefix.unionByName(rest.select(*prefix.columns)).drop("upto", "in_class")
+    by = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], "capacity").alias("of")
+    taken = late.select(by, "capacity", "rank", "minutes", "left").groupBy("of").applyInPandas(_fill, "of string, capacity long, rank long")
+    rest = d.drop("cuts").withColumn("__of", F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
+    taken = taken.withColumn("__of", F.regexp_replace("of", r"\|?[0-9]+$", "")).withColumnRenamed("rank", "__rank").drop("of")
+    rest = rest.join(taken, (rest["rank"] == taken["__rank"]) & (rest["__of"] == taken["__of"])).select(*prefix.columns)
+    return prefix.unionByName(rest).drop("upto", "in_class")
 
 
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -92,22 +99,20 @@ def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
         if m <= left:
             taken.append(rank)
             left -= m
-    return pd.DataFrame({"capacity": pdf["capacity"].iloc[0], "rank": taken}).astype("int64")
+    return pd.DataFrame({"of": pdf["of"].iloc[0], "capacity": pdf["capacity"].iloc[0], "rank": taken}).astype({"capacity": "int64", "rank": "int64"})
 
 
-def frontier(rows: DataFrame, orders: dict[str, list], capacities: list[int]) -> DataFrame:
+def frontier(rows: DataFrame, capacities: list[int], policies: tuple[str, ...]) -> DataFrame:
     """(policy, capacity, totals, gain, best, dominated, operating): the value each policy reaches at each capacity.
 
+    ``rows`` (policy, place, ...) hold every candidate once per policy (``evaluate.by_policy``).
     ``gain_minor`` is the step from the next smaller capacity, ``best`` whether no policy
     reaches more there, ``dominated`` whether another reaches more for no more minutes,
     and ``operating`` marks the smallest capacity at which a policy has its highest value.
     """
-    out = None
-    for name, order in orders.items():
-        t = totals(first_fit(rows, order, capacities), ["capacity"]).withColumn("policy", F.lit(name))
-        out = t if out is None else out.unionByName(t)
+    out = totals(first_fit(rows, [F.col("place"), F.col("account_key")], capacities, ("policy",)), ["policy", "capacity"])
     grid = F.array(*[F.lit(c).cast("long") for c in capacities])
-    points = rows.sparkSession.createDataFrame([(p,) for p in orders], "policy string").withColumn("capacity", F.explode(grid))  # a row per point
+    points = rows.sparkSession.createDataFrame([(p,) for p in policies], "policy string").withColumn("capacity", F.explode(grid))  # a row per point
     out = points.join(out, ["policy", "capacity"], "left").fillna(0)
     own, at = Window.partitionBy("policy").orderBy("capacity"), Window.partitionBy("capacity")
     out = out.withColumn("gain_minor", F.col("ev_minor") - F.coalesce(F.lag("ev_minor").over(own), F.lit(0)))

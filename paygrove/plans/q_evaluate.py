@@ -196,7 +196,7 @@ def greedy(spark, sf_dir):
 
 
 _ORDERS = {
-    "threshold": "score DESC", "rules_only": "rule_severity DESC", "highest_amount": "exposure_minor DESC", "random": "sha256('5|' || account_key)", "ev_greedy": "ev_minor / minutes DESC",
+    "threshold": "score DESC", "rules_only": "rule_severity DESC", "highest_amount": "exposure_minor DESC", "random": "('0x' || substr(sha256('5|' || account_key), 1, 13))::BIGINT", "ev_greedy": "ev_minor / minutes DESC",
 }
 
 
@@ -214,8 +214,7 @@ _GREEDY = f"WITH RECURSIVE {fitted(CAPS, ('ev_greedy',))} SELECT capacity, accou
 
 def frontier(spark, sf_dir):
     """All five policies over 31 capacities."""
-    c = _cands(spark, sf_dir)
-    return pricing.frontier(c, {n: evaluate.policy_order(n) for n in evaluate.POLICIES}, GRID).drop("expected_wrong_touches")
+    return pricing.frontier(evaluate.by_policy(_cands(spark, sf_dir)), GRID, evaluate.POLICIES).drop("expected_wrong_touches")
 
 
 _FRONT = f"""WITH RECURSIVE {fitted(GRID)}, t AS (SELECT policy, capacity, count(*) AS accounts, sum(ev_minor) AS ev, sum(intercept_minor) AS la, sum(review_cost_minor) AS rc, sum(friction_minor) AS fr, sum(exposure_minor) AS ex, sum(minutes) AS mi FROM fit GROUP BY 1, 2),
@@ -273,12 +272,8 @@ SELECT account, round(x, 3) AS amount_minor, step FROM (SELECT *, 0 AS step FROM
 
 def ledger(spark, sf_dir):
     """Realised ledger of all five policies at one capacity, per typology."""
-    c = _cands(spark, sf_dir).withColumn("recoverable_minor", F.col("intercept_minor"))
-    out = None
-    for n in evaluate.POLICIES:
-        x = evaluate.fold_ledger(pricing.first_fit(c, evaluate.policy_order(n), [3000]), ["typology"]).withColumn("policy", F.lit(n))
-        out = x if out is None else out.unionByName(x)
-    return out
+    c = evaluate.by_policy(_cands(spark, sf_dir).withColumn("recoverable_minor", F.col("intercept_minor")))
+    return evaluate.fold_ledger(pricing.first_fit(c, [F.col("place"), F.col("account_key")], [3000], ("policy",)), ["policy", "typology"])
 
 
 _LEDGER = f"""WITH RECURSIVE {fitted([3000])}, led AS (SELECT policy, typology, count(*) AS reviewed, CAST(sum(minutes) AS BIGINT) AS minutes, CAST(sum(CASE WHEN label = 1 THEN intercept_minor ELSE 0 END) AS BIGINT) AS captured_minor,

@@ -234,3 +234,53 @@ def migration(scored: DataFrame, key: str = "account_key", fold: str = "fold", b
 
 def migration_rates(m: DataFrame, fold: str = "fold") -> DataFrame:
     return m.groupBy(fold).agg(F.sum("n").alias("n"), (F.sum(F.when(F.col("to_band") > F.col("from_band"), F.col("n")).otherwise(0)) / F.sum("n")).alias("downgraded"), (F.sum(F.when(F.col("to_band") < F.col("from_band"), F.col("n")).otherwise(0)) / F.sum("n")).alias("upgraded"))
+
+
+def univariate_auc(df: DataFrame, features: list[str], label: str = "label", ceiling: float = 0.95) -> DataFrame:
+    """(feature, n, auc, separates): how well each feature alone ranks the label, whichever way it runs; too well is a leak."""
+    from paygrove.operators import evaluate
+
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("score")) for f in features])
+    d = df.select(F.col(label).alias("label"), F.inline(each)).filter("score is not null")
+    a = evaluate.auroc(d, ["feature"])
+    best = F.greatest(F.col("auroc"), 1 - F.col("auroc"))
+    n = d.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(a, "feature").select("feature", "n", best.alias("auc"), F.coalesce(best > ceiling, F.lit(False)).alias("separates"))
+
+
+def selection(df: DataFrame, features: dict[str, list[float]], label: str = "label", low: float = 0.02, high: float = 0.5, ceiling: float = 0.9) -> DataFrame:
+    """(feature, iv, correlation, admitted, why): which features enter a card, by information value and correlation with the label."""
+    from paygrove.operators.folds import label_correlations
+
+    iv = None
+    for f, edges in features.items():
+        t = bin_table(df, f, edges, label).agg(F.sum("iv_part").alias("iv")).withColumn("feature", F.lit(f))
+        iv = t if iv is None else iv.unionByName(t)
+    c = label_correlations(df, list(features), label, ceiling).withColumnRenamed("column", "feature")
+    d = iv.join(c, "feature")
+    why = F.when(F.col("iv") < low, "too_weak").when(F.col("iv") > high, "too_strong").when(F.col("leaks"), "correlates_with_label").otherwise("admitted")
+    return d.select("feature", "iv", "correlation", (why == "admitted").alias("admitted"), why.alias("why"))
+
+
+def quantile_edges(df: DataFrame, col: str, parts: int = 10) -> DataFrame:
+    """(edge): the lower elements at each inner quantile, repeats once; at most ``parts`` - 1 rows."""
+    from paygrove.operators.ranks import running
+
+    c = running(df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("x")).agg(F.count(F.lit(1)).alias("n")), [F.col("x")], value=F.col("n"), name="upto")
+    every = c.agg(F.sum("n").alias("all"))
+    at = F.array(*[F.min(F.when(F.col("upto") > F.floor(F.lit(k) * (F.col("all") - 1) / F.lit(parts)), F.col("x"))) for k in range(1, parts)])
+    return c.join(F.broadcast(every)).agg(F.array_distinct(at).alias("e")).select(F.explode("e").alias("edge"))  # one row broadcast
+
+
+def score_psi(expected: DataFrame, actual: DataFrame, keys: list[str], col: str = "score", parts: int = 10) -> DataFrame:
+    """(keys, psi): stability of a score on the quantile edges of the expected rows, fixed for all keys."""
+    e = quantile_edges(expected, col, parts).agg(F.sort_array(F.collect_list("edge")).alias("edges"))  # at most parts - 1 numbers
+    binned = lambda d: d.join(F.broadcast(e)).withColumn("bin", F.size(F.filter("edges", lambda x: x < F.col(col))))
+    b = binned(actual)
+    a = binned(expected).join(actual.select(*keys).distinct()) if keys else binned(expected)  # keys are folds, a handful
+    return psi(a, b, keys).groupBy(*keys).agg(F.sum("csi").alias("psi"))
+
+
+def positive_rates(frame: DataFrame, period: str = "fold", label: str = "label") -> DataFrame:
+    """(period, n, positives, rate)."""
+    return frame.groupBy(period).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("positives"), F.avg(label).alias("rate"))

@@ -138,3 +138,62 @@ def stage_state(ledger: DataFrame) -> DataFrame:
 def masked(col: Column) -> Column:
     """An account key as a page shows it."""
     return F.concat(F.substring(col, 1, 4), F.lit("…"))
+
+
+def band_definitions(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """(band, accounts, positives, low, high, rate): what each band of a scored run holds."""
+    return scored.groupBy("band").agg(
+        F.count(F.lit(1)).alias("accounts"), F.sum(label).alias("positives"), F.min(score).alias("low"), F.max(score).alias("high"), F.avg(label).alias("rate"))
+
+
+def points_long(scored: DataFrame, features: list[str], base: int, key: str = "account_key") -> DataFrame:
+    """(key, feature, points): a card's points per account, the base as a feature of its own."""
+    each = F.array(F.struct(F.lit("(base)").alias("feature"), F.lit(base).cast("long").alias("points")), *[F.struct(F.lit(f).alias("feature"), F.col(f"points_{f}").cast("long").alias("points")) for f in features])
+    return scored.select(key, F.inline(each))
+
+
+def graph_rows(nodes: DataFrame, pairs: DataFrame, communities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(communities, memberships, edges) of a run, ready to land: communities numbered from 0 by size and smallest account."""
+    m = communities.select("account", "community_id")
+    c = communities.groupBy("community_id").agg(F.count(F.lit(1)).alias("members"), F.min("account").alias("smallest_account"))
+    members = nodes.join(m, "account", "left")
+    to = m.select(F.col("account").alias("account_to"), F.col("community_id").alias("to_community"))
+    e = pairs.filter("not is_self").join(m.select(F.col("account").alias("account_from"), F.col("community_id").alias("from_community")), "account_from", "left").join(to, "account_to", "left")
+    return c, members, e.withColumn("crosses", ~F.col("from_community").eqNullSafe(F.col("to_community")))
+
+
+def expand(communities: DataFrame, community: int) -> DataFrame:
+    """Accounts of one collapsed community."""
+    return communities.filter(F.col("community_id") == community).select("account")
+
+
+def dashboard(scored: DataFrame, taken: DataFrame, hits: DataFrame, latest: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(summary, bands, patterns) of a run: what is reviewed and saved, accounts per band, the latest hits."""
+    done = taken.agg(F.count(F.lit(1)).alias("reviewed"), F.coalesce(F.sum("ev_minor"), F.lit(0)).alias("ev_minor"), F.coalesce(F.sum("intercept_minor"), F.lit(0)).alias("loss_avoided_minor"), F.coalesce(F.sum("minutes"), F.lit(0)).alias("minutes"))
+    every = scored.agg(F.count(F.lit(1)).alias("accounts"), F.coalesce(F.sum("exposure_minor"), F.lit(0)).alias("exposure_minor"))
+    bands = scored.groupBy("band").agg(F.count(F.lit(1)).alias("accounts"), F.sum("exposure_minor").alias("exposure_minor"))
+    last = hits.select("rule_id", "account_key", "severity", "window_end_us").orderBy(F.desc("window_end_us"), "rule_id", "account_key").limit(latest)
+    return every.join(done), bands, last  # one row each
+
+
+def packet(account: str, scored: DataFrame, hits: DataFrame, events: DataFrame, nodes: DataFrame, at_us: int) -> DataFrame:
+    """(section, name, value): all evidence on one case as of an instant; nothing later enters."""
+    text = lambda d, section, names: d.select(F.lit(section).alias("section"), F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in names])))
+    e = events.filter(F.col("ts_us") <= at_us)
+    own = e.filter((F.col("account_from") == account) | (F.col("account_to") == account))
+    money = own.agg(F.count(F.lit(1)).alias("transactions"), F.sum(F.when(F.col("account_from") == account, F.col("amount_minor"))).alias("sent_minor"), F.sum(F.when(F.col("account_to") == account, F.col("amount_minor"))).alias("received_minor"), F.max("ts_us").alias("last_ts_us"))
+    h = hits.filter((F.col("account_key") == account) & (F.col("window_end_us") <= at_us)).select(F.lit("rule").alias("section"), F.col("rule_id").alias("name"), F.round("severity", 9).cast("string").alias("value"))
+    graph = nodes.filter(F.col("account") == account)
+    s = scored.filter(F.col("account_key") == account)
+    return text(money, "money", ["transactions", "sent_minor", "received_minor", "last_ts_us"]).unionByName(h).unionByName(
+        text(graph, "graph", ["total_degree", "counterparties", "node_type"])).unionByName(text(s, "score", ["band"]))
+
+
+def validation_view(metrics: DataFrame, ablation: DataFrame, fairness: DataFrame) -> DataFrame:
+    """(panel, item, measure, value): what a validation page shows, one long table."""
+    def long(d: DataFrame, panel: str, item: str, measures: list[str]) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])
+        return d.select(F.lit(panel).alias("panel"), F.col(item).cast("string").alias("item"), F.inline(each))
+
+    return long(metrics, "metrics", "typology", ["average_precision", "auroc", "brier", "ks"]).unionByName(
+        long(ablation, "ablation", "configuration", ["average_precision", "auroc"])).unionByName(long(fairness, "fairness", "bucket", ["negatives", "false_positive_rate"]))

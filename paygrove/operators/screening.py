@@ -1,42 +1,81 @@
-"""Name screening against a watchlist: token blocking, then exact, subset and edit similarity."""
+"""Name screening against a watchlist: exact, subset and edit similarity, with candidates that lose no match."""
 
 from __future__ import annotations
 
+import math
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCENTS, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+def _folds() -> tuple[str, str, list[tuple[str, str]]]:
+    """Letters whose compatibility decomposition is plain ASCII letters: one to one, and one to several."""
+    one, many = {}, []
+    for c in (*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2160, 0x2180), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(c).lower()) if not unicodedata.combining(x))
+        if plain.isascii() and plain.isalnum() and plain != chr(c):
+            if len(plain) == 1:
+                one[chr(c)] = plain
+            else:
+                many.append((chr(c), plain))
+    return "".join(one), "".join(one.values()), many
+
+
+ACCENTS, PLAIN, EXPANDED = _folds()
 
 
 def normalised(name: Column) -> Column:
-    """Lower case, accents folded, anything but letters and digits a space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(name), ACCENTS, PLAIN), "ß", "ss"), "[^a-z0-9]+", " "))
+    """Lower case, accents and ligatures folded, anything but letters and digits a space."""
+    x = F.translate(F.lower(name), ACCENTS, PLAIN)
+    for c, plain in (*EXPANDED, ("ß", "ss")):
+        x = F.replace(x, F.lit(c), F.lit(plain))
+    return F.trim(F.regexp_replace(F.regexp_replace(x, r"\p{M}", ""), "[^a-z0-9]+", " "))
 
 
 def tokens(name: Column, least: int = 2) -> Column:
     return F.array_distinct(F.filter(F.split(normalised(name), " "), lambda t: F.length(t) >= least))
 
 
-def screen(queries: DataFrame, watchlist: DataFrame, threshold: float = 0.85, top: int = 5, common: int = 5_000) -> DataFrame:
-    """(query_id, reference, method, similarity, rank): the best candidates of each name.
+def edits(length: int, threshold: float) -> int:
+    """Most edits between a name of this length and any other within the threshold, the other being the longer one or not."""
+    return math.floor((1 - threshold) * math.floor(length / threshold + 1e-9) + 1e-9)
+
 
-    Names meet over shared tokens. A token in more than ``common`` list entries pairs only
-    names that share a second token too, over the pair of both, so a very common word
-    doesn't form the product of its holders; names that are equal meet by the whole name.
+def segments(length: int, threshold: float) -> list[tuple[int, int]]:
+    """(start, length) of one more even segments than there can be edits, so one of them is whole in any match."""
+    n = edits(length, threshold) + 1
+    cut = [length * k // n for k in range(n + 1)]
+    return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def screen(queries: DataFrame, watchlist: DataFrame, threshold: float = 0.85, top: int = 5, longest: int = 512) -> DataFrame:
+    """(query_id, reference, method, similarity, rank): the best candidates of each name, none lost.
+
+    Candidates come from equi-joins that hold every pair of each method:
+    * identifier and equal name: by the whole text;
+    * subset: the rarest token of the smaller name is a token of the other;
+    * similar: within the threshold a name of length m has at most ``edits(m)`` edits, so
+      of one more segments than that at least one stands unchanged in the other, shifted
+      by no more than the edits. Lengths that cannot match never meet.
+    A text in many names makes a large block, which AQE splits; it is never left out.
+    Segments of a length are a literal table of lengths up to ``longest``; a longer name
+    raises an error.
     """
     q = queries.select("query_id", F.col("name").alias("q"), normalised(F.col("name")).alias("qn"), tokens(F.col("name")).alias("qt"))
     w = watchlist.select("reference", normalised(F.col("name")).alias("wn"), tokens(F.col("name")).alias("wt"))
-    df = w.select(F.explode("wt").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    pair = ["query_id", "q", "qn", "qt", "reference", "wn", "wt"]
+    df = q.select(F.explode("qt").alias("t")).union(w.select(F.explode("wt"))).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
 
-    def blocks(d: DataFrame, ts: str) -> DataFrame:
-        one = d.withColumn("t", F.explode(ts)).join(df, "t", "left").filter(F.coalesce("df", F.lit(0)) <= common).withColumn("block", F.col("t")).drop("t", "df")
-        pair = F.flatten(F.transform(F.array_sort(ts), lambda a: F.transform(F.filter(F.col(ts), lambda b: b > a), lambda b: F.concat_ws(" ", a, b))))
-        return one.unionByName(d.withColumn("block", F.explode(pair)))
+    def rarest(d: DataFrame, key: str, ts: str) -> DataFrame:
+        t = d.select(key, F.explode(ts).alias("t")).join(df, "t").groupBy(key).agg(F.min(F.struct("df", "t"))["t"].alias("t"))
+        return d.filter(F.size(ts) >= 2).join(t, key)
 
-    whole = lambda d, n: d.withColumn("block", F.concat(F.lit("="), F.col(n)))
-    qb = blocks(q, "qt").unionByName(whole(q, "qn"))
-    wb = blocks(w, "wt").unionByName(whole(w, "wn"))
-    c = qb.join(wb, "block").select("query_id", "q", "qn", "qt", "reference", "wn", "wt").distinct()
+    whole = q.join(w, F.col("q") == F.col("reference")).select(*pair).union(q.join(w, F.col("qn") == F.col("wn")).select(*pair))
+    part = rarest(q, "query_id", "qt").join(w.withColumn("t", F.explode("wt")), "t").select(*pair).union(
+        rarest(w, "reference", "wt").join(q.withColumn("t", F.explode("qt")), "t").select(*pair))
+    near = _near(q, w, threshold, longest).select(*pair)
+    c = whole.union(part).union(near).distinct()
     shorter = F.least(F.size("qt"), F.size("wt"))
     ratio = 1 - F.levenshtein("qn", "wn") / F.greatest(F.length("qn"), F.length("wn"), F.lit(1))
     method = (
@@ -46,3 +85,17 @@ def screen(queries: DataFrame, watchlist: DataFrame, threshold: float = 0.85, to
     d = c.withColumns({"method": method, "similarity": sim}).filter("method is not null")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "reference"))
     return d.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "reference", "method", "similarity", "rank")
+
+
+def _near(q: DataFrame, w: DataFrame, threshold: float, longest: int) -> DataFrame:
+    """Pairs that may be within the threshold, by shared segments."""
+    spark = q.sparkSession
+    cuts = [(m, edits(m, threshold), j, a, n) for m in range(1, longest + 1) for j, (a, n) in enumerate(segments(m, threshold)) if n]
+    plan = spark.createDataFrame(cuts, "m int, k int, j int, a int, n int")  # rows per length, whatever the data
+    named = w.filter("wn is not null").withColumn("m", F.when(F.length("wn") <= longest, F.length("wn")).otherwise(F.raise_error(F.lit("a name is too long to screen")).cast("int")))
+    own = named.join(F.broadcast(plan.select("m", "j", "a", "n")), "m").withColumn("s", F.expr("substring(wn, a + 1, n)"))
+    lengths = F.sequence(F.ceil(F.length("qn") * F.lit(threshold) - 1e-9).cast("int"), F.least(F.lit(longest), F.floor(F.length("qn") / F.lit(threshold) + 1e-9)).cast("int"))
+    some = q.filter(F.length("qn").between(1, longest)).withColumn("m", F.explode(lengths))
+    at = F.expr("sequence(greatest(0, a - k), least(length(qn) - n, a + k))")
+    theirs = some.join(F.broadcast(plan), "m").filter("length(qn) - n >= greatest(0, a - k)").withColumn("at", F.explode(at)).withColumn("s", F.expr("substring(qn, at + 1, n)"))
+    return theirs.select("query_id", "q", "qn", "qt", "m", "j", "s").distinct().join(own.select("reference", "wn", "wt", "m", "j", "s"), ["m", "j", "s"])

@@ -147,6 +147,14 @@ def screen(spark, sf_dir):
     return screening.screen(q, s).select("query_id", "reference", "method", F.round("similarity", 9).alias("similarity"), "rank")
 
 
+_SCREEN = """WITH n AS (SELECT c_custkey AS query_id, replace(c_name, 'Customer', 'Party') AS q FROM customer), s AS (SELECT 'S' || s_suppkey AS reference, replace(s_name, 'Supplier', 'Party') AS w FROM supplier),
+a AS (SELECT *, trim(regexp_replace(lower(q), '[^a-z0-9]+', ' ', 'g')) AS qn FROM n), b AS (SELECT *, trim(regexp_replace(lower(w), '[^a-z0-9]+', ' ', 'g')) AS wn FROM s),
+p AS (SELECT *, list_distinct(list_filter(string_split(qn, ' '), lambda x: len(x) >= 2)) AS qt, list_distinct(list_filter(string_split(wn, ' '), lambda x: len(x) >= 2)) AS wt, 1 - levenshtein(qn, wn) / greatest(len(qn), len(wn), 1) AS r FROM a, b),
+m AS (SELECT *, CASE WHEN q = reference THEN 'identifier' WHEN qn = wn THEN 'equal' WHEN least(len(qt), len(wt)) >= 2 AND len(list_intersect(qt, wt)) = least(len(qt), len(wt)) THEN 'subset' WHEN r >= 0.85 THEN 'similar' END AS method FROM p),
+z AS (SELECT *, CASE method WHEN 'similar' THEN r WHEN 'subset' THEN 0.95 ELSE 1.0 END AS sim FROM m WHERE method IS NOT NULL)
+SELECT query_id, reference, method, round(sim, 9) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, reference) AS INT) AS rank FROM z QUALIFY rank <= 5"""
+
+
 def run_states(spark, sf_dir):
     e = pay_events(spark, sf_dir).withColumns({"run_id": F.concat(F.lit("r"), (F.col("event_id") % 40).cast("string")), "stage": F.col("txn_type"), "at_us": F.col("ts_us"), "state": F.when(F.col("amount_minor") % 2 == 0, "running").otherwise("done"), "rows": F.col("amount_minor")})
     return warehouse.stage_state(e).withColumn("seconds", F.round("seconds", 6))
@@ -174,5 +182,5 @@ ORACLE = {
     "account_table": _ACC, "current_scores": _CUR, "hits_long": _LONG, "append_only": f"WITH {EV} SELECT txn_id, event_id FROM ev WHERE event_id % 3 = 0",
     "generic_select": f"WITH {SC} SELECT account_key, typology, currency, total FROM sc WHERE typology = 'cycle' AND total > 100 ORDER BY total DESC, account_key LIMIT 25 OFFSET 10",
     "alert_queue": _QUEUE, "stored_ranking": f"{_RANKING} SELECT account_key, rank, selected, cutoff_rank, rank > cutoff_rank AS beyond_capacity FROM sr", "policy_what_if": _WHAT, "queue_facets": _FACETS, "case_transactions": _TIME,
-    "audit_erase": "SELECT c_custkey AS subject, 'P' || c_custkey AS pseudonym FROM customer WHERE c_custkey % 10 <> 3", "stage_states": _STATES, "run_list": _RUNS,
+    "audit_erase": "SELECT c_custkey AS subject, 'P' || c_custkey AS pseudonym FROM customer WHERE c_custkey % 10 <> 3", "stage_states": _STATES, "run_list": _RUNS, "name_screening": _SCREEN,
 }

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 PASS = "account string, currency string, ratio double, received_id string, sent_id string, sent_us long"
-_STATE = "ts array<bigint>, ids array<string>, amounts array<bigint>"
+_STATE = "r_ts array<bigint>, r_ids array<string>, r_amounts array<bigint>, s_ts array<bigint>, s_ids array<string>, s_amounts array<bigint>"
 
 
 def ingest(raw: DataFrame, lateness: str = "30 days") -> DataFrame:
@@ -29,39 +30,57 @@ def late_counts(raw: DataFrame, seal_us: int) -> DataFrame:
     return raw.groupBy("source_dataset").agg(F.count(F.lit(1)).alias("rows"), F.count_if(late).alias("late"))
 
 
+def best_receives(receives: pd.DataFrame, sends: pd.DataFrame, share_micro: int, width_us: int) -> pd.DataFrame:
+    """Sends of one key with the receive of the last window that gives the highest ratio, if one passes the share.
+
+    The highest ratio comes from the smallest receive, the earlier one on ties, so it is a
+    minimum of ranks over a range of the receives in time order.
+    """
+    r = receives.sort_values(["ts_us", "txn_id"]).reset_index(drop=True)
+    s = sends.reset_index(drop=True)
+    lo = np.searchsorted(r.ts_us.to_numpy(), s.ts_us.to_numpy() - width_us, "left")
+    hi = np.searchsorted(r.ts_us.to_numpy(), s.ts_us.to_numpy(), "right")
+    s, lo, hi = s[hi > lo], lo[hi > lo], hi[hi > lo]
+    if not len(s):
+        return pd.DataFrame(columns=["ratio", "received_id", "sent_id", "sent_us"])
+    order = r.sort_values(["amount_minor", "ts_us", "txn_id"]).index.to_numpy()
+    rank = np.empty(len(r) + 1, np.int64)
+    rank[order], rank[-1] = np.arange(len(r)), len(r)
+    best = order[np.minimum.reduceat(rank, np.stack([lo, hi], 1).ravel())[::2]]
+    sent, got = s.amount_minor.to_numpy(), r.amount_minor.to_numpy()[best]
+    out = pd.DataFrame({"ratio": sent / got, "received_id": r.txn_id.to_numpy()[best], "sent_id": s.txn_id.to_numpy(), "sent_us": s.ts_us.to_numpy()})
+    return out[sent * 1_000_000 >= got * share_micro]
+
+
 def pass_through(legs: DataFrame, share_micro: int = 800_000, width_us: int = 3_600_000_000, least_minor: int = 10_000, lateness: str = "1 hour") -> DataFrame:
-    """Alerts of rule R1 as sends arrive, keyed by account and currency.
+    """Alerts of rule R1, keyed by account and currency, the same in whatever order rows come within the watermark.
 
-    State is the receives of the last window only; it expires with the watermark. Each
-    micro-batch is ordered by time within its key, and a send alerts with the receive
-    that gives the highest ratio.
+    A send waits until the watermark passes it, when every receive that it could match
+    has come; then it alerts with the receive that gives the highest ratio. State is the
+    waiting sends and the receives that one of them, or a later one, can still match.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        cols = ["ts_us", "txn_id", "amount_minor"]
+        held = state.get if state.exists else ([],) * 6
+        receives, sends = (pd.DataFrame(dict(zip(cols, held[k : k + 3], strict=True))).astype({"ts_us": "int64", "amount_minor": "int64"}) for k in (0, 3))
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames))
+            receives = pd.concat([receives, rows[(rows.side == "in") & (rows.amount_minor >= least_minor)][cols]])
+            sends = pd.concat([sends, rows[rows.side == "out"][cols]])
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready = sends.ts_us < passed
+        out = best_receives(receives, sends[ready], share_micro, width_us)
+        sends, receives = sends[~ready], receives[receives.ts_us >= passed - width_us]
+        if len(sends) or len(receives):
+            state.update(tuple(x.tolist() for d in (receives, sends) for x in (d.ts_us, d.txn_id, d.amount_minor)))
+            # when the first send is passed, or the last receive can match no more
+            last = int(sends.ts_us.min()) + 1 if len(sends) else int(receives.ts_us.max()) + width_us
+            state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + 1)
+        elif state.exists:
             state.remove()
-            return
-        ts, ids, amounts = (list(x) for x in state.get) if state.exists else ([], [], [])
-        rows = pd.concat(list(frames)).sort_values(["ts_us", "side", "txn_id"])  # receives first at an instant
-        out = []
-        for r in rows.itertuples():
-            while ts and ts[0] < r.ts_us - width_us:
-                del ts[0], ids[0], amounts[0]
-            if r.side == "in":
-                if r.amount_minor >= least_minor:
-                    ts.append(int(r.ts_us))
-                    ids.append(r.txn_id)
-                    amounts.append(int(r.amount_minor))
-                continue
-            ok = [(-r.amount_minor / a, t, i) for t, i, a in zip(ts, ids, amounts, strict=True) if t <= r.ts_us and r.amount_minor * 1_000_000 >= a * share_micro]
-            if ok:
-                best = min(ok)
-                out.append((key[0], key[1], -best[0], best[2], r.txn_id, int(r.ts_us)))
-        state.update((ts, ids, amounts))
-        last = int(rows.ts_us.max()) // 1000
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1) + width_us // 1000)
-        if out:
-            yield pd.DataFrame(out, columns=["account", "currency", "ratio", "received_id", "sent_id", "sent_us"])
+        if len(out):
+            yield out.assign(account=key[0], currency=key[1])[["account", "currency", "ratio", "received_id", "sent_id", "sent_us"]]
 
     d = legs.withColumn("event_ts_utc", F.timestamp_micros("ts_us")).withWatermark("event_ts_utc", lateness)
     return d.groupBy("account", "currency").applyInPandasWithState(step, PASS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

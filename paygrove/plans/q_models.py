@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paygrove.operators import models, scorecard, splits
+from paygrove.operators import models, pricing, scorecard, splits, stack, warehouse
 from paygrove.plans.q_evaluate import _FOLDS, SC, scored
 from paygrove.plans.tables import pay_lineitem
+from paygrove.session import checkpoint
 
 NUM, CAT = ["rows", "outflow_minor", "rule_severity"], ["typology"]
 EDGES = [20.0, 40.0, 60.0]
@@ -76,13 +77,18 @@ _MIG = f"""{_FOLDS}, b AS (SELECT account_from AS k, fold, ['A','B','C','D','E']
 m AS (SELECT y.fold, x.band AS from_band, y.band AS to_band, count(*) AS n FROM b x JOIN b y ON x.k = y.k AND y.fold = x.fold + 1 GROUP BY 1, 2, 3)"""
 
 
+def _three(spark, sf_dir):
+    """Training, validation and test customers, by hash."""
+    u = splits.bucket(F.col("account_key"), "three")
+    d = scored(spark, sf_dir).withColumn("label", F.col("label").cast("double"))
+    return d.filter(u < 0.6), d.filter((u >= 0.6) & (u < 0.8)), d.filter(u >= 0.8)
+
+
 def boosted(spark, sf_dir):
-    """Boosted trees on a training slice, scores of the held-out customers."""
-    t, h = _train(spark, sf_dir)
-    mt, _ = models.matrix(t, NUM, CAT)
-    mh, _ = models.matrix(h, NUM, CAT)
-    m = models.boosted(mt, mh, trees=5, depth=3)
-    return m.transform(mh).select("account_key", "label", models.positive().alias("p"))
+    """Boosted trees on training customers, stopped early on validation ones, scores of the test ones."""
+    t, v, h = (models.matrix(x, NUM, CAT)[0] for x in _three(spark, sf_dir))
+    m = models.boosted(t, v, trees=5, depth=3)
+    return m.transform(h).select("account_key", "label", models.positive().alias("p"))
 
 
 def anomaly(spark, sf_dir):
@@ -92,12 +98,12 @@ def anomaly(spark, sf_dir):
 
 
 def fused(spark, sf_dir):
-    """Two channels fused with non-negative weights, then calibrated."""
-    t, h = _train(spark, sf_dir)
-    m = models.fuse(t.withColumn("label", F.col("label").cast("double")), ["score", "rule_severity"])
-    f = m.transform(t.withColumn("label", F.col("label").cast("double"))).withColumn("raw", models.positive("fused_p")).select("account_key", "label", "raw")
-    how, c = models.calibrate(f, "raw")
-    got = m.transform(h).withColumn("raw", models.positive("fused_p")).select("account_key", "label", "raw")
+    """Two channels fused with non-negative weights on training customers, calibrated on validation ones, test ones scored."""
+    t, v, h = _three(spark, sf_dir)
+    m = models.fuse(t, ["score", "rule_severity"])
+    raw = lambda d: m.transform(d).withColumn("raw", models.positive("fused_p")).select("account_key", "label", "raw")
+    how, c = models.calibrate(raw(v), "raw")
+    got = raw(h)
     if how == "isotonic":
         got = c.transform(got)
     elif how == "platt":
@@ -107,6 +113,43 @@ def fused(spark, sf_dir):
     return got.withColumn("method", F.lit(how))
 
 
+def stack_frame(spark, sf_dir):
+    """(frame, folds): per account, fold and role what it moved, to how many, how much of it in one go, and the label."""
+    li = pay_lineitem(spark, sf_dir)
+    plan = splits.plan(li)
+    d = splits.assign(li.withColumnRenamed("account_from", "account_key"), plan).filter("role in ('train', 'valid', 'test')")
+    g = d.groupBy("account_key", "fold", "role").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("amount_minor").alias("total"), F.max("amount_minor").alias("largest"), F.countDistinct("account_to").alias("peers"), F.avg("l_discount").alias("mean_discount"),
+        F.max("label_is_fraud").alias("label"), F.sum(F.when(F.col("channel") == "O", F.col("amount_minor"))).alias("outflow_minor"), F.first("currency").alias("currency"))
+    # a severity as rules give it: how far the largest movement stands out
+    return g.withColumn("rule_severity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("largest") * F.col("rows") / F.col("total") - 1))), [f.fold for f in plan]
+
+
+def _stack(spark, sf_dir):
+    frame, folds = stack_frame(spark, sf_dir)
+    return stack.run(checkpoint(frame), folds, ["rows", "largest", "mean_discount"], {"volume": "rows", "value": "total", "breadth": "peers"}, "rule_severity", "stack-1")
+
+
+def model_stack(spark, sf_dir):
+    """Every fold's test accounts with seven channels, fused and calibrated scores, bands and reasons."""
+    d = _stack(spark, sf_dir)
+    return d.withColumn("top_channels", F.concat_ws(",", "top_channels")).withColumn("reasons", F.concat_ws("; ", "reasons"))
+
+
+def model_gates(spark, sf_dir):
+    return stack.gates(_stack(spark, sf_dir))
+
+
+def stack_ranking(spark, sf_dir):
+    """The latest fold's calibrated scores priced, ranked and allocated: what the review queue reads."""
+    d = _stack(spark, sf_dir)
+    last = d.groupBy("account_key").agg(F.max_by(F.struct("fold", "p_calibrated", "band", "outflow_minor", "currency", "label"), "fold").alias("x")).select("account_key", "x.*")
+    a = pricing.Assumptions()
+    p = pricing.price(pricing.attach(last.withColumnRenamed("p_calibrated", "score"), a), a)
+    taken = pricing.first_fit(pricing.candidates(p), [F.desc("density"), F.col("account_key")], [3000])
+    return warehouse.stored_ranking(p, taken).select("account_key", "fold", "band", "score", "ev_minor", "rank", "selected", "beyond_capacity")
+
+
 def queue(spark, sf_dir):
     return models.queue(scored(spark, sf_dir), ["typology"]).select("typology", "account_key", "rank")
 
@@ -142,7 +185,7 @@ def weights(spark, sf_dir):
 QUERIES = {
     "scorecard_bins": bin_table, "scorecard_points": card, "scorecard_bands": card_bands, "drift_psi": drift, "band_migration": migration, "band_migration_rates": migration_rates,
     "model_boosted": boosted, "model_anomaly": anomaly, "model_fused_calibrated": fused, "alert_ranks": queue, "band_agreement": agreement, "band_disagreements": disagreements,
-    "prior_correction": prior, "class_weights": weights,
+    "prior_correction": prior, "class_weights": weights, "model_stack": model_stack, "model_gates": model_gates, "stack_ranking": stack_ranking,
 }
 ORACLE = {
     "scorecard_bins": _BIN, "drift_psi": _DRIFT, "band_migration": f"WITH {_MIG} SELECT * FROM m",

@@ -32,6 +32,13 @@ def test_language_edge_cases(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def test_language_clashing_columns_and_far_letters(spark):
+    rows = [(k, "der hund und die katze" if k % 2 else "the cat and the dog", "de" if k % 2 else "en") for k in range(40)] + [(100, "\U00030010" * 5, None), (100, "\U00030010" * 5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as share", "2 as l", "3 as i", "4 as t", "5 as idx", "6 as score", "true as held_out")
+    got = langid.identify(df).collect()
+    assert len(got) == 42 and all(r.lang_pred in ("de", "en") for r in got)  # those letters are letters, so not und
+
+
 def test_filter_has_no_false_negatives():
     f = langid.Filter(["a", "b"], np.zeros((1, langid.CELLS), np.uint64))
     g = langid._grams(langid._codes("some words of a language"))[2]
@@ -75,6 +82,35 @@ def test_marginals():
     assert a == pytest.approx(want)
 
 
+def test_pair_marginals():
+    """Against enumeration of all labellings."""
+    from itertools import product
+
+    m = toxicity.Model(np.zeros(1), -0.7, np.array([[0.0, -1.0], [0.2, 0.8]]))
+    rng = np.random.default_rng(5)
+    docs = [rng.normal(size=n) for n in (1, 4, 7)]
+    _, p01, p11 = toxicity.posteriors(np.concatenate(docs), np.array([1, 4, 7]), m, pairs=True)
+    at = 0
+    for e in docs:
+        z, want = 0.0, np.zeros((len(e), 2))
+        for y in product((0, 1), repeat=len(e)):
+            w = np.exp(m.start * y[0] + sum(e[i] * y[i] for i in range(len(e))) + sum(m.step[y[i - 1]][y[i]] for i in range(1, len(e))))
+            z += w
+            for i in range(1, len(e)):
+                want[i, y[i - 1]] += w * y[i]
+        assert np.stack([p01[at : at + len(e)], p11[at : at + len(e)]], 1) == pytest.approx(want / z)
+        at += len(e)
+    long = rng.normal(size=500)
+    p, p01, p11 = toxicity.posteriors(long, np.array([500]), m, pairs=True)
+    assert (p01 + p11)[1:] == pytest.approx(p[1:])  # also across blocks
+
+
+def test_toxicity_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, "you scoundrel here" if k % 4 == 0 else "plain things") for k in range(200)], "doc_id long, text string").selectExpr("*", "1 as y", "2 as t", "3 as i", "'a' as __i", "true as held_out")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, toxic int").selectExpr("*", "5 as y", "6 as text")
+    assert toxicity.score(docs, labels).count() == 200
+
+
 def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     r = {x.doc_id: x for x in toxicity.score(docs, labels).collect()}
@@ -215,6 +251,62 @@ def test_quotes(spark):
     assert chat.link_quotes(df.limit(0)).count() == 0
 
 
+def plain_links(messages):
+    """(conv, turn) -> (text, quoted, linked, reply_to, depth, thread), and each conversation's order of (thread, turn)."""
+    by = {}
+    for c, n, _, t in messages:
+        by.setdefault(c, []).append((n, *chat.parse(t)))
+    out = {}
+    for c, rows in by.items():
+        rows.sort(key=lambda r: r[0])
+        reply = {}
+        for n, own, _, quoted in rows:
+            hits = []
+            for level, h in quoted:
+                before = [m for m, _, mine, _ in rows if m < n and h in mine]
+                hits.append((level, max(before) if before else None))
+            first = Counter(m for level, m in hits if level == 1 and m is not None)
+            to = max(first, key=lambda m: (first[m], m)) if first else None
+            reply[n] = to
+            out[c, n] = [own, len(quoted), sum(m is not None for _, m in hits), to]
+        for n in reply:
+            depth, at = 0, n
+            while reply.get(at) is not None:
+                depth, at = depth + 1, reply[at]
+            out[c, n] += [depth, at]
+    return out
+
+
+def test_quotes_equal_brute_force(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in df.collect()]
+    want = plain_links(rows)
+    got = chat.link_quotes(df.selectExpr("*", "1 as r", "2 as ck", "'z' as h", "3 as part")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert [r.text, r.n_quoted, r.n_linked, r.reply_to, r.depth, r.thread] == want[r.conv_id, r.turn]
+    for part in (2, 256):
+        convs = chat.conversations(df, part=part).collect()
+        whole = {}
+        for c in sorted(convs, key=lambda c: c.part):
+            assert c.n_messages == len(c.messages) <= part
+            whole.setdefault(c.conv_id, []).extend(c.messages)
+        assert sum(map(len, whole.values())) == len(rows)
+        for c, ms in whole.items():
+            assert [m.position for m in ms] == list(range(1, len(ms) + 1))
+            assert [(m.thread, m.turn) for m in ms] == sorted((m.thread, m.turn) for m in ms)
+
+
+def test_one_conversation_has_most_rows(spark):
+    """Everybody quotes the first turn of one conversation; a very long text is in it."""
+    rows = [(1, 0, "user", "first line")] + [(1, k, "user", "> first line\nown " + str(k)) for k in range(1, 600)] + [(2, 0, "user", "x " * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    got = chat.link_quotes(df).collect()
+    assert sorted(r.position for r in got if r.conv_id == 1) == list(range(1, 601))
+    assert all(r.reply_to == 0 and r.depth == 1 for r in got if r.conv_id == 1 and r.turn > 0)
+    assert chat.conversations(df).count() == 4
+
+
 def test_long_thread(spark):
     df = spark.createDataFrame([(1, 0, "user", "line 0")] + [(1, k, "user", f"> line {k - 1}\nline {k}") for k in range(1, 70)], "conv_id long, turn long, role string, text string")
     got = {r.turn: r for r in chat.link_quotes(df).collect()}

@@ -16,8 +16,8 @@ from paygrove.llm.langid import held_out
 from paygrove.session import checkpoint
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Bound of the training sample: documents of each label, about.
-SAMPLE = 1500
+#: Bounds of the training sample: documents of each label, about, and characters of the longest one taken.
+SAMPLE, LONGEST = 1500, 20_000
 #: Hashed feature weights.
 WEIGHTS = 1 << 18
 #: Words of a block of the forward-backward passes.
@@ -159,7 +159,7 @@ def _dfs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
-    """(t, y): about ``most`` labelled documents of each label, none of them held out."""
+    """(t, y): about ``most`` labelled documents of each label, none of them held out, none beyond ``LONGEST``."""
     usable = labels.select(F.col(id_col).alias("__i"), F.col(label_col).cast("int").alias("y"))
     usable = usable.filter(F.col("y").isin(0, 1) & F.col("__i").isNotNull() & ~held_out(F.col("__i")))
     n = {r.y: r["count"] for r in usable.groupBy("y").count().collect()}
@@ -167,6 +167,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     share = F.when(F.col("y") == 1, F.lit(most / max(1, n.get(1, 1)))).otherwise(F.lit(most / max(1, n.get(0, 1))))
     picked = F.broadcast(usable.filter(u < share).limit(4 * most))  # at most 4 * most ids
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    texts = texts.filter(F.length("t") <= LONGEST)
     return texts.join(picked, F.col("__id") == F.col("__i")).select("t", "y")
 
 

@@ -24,8 +24,10 @@ def code(source: str) -> Column:
     return F.when(at >= 0, at.cast("int")).otherwise(F.raise_error(F.concat(F.lit(f"undeclared {source}: "), F.col(source).cast("string"))).cast("int"))
 
 
-def build(events: DataFrame, features: list[Feature] | None = None, sealed_us: int | None = None, sliding: bool = False) -> DataFrame:
-    """Keys and all event-level features of both sides of each event.
+def build(
+    events: DataFrame, features: list[Feature] | None = None, sealed_us: int | None = None, sliding: bool = False, entities: DataFrame | None = None,
+) -> DataFrame:
+    """Keys and all event-level features of both sides of each event; of the accounts in ``entities`` (entity) only, if given.
 
     Counts, sums, means, deviations and windowed distinct counts come from one running
     pass per key (``kernels.sweep``); minimum, maximum and order statistics from RANGE
@@ -36,7 +38,8 @@ def build(events: DataFrame, features: list[Feature] | None = None, sealed_us: i
     chosen = [f for f in (features or FEATURES) if f.kind not in ("graph", "rule")]
     preds = predicates(sealed_us)
     layers = check(chosen, ROW_COLUMNS, set(preds))
-    d = row_values(explode_entities(events))
+    d = explode_entities(events)
+    d = row_values(d if entities is None else d.join(entities.select("entity"), "entity", "left_semi").select(*d.columns))
     d = d.withColumns({f"_p_{n}": p for n, p in preds.items()})
     live = ~F.col("_p_late_arrival")
 

@@ -26,20 +26,22 @@ def sweep(df: DataFrame, keys: list[str], sums: Mapping[str, tuple[Column, Colum
     included, is then the window's sum. Unlike sliding frames the cost doesn't grow with
     the rows in a window, so an account with millions of rows is a sort, not a product.
     """
-    names = list(sums)
+    names, kinds = list(sums), dict(df.dtypes)
     out = df.withColumns({f"__v_{n}": F.coalesce(v, F.lit(0)) for n, (v, _) in sums.items()} | {f"__x_{n}": x for n, (_, x) in sums.items()})
-    real = out.select(*[F.col(c) for c in df.columns], *[F.col(f"__v_{n}").alias(f"__d_{n}") for n in names], F.lit(True).alias("__real"))
     leaving: dict[str, list[str]] = {}
     for n, (_, x) in sums.items():
         leaving.setdefault(str(x), []).append(n)
     zero = {n: F.lit(0).cast(dict(out.dtypes)[f"__v_{n}"]) for n in names}
+    some = F.greatest(*[F.when(F.col(f"__v_{n}") != 0, 1).otherwise(0) for n in names], F.lit(0)) > 0
+    # one row becomes itself and a narrow one per instant at which something leaves, so what is above runs once
+    real = F.struct(*[F.col(c) for c in df.columns], *[F.col(f"__v_{n}").alias(f"__d_{n}") for n in names], F.lit(True).alias("__real"), F.lit(True).alias("__keep"))
     gone = [
-        F.struct(F.col(f"__x_{group[0]}").alias(ts), *[(-F.col(f"__v_{n}") if n in group else zero[n]).alias(f"__d_{n}") for n in names])
+        F.struct(
+            *[(F.col(f"__x_{group[0]}").cast(kinds[ts]) if c == ts else F.col(c) if c in keys else F.lit(None).cast(kinds[c])).alias(c) for c in df.columns],
+            *[(-F.col(f"__v_{n}") if n in group else zero[n]).cast(dict(out.dtypes)[f"__v_{n}"]).alias(f"__d_{n}") for n in names], F.lit(False).alias("__real"), some.alias("__keep"))
         for group in leaving.values()
     ]
-    some = F.greatest(*[F.when(F.col(f"__v_{n}") != 0, 1).otherwise(0) for n in names], F.lit(0)) > 0
-    past = out.filter(some).select(*keys, F.inline(F.array(*gone))).withColumn("__real", F.lit(False))
-    both = real.unionByName(past, allowMissingColumns=True)
+    both = out.select(F.inline(F.array(real, *gone))).filter("__keep")
     w = lifetime(keys, ts)
     run = both.select(*df.columns, "__real", *[F.sum(f"__d_{n}").over(w).alias(n) for n in names])
     return run.filter("__real").drop("__real")

@@ -8,6 +8,7 @@ from paygrove.operators import graph, rules
 from paygrove.operators.rules import Settings
 from paygrove.plans.q_graph import _ADJ, _LEGS, _NODES, CHAIN_CTE
 from paygrove.plans.tables import DAY, EV, HOUR, pay_events
+from paygrove.session import checkpoint
 
 MIN = 60_000_000
 #: Parameters that make each rule fire on these tables; all else is the defaults.
@@ -199,9 +200,9 @@ def flagship(spark, sf_dir):
 
     e = pay_events(spark, sf_dir)
     names = ("txn_count_in_24h", "amount_in_30d_minor", "lifetime_counterparties")
-    m = features.build(e, [f for f in FEATURES if f.name in names])
+    hits = checkpoint(_plain(rules.run_rules(e, S, excluded=_excluded(e), only=("R2",))))
+    m = features.build(e, [f for f in FEATURES if f.name in names], entities=hits.select(F.col("account_key").alias("entity")))
     last = m.groupBy("entity").agg(F.max_by(F.struct(*names), F.struct("ts_us", "txn_id", "sign")).alias("f")).select(F.col("entity").alias("account_key"), "f.*")
-    hits = _plain(rules.run_rules(e, S, excluded=_excluded(e), only=("R2",)))
     return hits.join(last, "account_key").select("account_key", "severity", "observation", "window_start_us", *names)
 
 

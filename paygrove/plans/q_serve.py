@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paygrove.operators import audit, evaluate, graph, pricing, rules, screening, splits, warehouse
 from paygrove.plans.q_evaluate import _FOLDS, A, SC, _cands, fitted, scored
+from paygrove.plans.q_rules import _SQL as RULE_SQL
 from paygrove.plans.q_rules import S
 from paygrove.plans.tables import DAY, EV, pay_events, pay_lineitem, table
 
@@ -106,6 +107,9 @@ def timeline(spark, sf_dir):
     return warehouse.timeline(e, rules.run_rules(e, S, only=("R1", "R10")), "A7")
 
 
+_TIMELINE = f"""WITH {EV}, h AS (SELECT * FROM ({RULE_SQL['R1']}) UNION ALL SELECT * FROM ({RULE_SQL['R10']}))
+SELECT ts_us, 'transaction' AS kind, txn_type AS label, txn_id AS detail FROM ev WHERE account_from = 'A7' OR account_to = 'A7' UNION ALL SELECT window_start_us, 'rule', rule_id, txn_ids FROM h WHERE account_key = 'A7'"""
+
 _TIME = f"""WITH {EV} SELECT ts_us, 'transaction' AS kind, txn_type AS label, txn_id AS detail FROM ev WHERE account_from = 'A7' OR account_to = 'A7'"""
 
 
@@ -182,5 +186,5 @@ ORACLE = {
     "account_table": _ACC, "current_scores": _CUR, "hits_long": _LONG, "append_only": f"WITH {EV} SELECT txn_id, event_id FROM ev WHERE event_id % 3 = 0",
     "generic_select": f"WITH {SC} SELECT account_key, typology, currency, total FROM sc WHERE typology = 'cycle' AND total > 100 ORDER BY total DESC, account_key LIMIT 25 OFFSET 10",
     "alert_queue": _QUEUE, "stored_ranking": f"{_RANKING} SELECT account_key, rank, selected, cutoff_rank, rank > cutoff_rank AS beyond_capacity FROM sr", "policy_what_if": _WHAT, "queue_facets": _FACETS, "case_transactions": _TIME,
-    "audit_erase": "SELECT c_custkey AS subject, 'P' || c_custkey AS pseudonym FROM customer WHERE c_custkey % 10 <> 3", "stage_states": _STATES, "run_list": _RUNS, "name_screening": _SCREEN,
+    "audit_erase": "SELECT c_custkey AS subject, 'P' || c_custkey AS pseudonym FROM customer WHERE c_custkey % 10 <> 3", "stage_states": _STATES, "run_list": _RUNS, "name_screening": _SCREEN, "case_timeline": _TIMELINE,
 }

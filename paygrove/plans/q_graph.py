@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paygrove.operators import graph, paths
-from paygrove.plans.tables import DAY, EV, pay_events
+from paygrove.plans.tables import DAY, EV, LI, pay_events, pay_lineitem
 
 CUTOFF = 1_705_276_800_000_000  # 2024-01-15
 START, END = 1_704_412_800_000_000, 1_705_017_600_000_000  # a week in January
@@ -106,21 +106,25 @@ SELECT d.v AS account, coalesce(k, 0) AS density_links, d * (d - 1) // 2 AS dens
 
 
 def comps(spark, sf_dir):
-    # a sparse slice of the graph, so that there is more than one component
-    e = pay_events(spark, sf_dir).filter("txn_type = 'purchase' and amount_minor > 8000")
+    """Components of both sources' accounts in one graph."""
+    e = pay_events(spark, sf_dir).select("account_from", "account_to").unionByName(pay_lineitem(spark, sf_dir).select("account_from", "account_to"))
     return graph.components(e)
 
 
-_COMPS = f"""WITH RECURSIVE {EV}, u AS (SELECT DISTINCT account_from AS a, account_to AS b FROM ev WHERE account_from <> account_to AND txn_type = 'purchase' AND amount_minor > 8000),
-s AS (SELECT a, b FROM u UNION SELECT b, a FROM u), r AS (SELECT a AS node, a AS c FROM s UNION SELECT s.b, r.c FROM r JOIN s ON s.a = r.node)
-SELECT node, min(c) AS component FROM r GROUP BY 1"""
+def _comps_sql(rounds: int = 12) -> str:
+    # the smallest label among neighbours, as often as these graphs are deep
+    sql = f"""WITH {EV}, {LI}, u AS (SELECT account_from AS a, account_to AS b FROM ev UNION SELECT account_from, account_to FROM li), s AS (SELECT a, b FROM u WHERE a <> b UNION SELECT b, a FROM u WHERE a <> b),
+c0 AS (SELECT DISTINCT a AS node, a AS c FROM s)"""
+    for k in range(rounds):
+        sql += f", c{k + 1} AS (SELECT s.a AS node, least(min(x.c), min(y.c)) AS c FROM s JOIN c{k} x ON x.node = s.a JOIN c{k} y ON y.node = s.b GROUP BY 1)"
+    return sql + f" SELECT node, c AS component FROM c{rounds}"
 
 
 def ranks(spark, sf_dir):
-    return graph.pagerank(pay_events(spark, sf_dir), rounds=6, tolerance=0.0).withColumn("pagerank", F.round("pagerank", 9))
+    return graph.pagerank(pay_events(spark, sf_dir), tolerance=1e-12).withColumn("pagerank", F.round("pagerank", 9))
 
 
-def _rank_sql(rounds: int = 6, alpha: float = 0.85) -> str:
+def _rank_sql(rounds: int = 40, alpha: float = 0.85) -> str:
     sql = f"""WITH {EV}, e0 AS (SELECT account_from AS s, account_to AS t, count(*)::DOUBLE AS w FROM ev WHERE account_from <> account_to GROUP BY 1, 2),
 e AS (SELECT s, t, w / sum(w) OVER (PARTITION BY s) AS p FROM e0), v AS (SELECT s AS account FROM e UNION SELECT t FROM e), n AS (SELECT count(*)::DOUBLE AS n FROM v),
 r0 AS (SELECT account, 1 / n AS r FROM v, n)"""
@@ -155,12 +159,11 @@ SELECT account, CAST(coalesce(sum(o), 0) AS BIGINT) AS downstream_outflow_24h_mi
 def reach(spark, sf_dir):
     e = pay_events(spark, sf_dir)
     n = graph.typed(graph.nodes(e))
-    seeds = n.filter("account rlike '^A1[0-9]{2}$'").select("account")
-    return graph.reachable(e, seeds, 2, n.filter("is_rail"))
+    return graph.reachable(e, n.select("account"), 2, n.filter("is_rail"))
 
 
 _REACH = f"""WITH {_NODES}, l AS (SELECT DISTINCT account_from AS s, account_to AS t FROM ev WHERE account_from <> account_to),
-h0 AS (SELECT account AS seed, account FROM nd WHERE regexp_matches(account, '^A1[0-9]{{2}}$')), rl AS (SELECT account FROM nd WHERE is_rail),
+h0 AS (SELECT account AS seed, account FROM nd), rl AS (SELECT account FROM nd WHERE is_rail),
 h1 AS (SELECT DISTINCT seed, t AS account FROM h0 JOIN l ON s = account WHERE account NOT IN (FROM rl)),
 h2 AS (SELECT DISTINCT seed, t AS account FROM h1 JOIN l ON s = account WHERE account NOT IN (FROM rl))
 SELECT seed, account, min(hop) AS hop FROM (SELECT *, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY 1, 2"""
@@ -234,7 +237,7 @@ QUERIES = {
 ORACLE = {
     "graph_nodes": f"WITH {_NODES} SELECT * FROM nd", "graph_pairs": _PAIRS, "graph_undirected_pairs": _UND, "graph_self_totals": _SELF, "graph_degree_summary": _DEG,
     "graph_top_degree": f"WITH {_NODES} SELECT account, total_degree FROM nd ORDER BY total_degree DESC, account LIMIT 10", "graph_effective_fan": _EFF,
-    "graph_flows": _flows_sql(""), "graph_flows_window": _flows_sql(f"AND ts_us BETWEEN {START} AND {END}"), "graph_density": _DENS, "graph_components": _COMPS,
+    "graph_flows": _flows_sql(""), "graph_flows_window": _flows_sql(f"AND ts_us BETWEEN {START} AND {END}"), "graph_density": _DENS, "graph_components": _comps_sql(),
     "graph_pagerank": _rank_sql(), "graph_downstream": _DOWN, "graph_reachable": _REACH, "graph_excluded": _EXCL, "graph_cycles": _CYC, "graph_chains": _CHAIN,
     "graph_cycle_participation": _PART, "graph_checks": _CHECKS,
 }

@@ -144,26 +144,32 @@ def mode(spark, sf_dir):
     return rules.structuring_threshold(pay_events(spark, sf_dir))
 
 
-def _window_rules(spark, sf_dir):
-    return rules.run_rules(pay_events(spark, sf_dir), S, only=("R1", "R6", "R10", "R11"))
+def _all_rules(spark, sf_dir):
+    """Hits of all twelve rules."""
+    e = pay_events(spark, sf_dir)
+    return rules.run_rules(e, S, excluded=_excluded(e))
+
+
+_ALL = " UNION ALL ".join(f"SELECT * FROM ({q})" for q in _SQL.values())
 
 
 def overlaps(spark, sf_dir):
-    return rules.overlaps(_window_rules(spark, sf_dir)).select("account_key", "overlap_group", "members", F.concat_ws(",", "rule_ids").alias("rule_ids"), F.round("severity", 9).alias("severity"))
+    return rules.overlaps(_all_rules(spark, sf_dir)).select("account_key", "overlap_group", "members", F.concat_ws(",", "rule_ids").alias("rule_ids"), F.round("severity", 9).alias("severity"))
 
 
-_OVER = f"""WITH a AS ({_R1}), b AS ({_R10}), u AS (FROM a UNION ALL FROM b)
-SELECT account_key, 'extraction' AS overlap_group, count(*) AS members, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rule_ids, max(severity) AS severity FROM u GROUP BY 1 HAVING count(*) >= 2"""
+_GROUPS = " ".join(f"WHEN rule_id IN ({', '.join(repr(r) for r in rs)}) THEN '{g}'" for g, rs in rules.OVERLAP.items())
+_OVER = f"""WITH u AS ({_ALL}), g AS (SELECT *, CASE {_GROUPS} END AS g FROM u)
+SELECT account_key, g AS overlap_group, count(*) AS members, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rule_ids, max(severity) AS severity FROM g WHERE g IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2"""
 
 
 def rates(spark, sf_dir):
     e = pay_events(spark, sf_dir)
     n = graph.nodes(e).count()
-    return rules.hit_rates(_window_rules(spark, sf_dir), n, S).withColumn("hit_rate", F.round("hit_rate", 9)).withColumn("suggested_threshold", F.round("suggested_threshold", 9))
+    return rules.hit_rates(_all_rules(spark, sf_dir), n, S).withColumn("hit_rate", F.round("hit_rate", 9)).withColumn("suggested_threshold", F.round("suggested_threshold", 9))
 
 
 _RATES = f"""WITH {EV}, na AS (SELECT count(*) AS n FROM (SELECT account_from FROM ev UNION SELECT account_to FROM ev)),
-h AS (SELECT * FROM ({_R1}) UNION ALL SELECT * FROM ({_R6}) UNION ALL SELECT * FROM ({_R10}) UNION ALL SELECT * FROM ({_R11})),
+h AS ({_ALL}),
 p AS (SELECT rule_id, account_key, max(observation) AS o FROM h GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY o DESC, account_key) AS k FROM p),
 a AS (SELECT rule_id, count(*) AS c, max(CASE WHEN k = greatest(1, CAST(floor(0.33 * n) AS BIGINT)) THEN o END) AS o FROM r, na GROUP BY 1),
 e AS (SELECT unnest(['R1','R2','R3','R4','R5','R6','R7','R8','R9','R10','R11','R12']) AS rule_id)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paygrove.operators.ranks import running
-from paygrove.session import checkpoint
+from paygrove.session import checkpoint, scratch_table
 
 POLICIES = ("threshold", "rules_only", "highest_amount", "random", "ev_greedy")
 
@@ -88,34 +94,87 @@ def per_10k(alerts: Column, rows: Column) -> Column:
     return alerts * 10_000 / rows
 
 
+def _uniform(h: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1) for each (row, draw), from the row's hash."""
+    with np.errstate(over="ignore"):
+        z = h.astype(np.uint64)[:, None] + (draws.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return (z >> np.uint64(11)) * 2.0**-53
+
+
+#: The Poisson(1) distribution function.
+_POISSON = np.array([0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940581, 0.99991676, 0.99998975])
+
+
+def _weights(h: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    return np.searchsorted(_POISSON, _uniform(h, draws), "right")
+
+
 def bootstrap_ap(df: DataFrame, reps: int = 1000, seed: int = 11, key: str = "account_key", score: str = "score", label: str = "label") -> DataFrame:
-    """(lo, hi): 95 % interval of average precision over resamples with Poisson(1) weights.
+    """(reps, lo, hi): 95 % interval of average precision over resamples with Poisson(1) weights.
 
     A row's weight in a replicate is drawn from a hash of (key, replicate, seed), so runs
-    agree; rows meet per (replicate, score) in an aggregate before any order is needed.
+    agree. Rows are dealt by ranges of the score. Each range sums its weights of every
+    replicate, a row per range and replicate; with what the ranges above hold, a second
+    pass over the ranges gives their part of each replicate's average precision.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("rep")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    cdf = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940581, 0.99991676, 0.99998975)
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cdf), F.lit(0))
-    d = df.select(key, score, label, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("w", weight).filter("w > 0")
-    g = d.groupBy("rep", score).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col(label)).alias("p"))
-    w = Window.partitionBy("rep").orderBy(F.desc(score))
-    g = g.withColumns({"n_top": F.sum("n").over(w), "p_top": F.sum("p").over(w)})
-    ap = g.groupBy("rep").agg((F.sum(F.col("p") * F.col("p_top") / F.col("n_top")) / F.sum("p")).alias("ap")).filter("ap is not null")
+    x = df.select(F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"))
+    x = scratch_table(x.repartitionByRange(F.desc("s")).withColumn("part", F.spark_partition_id()), "bootstrap")  # equal scores lie in one range
+    draws = np.arange(reps)
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, p = np.zeros(reps, np.int64), np.zeros(reps, np.int64)
+        for at in range(0, len(pdf), 512):
+            w = _weights(pdf.h.to_numpy()[at : at + 512], draws)
+            n += w.sum(0)
+            p += w[pdf.y.to_numpy()[at : at + 512] == 1].sum(0)
+        return pd.DataFrame({"part": pdf.part.iloc[0], "rep": draws, "n": n, "p": p})
+
+    each = scratch_table(x.groupBy("part").applyInPandas(sums, "part int, rep int, n long, p long"), "bootstrap-sums")
+    above = Window.partitionBy("rep").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    before = each.select("part", "rep", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("n", "p")])
+
+    def steps(pdf: pd.DataFrame, pre: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"rep": [], "a": []}).astype({"rep": "int32"})
+        pdf, pre = pdf.sort_values("s", ascending=False), pre.sort_values("rep")
+        s, y, h = pdf.s.to_numpy(), pdf.y.to_numpy()[:, None] == 1, pdf.h.to_numpy()
+        begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        out, width = np.zeros(reps), max(1, 4_000_000 // len(s))
+        for at in range(0, reps, width):
+            w = _weights(h, draws[at : at + width])
+            n, p = np.add.reduceat(w, begin, 0), np.add.reduceat(w * y, begin, 0)
+            top = pre.n.to_numpy()[at : at + width] + np.cumsum(n, 0), pre.p.to_numpy()[at : at + width] + np.cumsum(p, 0)
+            out[at : at + width] = (p * top[1] / np.maximum(top[0], 1)).sum(0)
+        return pd.DataFrame({"rep": draws.astype(np.int32), "a": out})
+
+    parts = x.groupBy("part").cogroup(before.groupBy("part")).applyInPandas(steps, "rep int, a double")
+    ap = parts.groupBy("rep").agg(F.sum("a").alias("a")).join(each.groupBy("rep").agg(F.sum("p").alias("p")), "rep")
+    ap = ap.filter("p > 0").select((F.col("a") / F.col("p")).alias("ap"))
     return ap.agg(F.count(F.lit(1)).alias("reps"), F.percentile("ap", 0.025).alias("lo"), F.percentile("ap", 0.975).alias("hi"))
 
 
 def residual_tail(df: DataFrame, draws: int = 10_000, seed: int = 3, key: str = "account_key", loss: str = "loss_minor", p: str = "score") -> DataFrame:
     """(var95, es975): tail of the total loss over seeded Bernoulli draws.
 
-    Totals are integer sums per draw; a task sends at most a row per draw.
+    Draws are made in blocks of rows by all draws; a task sends one integer sum per draw.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("draw")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    d = df.select(key, loss, p, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    t = d.groupBy("draw").agg(F.sum(F.when(u < F.col(p), F.col(loss)).otherwise(0)).alias("total"))
-    r = t.withColumn("k", F.row_number().over(Window.orderBy("total", "draw")))
-    import math
-
+    at = np.arange(draws)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(draws, np.int64)
+        for b in batches:
+            h, money, odds = (b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "loss", "p"))
+            for k in range(0, len(h), 64):
+                hit = _uniform(h[k : k + 64], at) < odds[k : k + 64, None]
+                total += (hit * money[k : k + 64, None]).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total)], ["draw", "total"])
+
+    x = df.select(F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.coalesce(F.col(loss), F.lit(0)).cast("long").alias("loss"), F.coalesce(F.col(p), F.lit(0.0)).cast("double").alias("p"))
+    t = x.mapInArrow(run, "draw int, total long").groupBy("draw").agg(F.sum("total").alias("total"))
+    r = t.withColumn("k", F.row_number().over(Window.orderBy("total", "draw")))  # a row per draw
     v, e = math.ceil(0.95 * draws), math.ceil(0.975 * draws)
     return r.agg(F.max(F.when(F.col("k") == v, F.col("total"))).alias("var95"), F.avg(F.when(F.col("k") >= e, F.col("total"))).alias("es975"))
 

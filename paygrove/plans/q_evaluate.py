@@ -159,7 +159,9 @@ def bootstrap(spark, sf_dir):
 
 
 def tail(spark, sf_dir):
-    d = scored(spark, sf_dir).withColumn("loss_minor", F.col("total"))
+    """Losses of the accounts that the greedy policy leaves unreviewed."""
+    taken = pricing.first_fit(_cands(spark, sf_dir), evaluate.policy_order("ev_greedy"), [3000])
+    d = scored(spark, sf_dir).join(taken.select("account_key"), "account_key", "left_anti").withColumn("loss_minor", F.col("total"))
     return evaluate.residual_tail(d)
 
 

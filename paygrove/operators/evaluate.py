@@ -25,7 +25,7 @@ def by_score(df: DataFrame, keys: list[str], score: str = "score", label: str =
     """
     g = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("p"))
     g = running(g, [F.desc(score)], tuple(keys), F.col("n"), "n_top", also={"p_top": F.col("p")})
-    every = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("n_all"), F.sum(label).alias("p_all"))
+    every = g.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.sum("n").alias("n_all"), F.sum("p").alias("p_all"))
     same = F.lit(True)
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
@@ -281,6 +281,7 @@ def seeded_drop(df: DataFrame, share: float, seed: int, key: str = "account_key"
 
 def measure(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per slice: rows, positives, base rate, average precision, AUROC, Brier and KS."""
+    df = checkpoint(df.select(*keys, "score", "label"))
     base = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"), F.avg("label").alias("base_rate"))
     by = checkpoint(by_score(df, keys))
     for t in (average_precision_ties(df, keys, by=by), auroc(df, keys, by=by), brier(df, keys), ks(df, keys, by=by)):

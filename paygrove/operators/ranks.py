@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from paygrove.session import scratch_table
 
+#: Rows that one range holds anyway; a table of no more is ordered as one, with the same result.
+ONE_RANGE = 100_000
+
 
 def running(
     df: DataFrame, order: list[Column], keys: tuple[str, ...] = (), value: Column | None = None, name: str = "position",
-    agg=F.sum, also: dict[str, Column] | None = None,
+    agg=F.sum, also: dict[str, Column] | None = None, one_range: int | None = None,
 ) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` (1, so the position, by default) over rows up to this one.
 
@@ -21,13 +24,18 @@ def running(
     of it are numbered in any order. Rows are dealt by ranges of the order and written
     once with their range. A window numbers each range of each key, and what the earlier
     ranges of the key hold is added; those sums, a row per range and key, are all that is
-    looked at beyond one range. So one key may hold any share of the rows.
+    looked at beyond one range. So one key may hold any share of the rows. A table of no
+    more than ``one_range`` rows is one range.
     """
     values = {name: F.lit(1) if value is None else value, **(also or {})}
     kinds = dict(df.dtypes)
     tie = F.xxhash64(*[F.col(c) for c in df.columns if "map<" not in kinds[c]])
     key = [F.col(k).asc_nulls_first() for k in keys]
-    x = df.withColumns({f"__v_{n}": v for n, v in values.items()})
+    # written first, since dealing by ranges reads its input twice
+    x = scratch_table(df.withColumns({f"__v_{n}": v for n, v in values.items()}), "to-order")
+    if x.count() <= (ONE_RANGE if one_range is None else one_range):
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return x.withColumns({n: agg(f"__v_{n}").over(upto) for n in values}).select(*df.columns, *values)
     x = x.repartitionByRange(*key, *order, tie).withColumn("__range", F.spark_partition_id())
     x = scratch_table(x, "ranges")
     sums = x.groupBy(*keys, "__range").agg(*[agg(f"__v_{n}").alias(f"__v_{n}") for n in values])

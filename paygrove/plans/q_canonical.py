@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from paygrove.functions import keys, money, times
 from paygrove.operators import canonical as c
-from paygrove.session import checkpoint
 from paygrove.plans.tables import EV, HOUR, LI, pay_events, pay_lineitem, table
+from paygrove.session import checkpoint, scratch_table
 
 SECRET = b"a salt for tests"
 EPOCH = 1_704_067_200_000_000  # 2024-01-01
@@ -17,7 +17,7 @@ NOW = 1_767_225_600_000_000  # 2026-01-01
 
 def raw_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` in the shape of source A; every 50th row or so is spoilt, and some come twice."""
-    e = table(spark, sf_dir, "events").withColumn("m", F.col("event_id") % 50)
+    e = table(spark, sf_dir, "events").repartition("event_id").withColumn("m", F.col("event_id") % 50)  # the given file is one partition
     cents = F.round(F.col("value") * 100).cast("long")
     text = money.to_text(cents)
     d = e.select(
@@ -28,9 +28,11 @@ def raw_a(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("m") == 6, F.concat(F.lit("C"), "user_id")).otherwise(F.concat(F.lit("M"), F.get_json_object("props", "$.k"))).alias("nameDest"),
         F.lit("0").alias("oldbalanceDest"), F.lit("1").alias("newbalanceDest"), F.when(F.col("m") == 7, 2).otherwise((F.col("event_id") % 97 == 0).cast("int")).alias("isFraud"), F.lit(0).alias("isFlaggedFraud"),
     )
-    again = d.filter(F.col("row_index") % 40 == 11).withColumn("row_index", F.col("row_index") + 10_000_000_000)
-    other = d.filter(F.col("row_index") % 400 == 13).withColumns({"row_index": F.col("row_index") + 20_000_000_000, "newbalanceOrig": F.lit("9.99")})
-    return d.unionByName(again).unionByName(other)
+    # some rows come again as they are, some with another payload
+    kinds = F.filter(F.array(F.lit(0), F.when(F.col("row_index") % 40 == 11, 1), F.when(F.col("row_index") % 400 == 13, 2)), lambda x: x.isNotNull())
+    d = d.withColumn("again", F.explode(kinds)).withColumn("row_index", F.col("row_index") + F.col("again").cast("long") * 10_000_000_000)
+    d = d.withColumn("newbalanceOrig", F.when(F.col("again") == 2, "9.99").otherwise(F.col("newbalanceOrig"))).drop("again")
+    return scratch_table(d, "raw-a")  # raw logs are files
 
 
 _RAW = """
@@ -91,7 +93,7 @@ def raw_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         amount.alias("amount_received"), cur.alias("receiving_ccy"), F.when(m == 4, "1e5").when(cur == "Yen", F.split_part(amount, F.lit("."), F.lit(1))).otherwise(amount).alias("amount_paid"),
         F.when(m == 5, "Florin").otherwise(cur).alias("payment_ccy"), F.when(m == 6, "Barter").otherwise("Wire").alias("payment_format"), F.when(m == 7, F.lit(None)).otherwise(F.col("label_is_fraud").cast("string")).alias("is_laundering"),
     )
-    return d.withColumn("ordinal", F.col("h"))
+    return scratch_table(d.withColumn("ordinal", F.col("h")), "raw-b")
 
 
 def canonical_b(spark, sf_dir):

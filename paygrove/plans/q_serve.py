@@ -10,6 +10,7 @@ from paygrove.plans.q_evaluate import _FOLDS, A, SC, _cands, fitted, scored
 from paygrove.plans.q_rules import _SQL as RULE_SQL
 from paygrove.plans.q_rules import S
 from paygrove.plans.tables import DAY, EV, pay_events, pay_lineitem, table
+from paygrove.session import checkpoint
 
 
 def accounts(spark, sf_dir):
@@ -49,7 +50,7 @@ def page(spark, sf_dir):
 
 
 def _queue_parts(spark, sf_dir):
-    p = pricing.price(pricing.attach(scored(spark, sf_dir), A), A)
+    p = checkpoint(pricing.price(pricing.attach(scored(spark, sf_dir), A), A))
     band = F.element_at(F.array(*[F.lit(x) for x in "ABCDE"]), (F.least(F.lit(4), F.floor(F.col("score") * 5)) + 1).cast("int"))
     rule_ids = F.filter(F.array(F.when(F.col("total") % 2 == 0, "R1"), F.when(F.col("total") % 3 == 0, "R5"), F.when(F.col("total") % 5 == 0, "R12")), lambda x: x.isNotNull())
     scores = p.select("account_key", "score", "typology", band.alias("band"), rule_ids.alias("rule_ids"), F.size(rule_ids).alias("rule_hits"))
@@ -59,7 +60,8 @@ def _queue_parts(spark, sf_dir):
 
 def queue(spark, sf_dir):
     p, scores, econ = _queue_parts(spark, sf_dir)
-    alloc = warehouse.stored_ranking(p, _taken(spark, sf_dir, 3000)).select("account_key", "rank", "selected", "beyond_capacity")
+    taken = pricing.first_fit(pricing.candidates(p), evaluate.policy_order("ev_greedy"), [3000])
+    alloc = warehouse.stored_ranking(p, taken).select("account_key", "rank", "selected", "beyond_capacity")
     cases = p.filter("total % 7 = 0").select("account_key", F.lit("open").alias("status"))
     return warehouse.queue_page(scores, econ, alloc, cases, rule="R1", least_score=0.2, sort="ev_minor", descending=True, limit=50, offset=5)[0].select("account_key", "band", "typology", "rank", "selected", "beyond_capacity", "ev_minor", "status")
 
@@ -84,8 +86,9 @@ def _taken(spark, sf_dir, capacity):
 
 
 def ranking(spark, sf_dir):
-    p = pricing.price(pricing.attach(scored(spark, sf_dir), A), A)
-    return warehouse.stored_ranking(p, _taken(spark, sf_dir, 3000)).select("account_key", "rank", "selected", "cutoff_rank", "beyond_capacity")
+    p = checkpoint(pricing.price(pricing.attach(scored(spark, sf_dir), A), A))
+    taken = pricing.first_fit(pricing.candidates(p), evaluate.policy_order("ev_greedy"), [3000])
+    return warehouse.stored_ranking(p, taken).select("account_key", "rank", "selected", "cutoff_rank", "beyond_capacity")
 
 
 def what_if(spark, sf_dir):

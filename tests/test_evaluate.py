@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from paygrove.operators import evaluate, ranks
 
 
-def test_running_equals_plain(spark):
+@pytest.mark.parametrize("one_range", [0, None])
+def test_running_equals_plain(spark, one_range):
     rng = np.random.default_rng(3)
     rows = [(k, None if k % 11 == 0 else int(rng.integers(0, 3)), int(rng.integers(0, 50)), int(rng.integers(-5, 9))) for k in range(700)]
     df = spark.createDataFrame(rows, "i int, g int, x int, v int").repartition(9)
-    got = ranks.running(df, [F.desc("x"), F.col("i")], ("g",), F.col("v"), "upto", also={"n": F.lit(1)}).collect()
-    top = {r.i: r.m for r in ranks.running(df, [F.desc("x"), F.col("i")], (), F.col("v"), "m", F.max).collect()}
+    got = ranks.running(df, [F.desc("x"), F.col("i")], ("g",), F.col("v"), "upto", also={"n": F.lit(1)}, one_range=one_range).collect()
+    top = {r.i: r.m for r in ranks.running(df, [F.desc("x"), F.col("i")], (), F.col("v"), "m", F.max, one_range=one_range).collect()}
     order = sorted(rows, key=lambda r: (-r[2], r[0]))
     sums, n, most = {}, {}, -99
     want = {}
@@ -21,7 +22,7 @@ def test_running_equals_plain(spark):
         want[i] = (sums[g], n[g])
         assert top[i] == most
     assert {r.i: (r.upto, r.n) for r in got} == want
-    assert ranks.running(df.limit(0), [F.col("i")]).count() == 0
+    assert ranks.running(df.limit(0), [F.col("i")], one_range=one_range).count() == 0
 
 
 def test_bootstrap_equals_plain(spark):

@@ -68,8 +68,9 @@ def screen(queries: DataFrame, watchlist: DataFrame, threshold: float = 0.85, to
     df = q.select(F.explode("qt").alias("t")).union(w.select(F.explode("wt"))).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
 
     def rarest(d: DataFrame, key: str, ts: str) -> DataFrame:
-        t = d.select(key, F.explode(ts).alias("t")).join(df, "t").groupBy(key).agg(F.min(F.struct("df", "t"))["t"].alias("t"))
-        return d.filter(F.size(ts) >= 2).join(t, key)
+        # by id and tokens, since one entry may have several names
+        t = d.select(key, ts, F.explode(ts).alias("t")).join(df, "t").groupBy(key, ts).agg(F.min(F.struct("df", "t"))["t"].alias("t"))
+        return d.filter(F.size(ts) >= 2).join(t, [key, ts])
 
     whole = q.join(w, F.col("q") == F.col("reference")).select(*pair).union(q.join(w, F.col("qn") == F.col("wn")).select(*pair))
     part = rarest(q, "query_id", "qt").join(w.withColumn("t", F.explode("wt")), "t").select(*pair).union(

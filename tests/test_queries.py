@@ -78,7 +78,7 @@ def test_draws_are_registered_whole(spark, monkeypatch):
     from paygrove.plans import q_evaluate
 
     seen = {}
-    d = spark.createDataFrame([("a", 1)], "account_key string, total long")
+    d = spark.createDataFrame([("a", 1, 5, 0.5, "USD")], "account_key string, total long, outflow_minor long, score double, currency string")
     monkeypatch.setattr(q_evaluate, "scored", lambda *a: d)
     monkeypatch.setattr(evaluate, "bootstrap_ap", lambda df, reps=1000: seen.update(reps=reps))
     monkeypatch.setattr(evaluate, "residual_tail", lambda df, draws=10_000: seen.update(draws=draws))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paygrove.llm import bpe, chat, dedup, fim, langid, lm, mixing, rules, sharding, simhash, toxicity
+from paygrove.llm import bpe, chat, dedup, fim, langid, lm, mixing, negatives, rules, sharding, simhash, toxicity
 
 #: Bytes of text in a shard of op4.
 SHARD_BYTES = 1 << 20
@@ -70,6 +70,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return negatives.mine(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
@@ -82,6 +87,7 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_quality_rules": op10_quality_rules,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _OP1 = r"""
@@ -141,4 +147,14 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
 FROM p
 """
 
-ORACLE = {"op1_exact_dedup": _OP1, "op4_sharding": _OP4, "op10_quality_rules": _OP10, "op11_fill_in_middle": _OP11}
+_OP13 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS y, list_transform(embedding, c -> floor(256 * c::DOUBLE)) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.y = r.y AS same, list_inner_product(a.q, r.q)::BIGINT AS s FROM e a JOIN e r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, s AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, s.vec_id AS negative_id, positive_score, s.s AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * s.s AND 100 * s.s <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.s DESC, s.vec_id) QUALIFY rank <= 3
+"""
+
+ORACLE = {"op1_exact_dedup": _OP1, "op4_sharding": _OP4, "op10_quality_rules": _OP10, "op11_fill_in_middle": _OP11, "op13_hard_negatives": _OP13}

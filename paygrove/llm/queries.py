@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paygrove.llm import bpe, chat, dedup, fim, langid, lm, mixing, negatives, rules, sharding, simhash, toxicity
+from paygrove.llm import bpe, chat, dedup, fim, jaccard, langid, lm, mixing, negatives, rules, sharding, simhash, toxicity
 
 #: Bytes of text in a shard of op4.
 SHARD_BYTES = 1 << 20
@@ -70,6 +70,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_sets(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return negatives.mine(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
@@ -87,6 +91,7 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_quality_rules": op10_quality_rules,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_ngram_jaccard": op12_ngram_jaccard,
     "op13_hard_negatives": op13_hard_negatives,
 }
 

@@ -109,8 +109,8 @@ def plan_mix(
     the source's remaining words are used; past the first that doesn't fit, later ones of
     the same cell that do fit follow (first fit). The cut is found over cells of ranks,
     twice, so no task sees more than ``FAN`` cells or one cell of about ``BUCKET``
-    documents however large the source. A decision is a function of (source, id): the
-    cell of the cut and the hashes taken inside it.
+    documents however large the source. A decision is a function of (source, id, size,
+    weight): the cell of the cut, and what is taken inside it, by rank, hash and size.
     """
     n = checkpoint(docs.select(
         F.col(id_col).alias("i"), F.col(source_col).alias("source"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"),
@@ -139,14 +139,14 @@ def plan_mix(
         F.col("source").alias("s2"), F.col("b2").alias("c2"), F.col("rem").alias("rem2")
     )
     last = inside.join(cut2, F.col("source").eqNullSafe(F.col("s2")) & (F.col("b2") == F.col("c2")))
-    last = last.groupBy("source", "c1", "k2", "c2", "rem2", "p", "h").agg(F.sum("size").alias("size"))
+    last = last.groupBy("source", "c1", "k2", "c2", "rem2", "p", "h", "size").agg(F.sum("size").alias("words"))
     last = last.groupBy("source", "c1", "k2", "c2").agg(
-        F.first("rem2").alias("rem2"), F.sort_array(F.collect_list(F.struct("p", "h", "size"))).alias("queue")
+        F.first("rem2").alias("rem2"), F.sort_array(F.collect_list(F.struct("p", "h", "size", "words"))).alias("queue")
     )
-    start = F.struct(F.col("rem2").alias("left"), F.array().cast("array<bigint>").alias("taken"))
+    start = F.struct(F.col("rem2").alias("left"), F.array().cast("array<struct<p: double, h: bigint, size: bigint>>").alias("taken"))
     fit = F.aggregate("queue", start, lambda a, x: F.when(
-        x["size"] <= a["left"],
-        F.struct((a["left"] - x["size"]).alias("left"), F.concat(a["taken"], F.array(x["h"])).alias("taken")),
+        x["words"] <= a["left"],
+        F.struct((a["left"] - x["words"]).alias("left"), F.concat(a["taken"], F.array(F.struct(x["p"].alias("p"), x["h"].alias("h"), x["size"].alias("size")))).alias("taken")),
     ).otherwise(a))
     cut = last.select(F.col("source").alias("s3"), "c1", "k2", "c2", fit["taken"].alias("fits"))
     plan = t.join(cut, F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3")
@@ -168,7 +168,8 @@ def mix_sources(
     """One row per row of ``docs``: id, source, size, source_size, target, copies, taken.
 
     ``weight`` is a column of weights; without one a document weighs log2(words + 2). A null text has size 0. A null source is a source of its own, last in order. Rows
-    with the same id share their decision. The draw depends on ids and ``seed`` alone,
+    with the same id, source, size and weight share their decision; of rows with the same
+    id but other texts each has its own. The draw depends on ids and ``seed`` alone,
     so reruns agree. An empty table gives an empty result; an empty source a target of 0.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD))
@@ -190,7 +191,7 @@ def _decide(n: DataFrame, plan: DataFrame, most: float) -> DataFrame:
         .when(F.col("c1").isNull(), True)  # the whole source fits
         .when(b1 != F.col("c1"), b1 < F.col("c1"))
         .when(b2 != F.col("c2"), b2 < F.col("c2"))
-        .otherwise(F.array_contains("fits", F.col("h")))
+        .otherwise(F.array_contains("fits", F.struct("p", "h", "size")))
     )
     return d.withColumn("copies", F.col("whole") + F.coalesce(hit, F.lit(False)).cast("long"))
 
@@ -201,14 +202,15 @@ def mixed(
 ) -> DataFrame:
     """The mix itself: the rows of ``docs`` with their own columns, as often as they are taken.
 
-    Decisions are functions of (source, id, weight), so the rows meet only the plan, a row
+    Nulls, repeats and empty tables are as in ``mix_sources``. Decisions are functions of (source, id, size, weight), so the rows meet only the plan, a row
     per source: texts aren't shuffled unless there are more than ``SOURCES`` sources.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD))
     _, plan = plan_mix(docs, size, id_col, source_col, seed, weight, most=most, **kw)
     d = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(source_col).alias("source"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), _weight(weight, size).alias("weight"),
+        F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), size.cast("long").alias("size"),
+        _weight(weight, size).alias("weight"),
     )
     taken = _decide(d, plan, most).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -202,3 +202,15 @@ def test_rules(spark):
         assert ab[name].kept_without == kept + ab[name].failed_alone == n - led.filter(f"(failed_bits & ~{1 << b}) <> 0").count()
     assert rules.ledger(docs.limit(0)).count() == 0
     assert rules.union_bits(led).count() == 1
+
+
+def test_mixing_repeated_ids(spark, monkeypatch):
+    """Rows of one id with other texts draw for themselves; equal rows share their copies; sources still meet their targets."""
+    monkeypatch.setattr(mixing, "BUCKET", 64)
+    df = spark.range(900).selectExpr("pmod(id, 600) as doc_id", "repeat('w ', int(1 + pmod(id * 7919, 61))) as text", "concat('s', pmod(id, 3)) as source")
+    df = df.union(df.filter("doc_id = 5").limit(1))
+    a = mixing.mix_sources(df).toPandas()
+    g = a.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert ((g.target - g.taken).abs() <= 122).all() and (g.taken <= g.target + 1e-6).all()
+    assert (a.groupby(["source", "doc_id", "size"]).copies.nunique() == 1).all()
+    assert mixing.mixed(df).count() == a.copies.sum()

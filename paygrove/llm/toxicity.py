@@ -16,7 +16,7 @@ from paygrove.llm.langid import held_out
 from paygrove.session import checkpoint
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Bounds of the training sample: documents of each label, about, and characters of the longest one taken.
+#: Bounds of the training sample: documents of each label, and characters of the longest one taken.
 SAMPLE, LONGEST = 1500, 20_000
 #: Hashed feature weights.
 WEIGHTS = 1 << 18
@@ -159,16 +159,20 @@ def _dfs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
-    """(t, y): about ``most`` labelled documents of each label, none of them held out, none beyond ``LONGEST``."""
+    """(t, y): up to ``most`` labelled documents of each label, none of them held out, none beyond ``LONGEST``.
+
+    Ids are taken in the order of their hashes, and of several rows of one id one is, so
+    the sample has at most 2 * ``most`` rows of ``LONGEST`` characters whatever repeats,
+    and is the same when it is made anew. An id with both labels counts as toxic.
+    """
     usable = labels.select(F.col(id_col).alias("__i"), F.col(label_col).cast("int").alias("y"))
-    usable = usable.filter(F.col("y").isin(0, 1) & F.col("__i").isNotNull() & ~held_out(F.col("__i")))
-    n = {r.y: r["count"] for r in usable.groupBy("y").count().collect()}
-    u = F.pmod(F.xxhash64(F.lit(8), F.col("__i")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.when(F.col("y") == 1, F.lit(most / max(1, n.get(1, 1)))).otherwise(F.lit(most / max(1, n.get(0, 1))))
-    picked = F.broadcast(usable.filter(u < share).limit(4 * most))  # at most 4 * most ids
+    usable = usable.filter(F.col("y").isin(0, 1) & F.col("__i").isNotNull() & ~held_out(F.col("__i"))).groupBy("__i").agg(F.max("y").alias("y"))
+    first = [usable.filter(F.col("y") == y).orderBy(F.xxhash64(F.lit(8), F.col("__i")), "__i").limit(most) for y in (0, 1)]
+    picked = F.broadcast(first[0].union(first[1]))  # at most 2 * most ids
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    texts = texts.filter(F.length("t") <= LONGEST)
-    return texts.join(picked, F.col("__id") == F.col("__i")).select("t", "y")
+    texts = texts.filter(F.length("t") <= LONGEST).join(picked, F.col("__id") == F.col("__i"))
+    one = texts.groupBy("__i").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t", "y")).alias("r"))
+    return one.select("r.t", "r.y")
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int = SAMPLE) -> Model:
@@ -331,7 +335,8 @@ def score(
     all of the text. Null and empty texts get the score of a document without toxic
     words. Without labels of both kinds every score is near 0. A null id isn't held out.
     Offsets are code points of the lower-cased text. Repeated rows give repeated rows;
-    other columns are ignored.
+    other columns are ignored. Repeated labels of an id count once, toxic if any is. An
+    empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col, label_col, most))
     narrow = docs.select(F.col(id_col).alias("i"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("t"))

@@ -317,3 +317,14 @@ def test_parse_levels():
     own, mine, quoted = chat.parse(">> deep\n> near\nown\n\n\n\n\nmore")
     assert own == "own\n\nmore" and len(mine) == 2 and [q[0] for q in quoted] == [2, 1]
     assert json.dumps(chat.level_of("  > > x")) == '[2, "x"]'
+
+
+def test_toxic_sample_is_bounded(spark):
+    """One id in half of all rows, repeated labels and very long texts: the sample keeps its bound and its order."""
+    docs = spark.range(4000).selectExpr("if(id % 2 = 0, 1, id) as doc_id", "concat('text ', id % 7) as text")
+    docs = docs.union(spark.sql("select 3 as doc_id, repeat('long ', 10000) as text"))
+    labels = spark.range(4000).selectExpr("id as doc_id", "int(id % 3 = 0) as toxic").union(spark.sql("select 7L as doc_id, 1 as toxic"))
+    a = toxicity.sample(docs, labels, "doc_id", "text", "toxic", 50).collect()
+    assert len(a) <= 100 and max(len(r.t) for r in a) <= toxicity.LONGEST
+    assert sorted(a) == sorted(toxicity.sample(docs.repartition(5), labels.repartition(3), "doc_id", "text", "toxic", 50).collect())
+    assert toxicity.sample(docs.limit(0), labels, "doc_id", "text", "toxic", 50).count() == 0

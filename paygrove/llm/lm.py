@@ -19,17 +19,17 @@ from paygrove.llm.words import split_by_count
 from paygrove.session import scratch_table
 
 #: Words each side of the predicted one, and hidden units.
-SIDE, HIDDEN = 2, 24
+SIDE, HIDDEN = 2, 48
 #: What the network sees of a word around: one of the most frequent words, or else its ending.
-OWN, ENDINGS = 64, 32
+OWN, ENDINGS = 64, 64
 SEEN = OWN + ENDINGS
 #: What it predicts: a class, then the word within it. Frequent words come in blocks, by rank; other words by ending.
-BLOCKS, BLOCK = 32, 64
+BLOCKS, BLOCK = 64, 64
 CLASSES = BLOCKS + ENDINGS
 #: Words of the broadcast (others are joined to the word table).
 VOCAB = 200_000
 #: Rounds of training (each over its share of the documents, together over all), positions of a gradient step, step size.
-ROUNDS, STEP, RATE = 2, 8192, 0.15
+ROUNDS, STEP, RATE = 2, 1024, 0.15
 #: No weight of the outputs goes beyond, so scores stay where exponentials are finite.
 MOST = 1.5
 #: Distinct words that one task counts before it hands them on.
@@ -373,7 +373,7 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per row of ``docs``: id, n_tokens, pll, mean_pll, n_alone.
 
     pll sums, over every word of the whole text, its log probability given the words on
-    both sides. One of the 2,048 most frequent words gets it from the network alone: that
+    both sides. One of the 4,096 most frequent words gets it from the network alone: that
     of its block of words, and that within the block, both from what is around. Any other
     word gets that of its ending from the network, and within the ending its share of the
     corpus by its own count, with this occurrence left out (plus ``OTHERS``). The ``vocab``
@@ -381,7 +381,8 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     word table of the whole corpus. mean_pll is pll per word, null without words (then pll
     is 0), as for null and empty texts. n_alone is how many words occur once in all of the
     corpus. Repeated rows give repeated rows; other columns are ignored. An empty table
-    gives an empty result. The network's part depends on how rows are dealt to tasks
+    gives an empty result. A text of any length is scored whole; its positions are taken
+    ``STEP`` at a time. The network's part depends on how rows are dealt to tasks
     (see ``train``).
     """
     table = word_table(docs, text_col)

@@ -106,10 +106,29 @@ def age(keys: list[str], unit_us: int, ts: str = "ts_us") -> Column:
     return F.floor((F.col(ts) - F.min(ts).over(Window.partitionBy(*keys))) / unit_us).cast("long")
 
 
+#: A spread counts as measured when it clears so many rounding errors of a one-pass sum in doubles.
+NOISE, EPS = 8.0, 2.220446049250313e-16
+#: Sums up to these are exact in doubles, and only there a spread of zero is a measured one.
+EXACT_SUM, EXACT_SQUARES = 1 << 26, 1 << 53
+
+
 def sample_std(n: Column, s: Column, ss: Column) -> Column:
-    """Sample standard deviation from exact sums; null under two rows."""
-    s, ss, n = s.cast("double"), ss.cast("double"), n.cast("double")
-    return F.when(n >= 2, F.sqrt(F.greatest(F.lit(0.0), (ss - s * s / n) / (n - 1))))
+    """Sample standard deviation from the exact count, sum and sum of squares of integers.
+
+    Null under two rows, and where the spread lies below the noise floor of doubles of
+    this size. The sum of squared deviations is taken about q = s div n, in decimals:
+    ss - q * (s + r) with r = s mod n, less r * r / n; so nothing cancels in doubles.
+    """
+    big = "decimal(38,0)"
+    n, s = n.cast("long"), s.cast("long")
+    r = F.pmod(s, F.nullif(n, F.lit(0)))
+    q = _div(s - r, F.nullif(n, F.lit(0)))
+    about = ss.cast(big) - q.cast("decimal(19,0)") * (s.cast("decimal(19,0)") + r.cast("decimal(19,0)"))
+    spread = about.cast("double") - r.cast("double") * r.cast("double") / n.cast("double")
+    wide, mean_term = ss.cast("double"), s.cast("double") * s.cast("double") / n.cast("double")
+    floor = F.lit(NOISE * EPS) * n.cast("double") * F.greatest(F.abs(wide), F.abs(mean_term))
+    exact = (F.abs(s) <= EXACT_SUM) & (wide <= EXACT_SQUARES) & (spread == 0)
+    return F.when((n >= 2) & ((spread > floor) | exact), F.sqrt(spread / (n.cast("double") - 1)))
 
 
 def asof_carry(left: DataFrame, right: DataFrame, keys: list[str], value: str, ts: str = "ts_us", tolerance: int | None = None) -> DataFrame:

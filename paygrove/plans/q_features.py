@@ -72,8 +72,11 @@ def _sql_of(f: Feature) -> str:
         return f"2 * abs(CAST(sum({m}) {over(f.width)} AS DOUBLE) / nullif(count({m}) {over(f.width)}, 0) / 1e6 - 0.5)"
     v = f"CASE WHEN {ok} THEN {x} END"
     n, s = f"CAST(count({v}) {over(f.width)} AS DOUBLE)", f"CAST(sum({v}) {over(f.width)} AS DOUBLE)"
-    q = f"CAST(sum(CAST({v} AS HUGEINT) * {v}) {over(f.width)} AS DOUBLE)"
-    std = f"(CASE WHEN {n} >= 2 THEN sqrt(greatest(0.0, ({q} - {s} * {s} / {n}) / ({n} - 1))) END)"
+    hn, hs, hq = f"CAST(count({v}) {over(f.width)} AS HUGEINT)", f"sum(CAST({v} AS HUGEINT)) {over(f.width)}", f"sum(CAST({v} AS HUGEINT) * {v}) {over(f.width)}"
+    spread = f"(CAST({hn} * {hq} - {hs} * {hs} AS DOUBLE) / {n})"  # exact up to here
+    floor = f"(8 * 2.220446049250313e-16::DOUBLE * {n} * greatest(CAST({hq} AS DOUBLE), {s} * {s} / {n}))"
+    zero = f"(abs({hs}) <= 67108864 AND {hq} <= 9007199254740992 AND {spread} = 0)"
+    std = f"(CASE WHEN {n} >= 2 AND ({spread} > {floor} OR {zero}) THEN sqrt({spread} / ({n} - 1)) END)"
     mean = f"({s} / nullif({n}, 0))"
     if f.kind == "burstiness":
         return f"CASE WHEN {std} + {mean} <> 0 THEN ({std} - {mean}) / ({std} + {mean}) END"

@@ -30,6 +30,8 @@ BLOCK = 1 << 20
 PROBE = 0.0085
 #: Documents of a large family that are searched first.
 PIVOTS = 16
+#: Bits of the filter that says whose sets are asked for, at most.
+BITS = 1 << 28
 #: Word digests that a task remembers.
 MEMO = 500_000
 
@@ -89,16 +91,36 @@ def _slices(words: int, share: int):
     return run
 
 
-def _sets(words: int):
+def _sets(words: int, shared):
+    """(i, v, ws) of the rows whose ``v`` passes the bitmap, once in a batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(words)
+        shingles, bitmap = Shingler(words), shared.value
         for b in batches:
-            parts = [shingles(text.as_py()) for text in b.column("t")]
-            yield pa.RecordBatch.from_arrays([b.column("k"), _lists(parts)], ["k", "ws"])
+            v = b.column("v").to_numpy()
+            at = v.view(np.uint64) % np.uint64(64 * len(bitmap))
+            passed = np.flatnonzero(bitmap[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
+            once = list({(int(v[k]), b.column("i")[k].as_py()): int(k) for k in passed}.values())
+            part = b.take(pa.array(once, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("i"), part.column("v"), _lists([shingles(t.as_py()) for t in part.column("t")])], ["i", "v", "ws"])
 
     return run
 
 
+def _bitmap(keys: DataFrame, count: int) -> np.ndarray:
+    """Which ``v`` may be wanted: 16 bits a key, but no more than ``BITS``, so a bounded thing to broadcast.
+
+    Over more keys it passes more rows; the join that follows decides.
+    """
+    bits = min(BITS, max(1 << 10, 1 << (16 * count).bit_length()))
+    # a negative v counts by its unsigned value; bits is a power of two, so the low bits are the place
+    at = F.col("v1").bitwiseAND(F.lit(bits - 1))
+    set_ = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(v1 & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[set_.column("word").to_numpy()] = set_.column("b").to_numpy().view(np.uint64)
+    return out
+
+
 def _least(n, link: int):
     """The overlap that a set of ``n`` needs with any set that it links to, as a column: ceil(n * link / 100)."""
     return F.floor((F.col(n) * link + 99) / 100)
@@ -293,19 +315,26 @@ def linked_sets(
     # 1. the quarter
     tokens = s.select("r", F.explode("part").alias("w"))
     counts = scratch_table(tokens.groupBy("w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "slice-counts")
-    shared = meet(tokens, counts, ["w"], "c", ["r"]).groupBy("r").agg(F.count(F.lit(1)).alias("shared"))
+    shared = meet(tokens, counts, ["w"], "c", ["r"]).groupBy("r").agg(F.collect_list("c").alias("cs"))
+    rows = s.select("r", "i", "v", "n", "d1", "d2", F.size("part").alias("there")).filter("n > 0")
+    alike = scratch_table(rows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("m"), F.min("i").alias("low")), "alike")
+    # a shingle is shared if more rows have it than have all of this set
     spare = F.col("n") - _least("n", link)
-    some = s.select("r", "i", "v", "n", "d1", "d2", F.size("part").alias("there")).filter("n > 0").join(shared, "r", "left")
-    some = scratch_table(some.filter(F.coalesce("shared", F.lit(0)) >= F.col("there") - spare).select("r", "i", "v", "n", "d1", "d2"), "left")
+    rows = scratch_table(meet(rows, alike, ["d1", "d2"], "m", ["r"]), "sized")
+    some = rows.join(shared, "r", "left")
+    some = some.filter(F.size(F.filter(F.coalesce("cs", F.array().cast("array<bigint>")), lambda c: c > F.col("m"))) >= F.col("there") - spare)
+    some = scratch_table(some.select("r", "i", "v", "n", "d1", "d2"), "left")
     # 2. classes, and all their shingles
     classes = some.groupBy("d1", "d2").agg(F.min(F.struct("i", "v")).alias("one"), F.min("i").alias("low"), F.first("n").alias("n"), F.count(F.lit(1)).alias("members"))
     classes = scratch_table(classes.withColumn("k", F.monotonically_increasing_id()), "classes")
     one = classes.select("k", F.col("one.i").alias("i1"), F.col("one.v").alias("v1"))
-    texts = narrow.join(one, (F.col("v") == F.col("v1")) & F.col("i").eqNullSafe(F.col("i1"))).select("k", "t").dropDuplicates(["k"])
-    sets = scratch_table(texts.mapInArrow(_sets(words), "k bigint, ws array<bigint>"), "sets")
+    asked = docs.sparkSession.sparkContext.broadcast(_bitmap(one, classes.count()))
+    sets = narrow.mapInArrow(_sets(words, asked), f"i {kind}, v bigint, ws array<bigint>")
+    sets = scratch_table(sets.join(one, (F.col("v") == F.col("v1")) & F.col("i").eqNullSafe(F.col("i1"))).select("k", "ws"), "sets")
     tokens = sets.select("k", F.explode("ws").alias("w"))
     df = scratch_table(tokens.groupBy("w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shingle-counts")
-    ordered = meet(tokens, df, ["w"], "c", ["k"]).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("c", "w"))).alias("x"))
+    # a set: a row that stands in the table several times may have come more than once
+    ordered = meet(tokens, df, ["w"], "c", ["k"]).groupBy("k").agg(F.sort_array(F.collect_set(F.struct("c", "w"))).alias("x"))
     left = ordered.join(classes.select("k", "n"), "k").select("k", "n", F.col("x.w").alias("ws")).filter(F.size("ws") >= _least("n", link))
     # 3. links
     edges = _search(scratch_table(left, "shared-sets"), link, block)
@@ -315,6 +344,8 @@ def linked_sets(
     # one group may hold a third of the classes, one class a third of the rows
     ids = scratch_table(meet(named, lows, ["g"], "classes", ["d1"]).select("d1", "d2", "members", "component_id"), "ids")
     met = meet(some, ids, ["d1", "d2"], "members", ["r"]).select("i", "n", "component_id")
-    alone = s.select("r", "i", "n").join(some.select("r"), "r", "left_anti").select("i", "n", F.col("i").alias("component_id"))
+    # the rest link with their equals only, and rows without words with nothing
+    alone = rows.select("r", "i", "n", "low").join(some.select("r"), "r", "left_anti").select("i", "n", F.col("low").alias("component_id"))
+    alone = alone.union(s.filter("n = 0").select("i", "n", F.col("i").alias("component_id")))
     out = met.union(alone)
     return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

@@ -19,7 +19,7 @@ from paygrove.llm.words import split_by_count
 from paygrove.session import scratch_table
 
 #: Words each side of the predicted one, and hidden units.
-SIDE, HIDDEN = 2, 48
+SIDE, HIDDEN = 2, 36
 #: What the network sees of a word around: one of the most frequent words, or else its ending.
 OWN, ENDINGS = 64, 64
 SEEN = OWN + ENDINGS
@@ -29,7 +29,7 @@ CLASSES = BLOCKS + ENDINGS
 #: Words of the broadcast (others are joined to the word table).
 VOCAB = 200_000
 #: Rounds of training (each over its share of the documents, together over all), positions of a gradient step, step size.
-ROUNDS, STEP, RATE = 2, 1024, 0.15
+ROUNDS, STEP, RATE = 2, 4096, 0.15
 #: No weight of the outputs goes beyond, so scores stay where exponentials are finite.
 MOST = 1.5
 #: Distinct words that one task counts before it hands them on.

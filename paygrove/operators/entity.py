@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paygrove.operators import spans
+
 #: Local hours that count as overnight, and transaction types that are reversals.
 OVERNIGHT = (0, 1, 2, 3, 4, 5)
 REVERSALS = ("error",)
@@ -22,15 +24,18 @@ def explode_entities(events: DataFrame) -> DataFrame:
     return events.select(*rest, F.inline(both)).withColumn("is_self", F.col("entity") == F.col("counterparty"))
 
 
-def row_values(entities: DataFrame) -> DataFrame:
-    """Gap to the entity's previous event, and how far its balance moved from what it should."""
-    before = F.lag("ts_us").over(Window.partitionBy("entity").orderBy("ts_us", "txn_id", "sign"))
+def row_values(entities: DataFrame, dealt: bool = False) -> DataFrame:
+    """Gap to the entity's previous event, and how far its balance moved from what it should.
+
+    ``dealt``: busy entities have been placed in cells (``spans``).
+    """
+    x = spans.neighbour(entities, ["entity"], "before_us", ["ts_us", "txn_id", "sign"], after=False, dealt=dealt)
     moved = F.col("balance_after") - F.col("balance_before") - F.col("sign") * F.col("amount_minor")
-    return entities.withColumns({
-        "gap_us": F.col("ts_us") - before, "balance_delta_abs_minor": F.abs(moved),
+    return x.withColumns({
+        "gap_us": F.col("ts_us") - F.col("before_us"), "balance_delta_abs_minor": F.abs(moved),
     }).withColumns({
         "gap_since_previous_event_s": F.expr("gap_us div 1000000"), "gap_since_previous_event_days": F.expr("gap_us div 86400000000"),
-    }).drop("gap_us")
+    }).drop("gap_us", "before_us")
 
 
 def predicates(sealed_us: int | None = None) -> dict[str, Column]:

@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paygrove.operators import kernels as k
+from paygrove.operators import spans
 from paygrove.operators.entity import explode_entities, predicates, row_values
 from paygrove.operators.registry import FEATURES, Feature, check, spec_hash
 
+HOUR, DAY = 3_600_000_000, 86_400_000_000
+#: Order statistics by the share of the window's values below them.
+ORDERS = {"min": 0.0, "max": 1.0, "median": 0.5, "quantile": None}
 #: Declared category lists; a value outside its list is refused.
 CODES = {"local_hour": list(range(24)), "txn_type": ["click", "error", "purchase", "signup", "view"]}
 ROW_COLUMNS = {
@@ -25,21 +29,26 @@ def code(source: str) -> Column:
 
 
 def build(
-    events: DataFrame, features: list[Feature] | None = None, sealed_us: int | None = None, sliding: bool = False, entities: DataFrame | None = None,
+    events: DataFrame, features: list[Feature] | None = None, sealed_us: int | None = None, entities: DataFrame | None = None,
+    busy: int = spans.ROWS, slot_us: int = spans.SLOT,
 ) -> DataFrame:
     """Keys and all event-level features of both sides of each event; of the accounts in ``entities`` (entity) only, if given.
 
     Counts, sums, means, deviations and windowed distinct counts come from one running
-    pass per key (``kernels.sweep``); minimum, maximum and order statistics from RANGE
-    frames; ``sliding`` uses RANGE frames throughout. Under a seal, late arrivals stay as
-    rows and leave all windows. Everything is partitioned by entity, so the plan has one
-    exchange per pass however many features there are.
+    pass per key (``kernels.sweep``), minima, maxima and quantiles from counts by digit
+    (``orders``); no window is ever gathered. Under a seal, late arrivals stay as rows and
+    leave all windows. Everything is partitioned by entity. Entities with more than
+    ``busy`` rows are dealt by time (``spans``): each pass then sorts no more than a cell
+    of an entity, and carries the rest over.
     """
     chosen = [f for f in (features or FEATURES) if f.kind not in ("graph", "rule")]
     preds = predicates(sealed_us)
     layers = check(chosen, ROW_COLUMNS, set(preds))
     d = explode_entities(events)
-    d = row_values(d if entities is None else d.join(entities.select("entity"), "entity", "left_semi").select(*d.columns))
+    d = d if entities is None else d.join(entities.select("entity"), "entity", "left_semi").select(*d.columns)
+    cells = spans.cells(d, "entity", rows=busy, slot_us=slot_us)
+    dealt = cells is not None
+    d = row_values(cells.place(d) if dealt else d, dealt)
     d = d.withColumns({f"_p_{n}": p for n, p in preds.items()})
     live = ~F.col("_p_late_arrival")
 
@@ -47,9 +56,8 @@ def build(
         own = F.col(f.where) if f.where in {x.name for x in chosen} else F.col(f"_p_{f.where}")
         return F.coalesce(own.cast("boolean"), F.lit(False)) & live
 
-    made: set[str] = set()
     for layer in layers:
-        plain, sweeps = {}, {}
+        plain, sweeps, ranked, firsts, lasts = {}, {}, {}, {}, {}
         for f in layer:
             x = F.col(f.source) if f.source and f.kind != "flag" else F.lit(1)
             keys = [c for c in f.keys if c != "currency"]  # one currency per account is a contract
@@ -59,46 +67,48 @@ def build(
                 plain[f.name] = F.col(f.source)
             elif f.kind == "code":
                 plain[f.name] = code(f.source)
-            elif f.kind == "first_ever":
-                plain[f.name] = k.first_ever(keys, f.source, where(f))
-            elif f.kind == "lifetime_distinct":
-                plain[f"__first_{f.name}"] = k.first_ever(keys, f.source, where(f))
+            elif f.kind in ("first_ever", "lifetime_distinct"):
+                firsts[f.name] = f
             elif f.kind == "age_days":
-                plain[f.name] = k.age(keys, 86_400_000_000)
+                lasts[f.name] = (F.col("ts_us"), "min", DAY)
             elif f.kind == "recency_hours":
-                plain[f.name] = k.seconds_since_last(where(f), keys, 3_600_000_000)
+                lasts[f.name] = (F.when(where(f), F.col("ts_us")), "max", HOUR)
             elif f.kind == "difference":
                 plain[f.name] = F.col(f.source) - F.col(f.args[0])
             elif f.kind == "quotient":
                 plain[f.name] = k.quotient(F.col(f.source), F.col(f.args[0]), f.args[1])
-            elif f.kind in ("min", "max", "median", "quantile"):
-                v = F.when(where(f), x)
-                plain[f.name] = (
-                    k.window_min(v, keys, f.width) if f.kind == "min" else k.window_max(v, keys, f.width) if f.kind == "max"
-                    else k.window_quantile(v, 0.5 if f.kind == "median" else f.args[0], keys, f.width)
-                )
+            elif f.kind in ORDERS:
+                q = f.args[0] if f.kind == "quantile" else ORDERS[f.kind]
+                ranked.setdefault(tuple(keys), {})[f.name] = (F.when(where(f), x), q, f.width)
             else:
                 sweeps.setdefault(tuple(keys), []).append((f, x))
         d = d.withColumns(plain) if plain else d
-        if first := [n for n in plain if n.startswith("__first_")]:
-            d = d.withColumns({n[8:]: F.sum(n).over(k.lifetime(["entity"])) for n in first}).drop(*first)
+        for f in firsts.values():
+            d = k.first_ever(d, [c for c in f.keys if c != "currency"], f.source, where(f), f.name, dealt=dealt)
+        if counted := {n: (F.col(n), "sum") for n, f in firsts.items() if f.kind == "lifetime_distinct"}:
+            d = spans.running(d, ["entity"], counted, dealt=dealt)
+        if lasts:
+            d = spans.running(d, ["entity"], {n: (v, agg) for n, (v, agg, _) in lasts.items()}, dealt=dealt)
+            d = d.withColumns({n: k.units_since(F.col(n), unit) for n, (_, _, unit) in lasts.items()})
+        for keys, targets in ranked.items():
+            d = k.window_orders(d, list(keys), targets, cells=cells)
         for keys, fs in sweeps.items():
-            d = _swept(d, list(keys), fs, where, sliding)
-        made |= {f.name for f in layer}
+            d = _swept(d, list(keys), fs, where, cells)
     return d.select(*KEYS, *[f.name for f in chosen if f.name not in KEYS])
 
 
-def _swept(d: DataFrame, keys: list[str], fs: list[tuple[Feature, Column]], where, sliding: bool) -> DataFrame:
+def _swept(d: DataFrame, keys: list[str], fs: list[tuple[Feature, Column]], where, cells: spans.Cells | None) -> DataFrame:
     sums: dict[str, tuple[Column, Column]] = {}
     need: dict[str, tuple[str, Feature]] = {}
-    plain = {}
+    ends = []
     big = "decimal(38,0)"
     for f, x in fs:
         ok, end = where(f), k.leaves_after(f.width)
         n, s, ss = f"__n_{f.name}", f"__s_{f.name}", f"__q_{f.name}"
         if f.kind == "distinct":
-            plain[f"__e_{f.name}"] = k.leaves_distinct(keys, f.source, f.width, order=("txn_id", "sign"))
-            sums[f.name] = (ok.cast("long"), F.col(f"__e_{f.name}"))
+            ends.append(f"__e_{f.name}")
+            d = k.leaves_distinct(d, keys, f.source, f.width, ends[-1], order=("txn_id", "sign"), dealt=cells is not None)
+            sums[f.name] = (ok.cast("long"), F.col(ends[-1]))
         elif f.kind == "count":
             sums[f.name] = (ok.cast("long"), end)
         elif f.kind == "sum":
@@ -112,11 +122,7 @@ def _swept(d: DataFrame, keys: list[str], fs: list[tuple[Feature, Column]], wher
             if f.kind in ("robust_z", "burstiness", "cv", "std"):
                 sums[ss] = (F.when(use, x.cast(big) * x.cast(big)).cast(big), end)
             need[f.name] = (f.kind, f)
-    d = d.withColumns(plain) if plain else d
-    if sliding:
-        d = d.withColumns({n: F.coalesce(F.sum(v).over(k.trailing(keys, next(f for f, _ in fs if n.endswith(f.name)).width)), F.lit(0)) for n, (v, _) in sums.items()})
-    else:
-        d = k.sweep(d, keys, sums)
+    d = k.sweep(d, keys, sums, cells=cells)
     out = {}
     for name, (kind, f) in need.items():
         n, s = F.col(f"__n_{name}"), F.col(f"__s_{name}")
@@ -137,8 +143,7 @@ def _swept(d: DataFrame, keys: list[str], fs: list[tuple[Feature, Column]], wher
                 out[name] = F.when(std + mean != 0, (std - mean) / (std + mean))
             else:
                 out[name] = F.when((std > 0) & (F.col(f.source) != 0), (F.col(f.source) - mean) / std)
-    drop = [c for c in (*sums, *plain) if c.startswith("__")]
-    return (d.withColumns(out) if out else d).drop(*drop)
+    return (d.withColumns(out) if out else d).drop(*[c for c in (*sums, *ends) if c.startswith("__")])
 
 
 def check_hash(stored: str, features: list[Feature]) -> None:

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paygrove.operators import orders, spans
+
 
 def trailing(keys: list[str], width: int, closed: bool = True, ts: str = "ts_us"):
     """RANGE frame of the last ``width`` microseconds; ``closed`` keeps a row exactly ``width`` back."""
@@ -18,14 +20,17 @@ def lifetime(keys: list[str], ts: str = "ts_us"):
     return Window.partitionBy(*keys).orderBy(ts).rangeBetween(Window.unboundedPreceding, 0)
 
 
-def sweep(df: DataFrame, keys: list[str], sums: Mapping[str, tuple[Column, Column]], ts: str = "ts_us") -> DataFrame:
+def sweep(df: DataFrame, keys: list[str], sums: Mapping[str, tuple[Column, Column]], ts: str = "ts_us", cells: spans.Cells | None = None) -> DataFrame:
     """``df`` with sums over trailing windows, in one sorted pass per key and linear in its rows.
 
     ``sums``: name -> (value, instant at which it leaves). A row adds its value at its own
     instant and a second, narrow row takes it away when it leaves; a running total, ties
     included, is then the window's sum. Unlike sliding frames the cost doesn't grow with
     the rows in a window, so an account with millions of rows is a sort, not a product.
+    With ``cells`` busy keys are dealt by time, and what earlier cells still hold is carried.
     """
+    if cells is not None:
+        df = df.drop(spans.CELL, spans.BUSY)
     names, kinds = list(sums), dict(df.dtypes)
     out = df.withColumns({f"__v_{n}": F.coalesce(v, F.lit(0)) for n, (v, _) in sums.items()} | {f"__x_{n}": x for n, (_, x) in sums.items()})
     leaving: dict[str, list[str]] = {}
@@ -42,9 +47,10 @@ def sweep(df: DataFrame, keys: list[str], sums: Mapping[str, tuple[Column, Colum
         for group in leaving.values()
     ]
     both = out.select(F.inline(F.array(real, *gone))).filter("__keep")
-    w = lifetime(keys, ts)
-    run = both.select(*df.columns, "__real", *[F.sum(f"__d_{n}").over(w).alias(n) for n in names])
-    return run.filter("__real").drop("__real")
+    if cells is not None:
+        both = cells.place(both)
+    run = spans.running(both, keys, {n: (F.col(f"__d_{n}"), "sum") for n in names}, ts, dealt=cells is not None)
+    return run.filter("__real").drop("__real", "__keep", *[f"__d_{n}" for n in names])
 
 
 def leaves_after(width: int, ts: str = "ts_us") -> Column:
@@ -52,28 +58,22 @@ def leaves_after(width: int, ts: str = "ts_us") -> Column:
     return F.col(ts) + F.lit(width + 1)
 
 
-def leaves_distinct(keys: list[str], subject: str, width: int, ts: str = "ts_us", order: tuple[str, ...] = ()) -> Column:
-    """For ``sweep``: when a distinct subject stops being counted for this row.
+def leaves_distinct(df: DataFrame, keys: list[str], subject: str, width: int, name: str, ts: str = "ts_us", order: tuple[str, ...] = (), dealt: bool = False) -> DataFrame:
+    """For ``sweep``: ``df`` with the instant at which a distinct subject stops being counted for the row.
 
     That is when the same subject comes again, or ``width`` after (a row exactly that far
     back no longer counts).
     """
-    again = F.lead(ts).over(Window.partitionBy(*keys, subject).orderBy(ts, *order))
-    return F.least(again, F.col(ts) + F.lit(width))
-
-
-def window_min(x: Column, keys: list[str], width: int) -> Column:
-    return F.min(x).over(trailing(keys, width, closed=False))
-
+    x = spans.neighbour(df, [*keys, subject], name, [ts, *order], after=True, ts=ts, dealt=dealt)
+    return x.withColumn(name, F.least(F.col(name), F.col(ts) + F.lit(width)))
 
-def window_max(x: Column, keys: list[str], width: int) -> Column:
-    return F.max(x).over(trailing(keys, width, closed=False))
 
+def window_orders(df: DataFrame, keys: list[str], targets: dict[str, tuple[Column, float, int]], ts: str = "ts_us", cells: spans.Cells | None = None) -> DataFrame:
+    """``df`` with lower quantiles of trailing windows: name -> (value, q, width); 0 is the minimum and 1 the maximum.
 
-def window_quantile(x: Column, q: float, keys: list[str], width: int) -> Column:
-    """Lower quantile, an element of the window: index floor(q * (n - 1)) of its sorted values."""
-    xs = F.sort_array(F.collect_list(x).over(trailing(keys, width, closed=False)))
-    return F.try_element_at(xs, (F.floor(F.lit(q) * (F.size(xs) - 1)) + 1).cast("int"))
+    The element of the window at index floor(q * (n - 1)) of its sorted values.
+    """
+    return orders.sliding(df, keys, targets, ts, cells)
 
 
 def forward_sum(x: Column, keys: list[str], width: int, ts: str = "ts_us") -> Column:
@@ -81,10 +81,10 @@ def forward_sum(x: Column, keys: list[str], width: int, ts: str = "ts_us") -> Co
     return F.coalesce(F.sum(x).over(Window.partitionBy(*keys).orderBy(ts).rangeBetween(0, width - 1)), F.lit(0))
 
 
-def first_ever(keys: list[str], subject: str, where: Column, order: tuple[str, ...] = ("ts_us", "txn_id", "sign")) -> Column:
-    """1 on the first matching row of each (key, subject), else 0."""
-    nth = F.sum(where.cast("int")).over(Window.partitionBy(*keys, subject).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return (where & (nth == 1)).cast("long")
+def first_ever(df: DataFrame, keys: list[str], subject: str, where: Column, name: str, order: tuple[str, ...] = ("ts_us", "txn_id", "sign"), dealt: bool = False) -> DataFrame:
+    """``df`` with 1 on the first matching row of each (key, subject), else 0."""
+    x = spans.running(df, [*keys, subject], {name: (where.cast("int"), "sum")}, order=list(order), dealt=dealt)
+    return x.withColumn(name, (where & (F.col(name) == 1)).cast("long"))
 
 
 def quotient(a: Column, b: Column, scale: int, square: bool = False) -> Column:
@@ -96,16 +96,11 @@ def _div(n: Column, d: Column) -> Column:
     return F.call_function("div", n, d)
 
 
-def seconds_since_last(where: Column, keys: list[str], unit_us: int, ts: str = "ts_us") -> Column:
-    """Whole units since the last matching row, this instant included."""
-    last = F.max(F.when(where, F.col(ts))).over(lifetime(keys, ts))
+def units_since(last: Column, unit_us: int, ts: str = "ts_us") -> Column:
+    """Whole units since an instant; null if there is none."""
     return F.floor((F.col(ts) - last) / unit_us).cast("long")
 
 
-def age(keys: list[str], unit_us: int, ts: str = "ts_us") -> Column:
-    return F.floor((F.col(ts) - F.min(ts).over(Window.partitionBy(*keys))) / unit_us).cast("long")
-
-
 #: A spread counts as measured when it clears so many rounding errors of a one-pass sum in doubles.
 NOISE, EPS = 8.0, 2.220446049250313e-16
 #: Sums up to these are exact in doubles, and only there a spread of zero is a measured one.

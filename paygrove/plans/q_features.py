@@ -135,10 +135,9 @@ def forward(spark, sf_dir):
     """Forward window, minimum, lower quantile and exact standard deviation kernels."""
     d = entity.row_values(entity.explode_entities(pay_events(spark, sf_dir)))
     x = F.col("amount_minor")
-    return d.select(
-        "txn_id", "sign", kernels.forward_sum(x, ["entity"], DAY).alias("next_24h"), kernels.window_min(x, ["entity"], DAY).alias("min_24h"),
-        kernels.window_quantile(x, 0.9, ["entity"], DAY).alias("q90_24h"),
-    )
+    d = d.select("txn_id", "sign", "entity", "ts_us", "amount_minor", kernels.forward_sum(x, ["entity"], DAY).alias("next_24h"))
+    d = kernels.window_orders(d, ["entity"], {"min_24h": (x, 0.0, DAY), "q90_24h": (x, 0.9, DAY)})
+    return d.select("txn_id", "sign", "next_24h", "min_24h", "q90_24h")
 
 
 _FORWARD = f"""WITH {EV}, {EN}

@@ -94,8 +94,7 @@ def sliding(
     came = some.select("t", "g1", "g2", "c", "busy", "ts", "v", F.lit(1).cast("bigint").alias("n"), *(["__key"] if dealt else []))
     went = some.select("t", "g1", "g2", "c", "busy", (F.col("ts") + F.col("width")).alias("ts"), "v", F.lit(-1).cast("bigint").alias("n"), *(["__key"] if dealt else []))
     if dealt:  # a row leaves in the cell of that instant
-        moved = went.drop("c", "busy").withColumnRenamed("__key", cells.key).withColumnRenamed("ts", cells.ts)
-        moved = cells.place(moved).withColumnsRenamed({CELL: "c", BUSY: "busy", cells.ts: "ts"}).drop(cells.key)
+        moved = cells.place(went.drop("c", "busy"), "__key", "ts").withColumnsRenamed({CELL: "c", BUSY: "busy"})
         came, went = came.drop("__key"), moved.select("t", "g1", "g2", "c", "busy", "ts", "v", "n")
     moves = scratch_table(came.union(went), "moves")
     # how many values the window has, by the same count of what came and went

@@ -32,17 +32,20 @@ class Cells:
     ts: str
     slot_us: int
 
-    def place(self, df: DataFrame) -> DataFrame:
+    def place(self, df: DataFrame, key: str | None = None, ts: str | None = None) -> DataFrame:
         """``df`` with its cell and whether its key is busy; rows of a busy key outside all cells go.
 
+        ``key`` and ``ts`` name its columns where they are called otherwise.
+
         Only rows that leave a window lie there, after the key's last row: no row is left
         that could see them leave.
         """
+        key, ts = key or self.key, ts or self.ts
         keys = self.table.select(F.col(self.key).alias("__k")).distinct()
         t = self.table.select(F.col(self.key).alias("__k"), F.col("slot").alias("__s"), F.col("cell").alias("__c"))
-        slot = F.floor(F.col(self.ts) / self.slot_us)
-        x = df.join(t, (F.col(self.key) == F.col("__k")) & (slot == F.col("__s")), "left").drop("__k", "__s")
-        busy = x.join(keys.withColumn("__b", F.lit(True)), F.col(self.key) == F.col("__k"), "left").drop("__k")
+        slot = F.floor(F.col(ts) / self.slot_us)
+        x = df.join(t, (F.col(key) == F.col("__k")) & (slot == F.col("__s")), "left").drop("__k", "__s")
+        busy = x.join(keys.withColumn("__b", F.lit(True)), F.col(key) == F.col("__k"), "left").drop("__k")
         busy = busy.withColumn(BUSY, F.coalesce("__b", F.lit(False))).drop("__b")
         return busy.filter(~F.col(BUSY) | F.col("__c").isNotNull()).withColumn(CELL, F.coalesce("__c", F.lit(0))).drop("__c")
 

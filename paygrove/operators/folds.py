@@ -33,7 +33,8 @@ def node_table(
     """(fold, account, measures, last_ts_us): what the events before the fold's cutoff say of each account.
 
     Local measures are of the last thirty days before the cutoff, all others of everything
-    before it. Null where an account has no such measure, as for one on no cycle.
+    before it. Null where an account has no such measure; an account on no cycle takes part
+    in 0 of them and has no retention.
     """
     at = cutoff(fold)
     seen = horizon(events, at)
@@ -56,6 +57,8 @@ def node_table(
         tables.append(found.withColumnRenamed("longest_cycle_length", "longest_chain_length"))
     for t in tables:
         base = base.join(t, "account", "left")
+    if TYPOLOGY in parts:  # the search ran, so an account on no cycle is on zero of them
+        base = base.withColumn("cycle_participation_count", F.coalesce("cycle_participation_count", F.lit(0)))
     return base.withColumn("fold", F.lit(fold.fold))
 
 

@@ -20,7 +20,7 @@ from paygrove.operators.spans import BUSY, CELL, Cells
 from paygrove.session import scratch_table
 
 #: Bits of a digit, and of the blocks in which its counts are summed.
-DIGIT, HALF = 12, 6
+DIGIT, HALF = 8, 4
 #: Before every instant: what earlier cells carry in.
 START = -(1 << 62)
 

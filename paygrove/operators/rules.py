@@ -201,17 +201,19 @@ def r4(events: DataFrame, s: Settings, skip: DataFrame | None = None) -> DataFra
     """Cycle members: one hit per member and ring, at its best lap; rings that recur weekly weigh less."""
     c = paths.cycles(paths.adjacency(events, s.reversals, skip), *s.r4_lengths, s.r4_retention, s.r4_hop_us, round_cap=s.r4_cap)
     c = c.withColumn("ring", paths.rotated(F.col("nodes"))).withColumn("start", F.element_at("at", 1))
-    starts = c.select("ring", "start").distinct()
+    # two laps recur when their starts lie within the tolerance of a multiple of the period, so
+    # neighbours in the order of what is left of the start after whole periods decide, the last and the first too
     tol = max(1, int(s.r4_tolerance * s.r4_period_us))
-    a, b = starts.alias("a"), starts.alias("b")
-    gap = F.col("b.start") - F.col("a.start")
-    off = F.abs(gap - F.round(gap / F.lit(s.r4_period_us)) * F.lit(s.r4_period_us))
-    recur = a.join(b, (F.col("a.ring") == F.col("b.ring")) & (F.col("b.start") > F.col("a.start"))).filter(off <= tol).groupBy(F.col("a.ring").alias("ring")).agg(F.min(gap).alias("period_us"))
+    starts = c.select("ring", F.col("start"), F.pmod("start", F.lit(s.r4_period_us)).alias("rest")).distinct()
+    step = F.col("rest") - F.lag("rest").over(Window.partitionBy("ring").orderBy("rest", "start"))
+    recur = starts.withColumn("step", step).groupBy("ring").agg(
+        F.min("step").alias("near"), (F.min("rest") + F.lit(s.r4_period_us) - F.max("rest")).alias("turn"), F.count(F.lit(1)).alias("n"))
+    recur = recur.filter((F.col("n") > 1) & ((F.col("near") <= tol) | (F.col("turn") <= tol))).select("ring", F.lit(True).alias("periodic"))
     best = c.groupBy("ring").agg(F.min(F.struct((-F.col("retention")).alias("k"), "start", "txns", "at", "length")).alias("b"), F.count(F.lit(1)).alias("laps"))
     x = best.join(recur, "ring", "left")
     keep = -F.col("b.k")
     sev = combine(above_share(keep, s.r4_retention / 1e6), excess(F.col("b.length").cast("double"), *map(float, s.r4_lengths)))
-    sev = F.when(F.col("period_us").isNotNull(), clamp(sev * F.lit(s.r4_down_weight))).otherwise(sev)
+    sev = F.when(F.col("periodic"), clamp(sev * F.lit(s.r4_down_weight))).otherwise(sev)
     x = x.withColumn("sev", sev).withColumn("keep", keep).withColumn("account", F.explode("ring"))
     return _hits(x, "R4", F.col("sev"), F.col("keep"), F.array_min("b.at"), F.array_max("b.at"), F.col("b.txns"))
 

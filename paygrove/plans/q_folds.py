@@ -74,12 +74,12 @@ def graph_global(spark, sf_dir):
 def graph_typology(spark, sf_dir):
     e = pay_events(spark, sf_dir)
     plan = _plan(e)
-    t = folds.per_fold(e, plan, lambda x, f: folds.node_table(x, f, (folds.TYPOLOGY,), cycle_hop_us=DAY))
+    t = folds.per_fold(e, plan, lambda x, f: folds.node_table(x, f, (folds.TYPOLOGY,)))
     return folds.attach(_rows(e, plan), folds.sealed(t, plan))
 
 
 def _typology_sql(k: int) -> str:
-    return f"""SELECT {k} AS fold, r.entity, p.cycle_participation_count AS graph_cycle_participation_count, p.max_cycle_retention_bps AS graph_max_cycle_retention_bps,
+    return f"""SELECT {k} AS fold, r.entity, CASE WHEN b.account IS NOT NULL THEN coalesce(p.cycle_participation_count, 0) END AS graph_cycle_participation_count, p.max_cycle_retention_bps AS graph_max_cycle_retention_bps,
   p.longest_cycle_length AS graph_longest_chain_length, b.is_external AS graph_is_external
 FROM {_accounts(k)} LEFT JOIN (WITH {_in(_NODES, k)} SELECT * FROM nd) b ON b.account = r.entity LEFT JOIN ({_in(_PART, k)}) p ON p.account = r.entity"""
 

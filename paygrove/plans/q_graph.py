@@ -185,14 +185,14 @@ _ADJ = "ad AS (SELECT * FROM ev WHERE account_from <> account_to AND txn_type <>
 
 
 def cycles(spark, sf_dir):
-    c = paths.cycles(paths.adjacency(pay_events(spark, sf_dir)), hop_us=DAY)
+    c = paths.cycles(paths.adjacency(pay_events(spark, sf_dir)))
     return c.select(F.concat_ws(",", "nodes").alias("nodes"), F.concat_ws(",", "txns").alias("txns"), "length", F.round("retention", 9).alias("retention"))
 
 
 _CYC = f"""WITH RECURSIVE {EV}, {_ADJ},
 w AS (SELECT [account_from, account_to] AS path, [txn_id] AS txns, account_to AS last, ts_us AS now, amount_minor AS lo, amount_minor AS hi, false AS closed FROM ad
   UNION ALL SELECT list_append(path, account_to), list_append(txns, txn_id), account_to, ts_us, least(lo, amount_minor), greatest(hi, amount_minor), account_to = path[1]
-  FROM w JOIN ad ON ad.account_from = w.last AND ts_us > now AND ts_us <= now + {DAY}
+  FROM w JOIN ad ON ad.account_from = w.last AND ts_us > now
   WHERE NOT closed AND len(txns) < 6 AND least(lo, amount_minor) * 1000000 >= greatest(hi, amount_minor) * 600000
     AND (NOT list_contains(path, account_to) OR (account_to = path[1] AND len(txns) >= 2)))
 SELECT array_to_string(path[1:len(path) - 1], ',') AS nodes, array_to_string(txns, ',') AS txns, CAST(len(txns) AS INT) AS length, round(lo / hi, 9) AS retention FROM w WHERE closed"""
@@ -212,7 +212,7 @@ _CHAIN = f"WITH RECURSIVE {EV}, {_ADJ}, {CHAIN_CTE} SELECT array_to_string(path,
 
 
 def participation(spark, sf_dir):
-    c = paths.cycles(paths.adjacency(pay_events(spark, sf_dir)), hop_us=DAY)
+    c = paths.cycles(paths.adjacency(pay_events(spark, sf_dir)))
     return paths.cycle_participation(c)
 
 

@@ -13,7 +13,7 @@ from paygrove.session import checkpoint
 MIN = 60_000_000
 #: Parameters that make each rule fire on these tables; all else is the defaults.
 S = Settings(
-    r1_least_minor=100, r2_k=11, r3_k=6, r5_pinned_minor=None, r6_z=2.5, r7_days=3, r7_k=2, r8_jump=0.15, r9_m=1.6, r11_c=5, r11_share=0.5, r4_hop_us=DAY, r4_cap=None,
+    r1_least_minor=100, r2_k=11, r3_k=6, r5_pinned_minor=None, r6_z=2.5, r7_days=3, r7_k=2, r8_jump=0.15, r9_m=1.6, r11_c=5, r11_share=0.5, r4_cap=None,
     tau_percent=60.0,
 )
 
@@ -64,7 +64,7 @@ w AS (SELECT l.account, b.k, min(ts_us) AS st, list_sort(list(amount_minor)) AS
 _R4 = f"""WITH RECURSIVE {EV}, {_ADJ},
 w AS (SELECT [account_from, account_to] AS path, [txn_id] AS txns, [ts_us] AS ats, account_to AS last, ts_us AS now, amount_minor AS lo, amount_minor AS hi, false AS closed FROM ad
   UNION ALL SELECT list_append(path, account_to), list_append(txns, txn_id), list_append(ats, ts_us), account_to, ts_us, least(lo, amount_minor), greatest(hi, amount_minor), account_to = path[1]
-  FROM w JOIN ad ON ad.account_from = w.last AND ts_us > now AND ts_us <= now + {DAY}
+  FROM w JOIN ad ON ad.account_from = w.last AND ts_us > now
   WHERE NOT closed AND len(txns) < 6 AND least(lo, amount_minor) * 1000000 >= greatest(hi, amount_minor) * 600000
     AND (NOT list_contains(path, account_to) OR (account_to = path[1] AND len(txns) >= 2))),
 c AS (SELECT path[1:len(path) - 1] AS nodes, txns, ats, lo / hi AS keep, len(txns) AS len FROM w WHERE closed),

@@ -169,3 +169,48 @@ def test_rings_may_pause(spark):
     e = events(spark, [("a", "b", 0, 1000), ("b", "c", 40, 900), ("c", "a", 24 * 45, 810)])
     assert [x.nodes for x in paths.cycles(paths.adjacency(e)).collect()] == [["a", "b", "c"]]
     assert {h.account_key for h in rules.run_rules(e, only=("R4",)).collect()} == {"a", "b", "c"}
+
+
+def test_cycles_equal_plain_search(spark):
+    """Trimming and half paths against a depth-first search: any pause, ties in time, several legs per pair, a hub."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(n, rng.randrange(60), rng.choice("abcdefgh"), rng.choice("abcdefgh"), rng.choice([100, 110, 150, 170, 500])) for n in range(170)]
+    legs = [(f"t{n}", t, a, b, m, "USD" if n % 9 else "EUR") for n, t, a, b, m in rows if a != b]
+    df = spark.createDataFrame(legs, "txn_id string, ts_us long, account_from string, account_to string, amount_minor long, currency string")
+
+    def plain(strict, retention, low, high):
+        found = set()
+
+        def go(path, nodes):
+            for leg in legs:
+                later = leg[1] > path[-1][1] if strict else leg[1] >= path[-1][1] and leg not in path
+                if leg[2] != path[-1][3] or leg[5] != path[0][5] or not later:
+                    continue
+                amounts = [x[4] for x in path] + [leg[4]]
+                if min(amounts) * 1_000_000 < max(amounts) * retention:
+                    continue
+                if leg[3] == nodes[0]:
+                    if low <= len(amounts) <= high:
+                        found.add(tuple(x[0] for x in [*path, leg]))
+                elif leg[3] not in nodes and len(amounts) < high:
+                    go([*path, leg], [*nodes, leg[3]])
+
+        for leg in legs:
+            go([leg], [leg[2], leg[3]])
+        return found
+
+    for strict, retention, low, high in ((True, 600_000, 3, 5), (False, 600_000, 3, 4), (True, 950_000, 3, 6)):
+        got = [tuple(r.txns) for r in paths.cycles(df, low, high, retention, strict=strict).collect()]
+        assert len(got) == len(set(got)) and set(got) == plain(strict, retention, low, high)
+    assert paths.cycles(df.limit(0)).count() == 0
+
+
+def test_trimming_empties_a_tree(spark):
+    """Legs that cannot close go, round by round; a ring and what it needs stay."""
+    chain = [(f"c{k}", k, f"n{k}", f"n{k + 1}", 100, "USD") for k in range(12)]
+    ring = [("r0", 5, "x", "y", 100, "USD"), ("r1", 6, "y", "z", 90, "USD"), ("r2", 900, "z", "x", 80, "USD"), ("far", 7, "z", "x", 5000, "USD")]
+    df = spark.createDataFrame(chain + ring, "txn_id string, ts_us long, account_from string, account_to string, amount_minor long, currency string")
+    assert sorted(r.txn_id for r in paths.trimmed(df).collect()) == ["r0", "r1", "r2"]
+    assert [r.txns for r in paths.cycles(df).collect()] == [["r0", "r1", "r2"]]

@@ -19,7 +19,7 @@ from paygrove.llm.words import split_by_count
 from paygrove.session import scratch_table
 
 #: Words each side of the predicted one, and hidden units.
-SIDE, HIDDEN = 2, 36
+SIDE, HIDDEN = 2, 28
 #: What the network sees of a word around: one of the most frequent words, or else its ending.
 OWN, ENDINGS = 64, 64
 SEEN = OWN + ENDINGS

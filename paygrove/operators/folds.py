@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paygrove.operators import features, graph, paths, rules
 from paygrove.operators.registry import FEATURES, Feature
 from paygrove.operators.splits import Fold
-from paygrove.session import scratch_table
+from paygrove.session import bucketed_table, scratch_table
 
 DAY = 86_400_000_000
 LOCAL, GLOBAL, TYPOLOGY = "graph_local", "graph_global", "graph_typology"
@@ -170,3 +170,18 @@ def matrix(events: DataFrame, folds: list[Fold], nodes: DataFrame, hits: DataFra
 
     rows = splits.assign(features.build(events, declared), folds)
     return attach(rows, sealed(nodes, folds), hits, declared)
+
+
+def publish(events: DataFrame, folds: list[Fold], nodes: DataFrame, hits: DataFrame, declared: list[Feature] | None = None) -> DataFrame:
+    """``matrix``, checked and written in buckets of the entity, so that labels, frames and models meet it without shuffling it.
+
+    Refused where an account moves more than one currency (features add up amounts), where
+    a fold's table saw an event after its cutoff, and where a value isn't finite.
+    """
+    mixed = mixed_currencies(events).limit(1).collect()
+    if mixed:
+        raise ValueError(f"account {mixed[0].account} moves {mixed[0].currencies} currencies")
+    declared = declared or FEATURES
+    d = finite(matrix(events, folds, nodes, hits, declared), [f.name for f in declared])
+    keys = ["fold", "role", *features.KEYS]
+    return bucketed_table(d.select(*keys, *[f.name for f in declared if f.name not in keys]), "entity", "matrix")

@@ -32,14 +32,6 @@ _CUR = f"""WITH {_FOLDS}, r AS (SELECT account_from AS account_key, fold, txn_id
 SELECT account_key, fold, txn_id, amount_minor FROM r WHERE nth = 1"""
 
 
-def hits_long(spark, sf_dir):
-    w = scored(spark, sf_dir).select("account_key", F.when(F.col("score") > 0.5, F.col("score")).alias("R1"), F.when(F.col("rule_severity") > 0.5, F.col("rule_severity")).alias("R2"))
-    return warehouse.hits_long(w, ["R1", "R2"])
-
-
-_LONG = f"WITH {SC} SELECT account_key, 'R1' AS rule_id, score AS severity FROM sc WHERE score > 0.5 UNION ALL SELECT account_key, 'R2', rule_severity FROM sc WHERE rule_severity > 0.5"
-
-
 def append(spark, sf_dir):
     e = pay_events(spark, sf_dir).select("txn_id", "event_id")
     return warehouse.append_only(e, e.filter("event_id % 3 <> 0"), ["txn_id"])
@@ -58,29 +50,9 @@ def _queue_parts(spark, sf_dir):
     return p, scores, econ
 
 
-def queue(spark, sf_dir):
-    p, scores, econ = _queue_parts(spark, sf_dir)
-    taken = pricing.first_fit(pricing.candidates(p), evaluate.policy_order("ev_greedy"), [3000])
-    alloc = warehouse.stored_ranking(p, taken).select("account_key", "rank", "selected", "beyond_capacity")
-    cases = p.filter("total % 7 = 0").select("account_key", F.lit("open").alias("status"))
-    return warehouse.queue_page(scores, econ, alloc, cases, rule="R1", least_score=0.2, sort="ev_minor", descending=True, limit=50, offset=5)[0].select("account_key", "band", "typology", "rank", "selected", "beyond_capacity", "ev_minor", "status")
-
-
 _RANKING = f"""WITH RECURSIVE {fitted([600, 3000], ('ev_greedy',))}, rk AS (SELECT pr.*, row_number() OVER (ORDER BY ev_minor / minutes DESC, account_key) AS rank,
   account_key IN (SELECT account_key FROM fit WHERE capacity = 3000) AS selected FROM pr WHERE ev_minor IS NOT NULL),
 sr AS (SELECT *, coalesce(max(CASE WHEN selected THEN rank END) OVER (), 0) AS cutoff_rank FROM rk)"""
-_QUEUE = f"""{_RANKING}, qu AS (SELECT pr.*, ['A','B','C','D','E'][CAST(least(4, floor(pr.score * 5)) AS INT) + 1] AS band, rank, selected, rank > cutoff_rank AS beyond_capacity, CASE WHEN pr.total % 7 = 0 THEN 'open' END AS status FROM pr LEFT JOIN sr USING (account_key))
-SELECT account_key, band, typology, rank, selected, beyond_capacity, ev_minor, status FROM qu WHERE total % 2 = 0 AND score >= 0.2 ORDER BY ev_minor DESC NULLS LAST, account_key LIMIT 50 OFFSET 5"""
-
-
-def facets(spark, sf_dir):
-    return warehouse.facets(_queue_parts(spark, sf_dir)[1])
-
-
-_FACETS = f"""WITH {SC}, b AS (SELECT *, ['A','B','C','D','E'][CAST(least(4, floor(score * 5)) AS INT) + 1] AS band FROM sc), u AS (SELECT 'band' AS facet, band AS value FROM b UNION ALL SELECT 'typology', typology FROM b
-  UNION ALL SELECT 'rule', 'R1' FROM b WHERE total % 2 = 0 UNION ALL SELECT 'rule', 'R5' FROM b WHERE total % 3 = 0 UNION ALL SELECT 'rule', 'R12' FROM b WHERE total % 5 = 0) SELECT facet, value, count(*) AS n FROM u GROUP BY 1, 2"""
-
-
 def _taken(spark, sf_dir, capacity):
     return pricing.first_fit(_cands(spark, sf_dir), evaluate.policy_order("ev_greedy"), [capacity])
 
@@ -181,13 +153,13 @@ d AS (SELECT run_id, lead(run_id) OVER (PARTITION BY dataset ORDER BY started_us
 SELECT l.*, coalesce(s, '') AS superseded_by, d.run_id IS NOT NULL AND s IS NULL AS is_latest FROM l LEFT JOIN d USING (run_id)"""
 
 QUERIES = {
-    "account_table": accounts, "current_scores": current, "hits_long": hits_long, "append_only": append, "generic_select": page, "alert_queue": queue, "queue_facets": facets,
+    "account_table": accounts, "current_scores": current, "append_only": append, "generic_select": page,
     "stored_ranking": ranking, "policy_what_if": what_if, "risky_communities": risky, "case_timeline": timeline, "case_transactions": transactions, "audit_verify": audit_log, "audit_erase": erase,
     "name_screening": screen, "stage_states": run_states, "run_list": runs,
 }
 ORACLE = {
-    "account_table": _ACC, "current_scores": _CUR, "hits_long": _LONG, "append_only": f"WITH {EV} SELECT txn_id, event_id FROM ev WHERE event_id % 3 = 0",
+    "account_table": _ACC, "current_scores": _CUR, "append_only": f"WITH {EV} SELECT txn_id, event_id FROM ev WHERE event_id % 3 = 0",
     "generic_select": f"WITH {SC} SELECT account_key, typology, currency, total FROM sc WHERE typology = 'cycle' AND total > 100 ORDER BY total DESC, account_key LIMIT 25 OFFSET 10",
-    "alert_queue": _QUEUE, "stored_ranking": f"{_RANKING} SELECT account_key, rank, selected, cutoff_rank, rank > cutoff_rank AS beyond_capacity FROM sr", "policy_what_if": _WHAT, "queue_facets": _FACETS, "case_transactions": _TIME,
+    "stored_ranking": f"{_RANKING} SELECT account_key, rank, selected, cutoff_rank, rank > cutoff_rank AS beyond_capacity FROM sr", "policy_what_if": _WHAT, "case_transactions": _TIME,
     "audit_erase": "SELECT c_custkey AS subject, 'P' || c_custkey AS pseudonym FROM customer WHERE c_custkey % 10 <> 3", "stage_states": _STATES, "run_list": _RUNS, "name_screening": _SCREEN, "case_timeline": _TIMELINE,
 }

@@ -148,6 +148,19 @@ def bridge(matrix: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     ).select("entity", "as_of_us", "x.*", "transactions", "label_is_fraud", "label_typology")
 
 
+def scoring_frame(matrix: DataFrame, labels: DataFrame, cols: list[str]) -> DataFrame:
+    """A row per account, fold and role: its latest features there, and whether any of its transactions there is labelled.
+
+    ``matrix`` lies in buckets of the account, so only the labels (txn_id,
+    label_is_fraud) and one row per account come through a shuffle.
+    """
+    d = matrix.filter(F.col("role").isin("train", "valid", "test")).join(labels.select("txn_id", "label_is_fraud"), "txn_id")
+    last = F.struct("ts_us", "txn_id", "sign")
+    x = d.groupBy(F.col("entity").alias("account_key"), "fold", "role").agg(
+        F.max_by(F.struct("currency", *[F.col(c).cast("double").alias(c) for c in cols]), last).alias("x"), F.max("label_is_fraud").alias("label"), F.count(F.lit(1)).alias("transactions"))
+    return x.select("account_key", "fold", "role", "x.*", "label", "transactions")
+
+
 def by_role(frame: DataFrame) -> dict[str, DataFrame]:
     """Slices of an assigned frame (fold, role, ...) that models use: each role of each fold, and over all folds."""
     return {r: frame.filter(F.col("role") == r) for r in ("train", "valid", "test")}

@@ -14,22 +14,24 @@ CHANNELS = ("boosted", "scorecard", "anomaly", "rules", "volume", "value", "brea
 BANDS = ((4.0, "E"), (2.0, "D"), (1.0, "C"), (0.5, "B"))
 
 
-def channels(train: DataFrame, rows: DataFrame, numeric: list[str], plain: dict[str, str], rule: str, label: str = "label", trees: int = 5, depth: int = 3) -> tuple[DataFrame, scorecard.Card]:
+def channels(train: DataFrame, rows: DataFrame, numeric: list[str], plain: dict[str, str], rule: str, label: str = "label", trees: int = 5, depth: int = 3, carded: list[str] | None = None) -> tuple[DataFrame, scorecard.Card]:
     """(rows with a column per channel, the card), all fitted on ``train``.
 
-    ``plain`` names the columns whose frozen percentile in the training rows is a channel
+    Trees see all ``numeric`` columns; the card and the distance see those of ``carded``
+    (all, unless given). ``plain`` names the columns whose frozen percentile in the training rows is a channel
     of its own. Trees stop early on a hashed fifth of the training rows, never on rows
     that are scored.
     """
     inner = splits.bucket(F.col("account_key"), "early-stop") < 0.2
     mx = lambda d: models.matrix(d, numeric)[0]
     m = models.boosted(mx(train.filter(~inner)), mx(train.filter(inner)), label=label, trees=trees, depth=depth)
-    card = scorecard.fit(train, numeric, label=label)
+    carded = carded or numeric
+    card = scorecard.fit(train, carded, label=label)
     d = m.transform(mx(rows)).withColumn("boosted", models.positive()).drop("x", "rawPrediction", "probability", "prediction")
     d = scorecard.score(d, card)
     # fewer points are worse; the scale is the logistic one that made the points
     d = d.withColumn("scorecard", 1 / (1 + F.exp((F.col("card_score") - 600) / F.lit(20 / 0.6931471805599453))))
-    d = models.percentile_rank(models.robust_distance(train, train, numeric), models.robust_distance(train, d, numeric), "distance", "anomaly")
+    d = models.percentile_rank(models.robust_distance(train, train, carded), models.robust_distance(train, d, carded), "distance", "anomaly")
     for name, col in plain.items():
         d = models.percentile_rank(train.filter(F.col(col).isNotNull()), d, col, name)
     return d.withColumn("rules", F.coalesce(rule, F.lit(0.0))), card
@@ -48,7 +50,7 @@ def annotate(scored: DataFrame, base: Column, card: scorecard.Card, run_id: str)
     return scored.withColumns({"band": band, "top_channels": top, "reasons": why, "run_id": F.lit(run_id)})
 
 
-def run_fold(frame: DataFrame, fold: int, numeric: list[str], plain: dict[str, str], rule: str, run_id: str, label: str = "label") -> DataFrame:
+def run_fold(frame: DataFrame, fold: int, numeric: list[str], plain: dict[str, str], rule: str, run_id: str, label: str = "label", carded: list[str] | None = None) -> DataFrame:
     """Test rows of one fold with every channel, the fused and the calibrated score, and their annotations.
 
     Validation rows are parted by a hash of the account: one half weighs the channels, the
@@ -56,7 +58,7 @@ def run_fold(frame: DataFrame, fold: int, numeric: list[str], plain: dict[str, s
     """
     of = frame.filter(F.col("fold") == fold)
     train = checkpoint(of.filter("role = 'train'"))
-    rest, card = channels(train, of.filter("role in ('valid', 'test')"), numeric, plain, rule, label)
+    rest, card = channels(train, of.filter("role in ('valid', 'test')"), numeric, plain, rule, label, carded=carded)
     rest = checkpoint(rest.withColumn(label, F.col(label).cast("double")).fillna(0.0, list(CHANNELS)))
     half = splits.bucket(F.col("account_key"), "calibrate") < 0.5
     valid = rest.filter("role = 'valid'")
@@ -74,11 +76,11 @@ def run_fold(frame: DataFrame, fold: int, numeric: list[str], plain: dict[str, s
     return annotate(test.withColumn("calibration", F.lit(how)), base, card, run_id)
 
 
-def run(frame: DataFrame, folds: list[int], numeric: list[str], plain: dict[str, str], rule: str, run_id: str) -> DataFrame:
+def run(frame: DataFrame, folds: list[int], numeric: list[str], plain: dict[str, str], rule: str, run_id: str, carded: list[str] | None = None) -> DataFrame:
     """All folds' test rows, scored by their own fold's stack, in one written table."""
     out = None
     for f in folds:  # a handful
-        t = run_fold(frame, f, numeric, plain, rule, run_id)
+        t = run_fold(frame, f, numeric, plain, rule, run_id, carded=carded)
         keep = ["account_key", "fold", "label", *CHANNELS, "fused", "p_calibrated", "calibration", "band", "top_channels", "reasons", "run_id", *[c for c in ("exposure_minor", "outflow_minor", "currency") if c in frame.columns]]
         out = t.select(*keep) if out is None else out.unionByName(t.select(*keep))
     return scratch_table(out, "stack")

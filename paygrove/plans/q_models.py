@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paygrove.operators import models, pricing, scorecard, splits, stack, warehouse
+from paygrove.operators import folds, models, pricing, scorecard, splits, stack, warehouse
 from paygrove.plans.q_evaluate import _FOLDS, SC, scored
-from paygrove.plans.tables import pay_lineitem
+from paygrove.plans.tables import pay_events, pay_lineitem
 from paygrove.session import checkpoint
 
 NUM, CAT = ["rows", "outflow_minor", "rule_severity"], ["typology"]
@@ -113,25 +113,29 @@ def fused(spark, sf_dir):
     return got.withColumn("method", F.lit(how))
 
 
+#: What the card and the distance read; trees read every declared feature of the matrix.
+CARDED = ["txn_count_in_30d", "largest_movement_30d_minor", "top_counterparty_share_30d_bps", "interarrival_burstiness_30d", "graph_out_degree_30d", "rule_severity_max"]
+
+
 def stack_frame(spark, sf_dir):
-    """(frame, folds): per account, fold and role what it moved, to how many, how much of it in one go, and the label."""
-    li = pay_lineitem(spark, sf_dir)
-    plan = splits.plan(li)
-    d = splits.assign(li.withColumnRenamed("account_from", "account_key"), plan).filter("role in ('train', 'valid', 'test')")
-    g = d.groupBy("account_key", "fold", "role").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("amount_minor").alias("total"), F.max("amount_minor").alias("largest"), F.countDistinct("account_to").alias("peers"), F.avg("l_discount").alias("mean_discount"),
-        F.max("label_is_fraud").alias("label"), F.sum(F.when(F.col("channel") == "O", F.col("amount_minor"))).alias("outflow_minor"), F.first("currency").alias("currency"))
-    # a severity as rules give it: how far the largest movement stands out
-    return g.withColumn("rule_severity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("largest") * F.col("rows") / F.col("total") - 1))), [f.fold for f in plan]
+    """(frame, folds, columns): the published matrix brought to accounts, with the severities of all twelve rules in it."""
+    from paygrove.plans.q_chain import DECLARED, _matrix
+
+    e = pay_events(spark, sf_dir)
+    m = _matrix(spark, sf_dir, (folds.LOCAL, folds.TYPOLOGY), DECLARED)
+    cols = [f.name for f in DECLARED]
+    f = folds.scoring_frame(m, e, cols).withColumn("outflow_minor", F.col("amount_out_30d_minor").cast("bigint"))
+    return f, sorted(r.fold for r in f.select("fold").distinct().collect()), cols
 
 
 def _stack(spark, sf_dir):
-    frame, folds = stack_frame(spark, sf_dir)
-    return stack.run(checkpoint(frame), folds, ["rows", "largest", "mean_discount"], {"volume": "rows", "value": "total", "breadth": "peers"}, "rule_severity", "stack-1")
+    frame, which, cols = stack_frame(spark, sf_dir)
+    plain = {"volume": "txn_count_in_30d", "value": "amount_out_30d_minor", "breadth": "lifetime_counterparties"}
+    return stack.run(checkpoint(frame), which, cols, plain, "rule_severity_max", "stack-1", CARDED)
 
 
 def model_stack(spark, sf_dir):
-    """Every fold's test accounts with seven channels, fused and calibrated scores, bands and reasons."""
+    """Every fold's test accounts with seven channels over the declared features, fused and calibrated scores, bands and reasons."""
     d = _stack(spark, sf_dir)
     return d.withColumn("top_channels", F.concat_ws(",", "top_channels")).withColumn("reasons", F.concat_ws("; ", "reasons"))
 

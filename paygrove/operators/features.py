@@ -44,6 +44,8 @@ def build(
     chosen = [f for f in (features or FEATURES) if f.kind not in ("graph", "rule")]
     preds = predicates(sealed_us)
     layers = check(chosen, ROW_COLUMNS, set(preds))
+    if sealed_us is not None and "ingested_us" not in events.columns:  # landed rows carry a timestamp
+        events = events.withColumn("ingested_us", F.unix_micros(F.col("ingested_at").cast("timestamp")))
     d = explode_entities(events)
     d = d if entities is None else d.join(entities.select("entity"), "entity", "left_semi").select(*d.columns)
     cells = spans.cells(d, "entity", rows=busy, slot_us=slot_us)

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paygrove.operators import evaluate, folds, graph, pricing, rules, warehouse
+from paygrove.operators import canonical, evaluate, features, folds, graph, kernels, leakage, pricing, rules, warehouse
+from paygrove.operators.entity import explode_entities
 from paygrove.operators.registry import FEATURES
+from paygrove.plans import q_canonical
 from paygrove.plans.q_evaluate import SC, A, fitted
-from paygrove.plans.q_features import GROUPS, _sql
+from paygrove.plans.q_features import EN, GROUPS, _sql
 from paygrove.plans.q_folds import FOLDS, _local_sql, _plan, _rules_sql, _typology_sql, _union
 from paygrove.plans.q_rules import _SQL as RULE_SQL
 from paygrove.plans.q_rules import S
 from paygrove.plans.tables import DAY, EV, pay_events
-from paygrove.session import scratch_table
+from paygrove.session import scratch_table, shared_dir
+from paygrove.sources import runs
 
 #: Measures of the whole graph are iterative and have no SQL; the matrix with them is ``training_matrix``.
 _ITERATIVE = {"graph_pagerank", "graph_betweenness_approx", "graph_k_core_number", "graph_community_size", "graph_community_id"}
@@ -181,9 +185,48 @@ def measured(spark, sf_dir):
 
 _MEASURED = f"WITH {SCE} SELECT typology, count(*) AS accounts, CAST(sum(label) AS BIGINT) AS positives, round(avg(score), 6) AS mean_score, CAST(sum(outflow_minor) AS BIGINT) AS outflow_minor FROM sc GROUP BY 1"
 
+SEALS = (1_704_700_000_000_000, 1_705_276_800_000_000)
+
+
+def leaks(spark, sf_dir):
+    """Declared features and a planted one that looks a day ahead, built with and without the future; only the planted one changes."""
+    names = ("txn_count_in_24h", "amount_out_24h_minor", "is_counterparty_first_ever", "gap_since_previous_event_s")
+    fs = [f for f in FEATURES if f.name in names]
+
+    def build(e):
+        d = features.build(e, fs)
+        a = explode_entities(e).select("txn_id", "sign", kernels.forward_sum(F.col("amount_minor"), ["entity"], DAY).alias("looks_ahead"))
+        return d.join(a, ["txn_id", "sign"])
+
+    return leakage.compare(build, pay_events(spark, sf_dir), list(SEALS), ["txn_id", "sign"], [*names, "looks_ahead"])
+
+
+_LEAKS = f"""WITH {EV}, {EN}, c AS (SELECT unnest({list(SEALS)}) AS cut), a AS (SELECT txn_id, sign, ts_us, sum(amount_minor) OVER (PARTITION BY entity ORDER BY ts_us RANGE BETWEEN CURRENT ROW AND {DAY - 1} FOLLOWING) AS x FROM en),
+b AS (SELECT cut, txn_id, sign, sum(amount_minor) OVER (PARTITION BY cut, entity ORDER BY ts_us RANGE BETWEEN CURRENT ROW AND {DAY - 1} FOLLOWING) AS x FROM en JOIN c ON ts_us <= cut),
+g AS (SELECT cut, count(*) AS n, count(*) FILTER (WHERE a.x IS DISTINCT FROM b.x) AS changed FROM a JOIN b USING (txn_id, sign) GROUP BY 1)
+SELECT cut AS cutoff_us, col AS "column", n, CASE WHEN col = 'looks_ahead' THEN changed ELSE 0 END AS changed, 0::BIGINT AS missing
+FROM g, (SELECT unnest(['txn_count_in_24h', 'amount_out_24h_minor', 'is_counterparty_first_ever', 'gap_since_previous_event_s', 'looks_ahead']) AS col)"""
+
+
+def ingest_manifest(spark, sf_dir):
+    """A run over the raw log as files: what landed, what was put aside, what was refused, and what a reader then finds."""
+    base = f"{shared_dir(spark)}/paygrove-{spark.sparkContext.applicationId}/ingest-{uuid.uuid4().hex[:12]}"
+    q_canonical.raw_a(spark, sf_dir).select(*canonical.RAW_A).write.option("header", True).csv(f"{base}/raw/a")
+    declared = [runs.Declared("source_a", "source_a", (("a", "declared"),)), runs.Declared("source_c", "canonical", (("c.csv", "declared"),), "licence unknown")]
+    m = runs.ingest(spark, f"{base}/raw", f"{base}/out", declared, q_canonical.SECRET, q_canonical.EPOCH, "r1")
+    found = runs.landed(spark, f"{base}/out", verify=True).groupBy("source_dataset").agg(F.count(F.lit(1)).alias("read_back"), F.sum("amount_minor").alias("amount_minor"))
+    return m.join(found, F.col("source_id") == F.col("source_dataset"), "left").select("source_id", "status", "reason", "rows", "quarantined", "read_back", "amount_minor")
+
+
+_MANIFEST = f"""SELECT 'source_a' AS source_id, 'landed' AS status, NULL AS reason, (SELECT count(*) FROM ({q_canonical.ORACLE['canonical_a']})) AS rows, (SELECT count(*) FROM ({q_canonical.ORACLE['canonical_a_quarantine']})) AS quarantined,
+  (SELECT count(*) FROM ({q_canonical.ORACLE['canonical_a']})) AS read_back, (SELECT CAST(sum(amount_minor) AS BIGINT) FROM ({q_canonical.ORACLE['canonical_a']})) AS amount_minor
+UNION ALL SELECT 'source_c', 'refused', 'licence unknown', NULL, NULL, NULL, NULL"""
+
 QUERIES = {
+    "leakage_check": leaks, "ingest_manifest": ingest_manifest,
     "feature_matrix": feature_matrix, "training_matrix": training_matrix, "hits_long": hits_long, "alert_queue": queue, "queue_facets": facets, "rules_by_typology": measured,
 }
 ORACLE = {
+    "leakage_check": _LEAKS, "ingest_manifest": _MANIFEST,
     "feature_matrix": _matrix_sql(), "hits_long": f"WITH {EV}, {_HITS} SELECT account_key, rule_id, round(severity, 9) AS severity FROM hx", "alert_queue": _QUEUE, "queue_facets": _FACETS, "rules_by_typology": _MEASURED,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paygrove.operators import orders, spans
+from paygrove.session import scratch_table
 
 
 def trailing(keys: list[str], width: int, closed: bool = True, ts: str = "ts_us"):
@@ -126,6 +127,33 @@ def sample_std(n: Column, s: Column, ss: Column) -> Column:
     return F.when((n >= 2) & ((spread > floor) | exact), F.sqrt(spread / (n.cast("double") - 1)))
 
 
+def over_items(queries: DataFrame, items: DataFrame, keys: list[str], begin: Column, width: int, values: dict[str, tuple[Column, str]], ts: str = "ts_us") -> DataFrame:
+    """``queries`` with, for each name, the min, max or sum of a column of ``items`` with the same keys in the closed window [begin, begin + width]; null if none.
+
+    Time is cut into blocks as long as the window, which so lies in two of them at most:
+    it is the end of one, known from aggregates that run backwards, and the beginning of
+    the next, from aggregates that run forwards. No pair of a query and an item is ever
+    made, and a busy key is dealt by its blocks.
+    """
+    agg = {"min": F.min, "max": F.max, "sum": F.sum}
+    length = width + 1
+    block = lambda c: F.floor(c / F.lit(length))
+    q = scratch_table(queries.withColumns({"__q": F.monotonically_increasing_id(), "__lo": begin.cast("bigint")}), "asked")
+    x = items.select(*keys, F.col(ts).alias("__t"), *[c.alias(f"__v_{n}") for n, (c, _) in values.items()], F.lit(None).cast("bigint").alias("__q"), F.lit(None).cast("boolean").alias("__up"))
+    kinds = dict(x.dtypes)
+    none = [F.lit(None).cast(kinds[f"__v_{n}"]).alias(f"__v_{n}") for n in values]
+    low = q.select(*keys, F.col("__lo").alias("__t"), *none, "__q", F.lit(False).alias("__up"))
+    # a window within one block is the end of it, and is asked for once
+    two = q.filter(block(F.col("__lo")) != block(F.col("__lo") + width))
+    high = two.select(*keys, (F.col("__lo") + width).alias("__t"), *none, "__q", F.lit(True).alias("__up"))
+    by = Window.partitionBy(*keys, "__b").orderBy("__t")
+    upto, since = by.rangeBetween(Window.unboundedPreceding, 0), by.rangeBetween(0, Window.unboundedFollowing)
+    all_ = x.union(low).union(high).withColumn("__b", block(F.col("__t")))
+    got = all_.select("__q", *[F.when(F.col("__up"), agg[a](f"__v_{n}").over(upto)).otherwise(agg[a](f"__v_{n}").over(since)).alias(n) for n, (_, a) in values.items()])
+    both = got.filter("__q is not null").groupBy("__q").agg(*[agg[a](n).alias(n) for n, (_, a) in values.items()])
+    return q.join(both, "__q", "left").drop("__q", "__lo")
+
+
 def asof_carry(left: DataFrame, right: DataFrame, keys: list[str], value: str, ts: str = "ts_us", tolerance: int | None = None) -> DataFrame:
     """``left`` with the latest ``value`` of ``right`` at or before each row, within ``tolerance``."""
     l = left.withColumn("__left", F.lit(1)).withColumn("__v", F.lit(None).cast(dict(right.dtypes)[value])).withColumn("__t", F.lit(None).cast("long"))

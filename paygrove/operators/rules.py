@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paygrove.operators import paths
 from paygrove.operators.graph import legs, nearest_rank
-from paygrove.operators.kernels import sweep
+from paygrove.operators.kernels import over_items, sweep
 from paygrove.operators.ranks import running
 
 MINUTE, HOUR, DAY = 60_000_000, 3_600_000_000, 86_400_000_000
@@ -147,12 +147,12 @@ def structuring_threshold(events: DataFrame, band_micro: int = 800_000, pinned:
 def r1(events: DataFrame, s: Settings) -> DataFrame:
     """Rapid pass-through: sends at least the share of what it received within the window before, same currency."""
     l = rule_legs(events, "R1", s)
-    send = l.filter("side = 'out'").select("account", "currency", F.col("ts_us").alias("s_ts"), F.col("txn_id").alias("s_id"), F.col("amount_minor").alias("s_amt"))
-    recv = l.filter((F.col("side") == "in") & (F.col("amount_minor") >= s.r1_least_minor)).select(
-        F.col("account").alias("ra"), F.col("currency").alias("rc"), F.col("ts_us").alias("r_ts"), F.col("txn_id").alias("r_id"), F.col("amount_minor").alias("r_amt"))
-    j = paths.interval_join(send, recv, [("account", "ra"), ("currency", "rc")], "s_ts", "r_ts", s.r1_us, 0).filter(ratio_at_least(F.col("s_amt"), F.col("r_amt"), s.r1_share))
-    j = j.withColumn("ratio", F.col("s_amt") / F.col("r_amt"))
-    best = j.groupBy("account").agg(F.min(F.struct((-F.col("ratio")).alias("k"), "s_ts", "s_id", "r_ts", "r_id")).alias("b"))
+    send = l.filter("side = 'out'").select("account", "currency", "ts_us", F.col("txn_id").alias("s_id"), F.col("amount_minor").alias("s_amt"))
+    # the smallest receipt of the window before a send makes its best ratio; of equal ones the earliest counts
+    recv = l.filter((F.col("side") == "in") & (F.col("amount_minor") >= s.r1_least_minor)).select("account", "currency", "ts_us", F.struct("amount_minor", "ts_us", "txn_id").alias("v"))
+    j = over_items(send, recv, ["account", "currency"], F.col("ts_us") - s.r1_us, s.r1_us, {"r": (F.col("v"), "min")}).filter(F.col("r").isNotNull() & ratio_at_least(F.col("s_amt"), F.col("r.amount_minor"), s.r1_share))
+    j = j.withColumn("ratio", F.col("s_amt") / F.col("r.amount_minor"))
+    best = j.groupBy("account").agg(F.min(F.struct((-F.col("ratio")).alias("k"), F.col("ts_us").alias("s_ts"), "s_id", F.col("r.ts_us").alias("r_ts"), F.col("r.txn_id").alias("r_id"))).alias("b"))
     ratio = -F.col("b.k")
     return _hits(best, "R1", above_share(ratio, s.r1_share / 1e6), ratio, F.col("b.r_ts"), F.col("b.s_ts"), F.array("b.r_id", "b.s_id"))
 
@@ -308,14 +308,16 @@ def r10(events: DataFrame, s: Settings) -> DataFrame:
     """Fast cash-out: what is cashed out within the holding time of an inflow is at least the share of it."""
     l = rule_legs(events, "R10", s)
     inn = l.filter("side = 'in'").select("account", "currency", F.col("ts_us").alias("i_ts"), F.col("txn_id").alias("i_id"), F.col("amount_minor").alias("i_amt"))
-    out = l.filter((F.col("side") == "out") & F.col("txn_type").isin(*s.cash_out)).select(
-        F.col("account").alias("oa"), F.col("currency").alias("oc"), F.col("ts_us").alias("o_ts"), F.col("txn_id").alias("o_id"), F.col("amount_minor").alias("o_amt"))
-    j = paths.interval_join(inn, out, [("account", "oa"), ("currency", "oc")], "i_ts", "o_ts", 0, s.r10_us)
-    e = j.groupBy("account", "currency", "i_ts", "i_id", "i_amt").agg(F.sum("o_amt").alias("total"), F.max("o_ts").alias("end"), F.collect_list("o_id").alias("outs"))
-    e = e.filter(ratio_at_least(F.col("total"), F.col("i_amt"), s.r10_share)).withColumn("share", F.col("total") / F.col("i_amt"))
-    b = e.groupBy("account").agg(F.min(F.struct((-F.col("share")).alias("k"), "currency", "i_ts", "i_id", "end", F.array_sort("outs").alias("outs"))).alias("b"))
-    x = -F.col("b.k")
-    return _hits(b, "R10", above_share(x, s.r10_share / 1e6), x, F.col("b.i_ts"), F.col("b.end"), F.concat("b.outs", F.array("b.i_id")))
+    out = l.filter((F.col("side") == "out") & F.col("txn_type").isin(*s.cash_out)).select("account", "currency", "ts_us", "txn_id", "amount_minor")
+    e = over_items(inn, out, ["account", "currency"], F.col("i_ts"), s.r10_us, {"total": (F.col("amount_minor"), "sum"), "end": (F.col("ts_us"), "max")})
+    e = e.filter(F.col("total").isNotNull() & ratio_at_least(F.col("total"), F.col("i_amt"), s.r10_share)).withColumn("share", F.col("total") / F.col("i_amt"))
+    b = e.groupBy("account").agg(F.min(F.struct((-F.col("share")).alias("k"), "currency", "i_ts", "i_id", "end")).alias("b")).select("account", "b.*")
+    # only the best inflow of an account asks for its cash-outs one by one
+    those = out.select(F.col("account").alias("oa"), F.col("currency").alias("oc"), F.col("ts_us").alias("o_ts"), F.col("txn_id").alias("o_id"))
+    j = paths.interval_join(b, those, [("account", "oa"), ("currency", "oc")], "i_ts", "o_ts", 0, s.r10_us)
+    h = j.groupBy("account", "k", "i_ts", "i_id", "end").agg(F.array_sort(F.collect_list("o_id")).alias("outs"))
+    x = -F.col("k")
+    return _hits(h, "R10", above_share(x, s.r10_share / 1e6), x, F.col("i_ts"), F.col("end"), F.concat("outs", F.array("i_id")))
 
 
 def r11(events: DataFrame, s: Settings) -> DataFrame:

@@ -24,3 +24,19 @@ def test_sample_std_is_exact_or_null(spark, xs, known):
         assert got is None
     else:
         assert got == pytest.approx(statistics.stdev(xs), rel=1e-12)
+
+
+def test_over_items_equals_pairs(spark):
+    """Windows over another table's rows against all pairs: block edges, ties, empty windows, negative times, a hot key."""
+    import random
+
+    rng = random.Random(6)
+    for width in (0, 1, 7, 40):
+        q = [(n, rng.choice("aab"), rng.randrange(-60, 200)) for n in range(150)] + [(900, "z", 5), (901, "a", 40), (902, "a", 41)]
+        i = [(rng.choice("aaab"), rng.randrange(-60, 240), rng.randrange(50)) for _ in range(130)]
+        qs, it = spark.createDataFrame(q, "id long, k string, ts_us long"), spark.createDataFrame(i, "k string, ts_us long, v long")
+        values = {"lo": (F.struct("v", "ts_us"), "min"), "total": (F.col("v"), "sum"), "last": (F.col("ts_us"), "max")}
+        got = {r.id: (tuple(r.lo) if r.lo else None, r.total, r.last) for r in kernels.over_items(qs, it, ["k"], F.col("ts_us"), width, values).collect()}
+        for n, k, t in q:
+            w = [(v, x) for kk, x, v in i if kk == k and t <= x <= t + width]
+            assert got[n] == ((min(w), sum(v for v, _ in w), max(x for _, x in w)) if w else (None, None, None))

@@ -143,6 +143,7 @@ def conversations(
     role, text, reply_to, depth, thread, n_quoted, n_linked) in order. A conversation of
     more than ``part`` messages goes on in the row with the next part, so no row or task
     gathers more than that. Cases are those of ``link_quotes``; nothing is dropped.
+    An empty table gives an empty result.
     """
     texts, got = _linked(messages, conv_col, turn_col, role_col, text_col)
     x = texts.join(got, "r").withColumn("part", F.floor((F.col("position") - 1) / F.lit(part)).cast("int"))

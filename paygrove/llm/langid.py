@@ -213,7 +213,8 @@ def identify(
     at its fill, decides; the score is its part of the two best. A null id isn't held
     out. Null text, or text without a letter, is ``und`` with score 0, as is everything
     if nothing can be learned. Ties go to the first language by name. Other columns are
-    ignored.
+    ignored. Repeated rows give repeated rows; an empty table gives an empty result. Texts
+    of any length are read whole.
     """
     f = docs.sparkSession.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, sample))
     narrow = docs.select(F.col(id_col).alias("i"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("t"))

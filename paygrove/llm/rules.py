@@ -101,7 +101,8 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Each rule is evaluated once, over the whole text, without a shuffle. Null text is
     empty: it has no words and fails ``too_few_words``. Letters and capitals are Unicode's.
-    Repeated rows give repeated rows; other columns are ignored.
+    Repeated rows give repeated rows; other columns are ignored. An empty table gives an
+    empty result.
     """
     narrow = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     kind = dict(narrow.dtypes)["i"]
@@ -141,7 +142,12 @@ def union_bits(led: DataFrame) -> DataFrame:
 
 
 def passing(docs: DataFrame, policy: Policy = STRICT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with their own columns; decided in place, without a join."""
+    """The rows of ``docs`` that the policy keeps, with their own columns; decided in place, without a join.
+
+    A null text counts as empty, which fails ``too_few_words``. Rows that repeat stay or go
+    together; a table without rows, or with none that passes, gives an empty result. Columns
+    of any name and type are carried as they are.
+    """
     cols = docs.columns
     packed = docs.select(F.struct(*[docs[c] for c in cols]).alias("i"), F.col(text_col).alias("t"))
     kind = dict(packed.dtypes)["i"]

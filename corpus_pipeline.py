@@ -9,27 +9,42 @@ from paygrove.session import scratch_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail no rule of the strict policy stay."""
+    """Documents that fail no rule of the strict policy stay.
+
+    A null text counts as empty and goes; repeated rows stay or go together.
+    """
     return rules.passing(docs, rules.STRICT)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays."""
+    """Of equal texts the row with the smallest doc_id stays.
+
+    A null text counts as empty; of rows that repeat in id and text one stays.
+    """
     return dedup.keep_first(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose SimHash fingerprints are linked the one with the smallest doc_id stays."""
+    """Of documents whose SimHash fingerprints are linked the one with the smallest doc_id stays.
+
+    Texts without words share a fingerprint and are one group.
+    """
     return simhash.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    A null source is one of its own; a document may come twice or not at all, so rows repeat.
+    """
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded text, a row for each row of the mix."""
+    """Token counts and digests of the ids and of the decoded text, a row for each row of the mix.
+
+    Repeated rows give repeated rows; an empty mix gives an empty result, as does any stage of an empty table.
+    """
     return bpe.encode_decode(docs)
 
 

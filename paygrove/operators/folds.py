@@ -81,12 +81,13 @@ def per_fold(events: DataFrame, folds: list[Fold], make, name: str = "fold-table
 def sealed(table: DataFrame, folds: list[Fold], seen: str = "last_ts_us") -> DataFrame:
     """``table`` (fold, ...), refused if a row of it was seen after its fold's cutoff.
 
-    The instant is checked row by row where the table is read, so the check costs no job.
+    The instant is checked row by row where the table is read, in a filter, which stays
+    in the plan whatever columns are read later; so the check costs no job.
     """
     at = F.create_map(*[F.lit(x) for f in folds for x in (f.fold, cutoff(f))])
-    ok = F.col(seen) <= at[F.col("fold")]
+    ok = F.col(seen).isNull() | (F.col(seen) <= at[F.col("fold")])
     bad = F.concat(F.lit("fold "), F.col("fold"), F.lit("'s table saw an event after its cutoff"))
-    return table.withColumn(seen, F.when(ok | F.col(seen).isNull(), F.col(seen)).otherwise(F.raise_error(bad).cast("long")))
+    return table.filter(F.when(ok, F.lit(True)).otherwise(F.raise_error(bad).cast("boolean")))
 
 
 def attach(rows: DataFrame, nodes: DataFrame | None = None, hits: DataFrame | None = None, declared: list[Feature] | None = None) -> DataFrame:

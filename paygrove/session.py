@@ -20,6 +20,7 @@ def get_spark(app: str = "paygrove", master: str | None = None, **conf: str) ->
         "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.ui.enabled": "false",
     }
     for k, v in {**base, **conf}.items():

@@ -1,4 +1,4 @@
-"""Two streaming jobs: canonical ingest with a watermark, and pass-through alerts per account."""
+"""Streaming jobs: canonical ingest with a watermark, pass-through and cash-out alerts per account."""
 
 from __future__ import annotations
 
@@ -8,9 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 PASS = "account string, currency string, ratio double, received_id string, sent_id string, sent_us long"
+CASHED = "account string, currency string, inflow_id string, inflow_us long, inflow_minor long, cashed_minor long, share double, last_out_us long"
 _STATE = "r_ts array<bigint>, r_ids array<string>, r_amounts array<bigint>, s_ts array<bigint>, s_ids array<string>, s_amounts array<bigint>"
 
 
@@ -95,3 +97,104 @@ def pass_through_batch(legs: DataFrame, share_micro: int = 800_000, width_us: in
     j = interval_join(s, r, [("account", "ra"), ("currency", "rc")], "sent_us", "r_ts", width_us, 0).filter(F.col("s") * 1_000_000 >= F.col("r") * F.lit(share_micro))
     b = j.groupBy("account", "currency", "sent_id", "sent_us").agg(F.min(F.struct((-(F.col("s") / F.col("r"))).alias("k"), "r_ts", "r_id")).alias("b"))
     return b.select("account", "currency", (-F.col("b.k")).alias("ratio"), F.col("b.r_id").alias("received_id"), "sent_id", "sent_us")
+
+
+def cashed_out(inflows: pd.DataFrame, outs: pd.DataFrame, share_micro: int, width_us: int) -> pd.DataFrame:
+    """Inflows of one key of which the cash-outs within the width after them are at least the share, by running sums in time order."""
+    o, i = outs.sort_values("ts_us"), inflows.sort_values(["ts_us", "txn_id"])
+    at, upto = o.ts_us.to_numpy(), np.concatenate([[0], np.cumsum(o.amount_minor.to_numpy(np.int64))])
+    lo, hi = np.searchsorted(at, i.ts_us.to_numpy(), "left"), np.searchsorted(at, i.ts_us.to_numpy() + width_us, "right")
+    total, got = upto[hi] - upto[lo], i.amount_minor.to_numpy(np.int64)
+    keep = (hi > lo) & (total * 1_000_000 >= got * share_micro)
+    return pd.DataFrame({
+        "inflow_id": i.txn_id.to_numpy()[keep], "inflow_us": i.ts_us.to_numpy()[keep], "inflow_minor": got[keep], "cashed_minor": total[keep],
+        "share": total[keep] / np.maximum(got[keep], 1), "last_out_us": at[hi[keep] - 1] if len(at) else at,
+    })
+
+
+class CashOuts(StatefulProcessor):
+    """Per account and currency: inflows whose window is open, and the cash-outs that an open or a coming inflow can still count.
+
+    Rows are appended to two lists. Timers, a few per key since they are rounded up to
+    ``SLICE_MS``, wake a key when the watermark has passed a window's end or a cash-out;
+    then what is settled is given out and what nothing can use any more leaves the state.
+    """
+
+    SLICE_MS = 60_000
+
+    def __init__(self, share_micro: int, width_us: int) -> None:
+        self.share_micro, self.width_us = share_micro, width_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        row = "ts_us long, txn_id string, amount_minor long"
+        self.handle = handle
+        self.inflows, self.outs = handle.getListState("inflows", row), handle.getListState("outs", row)
+        self.settled = handle.getValueState("settled", "ms long")
+
+    def _wake(self, ts_us: pd.Series) -> None:
+        for ms in {(int(t) // 1000 // self.SLICE_MS + 1) * self.SLICE_MS for t in ts_us}:
+            self.handle.registerTimer(ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        cols = ["ts_us", "txn_id", "amount_minor"]
+        for d in rows:
+            for state, side, wait in ((self.inflows, "in", self.width_us), (self.outs, "out", 0)):
+                part = d.loc[d.side == side, cols]
+                if len(part):
+                    state.appendList(list(zip(part.ts_us.tolist(), part.txn_id.tolist(), part.amount_minor.tolist(), strict=True)))
+                    self._wake(part.ts_us + wait)
+        return iter(())
+
+    def _held(self, state) -> pd.DataFrame:
+        rows = list(state.get()) if state.exists() else []
+        return pd.DataFrame(rows, columns=["ts_us", "txn_id", "amount_minor"]).astype({"ts_us": "int64", "amount_minor": "int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        if self.settled.exists() and self.settled.get()[0] >= now:
+            return  # another timer of this batch has settled all there is
+        inflows, outs = self._held(self.inflows), self._held(self.outs)
+        closed = inflows.ts_us + self.width_us < now * 1000
+        found, still = cashed_out(inflows[closed], outs, self.share_micro, self.width_us), inflows[~closed]
+        from_us = min([now * 1000, *still.ts_us.tolist()])
+        left = outs[outs.ts_us >= from_us]
+        for state, before, d in ((self.inflows, inflows, still), (self.outs, outs, left)):
+            if not len(d):
+                state.clear()
+            elif len(d) < len(before):
+                state.put(list(d.itertuples(index=False, name=None)))
+        if len(still) or len(left):
+            self.settled.update((now,))
+        else:
+            self.settled.clear()
+        if len(found):
+            yield found.assign(account=key[0], currency=key[1])[[c.split()[0] for c in CASHED.split(", ")]]
+
+
+def fast_cash_out(
+    legs: DataFrame, share_micro: int = 900_000, width_us: int = 86_400_000_000, cash_out: tuple[str, ...] = ("cash_out",), lateness: str = "1 hour",
+) -> DataFrame:
+    """Alerts of rule R10, keyed by account and currency, the same in whatever order rows come within the watermark.
+
+    ``legs`` is a stream with account, currency, side, ts_us, txn_id, txn_type and
+    amount_minor. An inflow alerts once, when the watermark has passed its window, with
+    all that was cashed out in it. Rows without an account or a currency form keys of
+    their own; rows without an instant, an amount or a positive amount take no part. Rows
+    behind the watermark are dropped. The state store must be RocksDB (``get_spark``).
+    """
+    d = legs.filter(F.col("ts_us").isNotNull() & (F.col("amount_minor") > 0) & ((F.col("side") == "in") | F.col("txn_type").isin(*cash_out)))
+    d = d.withColumn("event_ts_utc", F.timestamp_micros("ts_us")).withWatermark("event_ts_utc", lateness)
+    return d.groupBy("account", "currency").transformWithStateInPandas(CashOuts(share_micro, width_us), CASHED, "Append", "EventTime")
+
+
+def fast_cash_out_batch(legs: DataFrame, share_micro: int = 900_000, width_us: int = 86_400_000_000, cash_out: tuple[str, ...] = ("cash_out",)) -> DataFrame:
+    """The same alerts from a table, by window sums over the cash-outs of two blocks of time."""
+    from paygrove.operators.kernels import over_items
+
+    cols = ("account", "currency", "ts_us", "txn_id", "amount_minor")
+    d = legs.filter(F.col("ts_us").isNotNull() & (F.col("amount_minor") > 0))
+    inn = d.filter("side = 'in'").select("account", "currency", F.col("ts_us").alias("inflow_us"), F.col("txn_id").alias("inflow_id"), F.col("amount_minor").alias("inflow_minor"))
+    out = d.filter((F.col("side") == "out") & F.col("txn_type").isin(*cash_out)).select(*cols)
+    e = over_items(inn, out, ["account", "currency"], F.col("inflow_us"), width_us, {"cashed_minor": (F.col("amount_minor"), "sum"), "last_out_us": (F.col("ts_us"), "max")})
+    e = e.filter(F.col("cashed_minor").isNotNull() & (F.col("cashed_minor") * 1_000_000 >= F.col("inflow_minor") * F.lit(share_micro)))
+    return e.select("account", "currency", "inflow_id", "inflow_us", "inflow_minor", "cashed_minor", (F.col("cashed_minor") / F.col("inflow_minor")).alias("share"), "last_out_us")

@@ -1,9 +1,12 @@
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from paygrove.operators import graph
 from paygrove.plans.tables import pay_events
 from paygrove.streaming import jobs
 
+LEGS = "account string, currency string, side string, ts_us long, txn_id string, txn_type string, amount_minor long"
 SF = "/root/testdata/sf0.001"
 
 
@@ -31,6 +34,42 @@ def test_alerts_equal_batch_in_any_order(spark, tmp_path):
     assert sorted(got) == sorted(want) and want
 
 
+def test_cash_outs_equal_batch_in_any_order(spark, tmp_path):
+    """Rule R10 as a stream: rows in two orders within the watermark give the batch's alerts, and leave no state behind."""
+    legs = graph.legs(pay_events(spark, SF)).filter("not is_self").select("account", "currency", "side", "ts_us", "txn_id", "txn_type", "amount_minor")
+    first, last = legs.agg(F.min("ts_us"), F.max("ts_us")).first()
+    far = spark.createDataFrame([("nobody", "UGX", "in", last + 10**13, "zz", "click", 1), (None, None, "out", None, None, None, None)], LEGS)
+    third = (last - first) // 3
+    kw = {"share_micro": 500_000, "width_us": 12 * 3_600_000_000, "cash_out": ("purchase", "click")}
+    want = sorted(map(tuple, jobs.fast_cash_out_batch(legs, **kw).collect()))
+    for turn in (0, 1):
+        late = F.floor((F.col("ts_us") - first) / F.lit(third + 1)) + (F.xxhash64("txn_id") % 2 == turn).cast("int")
+        for k, part in enumerate([*(legs.filter(late == k).orderBy(F.xxhash64("txn_id", F.lit(turn))) for k in range(5)), far]):
+            part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/legs{turn}")
+        stream = spark.readStream.schema(LEGS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/legs{turn}")
+        df = jobs.fast_cash_out(stream, lateness="30 days", **kw)
+        q = df.writeStream.outputMode("append").format("memory").queryName(f"cashed{turn}").start()
+        q.processAllAvailable()
+        rows = q.lastProgress.stateOperators[0].numRowsTotal
+        q.stop()
+        assert sorted(map(tuple, spark.table(f"cashed{turn}").collect())) == want and want
+        assert rows < 10  # only the row that moved the watermark is waiting
+
+
+def test_cash_outs_of_a_key_equal_pairs():
+    """Windows by running sums against all pairs: ties in time, both edges, no cash-out at all."""
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 40):
+        i, o = (pd.DataFrame({"ts_us": rng.integers(0, 60, m), "txn_id": [f"{s}{k}" for k in range(m)], "amount_minor": rng.integers(1, 50, m)}) for s, m in (("i", 25), ("o", n)))
+        got = {r.inflow_id: (r.cashed_minor, r.last_out_us) for r in jobs.cashed_out(i, o, 900_000, 10).itertuples()}
+        want = {}
+        for r in i.itertuples():
+            w = o[(o.ts_us >= r.ts_us) & (o.ts_us <= r.ts_us + 10)]
+            if len(w) and w.amount_minor.sum() * 10 >= r.amount_minor * 9:
+                want[r.txn_id] = (w.amount_minor.sum(), w.ts_us.max())
+        assert got == want
+
+
 def test_ingest_drops_repeats(spark, tmp_path):
     e = pay_events(spark, SF).select("txn_id", "ts_us", "source_dataset")
     e.union(e.limit(50)).write.parquet(f"{tmp_path}/e")

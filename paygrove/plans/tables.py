@@ -27,7 +27,16 @@ def _clock(df: DataFrame) -> DataFrame:
 
 def pay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical events from ``events``: users pay the account named in ``props``."""
-    e = table(spark, sf_dir, "events")
+    return as_payments(table(spark, sf_dir, "events"))
+
+
+def pay_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream of files; a pattern, since the path of a single file isn't one of a source."""
+    path = f"{sf_dir}/events.parque[t]"
+    return as_payments(spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(path))
+
+
+def as_payments(e: DataFrame) -> DataFrame:
     d = e.select(
         F.concat(F.lit("ev:"), F.col("event_id")).alias("txn_id"), "event_id", micros(F.col("ts")).alias("ts_us"),
         F.col("event_type").alias("txn_type"), F.lit("app").alias("channel"), F.lit("UGX").alias("currency"),

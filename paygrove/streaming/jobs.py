@@ -131,9 +131,9 @@ class CashOuts(StatefulProcessor):
         self.inflows, self.outs = handle.getListState("inflows", row), handle.getListState("outs", row)
         self.settled = handle.getValueState("settled", "ms long")
 
-    def _wake(self, ts_us: pd.Series) -> None:
-        for ms in {(int(t) // 1000 // self.SLICE_MS + 1) * self.SLICE_MS for t in ts_us}:
-            self.handle.registerTimer(ms)
+    def _due(self, ts_us: pd.Series) -> pd.Series:
+        """The slice's end after an instant, in milliseconds."""
+        return (ts_us // 1000 // self.SLICE_MS + 1) * self.SLICE_MS
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         cols = ["ts_us", "txn_id", "amount_minor"]
@@ -142,7 +142,8 @@ class CashOuts(StatefulProcessor):
                 part = d.loc[d.side == side, cols]
                 if len(part):
                     state.appendList(list(zip(part.ts_us.tolist(), part.txn_id.tolist(), part.amount_minor.tolist(), strict=True)))
-                    self._wake(part.ts_us + wait)
+                    for ms in self._due(part.ts_us + wait).unique().tolist():
+                        self.handle.registerTimer(ms)
         return iter(())
 
     def _held(self, state) -> pd.DataFrame:
@@ -154,7 +155,7 @@ class CashOuts(StatefulProcessor):
         if self.settled.exists() and self.settled.get()[0] >= now:
             return  # another timer of this batch has settled all there is
         inflows, outs = self._held(self.inflows), self._held(self.outs)
-        closed = inflows.ts_us + self.width_us < now * 1000
+        closed = self._due(inflows.ts_us + self.width_us) <= now
         found, still = cashed_out(inflows[closed], outs, self.share_micro, self.width_us), inflows[~closed]
         from_us = min([now * 1000, *still.ts_us.tolist()])
         left = outs[outs.ts_us >= from_us]

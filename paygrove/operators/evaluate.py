@@ -39,9 +39,9 @@ def average_precision(df: DataFrame, keys: list[str], key: str = "account_key",
 
 
 def average_precision_ties(df: DataFrame, keys: list[str], score: str = "score", label: str = "label", by: DataFrame | None = None) -> DataFrame:
-    """Average precision in which equal scores are one step. ``by`` is the table of ``by_score``, where it is there already."""
+    """Average precision in which equal scores are one step, null without a positive. ``by`` is the table of ``by_score``, where it is there already."""
     g = by_score(df, keys, score, label) if by is None else by
-    return g.groupBy(*keys).agg((F.sum(F.col("p") * F.col("p_top") / F.col("n_top")) / F.max("p_all")).alias("average_precision"))
+    return g.groupBy(*keys).agg(F.try_divide(F.sum(F.col("p") * F.col("p_top") / F.col("n_top")), F.max("p_all")).alias("average_precision"))
 
 
 def auroc(df: DataFrame, keys: list[str], score: str = "score", label: str = "label", by: DataFrame | None = None) -> DataFrame:

@@ -19,15 +19,15 @@ def channels(train: DataFrame, rows: DataFrame, numeric: list[str], plain: dict[
 
     Trees see all ``numeric`` columns; the card and the distance see those of ``carded``
     (all, unless given). ``plain`` names the columns whose frozen percentile in the training rows is a channel
-    of its own. Trees stop early on a hashed fifth of the training rows, never on rows
-    that are scored.
+    of its own. The number of trees is the one that ranks a hashed fifth of the training rows
+    best, never rows that are scored.
     """
     inner = splits.bucket(F.col("account_key"), "early-stop") < 0.2
     mx = lambda d: models.matrix(d, numeric)[0]
     m = models.boosted(mx(train.filter(~inner)), mx(train.filter(inner)), label=label, trees=trees, depth=depth)
     carded = carded or numeric
     card = scorecard.fit(train, carded, label=label)
-    d = m.transform(mx(rows)).withColumn("boosted", models.positive()).drop("x", "rawPrediction", "probability", "prediction")
+    d = m.transform(mx(rows)).drop("x")
     d = scorecard.score(d, card)
     # fewer points are worse; the scale is the logistic one that made the points
     d = d.withColumn("scorecard", 1 / (1 + F.exp((F.col("card_score") - 600) / F.lit(20 / 0.6931471805599453))))

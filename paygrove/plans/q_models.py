@@ -85,10 +85,17 @@ def _three(spark, sf_dir):
 
 
 def boosted(spark, sf_dir):
-    """Boosted trees on training customers, stopped early on validation ones, scores of the test ones."""
+    """Boosted trees on training customers, as many as rank validation ones best, scores of the test ones."""
     t, v, h = (models.matrix(x, NUM, CAT)[0] for x in _three(spark, sf_dir))
-    m = models.boosted(t, v, trees=5, depth=3)
-    return m.transform(h).select("account_key", "label", models.positive().alias("p"))
+    m = models.boosted(t, v, trees=20, depth=3)
+    return m.transform(h, "p").select("account_key", "label", "p")
+
+
+def tuning(spark, sf_dir):
+    """The trials of the search over depth and step, with the size and the validation average precision of each."""
+    t, v, _ = (models.matrix(x, NUM, CAT)[0] for x in _three(spark, sf_dir))
+    _, trials = models.tune(checkpoint(t), checkpoint(v))
+    return spark.createDataFrame(trials, "depth int, step double, trees int, average_precision double")
 
 
 def anomaly(spark, sf_dir):
@@ -188,7 +195,7 @@ def weights(spark, sf_dir):
 
 QUERIES = {
     "scorecard_bins": bin_table, "scorecard_points": card, "scorecard_bands": card_bands, "drift_psi": drift, "band_migration": migration, "band_migration_rates": migration_rates,
-    "model_boosted": boosted, "model_anomaly": anomaly, "model_fused_calibrated": fused, "alert_ranks": queue, "band_agreement": agreement, "band_disagreements": disagreements,
+    "model_boosted": boosted, "model_tuning": tuning, "model_anomaly": anomaly, "model_fused_calibrated": fused, "alert_ranks": queue, "band_agreement": agreement, "band_disagreements": disagreements,
     "prior_correction": prior, "class_weights": weights, "model_stack": model_stack, "model_gates": model_gates, "stack_ranking": stack_ranking,
 }
 ORACLE = {

@@ -12,7 +12,7 @@ from paygrove.operators import canonical, evaluate, features, folds, graph, kern
 from paygrove.operators.entity import explode_entities
 from paygrove.operators.registry import FEATURES
 from paygrove.plans import q_canonical
-from paygrove.plans.q_evaluate import SC, A, fitted
+from paygrove.plans.q_evaluate import UGX, fitted, priced_sql
 from paygrove.plans.q_features import EN, GROUPS, _sql
 from paygrove.plans.q_folds import FOLDS, _local_sql, _plan, _rules_sql, _typology_sql, _union
 from paygrove.plans.q_rules import _SQL as RULE_SQL
@@ -118,7 +118,7 @@ CAPACITY = 300
 
 def _parts(spark, sf_dir):
     """(priced, scores, economics, allocation, cases) of the chain, each from the written hits."""
-    p = scratch_table(pricing.price(pricing.attach(scored_events(spark, sf_dir, _hits(spark, sf_dir)), A), A), "priced")
+    p = scratch_table(pricing.price(pricing.attach(scored_events(spark, sf_dir, _hits(spark, sf_dir)), UGX), UGX), "priced")
     band = F.element_at(F.array(*[F.lit(x) for x in "ABCDE"]), (F.least(F.lit(4), F.floor(F.col("score") * 5)) + 1).cast("int"))
     scores = p.select("account_key", "score", "typology", band.alias("band"), "rule_ids", "rule_hits")
     econ = p.filter("ev_minor is not null").select("account_key", "ev_minor", "density", "exposure_minor", "minutes")
@@ -161,7 +161,7 @@ def _page_sql(name: str, how: dict) -> str:
   FROM qu WHERE {cond} ORDER BY {order} LIMIT {how.get('limit', 50)} OFFSET {how.get('offset', 0)})"""
 
 
-_RANKED = f"""WITH RECURSIVE {fitted([CAPACITY], ('ev_greedy',)).replace(SC, SCE)}, rk AS (SELECT pr.*, row_number() OVER (ORDER BY ev_minor / minutes DESC, account_key) AS rank,
+_RANKED = f"""WITH RECURSIVE {fitted([CAPACITY], ('ev_greedy',), priced_sql(SCE, UGX))}, rk AS (SELECT pr.*, row_number() OVER (ORDER BY ev_minor / minutes DESC, account_key) AS rank,
   account_key IN (SELECT account_key FROM fit) AS selected FROM pr WHERE ev_minor IS NOT NULL), sr AS (SELECT *, coalesce(max(CASE WHEN selected THEN rank END) OVER (), 0) AS cutoff_rank FROM rk)"""
 _QUEUE = f"""{_RANKED}, qu AS (SELECT pr.*, {_BAND.replace('score', 'pr.score')} AS band, ev_minor / minutes AS density, sr.rank, sr.selected, sr.rank > cutoff_rank AS beyond_capacity, CASE WHEN pr.rule_hits >= 3 THEN 'open' END AS status
   FROM pr LEFT JOIN (SELECT account_key, rank, selected, cutoff_rank FROM sr) sr USING (account_key))

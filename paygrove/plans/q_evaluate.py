@@ -9,6 +9,8 @@ from paygrove.operators import evaluate, pricing, splits
 from paygrove.plans.tables import DAY, EV, LI, pay_events, pay_lineitem
 
 A = pricing.Assumptions()
+#: Economics of the event corpus, in its own currency and the size of its payments.
+UGX = pricing.Assumptions(currency="UGX", cost_per_minute_minor=100, friction_minor=200, minor_per_minute=20_000)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,10 +180,15 @@ def priced(spark, sf_dir):
     return d.select("account_key", "exposure_minor", "minutes", "intercept_minor", "review_cost_minor", "friction_minor", F.coalesce("ev_minor", F.lit(0)).alias("ev_minor"), F.coalesce("refusal", F.lit("")).alias("refusal"))
 
 
-PR = f"""{SC}, att AS (SELECT *, coalesce(outflow_minor, 0) AS exposure_minor, CAST(greatest(5, least(120, coalesce(outflow_minor, 0) // 1000000)) AS INT) AS minutes, CAST(round(score * 1000000) AS BIGINT) AS pm FROM sc),
-p0 AS (SELECT *, minutes * 50::BIGINT AS review_cost_minor, CAST((2 * pm::HUGEINT * 300000 + 1000000) // 2000000 AS BIGINT) AS joint, CAST((2 * 2000::HUGEINT * (1000000 - pm) + 1000000) // 2000000 AS BIGINT) AS friction_minor FROM att),
+def priced_sql(sc: str, a: pricing.Assumptions, recovery: int | None = None) -> str:
+    """CTEs of pricing: ``sc`` with the table sc, then pr, under the assumptions."""
+    return f"""{sc}, att AS (SELECT *, coalesce(outflow_minor, 0) AS exposure_minor, CAST(greatest({a.minutes[0]}, least({a.minutes[1]}, coalesce(outflow_minor, 0) // {a.minor_per_minute})) AS INT) AS minutes, CAST(round(score * 1000000) AS BIGINT) AS pm FROM sc),
+p0 AS (SELECT *, minutes * {a.cost_per_minute_minor}::BIGINT AS review_cost_minor, CAST((2 * pm::HUGEINT * {recovery or a.recovery_micro} + 1000000) // 2000000 AS BIGINT) AS joint, CAST((2 * {a.friction_minor}::HUGEINT * (1000000 - pm) + 1000000) // 2000000 AS BIGINT) AS friction_minor FROM att),
 p1 AS (SELECT *, CAST((2 * exposure_minor::HUGEINT * joint + 1000000) // 2000000 AS BIGINT) AS intercept_minor FROM p0),
-pr AS (SELECT *, CASE WHEN currency = 'USD' THEN intercept_minor - review_cost_minor - friction_minor END AS ev_minor FROM p1)"""
+pr AS (SELECT *, CASE WHEN currency = '{a.currency}' THEN intercept_minor - review_cost_minor - friction_minor END AS ev_minor FROM p1)"""
+
+
+PR = priced_sql(SC, A)
 _PRICED = f"WITH {PR} SELECT account_key, exposure_minor, minutes, intercept_minor, review_cost_minor, friction_minor, coalesce(ev_minor, 0) AS ev_minor, CASE WHEN currency <> 'USD' THEN 'unpriced: ' || currency || ' exposure against USD costs' ELSE '' END AS refusal FROM pr"
 
 
@@ -202,10 +209,10 @@ _ORDERS = {
 }
 
 
-def fitted(caps: list[int], policies=tuple(_ORDERS)) -> str:
-    """CTEs of first fit: what each policy takes within each capacity (fit), one candidate after the other."""
+def fitted(caps: list[int], policies=tuple(_ORDERS), base: str = PR) -> str:
+    """CTEs of first fit: what each policy takes within each capacity (fit), one candidate after the other; ``base`` makes pr."""
     q = " UNION ALL ".join(f"SELECT '{n}' AS policy, pr.*, row_number() OVER (ORDER BY {_ORDERS[n]}, account_key) AS r FROM pr WHERE ev_minor > 0" for n in policies)
-    return f"""{PR}, q AS ({q}), cp AS (SELECT unnest({caps}) AS c), po AS (SELECT unnest({list(policies)}) AS policy),
+    return f"""{base}, q AS ({q}), cp AS (SELECT unnest({caps}) AS c), po AS (SELECT unnest({list(policies)}) AS policy),
 f AS (SELECT policy, c::BIGINT AS capacity, 0::BIGINT AS r, c::BIGINT AS left_, false AS took FROM cp, po
   UNION ALL SELECT f.policy, f.capacity, q.r, CASE WHEN q.minutes <= left_ THEN left_ - q.minutes ELSE left_ END, q.minutes <= left_ FROM f JOIN q ON q.r = f.r + 1 AND q.policy = f.policy),
 fit AS (SELECT capacity, q.* FROM f JOIN q ON q.policy = f.policy AND q.r = f.r WHERE took)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paygrove.operators import folds, models, pricing, scorecard, splits, stack, warehouse
-from paygrove.plans.q_evaluate import _FOLDS, SC, scored
+from paygrove.plans.q_evaluate import _FOLDS, SC, UGX, scored
 from paygrove.plans.tables import pay_events, pay_lineitem
 from paygrove.session import checkpoint
 
@@ -155,9 +155,8 @@ def stack_ranking(spark, sf_dir):
     """The latest fold's calibrated scores priced, ranked and allocated: what the review queue reads."""
     d = _stack(spark, sf_dir)
     last = d.groupBy("account_key").agg(F.max_by(F.struct("fold", "p_calibrated", "band", "outflow_minor", "currency", "label"), "fold").alias("x")).select("account_key", "x.*")
-    a = pricing.Assumptions()
-    p = pricing.price(pricing.attach(last.withColumnRenamed("p_calibrated", "score"), a), a)
-    taken = pricing.first_fit(pricing.candidates(p), [F.desc("density"), F.col("account_key")], [3000])
+    p = pricing.price(pricing.attach(last.withColumnRenamed("p_calibrated", "score"), UGX), UGX)
+    taken = pricing.first_fit(pricing.candidates(p), [F.desc("density"), F.col("account_key")], [300])
     return warehouse.stored_ranking(p, taken).select("account_key", "fold", "band", "score", "ev_minor", "rank", "selected", "beyond_capacity")
 
 

@@ -410,6 +410,22 @@ def analysis_windows(events: DataFrame, days: int, overlap_hours: int = 168) ->
     return w.select("window", F.greatest("a", F.col("t") - F.lit(overlap_hours * HOUR)).alias("start_us"), F.least(F.col("t") + F.lit(step - 1), F.col("z")).alias("end_us"))
 
 
+def in_windows(events: DataFrame, windows: DataFrame, s: Settings, only: tuple[str, ...]) -> DataFrame:
+    """Hits of rules of single accounts in each analysis window, with ``window``, from one plan for all windows.
+
+    A window's accounts are accounts of their own (its number stands before the name), so
+    every rule sees of an event what the window sees; an event is in as many windows as
+    overlap at it. Rules whose threshold comes from all events take it from all windows.
+    """
+    w = F.broadcast(windows.select("window", "start_us", "end_us"))  # a row per window
+    own = lambda c: F.concat_ws("|", "window", c).alias(c)
+    rest = [c for c in events.columns if c not in ("account_from", "account_to")]
+    e = events.join(w, F.col("ts_us").between(F.col("start_us"), F.col("end_us"))).select(*rest, own("account_from"), own("account_to"))
+    h = run_rules(e, s, only=only).drop("rule_name", "overlap_group", "hit_signature")
+    h = h.withColumn("window", F.substring_index("account_key", "|", 1).cast("int")).withColumn("account_key", F.expr("substr(account_key, instr(account_key, '|') + 1)"))
+    return annotate(h)
+
+
 def dedupe_windows(hits: DataFrame) -> DataFrame:
     """Of one pattern seen in several analysis windows, the earliest stays."""
     w = Window.partitionBy("rule_id", "account_key", "hit_signature").orderBy("window", "window_start_us")

@@ -189,16 +189,18 @@ SELECT CAST((t - a) // {10 * DAY} AS INT) AS window, greatest(a, t - {168 * HOUR
 def seen_twice(spark, sf_dir):
     """R10 per overlapping analysis window, then one hit per pattern, and the earliest."""
     e = pay_events(spark, sf_dir)
-    w = rules.analysis_windows(e, 10)
-    per = None
-    for r in w.orderBy("window").collect():  # a row per window
-        h = rules.run_rules(e.filter(F.col("ts_us").between(r.start_us, r.end_us)), S, only=("R10",)).withColumn("window", F.lit(r.window))
-        per = h if per is None else per.unionByName(h)
+    per = checkpoint(rules.in_windows(e, rules.analysis_windows(e, 10), S, ("R10",)))
     first = rules.dedupe_windows(per).select("rule_id", "account_key", "hit_signature", "window")
     return rules.dedupe(per).join(first, ["rule_id", "account_key", "hit_signature"]).select(
         "rule_id", "account_key", "windows_observed", "window", F.round("severity", 9).alias("severity"), F.concat_ws(",", "txn_ids").alias("txn_ids"))
 
 
+_EVW = EV.replace("ev AS (", "ev_all AS (", 1) + f""", wn AS ({_WINDOWS.replace("WITH " + EV + ", t AS", "WITH t AS").replace("FROM ev)", "FROM ev_all)")}),
+ev AS (SELECT e.* REPLACE (w."window" || '|' || account_from AS account_from, w."window" || '|' || account_to AS account_to) FROM ev_all e JOIN wn w ON ts_us BETWEEN start_us AND end_us)"""
+_DEDUP = f"""WITH h AS ({_SQL['R10'].replace(EV, _EVW)}), x AS (SELECT rule_id, CAST(split_part(account_key, '|', 1) AS INT) AS "window", split_part(account_key, '|', 2) AS account_key, severity, window_start_us, txn_ids FROM h)
+SELECT rule_id, account_key, count(*) AS windows_observed, min("window") AS "window", max(severity) AS severity, txn_ids FROM x GROUP BY rule_id, account_key, txn_ids"""
+
+
 def flagship(spark, sf_dir):
     """Fan-in hits joined to three window features of the account's latest event."""
     from paygrove.operators import features
@@ -224,6 +226,6 @@ QUERIES = {f"rule_{r.lower()}": _rule(r) for r in _SQL} | {
 }
 ORACLE = {f"rule_{r.lower()}": q for r, q in _SQL.items()} | {
     "rule_tau": f"WITH {EV} SELECT list_sort(list(amount_minor))[least(CAST(floor(0.25 * count(*)) AS BIGINT), count(*) - 1) + 1] AS tau_minor FROM ev WHERE amount_minor <> 0",
-    "rule_structuring_threshold": f"WITH {EV}, {_MODE} SELECT t AS threshold_minor FROM th", "rule_overlaps": _OVER, "rule_hit_rates": _RATES, "rule_windows": _WINDOWS,
+    "rule_structuring_threshold": f"WITH {EV}, {_MODE} SELECT t AS threshold_minor FROM th", "rule_overlaps": _OVER, "rule_hit_rates": _RATES, "rule_windows": _WINDOWS, "rule_window_dedup": _DEDUP,
     "flagship_fan_in_features": _FLAG,
 }

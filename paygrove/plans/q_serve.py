@@ -114,6 +114,21 @@ def audit_log(spark, sf_dir):
     return audit.verify(spoilt)
 
 
+def _digest_sql(prev: str, action: str = "action") -> str:
+    """The digest of a log row as SQL; nothing in these rows needs escaping."""
+    named = {"seq": "seq", "occurred_us": "occurred_us", "actor_id": "'clerk'", "subject": "'order ' || k", "action": action, "payload": "'{}'", "prev_hash": prev}
+    return "sha256('{' || " + " || ',' || ".join(f"""'"{c}":"' || {v} || '"'""" for c, v in named.items()) + " || '}')"
+
+
+_AUDIT = f"""WITH RECURSIVE o AS (SELECT o_custkey AS chain_id, o_orderkey AS k, epoch_us(o_orderdate) AS occurred_us, o_orderstatus AS action, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq FROM orders),
+l AS (SELECT o.*, '{audit.GENESIS}' AS prev_hash, {_digest_sql(f"'{audit.GENESIS}'")} AS row_hash FROM o WHERE seq = 1
+  UNION ALL SELECT o.*, l.row_hash, {_digest_sql("l.row_hash").replace("seq ||", "o.seq ||").replace("occurred_us ||", "o.occurred_us ||").replace("|| k ||", "|| o.k ||").replace("|| action ||", "|| o.action ||")} FROM l JOIN o ON o.chain_id = l.chain_id AND o.seq = l.seq + 1),
+s AS (SELECT * REPLACE (CASE WHEN k % 1000 = 7 THEN 'X' ELSE action END AS action) FROM l WHERE k % 500 <> 3),
+b AS (SELECT *, lag(seq) OVER w AS before_seq, lag(row_hash) OVER w AS before_hash FROM s WINDOW w AS (PARTITION BY chain_id ORDER BY seq)),
+d AS (SELECT *, CASE WHEN {_digest_sql("prev_hash")} <> row_hash THEN 'digest' WHEN before_seq IS NOT NULL AND seq <> before_seq + 1 THEN 'gap' WHEN prev_hash <> coalesce(before_hash, '{audit.GENESIS}') THEN 'predecessor' END AS bad FROM b)
+SELECT chain_id, count(*) AS rows, count(bad) AS broken, min(seq) FILTER (WHERE bad IS NOT NULL) AS first_broken, arg_min(bad, seq) FILTER (WHERE bad IS NOT NULL) AS reason FROM d GROUP BY 1"""
+
+
 def erase(spark, sf_dir):
     m = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject"), F.concat(F.lit("P"), "c_custkey").alias("pseudonym"))
     return audit.erase(m, m.filter("subject % 10 = 3"))
@@ -161,5 +176,5 @@ ORACLE = {
     "account_table": _ACC, "current_scores": _CUR, "append_only": f"WITH {EV} SELECT txn_id, event_id FROM ev WHERE event_id % 3 = 0",
     "generic_select": f"WITH {SC} SELECT account_key, typology, currency, total FROM sc WHERE typology = 'cycle' AND total > 100 ORDER BY total DESC, account_key LIMIT 25 OFFSET 10",
     "stored_ranking": f"{_RANKING} SELECT account_key, rank, selected, cutoff_rank, rank > cutoff_rank AS beyond_capacity FROM sr", "policy_what_if": _WHAT, "case_transactions": _TIME,
-    "audit_erase": "SELECT c_custkey AS subject, 'P' || c_custkey AS pseudonym FROM customer WHERE c_custkey % 10 <> 3", "stage_states": _STATES, "run_list": _RUNS, "name_screening": _SCREEN, "case_timeline": _TIMELINE,
+    "audit_erase": "SELECT c_custkey AS subject, 'P' || c_custkey AS pseudonym FROM customer WHERE c_custkey % 10 <> 3", "stage_states": _STATES, "run_list": _RUNS, "name_screening": _SCREEN, "audit_verify": _AUDIT, "case_timeline": _TIMELINE,
 }

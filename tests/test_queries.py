@@ -122,6 +122,7 @@ def test_no_future_in_features(spark):
 def test_pushdown(spark):
     from paygrove.plans.tables import pay_events
 
+    spark.catalog.clearCache()  # a table that another test has cached would stand in for the scan
     plan = pay_events(spark, SF).select("amount_minor").filter("amount_minor > 5")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<value:double>" in plan
 

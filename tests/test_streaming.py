@@ -81,3 +81,35 @@ def test_late_counts(spark):
     e = pay_events(spark, SF).withColumn("ingested_us", F.col("ts_us") + 1)
     r = jobs.late_counts(e, e.agg(F.max("ts_us")).first()[0]).first()
     assert r.rows == e.count() and r.late == 1
+
+
+def test_cash_outs_start_in_any_session(spark):
+    """A session made without ``get_spark`` keeps state in a store without lists; the stream brings its own and leaves the setting as it was."""
+    from paygrove.plans.q_streams import CASHING, cash_outs
+    from paygrove.session import STATE_STORE
+
+    plain = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    before = spark.conf.get(STATE_STORE[0])
+    spark.conf.set(STATE_STORE[0], plain)
+    try:
+        got = cash_outs(spark, SF).drop("share")
+        assert spark.conf.get(STATE_STORE[0]) == plain
+    finally:
+        spark.conf.set(STATE_STORE[0], before)
+    e = pay_events(spark, SF).filter("account_from <> account_to and txn_type <> 'error'")
+    want = jobs.fast_cash_out_batch(graph.legs(e), cash_out=CASHING).drop("share")
+    sure = (e.agg(F.max("ts_us")).first()[0] // 1000 - 3_600_000) * 1000 - 86_400_000_000
+    settled = want.filter((F.floor(F.col("inflow_us") / 60_000_000) + 1) * 60_000_000 <= sure)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, settled.collect())) and not settled.isEmpty()
+
+
+def test_processor_needs_no_path(tmp_path):
+    """What a stream's worker unpickles loads where the library can't be imported."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "p").write_bytes(cloudpickle.dumps(jobs.CashOuts(1, 1)))
+    say = "import pickle; print(pickle.load(open('p', 'rb')).share_micro)"
+    assert subprocess.run([sys.executable, "-c", say], cwd=tmp_path, capture_output=True, text=True).stdout.strip() == "1"

@@ -46,3 +46,27 @@ def test_typos_and_accents(spark):
     got = {(x.query_id, x.reference, x.method) for x in screening.screen(q, w, 0.8).collect()}
     assert {(1, "A", "similar"), (2, "B", "similar"), (4, "C", "equal"), (5, "OFAC-1", "identifier")} <= got
     assert not {x for x in got if x[0] == 6}
+
+
+def test_names_alike_rank_as_all_pairs_do(spark):
+    """Names that differ in digits only, far more alike than are kept: the same best five as all pairs give, ties by reference."""
+    names = [(k, f"party {k * 7:09d}") for k in range(60)] + [(900, "party 00000012"), (901, "party 1000000123")]
+    lists = [(f"S{k}", f"party {k:09d}") for k in range(120)] + [("T1", "party 00000011"), ("T2", "party 0000000123")]
+    q, w = spark.createDataFrame(names, "query_id long, name string"), spark.createDataFrame(lists, "reference string, name string")
+    want = set()
+    for i, a in names:
+        near = sorted((-1.0 if a == b else distance(a, b) / max(len(a), len(b)) - 1, r) for r, b in lists)
+        want |= {(i, r, round(-x, 9), n) for n, (x, r) in enumerate(near[:5], 1) if -x >= 0.85}
+    got = {(x.query_id, x.reference, round(x.similarity, 9), x.rank) for x in screening.screen(q, w).collect()}
+    assert got == want
+
+
+def test_short_names_make_no_pairs_by_segments(spark):
+    """All names here begin alike, so segments would pair every name with every entry."""
+    q = spark.range(300).selectExpr("id as query_id", "concat('party ', lpad(id, 9, '0')) as name")
+    w = spark.range(300).selectExpr("concat('S', id) as reference", "concat('party ', lpad(id, 9, '0')) as name")
+    from pyspark.sql import functions as F
+
+    a = q.select("query_id", F.col("name").alias("q"), screening.normalised(F.col("name")).alias("qn"), screening.tokens(F.col("name")).alias("qt"))
+    b = w.select("reference", screening.normalised(F.col("name")).alias("wn"), screening.tokens(F.col("name")).alias("wt"))
+    assert screening._near(a, b, 0.85, 512).count() == 0

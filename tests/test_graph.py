@@ -92,6 +92,20 @@ def test_betweenness(spark):
     assert got == pytest.approx({v: b / ((n - 1) * (n - 2)) for v, b in bc.items()})
 
 
+def test_betweenness_goes_back_by_links_of_reached_accounts(spark):
+    """A hub that hundreds send to: only the links of senders that a pivot reached are read on the way back."""
+    e = spark.createDataFrame([(f"s{i}", "hub") for i in range(300)] + [("hub", "end")], "s string, t string")
+    above = spark.createDataFrame([("s1", "s1", 1.0)], "p string, account string, sigma double")
+    below = spark.createDataFrame([("s1", "hub", 1.0, 1.0)], "p string, account string, sigma double, delta double")
+    got = graph._handed_up(above, below, e)
+    assert [tuple(r) for r in got.collect()] == [("s1", "s1", 2.0)]
+    joins = got._jdf.queryExecution().optimizedPlan().toString()
+    assert joins.index("Join Inner, ((p") < joins.index("Join Inner, (s")  # links meet the reached senders first, innermost
+    rows = [(f"s{i}", "hub", i, 5) for i in range(30)] + [("hub", "end", 500, 5)]
+    b = {r.account: r.betweenness_approx for r in graph.betweenness(events(spark, rows), pivots=32).collect()}
+    assert b["hub"] == pytest.approx(30 / (31 * 30)) and b["end"] == 0
+
+
 def test_communities_are_numbered_by_size(spark):
     rows = [(f"x{i}", f"x{j}", i, 5) for i in range(5) for j in range(5) if i < j] + [(f"y{i}", f"y{j}", i, 5) for i in range(4) for j in range(4) if i < j]
     c = {r.account: (r.community_id, r.community_size) for r in graph.communities(events(spark, rows)).collect()}

@@ -30,6 +30,8 @@ CLASSES = BLOCKS + ENDINGS
 VOCAB = 200_000
 #: Rounds of training (each over its share of the documents, together over all), positions of a gradient step, step size.
 ROUNDS, STEP, RATE = 2, 4096, 0.15
+#: Positions that are scored at once.
+SCORED = 8 * STEP
 #: No weight of the outputs goes beyond, so scores stay where exponentials are finite.
 MOST = 1.5
 #: Distinct words that one task counts before it hands them on.
@@ -150,19 +152,24 @@ class Net:
         np.tanh(h, out=out[:, :HIDDEN])
         return out
 
-    def blocks(self, c: np.ndarray):
-        """(block, positions of it) of the frequent words."""
+    @staticmethod
+    def by_class(c: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """An order of positions by class, and in it the span of each block of frequent words; these come first."""
         order = np.argsort(c, kind="stable")
-        ends = np.searchsorted(c[order], np.arange(BLOCKS + 1))
-        for k in range(BLOCKS):
-            if ends[k + 1] > ends[k]:
-                yield k, order[ends[k] : ends[k + 1]]
+        ends = np.searchsorted(c.take(order), np.arange(BLOCKS + 1, dtype=c.dtype)).tolist()
+        return order, [(k, slice(a, z)) for k, (a, z) in enumerate(zip(ends, ends[1:], strict=False)) if z > a]
 
     def log_probs(self, ctx: np.ndarray, c: np.ndarray, m: np.ndarray) -> np.ndarray:
+        order, spans = self.by_class(c)
+        ctx, c, m = ctx.take(order, 1), c.take(order), m.take(order)
         h = self.hidden(ctx)
-        out = _log_soft(h @ self.out, c)
-        for k, at in self.blocks(c):
-            out[at] += _log_soft(h[at] @ self.inner[k], m[at])
+        lp = np.empty(len(c), np.float32)
+        for at in range(0, len(c), STEP):
+            lp[at : at + STEP] = _log_soft(h[at : at + STEP] @ self.out, c[at : at + STEP])
+        for k, at in spans:
+            lp[at] += _log_soft(h[at] @ self.inner[k], m[at])
+        out = np.empty_like(lp)
+        out[order] = lp
         return out
 
     def gradient(self, ctx: np.ndarray, c: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -170,23 +177,28 @@ class Net:
         n = len(c)
         grad = np.zeros_like(self.flat)
         near, bias, out, inner = self.views(grad)
+        order, spans = self.by_class(c)
+        ctx, c, m = ctx.take(order, 1), c.take(order), m.take(order)
         h = self.hidden(ctx)
         z = _soft_less(h @ self.out, c, n)
         dh = z @ self.out[:HIDDEN].T
         np.matmul(h.T, z, out=out)
-        for k, at in self.blocks(c):
-            part = h[at]
-            z = _soft_less(part @ self.inner[k], m[at], n)
-            dh[at] += z @ self.inner[k, :HIDDEN].T
-            np.matmul(part.T, z, out=inner[k])
+        own = spans[-1][1].stop if spans else 0
+        z = np.empty((own, BLOCK), np.float32)
+        for k, at in spans:
+            np.matmul(h[at], self.inner[k], out=z[at])
+        z = _soft_less(z, m[:own], n)
+        for k, at in spans:
+            dh[at] += z[at] @ self.inner[k, :HIDDEN].T
+            np.matmul(h[at].T, z[at], out=inner[k])
         h = h[:, :HIDDEN]
         dh *= 1 - h * h
         bias[:] = dh.sum(0)
         for k in range(len(AROUND)):
             order = np.argsort(ctx[k], kind="stable")
-            key = ctx[k][order]
+            key = ctx[k].take(order)
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            near[k][key[at]] = np.add.reduceat(dh[order], at)
+            near[k][key[at]] = np.add.reduceat(dh.take(order, 0), at)
         return grad
 
     def learn(self, ctx: np.ndarray, c: np.ndarray, m: np.ndarray, g2: np.ndarray) -> None:
@@ -351,8 +363,9 @@ def _scored(shared):
             for row, k, sizes in _coded_rows(b):
                 lp, c, m = tables.log_p[k], tables.classes[k], tables.within[k]
                 ctx = _windows(tables.seen[k], sizes)
-                for at in range(0, len(k), STEP):
-                    lp[at : at + STEP] += net.log_probs(ctx[:, at : at + STEP], c[at : at + STEP], m[at : at + STEP])
+                for at in range(0, len(k), SCORED):
+                    part = slice(at, at + SCORED)
+                    lp[part] += net.log_probs(ctx[:, part], c[part], m[part])
                 n = len(sizes)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, b.column("b")[row].as_py())), pa.array(np.arange(n, dtype=np.int32)), b.column("i").slice(row, 1).flatten(),
@@ -382,7 +395,7 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     is 0), as for null and empty texts. n_alone is how many words occur once in all of the
     corpus. Repeated rows give repeated rows; other columns are ignored. An empty table
     gives an empty result. A text of any length is scored whole; its positions are taken
-    ``STEP`` at a time. The network's part depends on how rows are dealt to tasks
+    ``SCORED`` at a time. The network's part depends on how rows are dealt to tasks
     (see ``train``).
     """
     table = word_table(docs, text_col)

@@ -232,6 +232,30 @@ def test_lm_gradient():
         assert grad[k] == pytest.approx((sides[0] - sides[1]) / 0.02, abs=2e-4)
 
 
+def test_lm_blocks_are_spans_of_one_order(monkeypatch):
+    """A step orders its positions by class once: no block copies its rows out, and results come back in the given order."""
+    copies = []
+
+    class Rows(np.ndarray):
+        def __getitem__(self, at):
+            copies.append(isinstance(at, np.ndarray))
+            return super().__getitem__(at)
+
+    rng = np.random.default_rng(3)
+    ctx = rng.integers(0, lm.SEEN + 1, (4, 500)).astype(np.int16)
+    c = rng.integers(0, lm.CLASSES, 500).astype(np.int16)
+    m = np.where(c < lm.BLOCKS, rng.integers(0, lm.BLOCK, 500), -1).astype(np.int16)
+    net, plain = lm.Net(), lm.Net.hidden
+    apart = np.concatenate([net.log_probs(ctx[:, k : k + 1], c[k : k + 1], m[k : k + 1]) for k in range(500)])
+    steps = [net.gradient(ctx[:, k : k + 1], c[k : k + 1], m[k : k + 1]) for k in range(500)]
+    monkeypatch.setattr(lm.Net, "hidden", lambda *a: plain(*a).view(Rows))
+    assert np.allclose(net.log_probs(ctx, c, m), apart, atol=1e-5)
+    assert np.allclose(net.gradient(ctx, c, m), np.mean(steps, 0), atol=1e-6)
+    assert copies and not any(copies)
+    for some in (c < lm.BLOCKS, c >= lm.BLOCKS, c < 0):
+        assert np.allclose(net.log_probs(ctx[:, some], c[some], m[some]), apart[some], atol=1e-5)
+
+
 def test_quotes(spark):
     conv = [
         (1, 0, "user", "How do I sort?\nIt is slow."), (1, 1, "assistant", "Use an index."),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ LOWEST, HIGHEST = 50, 95
 EVERY = 50
 #: Rows of one tile (a subtree that one task searches), rows of a leaf, children of a node, anchors searched together.
 TILE, LEAF, FAN, BLOCK = 4096, 128, 4, 512
+#: Bytes of bundles in one file, which a reader may take as one batch; tasks that tiles and anchors are dealt over, at least and at most.
+FILE, FEW, MANY = 16 << 20, 128, 4096
 _FOUND = "anchor_id bigint, positive_id bigint, positive_score bigint, found bigint, score bigint"
 
 
@@ -38,6 +42,7 @@ class Tree:
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> None:
         wide = np.argsort(-np.ptp(vectors.astype(float), axis=0), kind="stable") if len(ids) and vectors.shape[1] else np.zeros(0, int)
+        self.ids = ids
         self.span: list[tuple[int, int]] = []
         self.kids: list[list[int]] = []
         order: list[np.ndarray] = []
@@ -53,7 +58,7 @@ class Tree:
         self.span.append((start, start + len(rows)))
         self.kids.append([])
         if len(rows) <= LEAF:
-            order.append(rows)
+            order.append(rows[np.argsort(self.ids[rows], kind="stable")])  # of equal scores the smaller id comes first
             return me
         leaves = ceil(len(rows) / LEAF)
         if len(wide):
@@ -70,7 +75,7 @@ class Tree:
         return queries.astype(kind), self.vectors.astype(kind), self.low.astype(kind), self.high.astype(kind)
 
 
-def _best(tree: Tree, upper, lower, scored, own: int, label: int, same: bool, k: int, lo, hi, kth) -> list[tuple]:
+def _best(tree: Tree, upper: list, lower: list, scored, k: int, lo, hi, kth) -> list[tuple]:
     """The first ``k`` (-score, id) in the window [lo, hi] that reach ``kth``, from the boxes with the highest bounds on."""
     floor = max((x for x in (lo, kth) if x is not None), default=None)
     found: list[tuple] = []
@@ -90,55 +95,119 @@ def _best(tree: Tree, upper, lower, scored, own: int, label: int, same: bool, k:
                 if e:
                     heappush(queue, e)
             continue
-        scores, ids, labels = scored(node)
-        ok = (labels == label) == same
-        if same:
-            ok &= ids != own
-        if hi is not None:
-            ok &= scores <= hi
-        if floor is not None:
-            ok &= scores >= floor
-        for at in np.flatnonzero(ok):
-            found.append((-int(scores[at]), int(ids[at])))
-        if len(found) > k:
-            found = sorted(found)[:k]
-        if len(found) == k:
-            worst = -max(found)[0]
-            floor = worst if floor is None else max(floor, worst)
-    return sorted(found)[:k]
+        minus, ids = scored(node)
+        first = 0 if hi is None else bisect_left(minus, -hi)
+        new = [(minus[at], ids[at]) for at in range(first, min(first + k, len(minus))) if floor is None or -minus[at] >= floor]
+        if new:
+            found = sorted(found + new)[:k]
+            if len(found) == k:
+                worst = -found[-1][0]
+                floor = worst if floor is None else max(floor, worst)
+    return found
 
 
 def _search(tree: Tree, ids, labels, vectors, windows: list[list[tuple]], k: int, same: bool) -> Iterator[tuple]:
-    """(anchor, positive, its score, found, score) for each window (positive, its score, k-th) of each anchor."""
+    """(anchor, positive, its score, found, score) for each window (positive, its score, k-th) of each anchor.
+
+    Inner nodes are bounded by their boxes. Where products fit doubles, a leaf's bound for
+    an anchor is the best of its rows that may be found, from one product of all anchors
+    and the tile; so a leaf is opened only if it can add something.
+    """
     if not len(ids) or not len(tree.ids):
         return
     q, rows, low, high = tree.fit(vectors)
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    uppers, lowers = up @ high.T + down @ low.T, up @ low.T + down @ high.T
+    uppers, lowers = up @ high.T + down @ low.T, (up @ low.T + down @ high.T).tolist()
+    may = lambda n: ((tree.labels == labels[n]) == same) & ((tree.ids != ids[n]) if same else True)
+    exact = q.dtype == float
+    if exact:
+        products = q @ rows.T
+        for n in range(len(ids)):
+            products[n, ~may(n)] = -np.inf
+        leaves = [node for node, kids in enumerate(tree.kids) if not kids]
+        uppers[:, leaves] = np.maximum.reduceat(products, [tree.span[node][0] for node in leaves], axis=1)
+    uppers = uppers.tolist()
     for n in range(len(ids)):
         kept: dict[int, tuple] = {}
 
         def scored(node: int, n=n, kept=kept):
+            """-scores and ids of the leaf's rows that may be found, best first; the first window to ask for them has them sorted."""
             if node not in kept:
                 a, z = tree.span[node]
-                kept[node] = (rows[a:z] @ q[n], tree.ids[a:z], tree.labels[a:z])
+                scores = products[n, a:z] if exact else rows[a:z] @ q[n]
+                at = np.flatnonzero(scores > -np.inf if exact else may(n)[a:z])
+                order = at[np.argsort(-scores[at], kind="stable")]
+                kept[node] = ((-scores[order]).tolist(), tree.ids[a:z][order].tolist())
             return kept[node]
 
         for positive, ps, kth in windows[n]:
             lo, hi = (None, None) if ps is None else (-((-LOWEST * ps) // 100), HIGHEST * ps // 100)
             if lo is not None and lo > hi:
                 continue
-            for minus, row in _best(tree, uppers[n], lowers[n], scored, int(ids[n]), int(labels[n]), same, k, lo, hi, kth):
-                yield int(ids[n]), positive, ps, row, -minus
+            for minus, row in _best(tree, uppers[n], lowers[n], scored, k, lo, hi, kth):
+                yield int(ids[n]), positive, ps, row, -int(minus)
+
+
+def _narrow(lists: pa.ListArray) -> pa.ListArray:
+    """The same whole numbers in the narrowest type that holds them all."""
+    ends = pc.min_max(lists.flatten())
+    lo, hi = ends["min"].as_py() or 0, ends["max"].as_py() or 0
+    for kind in (pa.int8(), pa.int16(), pa.int32()):
+        bits = kind.bit_width - 1
+        if -(1 << bits) <= lo and hi < 1 << bits:
+            return lists.cast(pa.list_(kind))
+    return lists
+
+
+def _bundle(parts: list[pa.RecordBatch]) -> bytes:
+    t = pa.Table.from_batches(parts).combine_chunks()
+    t = t.set_column(t.schema.get_field_index("q"), "q", _narrow(t["q"].combine_chunks()))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def _bundles(key: str):
+    """(key, rows): from a stream sorted by ``key`` the rows of each key as one binary; a task holds the rows of one key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        one = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([_bundle(held)], pa.binary())], [key, "rows"])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(key).to_numpy()
+            rest = b.select([c for c in b.schema.names if c != key])
+            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for a, z in zip(edges, edges[1:], strict=False):
+                if held and keys[a] != now:
+                    yield one()
+                    held = []
+                now = int(keys[a])
+                held.append(rest.slice(a, z - a))
+        if held:
+            yield one()
+
+    return run
+
 
+def _bundled(rows: DataFrame, key: str, parts: int) -> DataFrame:
+    """(key, rows) of ``rows`` with their ``key``, over ``parts`` tasks; no row of Spark's ever holds a list of vectors."""
+    return rows.repartition(max(1, parts), key).sortWithinPartitions(key).mapInArrow(_bundles(key), f"{key} bigint, rows binary")
 
-def _unpack(column: pa.ListArray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    part = column[at].values
-    return part.field("id").to_numpy(), part.field("label").to_numpy(), _vectors(part.field("q"))
 
+def _read(column: pa.BinaryArray, at: int) -> pa.Table:
+    return pa.ipc.open_stream(column[at].as_buffer()).read_all().combine_chunks()
 
-def _windows(column: pa.ListArray, at: int) -> list[list[tuple]]:
-    return [[(w["pos"], w["ps"], w["kth"]) for w in x] for x in column[at].values.field("w").to_pylist()]
+
+def _unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return t["id"].to_numpy(), t["label"].to_numpy(), _vectors(t["q"].combine_chunks()).astype(np.int64)
+
+
+def _windows(t: pa.Table) -> list[list[tuple]]:
+    return [[(w["pos"], w["ps"], w["kth"]) for w in x] for x in t["w"].to_pylist()]
 
 
 def _batch(found: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -155,7 +224,7 @@ def _home(every: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(b.num_rows):
-                tree = Tree(*_unpack(b.column("rows"), at))
+                tree = Tree(*_unpack(_read(b.column("rows"), at)))
                 mine = np.flatnonzero(tree.ids % every == 0)
                 best: dict[int, list[int]] = {int(i): [] for i in tree.ids[mine]}
                 for i, _, _, _, score in _search(tree, tree.ids[mine], tree.labels[mine], tree.vectors[mine], [[(None, None, None)]] * len(mine), k, True):
@@ -173,8 +242,9 @@ def _meet(k: int, same: bool):
         for b in batches:
             for at in range(b.num_rows):
                 if which != (s := b.column("s")[at].as_py()):
-                    tree, which = Tree(*_unpack(b.column("rows"), at)), s
-                yield _batch(list(_search(tree, *_unpack(b.column("anchors"), at), _windows(b.column("anchors"), at), k, same)), _NAMES)
+                    tree, which = Tree(*_unpack(_read(b.column("rows"), at))), s
+                anchors = _read(b.column("anchors"), at)
+                yield _batch(list(_search(tree, *_unpack(anchors), _windows(anchors), k, same)), _NAMES)
 
     return run
 
@@ -198,7 +268,8 @@ def quantised(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 def pack(rows: DataFrame, tile: int = TILE) -> DataFrame:
     """(s, rows): tiles of up to ``tile`` rows, written: the top of the tree, sort-tile-recursive over the two widest coordinates.
 
-    Ranks come from ``running``, so neither a task nor a coordinate that many rows share
+    A tile's rows are one binary, and a file has few of them: a reader of lists would take
+    all tiles of a file as one batch. Ranks come from ``running``, so neither a task nor a coordinate that many rows share
     holds more than its part; ties go by id.
     """
     first = rows.agg(F.count(F.lit(1)), F.max(F.size("q"))).first()
@@ -213,17 +284,26 @@ def pack(rows: DataFrame, tile: int = TILE) -> DataFrame:
     slabs = running(narrow, [F.col("x"), F.col("id")], one_range=tile).withColumn("slab", F.floor((F.col("position") - 1) / each)).drop("position")
     tiles = running(slabs, [F.col("y"), F.col("id")], keys=("slab",), one_range=tile)
     s = F.col("slab") * ceil(each / tile) + F.floor((F.col("position") - 1) / tile)
-    dealt = rows.join(tiles.select("id", s.cast("bigint").alias("s")), "id")
-    return scratch_table(dealt.groupBy("s").agg(F.collect_list(F.struct("id", "label", "q")).alias("rows")), "tiles")
+    dealt = rows.join(tiles.select("id", s.cast("bigint").alias("s")), "id").select("s", "id", "label", "q")
+    packed = _bundled(dealt, "s", min(MANY, ceil(n / tile)))
+    return scratch_table(packed, "tiles", max(1, FILE // (8 * tile * (dims + 2))))
 
 
 def _in_blocks(anchors: DataFrame, trees: DataFrame, k: int, same: bool, block: int) -> DataFrame:
-    """Every anchor (id, label, q, w) against every tile, in blocks of about ``block`` anchors."""
+    """Every anchor (id, label, q, w) against every tile, in blocks of about ``block`` anchors.
+
+    Tasks are dealt by tile and, where tiles are few, by a share of the blocks; their
+    number is set here, since the work lies in the pairs and not in the bytes.
+    """
     blocks = max(1, ceil(anchors.count() / block))
-    top = trees.agg(F.max("s")).first()[0]
-    groups = anchors.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("id", "label", "q", "w")).alias("anchors"))
-    met = groups.withColumn("s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(top or 0).cast("bigint")))).join(trees, "s")
-    return met.select("s", "rows", "anchors").mapInArrow(_meet(k, same), _FOUND)
+    top = trees.agg(F.max("s")).first()[0] or 0
+    shares = min(blocks, max(1, ceil(FEW / (top + 1))))
+    tasks = min(MANY, shares * (top + 1))
+    b = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("bigint").alias("b")
+    groups = _bundled(anchors.select(b, "id", "label", "q", "w"), "b", min(FEW, blocks)).select(F.col("rows").alias("anchors"), (F.col("b") % shares).alias("part"))
+    asked = groups.withColumn("s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(top).cast("bigint")))).repartition(tasks, "s", "part")
+    dealt = trees.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shares - 1).cast("bigint")))).repartition(tasks, "s", "part")
+    return asked.hint("merge").join(dealt, ["s", "part"]).select("s", "rows", "anchors").mapInArrow(_meet(k, same), _FOUND)
 
 
 def mine(
@@ -253,7 +333,7 @@ def mine(
     near = scratch_table(near.filter(F.col("nth") <= positives).select("anchor_id", F.col("found").alias("pos"), F.col("score").alias("ps")), "positives")
     both = near.groupBy("anchor_id").agg(F.collect_list(window(F.col("pos"), F.col("ps"), none)).alias("w"))
     wanted = anchors.join(both, F.col("id") == F.col("anchor_id")).select("id", "label", "q", "s", "w")
-    own = wanted.groupBy("s").agg(F.collect_list(F.struct("id", "label", "q", "w")).alias("anchors")).join(trees, "s")
+    own = _bundled(wanted, "s", min(MANY, max(1, trees.count()))).withColumnRenamed("rows", "anchors").join(trees, "s")
     seed = own.select("s", "rows", "anchors").mapInArrow(_meet(negatives, False), _FOUND)
     least = seed.groupBy("anchor_id", F.col("positive_id").alias("pos")).agg(F.when(F.count(F.lit(1)) == negatives, F.min("score")).alias("kth"))
     seeded = near.join(least, ["anchor_id", "pos"], "left").groupBy("anchor_id").agg(F.collect_list(window(F.col("pos"), F.col("ps"), F.col("kth"))).alias("w"))

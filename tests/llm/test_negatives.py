@@ -77,3 +77,19 @@ def test_mine_large_numbers_are_exact(spark):
 def test_mine_empty_and_single_label(spark):
     assert negatives.mine(table(spark, [])).count() == 0
     assert negatives.mine(table(spark, [(i, [1.0, float(i)], 1) for i in range(60)])).count() == 0
+
+
+def test_tiles_are_read_a_few_at_a_time(spark, monkeypatch):
+    """A reader takes a file's rows as one batch, so a file holds few tiles, each as one binary and not as lists in lists."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(negatives, "FILE", 3 * 8 * 64 * (5 + 2))
+    x = negatives.quantised(table(spark, rows_of(2000, 5, 4)))
+    t = negatives.pack(x, tile=64)
+    assert dict(t.dtypes)["rows"] == "binary"
+    held = [pq.ParquetFile(f).metadata.num_rows for d in {f.rsplit("/", 1)[0][5:] for f in t.inputFiles()} for f in glob.glob(f"{d.lstrip(':')}/*.parquet")]
+    assert max(held) <= 3 and sum(held) == t.count()
+    got_ids = [i for r in t.select("rows").toArrow()["rows"].combine_chunks() for i in negatives._unpack(negatives._read([r], 0))[0]]
+    assert sorted(got_ids) == list(range(2000))

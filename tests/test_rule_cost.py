@@ -47,3 +47,19 @@ def test_surge_equals_all_pairs(spark):
         fresh, minus, _ = max(best)
         want = (float(fresh), -minus, tuple(sorted(i for i, t, _, _ in own if -minus <= t <= -minus + w)))
         assert got.get(account) == (want if fresh else None)
+
+
+def test_rules_read_written_events(spark, monkeypatch):
+    """All twelve rules, and all folds, read events that were parsed and written once; cycles are searched once for all folds."""
+    from paygrove.operators import folds, paths
+    from paygrove.plans import q_chain, q_folds, q_rules
+
+    seen, searches = [], []
+    run, cycles = rules.run_rules, paths.cycles
+    monkeypatch.setattr(paths, "cycles", lambda *a, **k: searches.append(1) or cycles(*a, **k))
+    monkeypatch.setattr(rules, "run_rules", lambda e, s, *a, **k: seen.append(e.inputFiles()) or run(e, s, *a, **(k | {"only": ("R4", "R10")})))
+    q_rules.overlaps(spark, SF), q_rules.rates(spark, SF), q_chain._hits(spark, SF)
+    searches.clear()
+    q_folds.rule_derived(spark, SF)
+    assert len(searches) == 1 and folds.rules is rules
+    assert len(seen) == 3 + q_folds.FOLDS and all(f and "events.parquet" not in f[0] and "/events-" in f[0] for f in seen)
